@@ -120,7 +120,7 @@ def paths(sig: np.ndarray, trees: range, depth: int) -> np.ndarray:
     rows = np.arange(len(sig))
     out = np.empty((len(sig), len(trees)), np.uint64)
     for c, t in enumerate(trees):
-        node = np.full(len(sig), _mix(np.uint64(t + 1) * np.uint64(0x9E3779B97F4A7C15) + np.zeros(1, np.uint64))[0], np.uint64)
+        node = np.full(len(sig), _mix(np.full(1, t + 1, np.uint64) * np.uint64(0x9E3779B97F4A7C15))[0], np.uint64)
         for _ in range(depth):
             coord = (_mix(node + np.uint64(0x632BE59BD9B4E019)) % np.uint64(COORDS)).astype(np.int64)
             node = _mix(node * np.uint64(0xD6E8FEB86659FD93) ^ (sig[rows, coord].astype(np.uint64) + (coord.astype(np.uint64) << np.uint64(32))))

@@ -62,13 +62,14 @@ def candidates(docs: DataFrame, path_col: str | None = "source", least: int = LE
     path = F.col(path_col) if path_col and path_col in docs.columns else F.lit(None).cast("string")
     key = rf"(?=[^\s]*[0-9]|{KEY}*[A-Z]{KEY}*[a-z]{KEY}*[A-Z]){KEY}{{{least},}}"
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), path.cast("string").alias("path"), F.col("text")).where(F.col("text").rlike(key))
-    d = d.withColumn("words", F.split("text", r"\s+")).drop("text")
-    # only the places of candidate words are expanded, with the three words before each
-    at = F.filter(F.sequence(F.lit(0), F.size("words") - 1), lambda i: F.get("words", i).rlike(key))
-    hit = F.transform(at, lambda i: F.struct(
-        i.cast("long").alias("i"), F.get("words", i).alias("word"), F.array_join(F.slice("words", F.greatest(i - 2, F.lit(1)), F.least(i, F.lit(3))), " ").alias("before"),
+    # only the places of candidate words are expanded, with the three words before each;
+    # the words are bound once, as an expression named inside a lambda is computed at each of its steps
+    at = lambda ws: F.filter(F.sequence(F.lit(0), F.size(ws) - 1), lambda i: F.get(ws, i).rlike(key))
+    hit = lambda ws: F.transform(at(ws), lambda i: F.struct(
+        i.cast("long").alias("i"), F.get(ws, i).alias("word"), F.array_join(F.slice(ws, F.greatest(i - 2, F.lit(1)), F.least(i, F.lit(3))), " ").alias("before"),
     ))
-    out = d.select("doc_id", "path", F.explode(hit).alias("c")).select("doc_id", "path", F.col("c.i").alias("word_index"), "c.word", "c.before")
+    found = F.get(F.transform(F.array(F.split("text", r"\s+")), hit), F.lit(0))
+    out = d.select("doc_id", "path", F.explode(found).alias("c")).select("doc_id", "path", F.col("c.i").alias("word_index"), "c.word", "c.before")
     return out.withColumn("candidate", F.regexp_extract("word", f"({key})", 1)).where(F.length("candidate") >= least)
 
 

@@ -46,20 +46,21 @@ def canonical(raw: Column) -> Column:
     return F.regexp_replace(t, r"[^\p{L}\p{M} \u0001-\u0003]+", "")
 
 
-def _windows(words: Column, width: int, literals: int) -> Column:
-    """[(position, hash)] of the windows with enough literal words."""
-    h = F.transform(words, lambda w: F.when(w.rlike("^[\u0001-\u0003]?$"), F.lit(None)).otherwise(F.xxhash64(w)))
-    # a placeholder hashes by its type; it is told from a literal by being small
-    h = F.zip_with(h, words, lambda a, w: F.coalesce(a, F.ascii(w).cast("long")))
-    at = F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(words) - width + 1))
-    cells = F.transform(at, lambda i: F.slice(h, i, width))
-    enough = F.transform(cells, lambda c: F.when(F.size(F.filter(c, lambda x: ~x.between(0, 3))) >= literals, F.xxhash64(c)))
-    return enough
+def bind(value: Column, body) -> Column:
+    """``body(value)`` with the value computed once: an expression named inside a lambda is computed at each of its steps."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-def _exploded(df: DataFrame, width: int, literals: int) -> DataFrame:
-    w = F.split("canon", " ")
-    return df.select("id", F.posexplode(_windows(w, width, literals)).alias("pos", "h")).where(F.col("h").isNotNull())
+def _windows(raw: Column, width: int) -> Column:
+    """The hashes of all windows of canonical words, by position."""
+    at = lambda ws: F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(ws) - width + 1))
+    return bind(F.split(canonical(raw), " "), lambda ws: F.transform(at(ws), lambda i: F.xxhash64(F.slice(ws, i, width))))
+
+
+def _literal_counts(canon: Column, width: int) -> Column:
+    """The literal words of each window, by position."""
+    at = lambda ws: F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(ws) - width + 1))
+    return bind(F.split(canon, " "), lambda ws: F.transform(at(ws), lambda i: F.size(F.filter(F.slice(ws, i, width), lambda w: ~w.rlike("^[\u0001-\u0003]?$")))))
 
 
 def decontaminate(
@@ -69,7 +70,6 @@ def decontaminate(
     """doc_id, contaminated, item_ids, n_windows, verbatim: one row per document."""
     spark = docs.sparkSession
     d = docs.select(F.col(id_col).cast("long").alias("id"), raw_text(F.col(text_col)).alias("raw")).where("id is not null")
-    d = d.withColumn("canon", canonical(F.col("raw")))
     b = bench.select(F.col(item_col).cast("long").alias("item"), raw_text(F.col("text")).alias("raw")).where("item is not null and raw <> ''")
     b = b.withColumn("canon", canonical(F.col("raw")))
     b = cut(b.withColumn("words", F.size(F.split("canon", " "))))
@@ -78,9 +78,11 @@ def decontaminate(
     hits = None
     for w in [width, *short]:
         part = b.where(F.col("words") >= width if w == width else F.col("words") == w)
-        items = cut(_exploded(part.withColumn("id", F.col("item")), w, min(literals, w)).select(F.col("id").alias("item"), F.col("pos").alias("item_pos"), "h"))
+        cells = F.arrays_zip(_windows(F.col("raw"), w).alias("h"), _literal_counts(F.col("canon"), w).alias("n"))
+        items = part.select("item", F.posexplode(cells).alias("item_pos", "c")).where(F.col("c.n") >= min(literals, w))
+        items = cut(items.select("item", "item_pos", "c.h"))
         n = items.count()
-        own = _exploded(d.where(F.size(F.split("canon", " ")) >= w), w, min(literals, w))
+        own = d.select("id", F.posexplode(_windows(F.col("raw"), w)).alias("pos", "h"))
         if n <= SMALL_SIDE:
             # the same window of many items is one key on the broadcast side
             met = own.join(F.broadcast(items.groupBy("h").agg(F.collect_list(F.struct("item", "item_pos")).alias("at"))), "h")
@@ -111,15 +113,15 @@ def decontaminate(
 def _slots(docs: DataFrame, bench: DataFrame, hits: DataFrame) -> DataFrame:
     """The alignments whose slot values agree, with whether the values are the same too."""
     item = bench.select("item", F.split("raw", " ").alias("iw"), F.split("canon", " ").alias("ic"))
-    doc = docs.select("id", F.split("raw", " ").alias("dw"), F.split("canon", " ").alias("dc")).dropDuplicates(["id"])
-    met = hits.join(doc, "id").join(item, "item")
+    met = hits.join(docs, "id").join(item, "item").dropDuplicates(["id", "item", "shift"])
+    met = met.withColumn("dw", F.split("raw", " ")).withColumn("dc", F.split(canonical(F.col("raw")), " "))
     # pairs (item value, document value) at the places where both have the same placeholder
     bare = lambda w: F.regexp_replace(F.lower(w), r"^[^\p{L}0-9]+|[^\p{L}0-9%]+$", "")
-    pairs = F.expr(
-        "transform(filter(sequence(1, size(iw)), i -> i + shift between 1 and size(dw) and element_at(ic, i) rlike '^[\\u0001-\\u0003]$'"
-        " and element_at(dc, cast(i + shift as int)) = element_at(ic, i)), i -> struct(element_at(iw, i) as a, element_at(dw, cast(i + shift as int)) as b))"
-    )
-    met = met.withColumn("pairs", F.array_distinct(F.transform(pairs, lambda p: F.struct(bare(p["a"]).alias("a"), bare(p["b"]).alias("b")))))
+    places = bind(F.struct("iw", "ic", "dw", "dc", "shift"), lambda m: F.transform(
+        F.filter(F.sequence(F.lit(0), F.size(m["iw"]) - 1), lambda i: F.get(m["ic"], i).rlike("^[\u0001-\u0003]$") & F.get(m["dc"], (i + m["shift"]).cast("int")).eqNullSafe(F.get(m["ic"], i))),
+        lambda i: F.struct(F.get(m["iw"], i).alias("a"), F.get(m["dw"], (i + m["shift"]).cast("int")).alias("b")),
+    ))
+    met = met.withColumn("pairs", F.array_distinct(F.transform(places, lambda p: F.struct(bare(p["a"]).alias("a"), bare(p["b"]).alias("b")))))
     n = F.size("pairs")
     same = (F.size(F.array_distinct(F.transform("pairs", lambda p: p["a"]))) == n) & (F.size(F.array_distinct(F.transform("pairs", lambda p: p["b"]))) == n)
     return met.where(same).select("id", "item", "n", F.forall("pairs", lambda p: p["a"] == p["b"]).alias("verbatim"))
