@@ -33,17 +33,31 @@ SMALL_SIDE = 2_000_000
 UNITS = "kg|g|mg|km|m|cm|mm|mi|miles|ft|feet|inch|inches|lb|lbs|l|ml|s|sec|seconds|min|minutes|h|hours|days|weeks|months|years|usd|eur|dollars|euros|cents|percent|degrees"
 
 
+_STRIPPED = '.,;:!?"()'
+_BLANKS = "\t\n\x0b\f\r\u00a0"
+
+
 def raw_text(text: Column) -> Column:
-    """One blank between words, none around."""
-    return F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), r"[\s ]+", " "))
+    """The text with every white space a blank: literal replacements, as a scan by regular expression costs more than the rest."""
+    t = F.coalesce(text, F.lit(""))
+    for x in _BLANKS:
+        t = F.replace(t, F.lit(x), F.lit(" "))
+    return t
 
 
 def canonical(raw: Column) -> Column:
-    """The canonical form; it has as many words as ``raw``."""
-    t = F.regexp_replace(raw, r"(?<=[\p{Ll},;] )[\p{Lu}][\p{L}'’-]*", "\u0001")  # names
-    t = F.regexp_replace(t, r"[+-]?[0-9][0-9.,:/]*(?:[a-zA-Z%°€$£]{1,3}(?= |$))?", "\u0002")  # numbers
-    t = F.regexp_replace(F.lower(t), rf"(?<=\u0002 )(?:{UNITS}|%|°)(?=[ .,;!?]|$)", "\u0003")  # units
-    return F.regexp_replace(t, r"[^\p{L}\p{M} \u0001-\u0003]+", "")
+    """The canonical form; it has as many blanks as ``raw``, so words keep their places."""
+    t = F.regexp_replace(raw, r"\p{Lu}(?<=[\p{Ll},;] .)[\p{L}'’-]*", "\u0001")  # names
+    t = F.lower(bind(t, lambda t: F.when(t.rlike("[0-9]"), _measures(t)).otherwise(t)))
+    for x in _STRIPPED:
+        t = F.replace(t, F.lit(x), F.lit(""))
+    return t
+
+
+def _measures(t: Column) -> Column:
+    """Numbers and the units after them as placeholders."""
+    number = F.regexp_replace(t, r"[+-]?[0-9][0-9.,:/]*(?:[a-zA-Z%°€$£]{1,3}(?= |$))?", "\u0002")
+    return F.regexp_replace(number, rf"(?i)(?<=\u0002 )(?:{UNITS}|%|°)(?=[ .,;!?]|$)", "\u0003")
 
 
 def bind(value: Column, body) -> Column:
@@ -51,16 +65,31 @@ def bind(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+def words_of(text: Column) -> Column:
+    """The words between blanks; a blank after a blank makes none."""
+    return F.filter(F.split(text, " "), lambda w: w != "")
+
+
 def _windows(raw: Column, width: int) -> Column:
-    """The hashes of all windows of canonical words, by position."""
-    at = lambda ws: F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(ws) - width + 1))
-    return bind(F.split(canonical(raw), " "), lambda ws: F.transform(at(ws), lambda i: F.xxhash64(F.slice(ws, i, width))))
+    """The hashes of all windows of canonical words, by position.
+
+    Hashes of 1, 2, 4, ... words are joined in pairs, so a window costs a few steps
+    whatever its width; a width that is no power of two joins two that overlap.
+    """
+
+    def join(hs: Column, have: int) -> Column:
+        if have == width:
+            return F.slice(hs, F.lit(1), F.greatest(F.lit(1), F.size(hs) - width + 1))
+        shift = min(have, width - have)
+        return bind(F.zip_with(hs, F.slice(hs, F.lit(1 + shift), F.greatest(F.lit(0), F.size(hs) - shift)), lambda x, y: F.xxhash64(x, y)), lambda h: join(h, have + shift))
+
+    return bind(words_of(canonical(raw)), lambda ws: bind(F.transform(ws, lambda w: F.xxhash64(w)), lambda hs: join(hs, 1)))
 
 
 def _literal_counts(canon: Column, width: int) -> Column:
     """The literal words of each window, by position."""
     at = lambda ws: F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(ws) - width + 1))
-    return bind(F.split(canon, " "), lambda ws: F.transform(at(ws), lambda i: F.size(F.filter(F.slice(ws, i, width), lambda w: ~w.rlike("^[\u0001-\u0003]?$")))))
+    return bind(words_of(canon), lambda ws: F.transform(at(ws), lambda i: F.size(F.filter(F.slice(ws, i, width), lambda w: ~w.rlike("^[\u0001-\u0003]?$")))))
 
 
 def decontaminate(
@@ -72,7 +101,7 @@ def decontaminate(
     d = docs.select(F.col(id_col).cast("long").alias("id"), raw_text(F.col(text_col)).alias("raw")).where("id is not null")
     b = bench.select(F.col(item_col).cast("long").alias("item"), raw_text(F.col("text")).alias("raw")).where("item is not null and raw <> ''")
     b = b.withColumn("canon", canonical(F.col("raw")))
-    b = cut(b.withColumn("words", F.size(F.split("canon", " "))))
+    b = cut(b.withColumn("words", F.size(words_of(F.col("canon")))).where("words > 0"))
     short = [r[0] for r in b.where(F.col("words") < width).select("words").distinct().collect()]  # fewer than width numbers
 
     hits = None
@@ -112,10 +141,11 @@ def decontaminate(
 
 def _slots(docs: DataFrame, bench: DataFrame, hits: DataFrame) -> DataFrame:
     """The alignments whose slot values agree, with whether the values are the same too."""
-    item = bench.select("item", F.split("raw", " ").alias("iw"), F.split("canon", " ").alias("ic"))
+    item = bench.select("item", F.filter(F.arrays_zip(F.split("raw", " ").alias("w"), F.split("canon", " ").alias("c")), lambda x: x["c"] != "").alias("both"))
+    item = item.select("item", F.col("both.w").alias("iw"), F.col("both.c").alias("ic"))
     met = hits.join(docs, "id").join(item, "item").dropDuplicates(["id", "item", "shift"])
-    met = met.withColumn("dw", F.split("raw", " ")).withColumn("dc", F.split(canonical(F.col("raw")), " "))
-    # pairs (item value, document value) at the places where both have the same placeholder
+    met = met.withColumn("both", F.filter(F.arrays_zip(F.split("raw", " ").alias("w"), F.split(canonical(F.col("raw")), " ").alias("c")), lambda x: x["c"] != ""))
+    met = met.select("id", "item", "shift", "n", "iw", "ic", F.col("both.w").alias("dw"), F.col("both.c").alias("dc"))
     bare = lambda w: F.regexp_replace(F.lower(w), r"^[^\p{L}0-9]+|[^\p{L}0-9%]+$", "")
     places = bind(F.struct("iw", "ic", "dw", "dc", "shift"), lambda m: F.transform(
         F.filter(F.sequence(F.lit(0), F.size(m["iw"]) - 1), lambda i: F.get(m["ic"], i).rlike("^[\u0001-\u0003]$") & F.get(m["dc"], (i + m["shift"]).cast("int")).eqNullSafe(F.get(m["ic"], i))),
