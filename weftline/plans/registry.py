@@ -1,6 +1,11 @@
-"""All queries of the engine and their SQL oracles."""
+"""All queries of the engine, (spark, sf_dir) -> DataFrame, and their SQL oracles."""
 
 from __future__ import annotations
 
+from weftline.plans import q_answers, q_changes, q_graph, q_rank, q_text
+
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
+for _m in (q_text, q_graph, q_rank, q_answers, q_changes):
+    QUERIES |= _m.Q.queries
+    ORACLE_SQL |= _m.Q.sql
