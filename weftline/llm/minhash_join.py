@@ -3,8 +3,9 @@
 Each document is a set of word shingles and has ``COORDS`` minwise tokens (one per hash
 function). A tree branches the documents: a node picks one coordinate by a hash of its
 path, and every document goes to the child named by its own token there. A node of at
-most ``SMALL`` documents is a leaf; larger ones branch again, down to ``MAX_DEPTH``. Leaf
-members are compared exhaustively on their full shingle sets. ``TREES`` independent trees
+most ``SMALL`` documents at the first of ``DEPTHS`` is a leaf; larger ones branch on to the
+next. Leaf members are compared exhaustively: by their minwise tokens first, and where
+those agree well enough, on their full shingle sets. ``TREES`` independent trees
 give the recall: a pair at similarity s shares a leaf of depth d with probability s^d, so
 at 0.85 sixteen trees miss it with probability (1 - 0.85^2)^16 = 1e-9 in leaves of depth
 two and (1 - 0.85^4)^16 = 8e-6 in the deepest.
@@ -12,18 +13,21 @@ two and (1 - 0.85^4)^16 = 8e-6 in the deepest.
 Scale:
 - documents with equal sets are one class before any tree is built (membership is joined
   back at the end), so exact copies cost one row;
-- trees carry (node, id) rows of 16 bytes; texts move only for documents that share a
-  leaf with another, found through a bounded Bloom filter, once per distinct leaf;
+- trees carry (node, id) rows of 16 bytes; leaves are compared on 128 bytes a document,
+  and what may be linked there is one cluster. Texts move only for members of clusters,
+  found through a bounded Bloom filter, once per distinct cluster: documents that share
+  no more than a passage or a line do not move;
 - the trees run in two waves. The second only compares leaves that still hold documents
   of different components;
-- a leaf that stays large at the last depth (thousands of near copies) is dealt in blocks
+- a leaf that stays large at the last depth is dealt in blocks
   of ``BLOCK`` documents, and every two blocks meet in one task. Inside a task, documents
   that are already connected are never compared, so a task gives at most one link per
   document and a group of near copies does not cost all its pairs.
 
 Exactness: links are confirmed on the full sets (64-bit shingle hashes) by
-``100 * |A & B| >= percent * |A | B|`` in integers. No bucket, partner or candidate is
-capped.
+``100 * |A & B| >= percent * |A | B|`` in integers. Pairs whose tokens agree in a share of
+more than 0.2 under the bound are not compared: six standard deviations, 1e-7 of the links
+at the bound. No bucket, partner or candidate is capped.
 
 Defined results: a null or blank text has the empty set, is linked with nothing and is its
 own component; equal sets are linked; rows that repeat an id are one document per id in
@@ -36,7 +40,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -50,8 +53,7 @@ COORDS = 128
 TREES = 16
 FIRST_WAVE = 4
 SMALL = 64
-BASE_DEPTH = 2
-MAX_DEPTH = 4
+DEPTHS = (2, 4)
 BLOCK = 1024
 _RNG = np.random.Generator(np.random.PCG64(20240611))
 _MUL = _RNG.integers(1, 2**63, COORDS, dtype=np.uint64) | np.uint64(1)
@@ -101,15 +103,17 @@ def _signatures(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = WordHashes()
         for b in batches:
-            sizes, keys, sigs = [], [], []
+            sizes, keys, sigs, short = [], [], [], []
             for text in b.column("text"):
                 s = shingle_set(text.as_py(), k, words)
                 sizes.append(len(s))
                 keys.append(xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None)
-                sigs.append(minwise(s).tobytes() if len(s) else None)
+                m = minwise(s) if len(s) else None
+                sigs.append(None if m is None else m.tobytes())
+                short.append(None if m is None else m.astype(np.uint8).tobytes())
             yield pa.RecordBatch.from_arrays(
-                [b.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), pa.array(sigs, pa.binary())],
-                ["doc_id", "n_shingles", "set_key", "sig"],
+                [b.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), pa.array(sigs, pa.binary()), pa.array(short, pa.binary())],
+                ["doc_id", "n_shingles", "set_key", "sig", "short"],
             )
 
     return run
@@ -149,16 +153,16 @@ def _branch(reps: DataFrame, first: int, last: int) -> DataFrame:
 
     Depth goes on only for the nodes that are still large.
     """
-    leaves = None
+    leaves = large = None
     todo = reps
-    for depth in range(BASE_DEPTH, MAX_DEPTH + 1):
+    for depth in DEPTHS:
         rows = todo.select("doc_id", "sig").mapInArrow(_nodes(first, last, depth), "tree int, node long, doc_id long")
-        if depth > BASE_DEPTH:
-            rows = rows.join(large.select("tree", "doc_id"), ["tree", "doc_id"], "left_semi")  # noqa: F821
+        if large is not None:
+            rows = rows.join(large, ["tree", "doc_id"], "left_semi")
         sizes = rows.groupBy("node").agg(
             F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("doc_id").cast("decimal(20,0)")).alias("members")
         ).where("n > 1")
-        end = depth == MAX_DEPTH
+        end = depth == DEPTHS[-1]
         leaf_sizes = sizes if end else sizes.where(F.col("n") <= SMALL)
         # the same members under several trees are one leaf
         alone = leaf_sizes.groupBy("members", "n").agg(F.min("node").alias("node"))
@@ -236,34 +240,65 @@ def leaf_links(ids: list[int], comps: list[int], sets: list[np.ndarray], percent
     return links
 
 
-def _compare(k: int, percent: int):
-    """Rows come sorted by (cell, doc_id); a cell is a leaf or two blocks of one."""
+def _cells(names: tuple[str, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple, list[tuple]]]:
+    """(key, rows) of each run of equal keys; the key is all but the last three columns."""
+    key, rows = None, []
+    for b in batches:
+        cols = [b.column(c).to_pylist() for c in names]
+        for row in zip(*cols, strict=True):
+            if row[:-3] != key:
+                if len(rows) > 1:
+                    yield key, rows
+                key, rows = row[:-3], []
+            rows.append(row[-3:])
+    if len(rows) > 1:
+        yield key, rows
+
+
+def _clusters(percent: int):
+    """Members of a cell that may be linked to one of another component, as (cluster, doc_id, comp).
+
+    A cluster is named by its members, so the same cluster out of several cells is one.
+    """
+    least = int(np.ceil((percent / 100 - 0.2) * COORDS))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = WordHashes()
-        cell, ids, comps, sets = None, [], [], []
+        for _, rows in _cells(("leaf", "c1", "c2", "doc_id", "comp", "short"), batches):
+            sig = np.frombuffer(b"".join(r[2] for r in rows), np.uint8).reshape(-1, COORDS)
+            n = len(rows)
+            uf = _Union(n)
+            for i in range(n - 1):
+                for j in np.flatnonzero((sig[i + 1 :] == sig[i]).sum(axis=1, dtype=np.int32) >= least):
+                    uf.up[uf.find(i + 1 + int(j))] = uf.find(i)
+            groups: dict[int, list[int]] = {}
+            for i in range(n):
+                groups.setdefault(uf.find(i), []).append(i)
+            out = []
+            for g in groups.values():
+                if len({rows[i][1] for i in g}) > 1:
+                    ids = sorted(rows[i][0] for i in g)
+                    name = xxhash.xxh3_64_intdigest(np.array(ids, np.int64).tobytes()) - 2**63
+                    out += [(name, rows[i][0], rows[i][1]) for i in g]
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], ["leaf", "doc_id", "comp"])
 
-        def close():
-            links = leaf_links(ids, comps, sets, percent) if len(ids) > 1 else []
-            return pa.RecordBatch.from_arrays([pa.array([x for x, _ in links], pa.int64()), pa.array([y for _, y in links], pa.int64())], ["a", "b"])
+    return run
 
-        for b in batches:
-            keys = list(zip(b.column("leaf").to_pylist(), b.column("c1").to_pylist(), b.column("c2").to_pylist(), strict=True))
-            for key, i, c, text in zip(keys, b.column("doc_id").to_pylist(), b.column("comp").to_pylist(), b.column("text"), strict=True):
-                if key != cell:
-                    if len(ids) > 1:
-                        yield close()
-                    cell, ids, comps, sets = key, [], [], []
-                ids.append(i)
-                comps.append(c)
-                sets.append(shingle_set(text.as_py(), k, words))
-        if len(ids) > 1:
-            yield close()
+
+def _compare(k: int, percent: int):
+    """Confirmed links of the clusters; rows come sorted by cluster."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = WordHashes()
+        for _, rows in _cells(("leaf", "doc_id", "comp", "text"), batches):
+            links = leaf_links([r[0] for r in rows], [r[1] for r in rows], [shingle_set(r[2], k, words) for r in rows], percent)
+            if links:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*links, strict=True)], ["a", "b"])
 
     return run
 
 
-def _links(docs: DataFrame, leaves: DataFrame, comp: DataFrame | None, k: int, percent: int) -> DataFrame:
+def _links(docs: DataFrame, reps: DataFrame, leaves: DataFrame, comp: DataFrame | None, k: int, percent: int) -> DataFrame:
     """Confirmed links of the leaves that hold more than one component."""
     if comp is None:
         rows = leaves.withColumn("comp", F.col("doc_id"))
@@ -274,14 +309,16 @@ def _links(docs: DataFrame, leaves: DataFrame, comp: DataFrame | None, k: int, p
     # leaves of up to BLOCK documents are one cell; larger ones are dealt in blocks that meet in pairs
     blocks = F.ceil(F.col("n") / BLOCK).cast("int")
     mine = F.pmod(F.xxhash64("doc_id"), blocks).cast("int")
-    rows = rows.withColumn("_bl", blocks).withColumn("_me", mine)
+    rows = rows.withColumn("_bl", blocks).withColumn("_me", mine).join(reps.select("doc_id", "short"), "doc_id")
     rows = rows.withColumn("_other", F.explode(F.when(F.col("_bl") == 1, F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.col("_bl") - 1))))
-    rows = cut(rows.select("leaf", F.least("_me", "_other").alias("c1"), F.greatest("_me", "_other").alias("c2"), "doc_id", "comp"))
-    ids = rows.select("doc_id").distinct()
+    cells = rows.select("leaf", F.least("_me", "_other").alias("c1"), F.greatest("_me", "_other").alias("c2"), "doc_id", "comp", "short")
+    cells = cells.repartition("leaf", "c1", "c2").sortWithinPartitions("leaf", "c1", "c2", "doc_id")
+    near = cut(cells.mapInArrow(_clusters(percent), "leaf long, doc_id long, comp long").distinct())
+    ids = near.select("doc_id").distinct()
     n = ids.count()
     texts = bloom.semi_by_id(docs, ids, n) if n else docs.limit(0)
-    cells = rows.join(texts, "doc_id").select("leaf", "c1", "c2", "doc_id", "comp", "text")
-    return cells.repartition("leaf", "c1", "c2").sortWithinPartitions("leaf", "c1", "c2", "doc_id").mapInArrow(_compare(k, percent), "a long, b long")
+    met = near.join(texts, "doc_id").select("leaf", "doc_id", "comp", "text")
+    return met.repartition("leaf").sortWithinPartitions("leaf", "doc_id").mapInArrow(_compare(k, percent), "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -291,15 +328,15 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
     similarity; a component's id is its smallest doc_id, and that document is kept.
     """
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    sigs = cut(docs.mapInArrow(_signatures(k), "doc_id long, n_shingles long, set_key binary, sig binary"))
+    sigs = cut(docs.mapInArrow(_signatures(k), "doc_id long, n_shingles long, set_key binary, sig binary, short binary"))
     full = sigs.where(F.col("set_key").isNotNull() & F.col("doc_id").isNotNull())
     classes = cut(full.groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("n")))
     # one row per class; where ids repeat with different texts, each text takes part
-    reps = full.join(classes.where("n > 1"), "set_key", "left").where(F.col("rep").isNull() | (F.col("rep") == F.col("doc_id"))).select("doc_id", "sig")
+    reps = full.join(classes.where("n > 1"), "set_key", "left").where(F.col("rep").isNull() | (F.col("rep") == F.col("doc_id"))).select("doc_id", "sig", "short")
     reps = cut(reps)
     links = comp = None
     for first, last in ((0, FIRST_WAVE), (FIRST_WAVE, TREES)):
-        new = cut(_links(docs, _branch(reps, first, last), comp, k, percent))
+        new = cut(_links(docs, reps, _branch(reps, first, last), comp, k, percent))
         links = new if links is None else links.unionByName(new)
         comp = components(links)
     full = full.select("doc_id", "n_shingles", "set_key").join(classes.where("n > 1").select("set_key", "rep"), "set_key", "left")
