@@ -45,7 +45,7 @@ def intent_classify(spark, d):
     return table(spark, d, "conversations").select("conv_id", "turn", routing.intent(F.concat(head, "text")).alias("intent"))
 
 
-_SPANS = r"list_filter(list_distinct(list_transform(string_split(array_to_string(list_transform(list_filter(list_transform(string_split(trim(regexp_replace({t}, '\s+', ' ', 'g')), ' '), lambda w: regexp_replace(w, '^[.,:;!?()]+|[.,:;!?()]+$', '', 'g')), lambda w: w <> ''), lambda w: CASE WHEN regexp_matches(w, '^\p{{Lu}}') THEN w ELSE chr(10) END), ' '), chr(10)), lambda x: trim(x))), lambda x: x <> '')[1:5]"
+_SPANS = r"list_filter(list_reduce(list_prepend(CAST([] AS VARCHAR[]), list_transform(string_split(array_to_string(list_transform(list_filter(list_transform(string_split(trim(regexp_replace({t}, '\s+', ' ', 'g')), ' '), lambda w: regexp_replace(w, '^[.,:;!?()]+|[.,:;!?()]+$', '', 'g')), lambda w: w <> ''), lambda w: CASE WHEN regexp_matches(w, '^\p{{Lu}}') THEN w ELSE chr(10) END), ' '), chr(10)), lambda x: [trim(x)])), lambda a, b: CASE WHEN list_contains(a, b[1]) THEN a ELSE list_concat(a, b) END), lambda x: x <> '')[1:5]"
 
 
 @Q.add(f"SELECT conv_id, turn, {_SPANS.format(t='text')} AS entities FROM conversations")
@@ -96,7 +96,7 @@ def _tables(spark, d):
     return table(spark, d, "supplier").select(F.col("s_suppkey").alias("query_id"), t.alias("content"), F.lit(_TABLE_Q).alias("question"), F.lit(0.5).alias("score"))
 
 
-@Q.add("SELECT s_suppkey AS query_id, 'Table reasoning evidence: headers=Name, Nation, Balance matched_columns=Nation, Balance numeric_values=' || s_name || ' Nation=' || s_nationkey || '; ' || s_name || ' Balance=' || CAST(round(s_acctbal) AS BIGINT) AS content, CAST(80 AS BIGINT) AS score FROM supplier")
+@Q.add("SELECT s_suppkey AS query_id, 'Table reasoning evidence: headers=Name, Nation, Balance matched_columns=Nation, Balance matched_rows=Name=' || s_name || ', Nation=' || s_nationkey || ', Balance=' || CAST(round(s_acctbal) AS BIGINT) || ' numeric_values=' || s_name || ' Nation=' || s_nationkey || '; ' || s_name || ' Balance=' || CAST(round(s_acctbal) AS BIGINT) AS content, CAST(85 AS BIGINT) AS score FROM supplier")
 def table_evidence(spark, d):
     e = R.table_evidence(_tables(spark, d))
     return e.select("query_id", "content", F.round(F.col("score") * 100).cast("long").alias("score"))

@@ -251,9 +251,9 @@ def weighted_grid(spark, d):
     return h.groupBy("wv", "wg").agg(F.sum("hit").alias("hits"), F.count(F.lit(1)).alias("queries"))
 
 
-@Q.add(f"""WITH q AS (SELECT item_id, {_QTOK.format(t='text')}[1:3] AS terms FROM benchmark) SELECT item_id, CAST(sum(CAST(list_has_all(toks, terms) AS INTEGER)) AS BIGINT) AS docs FROM q, (SELECT list_distinct({_TOKENS.format(t='text')}) AS toks FROM documents) GROUP BY item_id""")
+@Q.add(f"""WITH q AS (SELECT item_id, list_sort({_QTOK.format(t='text')})[1:3] AS terms FROM benchmark) SELECT item_id, CAST(sum(CAST(list_has_all(toks, terms) AS INTEGER)) AS BIGINT) AS docs FROM q, (SELECT list_distinct({_TOKENS.format(t='text')}) AS toks FROM documents) GROUP BY item_id""")
 def retrieval_hits(spark, d):
-    terms = table(spark, d, "benchmark").select("item_id", F.slice(T.query_tokens(F.col("text")), 1, 3).alias("terms"))
+    terms = table(spark, d, "benchmark").select("item_id", F.slice(F.array_sort(T.query_tokens(F.col("text"))), 1, 3).alias("terms"))
     want = terms.select("item_id", F.size("terms").alias("need"), F.explode("terms").alias("token"))
     have = table(spark, d, "documents").select("doc_id", F.explode(F.array_distinct(T.ascii_tokens(F.col("text")))).alias("token"))
     met = have.join(want, "token").groupBy("item_id", "doc_id", "need").count().where("count = need").groupBy("item_id").agg(F.count(F.lit(1)).alias("docs"))

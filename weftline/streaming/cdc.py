@@ -10,6 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from weftline import vocab
 
@@ -36,7 +37,13 @@ def from_messages(df: DataFrame, value: str = "value") -> DataFrame:
     )
 
 
-@F.pandas_udf("added array<string>, removed array<string>, added_count int, removed_count int, change_ratio double, major boolean")
+_DIFF = T.StructType([
+    T.StructField("added", T.ArrayType(T.StringType())), T.StructField("removed", T.ArrayType(T.StringType())), T.StructField("added_count", T.IntegerType()),
+    T.StructField("removed_count", T.IntegerType()), T.StructField("change_ratio", T.DoubleType()), T.StructField("major", T.BooleanType()),
+])
+
+
+@F.pandas_udf(_DIFF)
 def line_diff(before: pd.Series, after: pd.Series) -> pd.DataFrame:
     """Lines added and removed by the longest-matching-blocks comparison."""
     rows = []
