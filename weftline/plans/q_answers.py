@@ -125,14 +125,15 @@ def qa_end_to_end(spark, d):
     lex = hits.join(docs.select("doc_id", "text", "source"), "doc_id").select(
         "query_id", F.lit(0).alias("branch_ord"), F.col("rank").cast("long").alias("pos"), F.col("text").alias("content"), "source", (F.col("hits") / F.col("n_tokens")).alias("score")
     )
-    routed = routing.route(q)
-    p = _paths(spark, d, routed).join(q.select("query_id", "question"), "query_id")
+    routed, chosen = routing.route(q), routing.select_rules(q)
+    # both branches walk the same paths: found once, kept in the shared folder
+    walks = G.durable(_paths(spark, d, routed.select("query_id", "metapath").unionByName(chosen.select("query_id", "metapath")).distinct()))
+    p = routed.select("query_id", "metapath").join(walks, ["query_id", "metapath"]).join(q.select("query_id", "question"), "query_id")
     text = F.concat(F.lit("Metapath "), "metapath", F.lit(": "), G.evidence(F.col("path")))
     paths = p.select("query_id", F.lit(4).alias("branch_ord"), F.xxhash64("metapath", "end").alias("pos"), text.alias("content"), F.col("metapath").alias("source"), S.metapath_score(F.lit(1.0), S.graph_lexical(F.col("question"), text)).alias("score"))
-    chosen = routing.select_rules(q)
-    facts = routing.infer(chosen, _paths(spark, d, chosen))
+    facts = routing.infer(chosen, walks)
     inf = facts.select("query_id", F.lit(5).alias("branch_ord"), F.xxhash64("rule", "end").alias("pos"), F.col("evidence").alias("content"), F.col("rule").alias("source"), F.col("confidence").alias("score"))
-    ctx = lex.unionByName(paths).unionByName(inf).withColumn("key", T.term_key(F.col("content")))
+    ctx = G.durable(lex.unionByName(paths).unionByName(inf).withColumn("key", T.term_key(F.col("content"))))
     first = R.first_of_each(ctx)
     fused = R.fuse(ctx).select("query_id", "key", "rrf", "place")
     sizes = spark.createDataFrame([(k, n, m) for k, (n, m) in vocab.INTENT_SIZES.items()], "intent string, k int, most int")
@@ -140,5 +141,5 @@ def qa_end_to_end(spark, d):
     top = first.drop("score").join(fused, ["query_id", "key"]).join(intents, "query_id").where(F.col("place") <= F.col("k"))
     best = top.groupBy("query_id").agg(F.max("rrf").alias("_best"))
     ready = top.join(best, "query_id").select("query_id", "content", "source", (F.col("rrf") / F.col("_best")).alias("score"), F.col("place").alias("pos"), F.when(F.col("branch_ord") == 0, "vector").otherwise("graph").alias("kind"), "most", "intent")
-    sel = R.balanced(ready, F.col("most"))
+    sel = G.durable(R.balanced(ready, F.col("most")))
     return R.answer(sel).join(R.retrieval_quality(sel), "query_id").join(sel.groupBy("query_id", "intent").agg(F.count(F.lit(1)).alias("contexts")), "query_id")

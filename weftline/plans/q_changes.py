@@ -145,7 +145,7 @@ def _extracted(spark, d):
     return ents, rels
 
 
-@Q.add("WITH k AS (SELECT DISTINCT event_id // 10 AS chunk_id, user_id FROM events WHERE value / 100 >= 0.7) SELECT event_id // 10 AS chunk_id, 'u' || user_id AS head, event_type AS relation FROM events JOIN k ON event_id // 10 = chunk_id AND events.user_id = k.user_id WHERE event_id % 10 >= 7")
+@Q.add("WITH k AS (SELECT DISTINCT event_id // 10 AS chunk_id, user_id FROM events WHERE value / 100 >= 0.7) SELECT event_id // 10 AS chunk_id, 'u' || events.user_id AS head, event_type AS relation FROM events JOIN k ON event_id // 10 = chunk_id AND events.user_id = k.user_id WHERE event_id % 10 >= 7")
 def extraction_relations(spark, d):
     ents, rels = _extracted(spark, d)
     return ingest.gate(ents, rels)[1].select("chunk_id", "head", "relation")

@@ -67,7 +67,7 @@ def with_diff(events: DataFrame) -> DataFrame:
 def versions(events: DataFrame) -> DataFrame:
     """Each event's version of its resource: the number of successes up to it; null for a failure."""
     n = F.sum(F.col("success").cast("long")).over(W.partitionBy("resource").orderBy("seq").rowsBetween(W.unboundedPreceding, 0))
-    return events.withColumn("version", F.when("success", n))
+    return events.withColumn("version", F.when(F.col("success"), n))
 
 
 def dispositions(attempts: DataFrame, retries: int = 3) -> DataFrame:
