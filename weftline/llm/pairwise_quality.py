@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weftline.llm.common import held_out, labelled_sample
-from weftline.llm.features import quality_features
+from weftline.llm.features import QUALITY_NAMES, quality_features
 
 MAX_TRAIN = 8_000
 MAX_PAIRS = 40_000
@@ -95,7 +95,7 @@ def train_quality(docs: DataFrame, labels: DataFrame, label: str = "quality", ma
             yield pd.DataFrame({"doc_id": b["doc_id"], "y": b["label"], "x": [quality_features(t) for t in b["text"]]})
 
     got = rows.mapInPandas(extract, "doc_id long, y int, x array<double>").toPandas().sort_values("doc_id")
-    return fit_rank(np.array(got["x"].tolist()).reshape(len(got), -1), got["y"].to_numpy())
+    return fit_rank(np.array(got["x"].tolist()).reshape(len(got), len(QUALITY_NAMES)), got["y"].to_numpy())
 
 
 def score_column(model: RankModel, text: Column) -> Column:
