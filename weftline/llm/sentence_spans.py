@@ -1,7 +1,7 @@
 """Substring deduplication by sliding sentence spans.
 
-Every run of ``span`` consecutive sentences with at least ``min_words`` words is hashed
-(96 bits), the hashes are joined over the whole corpus, and sentences covered by a run
+From every sentence on, the run of ``span`` consecutive sentences, or of more until it has
+``min_words`` words, is hashed (96 bits), the hashes are joined over the whole corpus, and sentences covered by a run
 whose first occurrence lies elsewhere are removed. The first occurrence is the one in the
 smallest (doc_id, position). A sentence ends at ``.``, ``!`` or ``?`` before white space
 and at a line end; one of over ``LONG`` words is cut at its commas, semicolons and colons
@@ -56,14 +56,18 @@ def runs(text: str, span: int, min_words: int) -> tuple[int, list[tuple[int, int
     cuts = sentences(text)
     words = [text[a:b].split() for a, b in cuts]
     kept = [i for i, w in enumerate(words) if w]  # blank pieces join no run
-    n = len(kept)
+    sizes = [len(words[j]) for j in kept]
+    n, end, held = len(kept), 0, 0  # held: words of the sentences from i to end
     out = []
-    for i in range(max(1, n - span + 1) if n else 0):
-        part = kept[i : i + span]
-        w = [x for j in part for x in words[j]]
-        if len(w) >= min_words:
-            d = xxhash.xxh3_128_intdigest(" ".join(w).encode("utf-8", "surrogatepass"))
-            out.append(((d & (2**64 - 1)) - 2**63, (d >> 64 & (2**32 - 1)) - 2**31, part[0], part[-1] - part[0] + 1))
+    for i in range(n):
+        while end < n and (end - i < span or held < min_words):
+            held += sizes[end]
+            end += 1
+        if held >= min_words and (end - i >= span or i == 0):
+            w = " ".join(x for j in kept[i:end] for x in words[j])
+            d = xxhash.xxh3_128_intdigest(w.encode("utf-8", "surrogatepass"))
+            out.append(((d & (2**64 - 1)) - 2**63, (d >> 64 & (2**32 - 1)) - 2**31, kept[i], kept[end - 1] - kept[i] + 1))
+        held -= sizes[i]
     return len(cuts), out
 
 
