@@ -18,7 +18,7 @@ def connection(folder: str) -> duckdb.DuckDBPyConnection:
 def _text(x) -> str:
     if isinstance(x, list | np.ndarray):
         return "[" + ",".join(map(_text, x)) + "]"
-    if x is None or x is pd.NaT or isinstance(x, float | np.floating) and np.isnan(x):
+    if x is None or x is pd.NaT or x is pd.NA or isinstance(x, float | np.floating) and np.isnan(x):
         return "~"
     if isinstance(x, bool | np.bool_):
         return str(bool(x))
