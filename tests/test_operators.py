@@ -233,3 +233,19 @@ def test_wilson_and_ranker(spark):
     rows = [{"query_id": q, "candidate": c, "label": int(c == w), "first_type": "Fund", "last_type": c, **dict.fromkeys(evaluate._NUMERIC, 0), "matched": int(c == w)} for q, w in ((1, "a"), (2, "b")) for c in "abc"]
     w = evaluate.train_pairwise(rows)
     assert w["matched"] > 0
+
+
+def test_read_only(spark):
+    from weftline.operators.guard import read_only_sql
+
+    assert read_only_sql(spark, "select 'drop table x' as a").first()["a"] == "drop table x"
+    for bad in ("drop table x", "create table t (a int)", "insert into t values (1)"):
+        with pytest.raises(PermissionError):
+            read_only_sql(spark, bad)
+
+
+def test_second_try(spark):
+    q = spark.createDataFrame([(1, "good"), (2, "poor"), (3, "hopeless")], "query_id int, question string")
+    score = F.when(F.col("question").startswith("good"), 0.9).when(F.col("question").contains("poor Focus"), 0.5).otherwise(0.1)
+    got = {r["query_id"]: r["outcome"] for r in retrieval.with_second_try(q, lambda df: df.select("query_id", F.col("question").alias("answer"), score.alias("quality"))).collect()}
+    assert got == {1: "answered", 2: "retried", 3: "clarify"}

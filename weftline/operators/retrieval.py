@@ -146,3 +146,35 @@ def answer(contexts: DataFrame) -> DataFrame:
             F.concat(F.lit("Offline demo excerpt: "), F.substring(first, 1, 240), F.lit(". [Source: retrieved context]"))
         ).alias("answer"),
     )
+
+
+def two_branch(contexts: DataFrame) -> DataFrame:
+    """Fusion of vector and graph contexts only, deduplicated by text; other kinds take no part."""
+    rows = contexts.where(F.col("kind").isin("vector", "graph")).withColumn("key", T.text_key(F.col("content"))).withColumn("branch_ord", F.when(F.col("kind") == "vector", 0).otherwise(1))
+    return fuse(rows.select("query_id", "branch_ord", "pos", "key", "score"))
+
+
+def with_second_try(questions: DataFrame, run, least: float = 0.25, suffix: str = " Focus on evidence.") -> DataFrame:
+    """(query_id, answer, quality, outcome): questions of low quality are asked once more, then clarified.
+
+    ``run(questions)`` gives (query_id, answer, quality); only the low ones run again.
+    """
+    first = run(questions)
+    low = questions.join(first.where(F.col("quality") < least).select("query_id"), "query_id", "left_semi")
+    second = run(low.withColumn("question", F.concat("question", F.lit(suffix))))
+    clear = F.lit("Please give more detail: the documents hold too little evidence for this question.")
+    good = F.col("quality") >= least
+    again = second.select("query_id", F.when(good, F.col("answer")).otherwise(clear).alias("answer"), "quality", F.when(good, "retried").otherwise("clarify").alias("outcome"))
+    return first.where(good).select("query_id", "answer", "quality", F.lit("answered").alias("outcome")).unionByName(again)
+
+
+def name_matches(mentions: DataFrame, names: DataFrame, least: float = 0.8, k: int = 3, dims: int = 768) -> DataFrame:
+    """(mention, name, score, rank): hash-embedding neighbours of each mention.
+
+    The dot product is a join on the places where both vectors are not zero, so no
+    mention meets a name that it shares nothing with.
+    """
+    m = S.hash_embedding(mentions.select("mention").distinct(), "mention", F.col("mention"), dims)
+    n = S.hash_embedding(names.select("name").distinct(), "name", F.col("name"), dims).withColumnRenamed("value", "v")
+    scores = m.join(n, "index").groupBy("mention", "name").agg(F.sum(F.col("value") * F.col("v")).alias("score")).where(F.col("score") >= least)
+    return top_k(scores, ["mention"], [F.desc("score"), F.asc("name")], k)

@@ -239,3 +239,19 @@ def entity_merge(spark, d):
 @Q.add("SELECT DISTINCT user_id AS head, event_type AS relation FROM events")
 def relation_upsert(spark, d):
     return table(spark, d, "events").select(F.col("user_id").alias("head"), F.col("event_type").alias("relation")).dropDuplicates(["head", "relation"])
+
+
+@Q.add(f"""SELECT metapath, start, count(*) AS instances, count(DISTINCT "end") AS ends, CAST(floor(ln(1 + count(*)) * 100000 + 0.25) AS BIGINT) AS log5 FROM ({" UNION ALL ".join(f"SELECT '{m.name}' AS metapath, start, \"end\" FROM ({_walk_sql(m)})" for m in vocab.METAPATHS.values())}) GROUP BY ALL""")
+def path_features(spark, d):
+    out = None
+    for m in vocab.METAPATHS.values():
+        w = _walks(spark, d, m).select(F.lit(m.name).alias("metapath"), "start", "end")
+        out = w if out is None else out.unionByName(w)
+    n = F.count(F.lit(1))
+    return out.groupBy("metapath", "start").agg(n.alias("instances"), F.count_distinct("end").alias("ends"), F.floor(F.log1p(n) * 100000 + 0.25).cast("long").alias("log5"))
+
+
+@Q.add(f"""WITH ids AS (SELECT name, row_number() OVER (ORDER BY name) - 1 AS id FROM ({ENTITIES_SQL})) SELECT query_id, start, id AS start_id, expected FROM ({QUESTIONS_SQL}) LEFT JOIN ids ON name = start""")
+def query_labels(spark, d):
+    ids = entity_ids(spark, d).select(F.col("name").alias("start"), F.col("id").alias("start_id"))
+    return questions(spark).join(ids, "start", "left").select("query_id", "start", "start_id", "expected")

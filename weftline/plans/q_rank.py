@@ -258,3 +258,23 @@ def retrieval_hits(spark, d):
     have = table(spark, d, "documents").select("doc_id", F.explode(F.array_distinct(T.ascii_tokens(F.col("text")))).alias("token"))
     met = have.join(want, "token").groupBy("item_id", "doc_id", "need").count().where("count = need").groupBy("item_id").agg(F.count(F.lit(1)).alias("docs"))
     return terms.select("item_id").join(met, "item_id", "left").withColumn("docs", F.coalesce("docs", F.lit(0)))
+
+
+@Q.add()
+def name_ratio(spark, d):
+    n = table(spark, d, "nation").select(F.col("n_name").alias("a"))
+    return n.join(F.broadcast(n.select(F.col("a").alias("b"))), F.lit(True)).select("a", "b", S.name_ratio(F.col("a"), F.col("b")).alias("ratio"))  # 25 nations
+
+
+@Q.add("SELECT p_type AS mention, p_type AS name FROM part GROUP BY p_type")
+def name_matches(spark, d):
+    names = table(spark, d, "part").select(F.col("p_type").alias("name"))
+    return R.name_matches(names.select(F.col("name").alias("mention")), names, least=0.999).select("mention", "name")
+
+
+@Q.add(f"""WITH {_CTX}, c AS (SELECT query_id, pos, score, md5(lower(event_type || ' ' || (event_id % 9))) AS key, CASE WHEN {_KIND} = 'vector' THEN 0 ELSE 1 END AS branch_ord FROM ctx WHERE {_KIND} <> 'multimodal'),
+    f AS (SELECT *, row_number() OVER (PARTITION BY query_id, key ORDER BY branch_ord, pos) AS rn FROM c), r AS (SELECT *, row_number() OVER (PARTITION BY query_id, branch_ord ORDER BY score DESC, pos) AS rank FROM f WHERE rn = 1)
+    SELECT query_id, key, branch_ord, rank FROM r""")
+def two_branch(spark, d):
+    c = _kinds(spark, d).withColumn("content", F.concat("event_type", F.lit("  "), (F.col("pos") % 9).cast("string")))
+    return R.two_branch(c).select("query_id", "key", "branch_ord", "rank")
