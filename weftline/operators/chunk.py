@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -24,7 +25,7 @@ class Span:
     end: int
     text: str
 
-    @property
+    @cached_property
     def tokens(self) -> int:
         return len(_TOKEN.findall(self.text))
 
