@@ -56,7 +56,7 @@ def runs(text: str, span: int, min_words: int) -> tuple[int, list[tuple[int, int
     cuts = sentences(text)
     words = [text[a:b].split() for a, b in cuts]
     kept = [i for i, w in enumerate(words) if w]  # blank pieces join no run
-    sizes = [len(words[j]) for j in kept]
+    sizes, plain = [len(words[j]) for j in kept], [" ".join(words[j]).encode("utf-8", "surrogatepass") for j in kept]
     n, end, held = len(kept), 0, 0  # held: words of the sentences from i to end
     out = []
     for i in range(n):
@@ -64,8 +64,7 @@ def runs(text: str, span: int, min_words: int) -> tuple[int, list[tuple[int, int
             held += sizes[end]
             end += 1
         if held >= min_words and (end - i >= span or i == 0):
-            w = " ".join(x for j in kept[i:end] for x in words[j])
-            d = xxhash.xxh3_128_intdigest(w.encode("utf-8", "surrogatepass"))
+            d = xxhash.xxh3_128_intdigest(b" ".join(plain[i:end]))
             out.append(((d & (2**64 - 1)) - 2**63, (d >> 64 & (2**32 - 1)) - 2**31, kept[i], kept[end - 1] - kept[i] + 1))
         held -= sizes[i]
     return len(cuts), out
