@@ -340,6 +340,35 @@ def test_urls(spark):
     assert {x["verdict"] for x in url_filter.filter_urls(pages.where("page_id < 2")).collect()} == {"allow"}
 
 
+def test_url_ratios_against_exact_counts(spark):
+    r = random.Random(6)
+    chars = [chr(c) for c in range(33, 127)] + list("éßñ中")
+    urls = [f"https://{'www.example.com/en' if i % 2 else 'b.net/es'}/{''.join(r.choice(chars) for _ in range(250))}" for i in range(1200)]
+    urls += ["http://free.org/" + "".join(r.choice(chars) for _ in range(40)) for _ in range(30)] + [None, "", urls[0]]
+    data = [(u or "").encode() for u in urls]
+    counts = {}  # by class, order, context and, for the second kind, the byte
+    for u, d in zip(urls, data, strict=True):
+        if u and "free.org" not in u and zlib.crc32(d) % 5:
+            y, padded = int("www.example.com" in u), bytes(4) + d + b"\0"
+            for at in range(4, len(padded)):
+                for k in range(5):
+                    for key in ((y, padded[at - k : at], None), (y, padded[at - k : at], padded[at])):
+                        counts[key] = counts.get(key, 0) + 1
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    got = {x["page_id"]: x["ratio"] for x in url_filter.filter_urls(pages).collect()}
+    assert len(got) == len(urls)
+    for i in range(1150, len(urls)):
+        padded, total = bytes(4) + data[i] + b"\0", 0.0
+        for at in range(4, len(padded)):
+            p = [1 / 256, 1 / 256]
+            for k in range(5):
+                for y in (0, 1):
+                    c, b = (counts.get((y, padded[at - k : at], x), 0) for x in (None, padded[at]))
+                    p[y] = (b + 4 * p[y]) / (c + 4)
+            total += np.log(p[1] / p[0])
+        assert abs(got[i] - total / (len(padded) - 4)) < 1e-6, urls[i]
+
+
 # ---------------------------------------------------------------- secrets
 
 
