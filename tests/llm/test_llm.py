@@ -168,6 +168,24 @@ def test_spans_against_brute_force(spark):
     assert sentence_spans.dedup_spans(docs(spark, [])).count() == 0
 
 
+def test_passages_of_fifty_words_wherever_they_are_pasted(spark):
+    r = random.Random(12)
+    passages = []
+    for k in range(60):
+        words = [r.choice(WORDS) + r.choice(WORDS) + r.choice(WORDS) for _ in range(r.choice((50, 50, 55, 80)))]
+        for i in range(len(words) - 1):
+            if k % 3 and r.random() < (0, 0.03, 0.15)[k % 3]:
+                words[i] += r.choice(".,;!")
+        passages.append(words)
+    glue = lambda: [f"{r.choice(WORDS)}{r.randrange(10**9)}" for _ in range(r.randint(0, 30))]
+    rows = [(100 * copy + k, " ".join([*glue(), *words, *glue()])) for copy in (1, 2) for k, words in enumerate(passages)]
+    got = {x["doc_id"]: x["text"] for x in sentence_spans.dedup_spans(docs(spark, rows)).collect()}
+    text = dict(rows)
+    for k, words in enumerate(passages):
+        gone = len(text[200 + k].split()) - len(got[200 + k].split())
+        assert got[100 + k] == text[100 + k] and len(words) - 24 <= gone <= len(words), (k, " ".join(words))
+
+
 # ---------------------------------------------------------------- WARC
 
 
