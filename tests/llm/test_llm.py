@@ -402,6 +402,17 @@ def test_secrets(spark):
     assert secret_scan.scan_secrets(docs(spark, [])).count() == 0
 
 
+def test_every_secret_of_a_word(spark):
+    keys = ["AKIA" + hashlib.sha256(b"a").hexdigest()[:30], hashlib.sha1(b"b").hexdigest()]
+    rows = [(1, '{"path":"/app/v1/config.yml","key":"%s","secret":"%s"}' % tuple(keys)), (2, "then password: hunter2x and pwd=correcthorse now"), (3, "the secret garden, a password prompt and tokens are here")]
+    got = secret_scan.scan_secrets(docs(spark, rows)).collect()
+    sha = lambda x: hashlib.sha256(x.encode()).hexdigest()
+    assert sorted(r["secret_sha256"] for r in got if r["doc_id"] == 1) == sorted(map(sha, ["/app/v1/config.yml", *keys]))
+    assert sha(keys[1]) in {r["secret_sha256"] for r in got if r["is_secret"]}
+    assert {(r["word_index"], r["secret_sha256"]) for r in got if r["doc_id"] == 2} == {(2, sha("hunter2x")), (4, sha("correcthorse"))}
+    assert not [r for r in got if r["doc_id"] == 3]
+
+
 # ---------------------------------------------------------------- the pipeline
 
 

@@ -1,7 +1,8 @@
 """Secret scanning with a random forest that removes false positives. Native: SQL and JVM ML only.
 
-Candidates are words that hold a run of ``least`` or more key characters with a digit or
-mixed case. Features of a finding: length, shares of character classes, transitions
+Candidates are all runs of ``least`` or more key characters in a word, with a digit or mixed
+case, and all values of ``SHORT`` or more characters that a credential word is assigned to,
+in the word or in the words before. Features of a finding: length, shares of character classes, transitions
 between classes, distinct characters, coverage by dictionary pieces, the path it was
 found under and the words before it. The forest is trained on labelled findings; by
 default on a generated set of bounded size (``labelled_findings``) whose rows are made by
@@ -26,10 +27,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 LEAST = 16
+SHORT = 6
 TRAIN_ROWS = 6000
 KEY = r"[A-Za-z0-9_+/=.-]"
 # Words that announce a credential, words that announce something harmless, and common word pieces.
 CREDENTIAL = r"(?i)(token|secret|passw|pwd|api_?key|apikey|auth|bearer|credential|private|access_?key)"
+NAME = r"(?i:token|secret|passw(?:or)?d|passphrase|pwd|api_?key|auth|bearer|credentials?|private_?key|access_?key)"
+QUOTE, VALUE = "[\"'`]", "[^\\s\"'`,;&<>(){}\\[\\]\u0001]"
 HARMLESS = r"(?i)(sha|md5|commit|hash|checksum|digest|uuid|guid|example|sample|version|build|id|ref|license|see|path|file|url)"
 PIECES = "tion|ing|the|and|ment|ent|ion|est|ess|able|ble|ous|ful|com|con|pre|pro|sch|ung|keit|lich|eau|oux|elle|cion|dad|http|www|user|name|data|file|test|example|xxxx|0000|1234"
 FEATURES = [
@@ -50,7 +54,7 @@ def feature_columns(s: Column, before: Column, word: Column, path: Column) -> di
         "distinct": F.size(F.array_distinct(F.split(s, ""))) / n, "vowels": _share(s, "[aeiouAEIOU]"),
         "dictionary": 1 - F.length(F.regexp_replace(F.lower(s), PIECES, "")) / n,
         "longest_letters": F.array_max(F.transform(F.regexp_extract_all(F.concat(s, F.lit("a")), F.lit("([A-Za-z]+)"), F.lit(1)), F.length)) / n,
-        "credential_before": F.concat_ws(" ", before, F.regexp_extract(word, rf"^(.*?){KEY}{{{LEAST},}}", 1)).rlike(CREDENTIAL).cast("double"),
+        "credential_before": F.concat_ws(" ", before, F.call_function("substring_index", word, s, F.lit(1)), F.regexp_extract(s, "^([A-Za-z_.-]*)=", 1)).rlike(CREDENTIAL).cast("double"),
         "harmless_before": before.rlike(HARMLESS).cast("double"), "assigned": F.concat_ws(" ", before, word).rlike(r"[=:]>?\s*[\"']?" + KEY + r"*[\"']?\S*$").cast("double"),
         "quoted": word.rlike("[\"'`]").cast("double"), "path_test": F.coalesce(path, F.lit("")).rlike("(?i)test|example|doc|mock|fixture").cast("double"),
         "path_config": F.coalesce(path, F.lit("")).rlike(r"(?i)\.env|config|settings|\.ya?ml|secret|\.pem").cast("double"),
@@ -61,16 +65,31 @@ def candidates(docs: DataFrame, path_col: str | None = "source", least: int = LE
     """doc_id, word_index, candidate, before, word, path: one row per candidate."""
     path = F.col(path_col) if path_col and path_col in docs.columns else F.lit(None).cast("string")
     key = rf"(?=[^\s]*[0-9]|{KEY}*[A-Z]{KEY}*[a-z]{KEY}*[A-Z]){KEY}{{{least},}}"
-    d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), path.cast("string").alias("path"), F.col("text")).where(F.col("text").rlike(key))
+    value = f"{VALUE}{{{SHORT},}}"
+    inner = f"(?<={NAME}{QUOTE}?[=:]{{1,2}}>?{QUOTE}?){value}"
+    d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), path.cast("string").alias("path"), F.col("text"))
+    d = d.where(F.col("text").rlike(key) | F.col("text").rlike(rf"{NAME}{QUOTE}?\s*(?:[=:]|(?:is|was)\s)"))
+    # the word before ends in an assigned credential word, or is the sign of assignment after one
+    after = lambda ws, i: F.coalesce(
+        F.get(ws, i - 1).rlike(f"{NAME}{QUOTE}?[=:]+>?$") | F.get(ws, i - 1).rlike("^(?:[=:]+>?|is|was)$") & F.get(ws, i - 2).rlike(f"{NAME}{QUOTE}?$"), F.lit(False)
+    )
     # only the places of candidate words are expanded, with the three words before each;
     # the words are bound once, as an expression named inside a lambda is computed at each of its steps
-    at = lambda ws: F.filter(F.sequence(F.lit(0), F.size(ws) - 1), lambda i: F.get(ws, i).rlike(key))
+    at = lambda ws: F.filter(F.sequence(F.lit(0), F.size(ws) - 1), lambda i: F.get(ws, i).rlike(f"{key}|{inner}") | (after(ws, i) & F.get(ws, i).rlike(f"^{QUOTE}{{0,2}}{value}")))
     hit = lambda ws: F.transform(at(ws), lambda i: F.struct(
-        i.cast("long").alias("i"), F.get(ws, i).alias("word"), F.array_join(F.slice(ws, F.greatest(i - 2, F.lit(1)), F.least(i, F.lit(3))), " ").alias("before"),
+        i.cast("long").alias("i"), F.get(ws, i).alias("word"), F.array_join(F.slice(ws, F.greatest(i - 2, F.lit(1)), F.least(i, F.lit(3))), " ").alias("before"), after(ws, i).alias("after"),
     ))
     found = F.get(F.transform(F.array(F.split("text", r"\s+")), hit), F.lit(0))
-    out = d.select("doc_id", "path", F.explode(found).alias("c")).select("doc_id", "path", F.col("c.i").alias("word_index"), "c.word", "c.before")
-    return out.withColumn("candidate", F.regexp_extract("word", f"({key})", 1)).where(F.length("candidate") >= least)
+    out = d.select("doc_id", "path", F.explode(found).alias("c")).select("doc_id", "path", F.col("c.i").alias("word_index"), "c.word", "c.before", "c.after")
+    # every match with the text since the match before; a mark stands for the assignment in the words before
+    marked = F.when(F.col("after"), F.concat(F.lit("\u0001"), "word")).otherwise(F.col("word"))
+    every = F.lit(f"(.*?)({key}|{inner}|(?<=^\u0001{QUOTE}{{0,2}}){value})")
+    found = F.arrays_zip(F.regexp_extract_all(marked, every, F.lit(1)).alias("lead"), F.regexp_extract_all(marked, every, F.lit(2)).alias("candidate"))
+    out = out.withColumn("found", found).select("*", F.posexplode("found").alias("nth", "m")).withColumn("lead", F.translate("m.lead", "\u0001", ""))
+    return out.select(
+        "doc_id", "path", "word_index", F.when(F.size("found") > 1, F.concat("lead", "m.candidate")).otherwise(F.col("word")).alias("word"),
+        F.when(F.col("nth") == 0, F.col("before")).otherwise(F.col("lead")).alias("before"), F.col("m.candidate").alias("candidate"),
+    )
 
 
 def labelled_findings(spark: SparkSession, rows: int = TRAIN_ROWS) -> DataFrame:
@@ -81,15 +100,19 @@ def labelled_findings(spark: SparkSession, rows: int = TRAIN_ROWS) -> DataFrame:
     n = lambda salt, lo, hi: (F.pmod(F.xxhash64(F.lit(salt), "id"), F.lit(hi - lo + 1)) + lo).cast("int")
     parts = ["tion", "ing", "erre", "the", "ment", "schen", "ung", "eau", "able", "ndre", "ostra", "lich", "ria", "con", "hat", "ent"]
     word = F.array_join(F.transform(F.sequence(F.lit(1), n(1, 5, 9)), lambda i: F.element_at(F.array(*map(F.lit, parts)), (F.pmod(F.xxhash64(i, "id"), F.lit(len(parts))) + 1).cast("int"))), "")
-    kind = F.pmod(F.xxhash64(F.lit(3), "id"), F.lit(10))
+    kind = F.pmod(F.xxhash64(F.lit(3), "id"), F.lit(12))
     secret = F.when(kind == 0, F.substr(hexes, F.lit(1), n(4, 32, 64))).when(kind == 1, F.upper(F.substr(hexes, F.lit(1), F.lit(40)))).when(kind == 2, F.substr(hexes, F.lit(1), F.lit(40)))
     secret = secret.when(kind == 3, F.substr(b64, F.lit(1), n(5, 24, 60))).when(kind == 4, F.concat(pick(6, ["AKIA", "ghp_", "sk-", "xoxb-"]), F.substr(b64, F.lit(1), n(7, 20, 40))))
-    junk = F.when(kind == 5, F.concat(word, n(8, 0, 99).cast("string"))).when(kind == 6, hexes).when(kind == 7, F.concat(F.lit("example-"), F.translate(F.substr(hexes, F.lit(1), F.lit(12)), "0123456789", "xxxxxxxxxx"), F.lit("-0000")))
+    short = F.when(F.pmod(F.xxhash64(F.lit(21), "id"), F.lit(2)) == 0, F.substr(b64, F.lit(1), n(22, SHORT, LEAST - 1))).otherwise(F.substr(word, F.lit(1), n(22, SHORT, LEAST - 1)))
+    secret = secret.when(kind == 10, short)
+    junk = F.when(kind == 11, F.substr(word, F.lit(1), n(22, SHORT, LEAST - 1))).when(kind == 5, F.concat(word, n(8, 0, 99).cast("string"))).when(kind == 6, hexes).when(kind == 7, F.concat(F.lit("example-"), F.translate(F.substr(hexes, F.lit(1), F.lit(12)), "0123456789", "xxxxxxxxxx"), F.lit("-0000")))
     junk = junk.when(kind == 8, F.concat_ws("-", F.substr(hexes, F.lit(1), F.lit(8)), F.substr(hexes, F.lit(9), F.lit(4)), F.substr(hexes, F.lit(13), F.lit(4)), F.substr(hexes, F.lit(17), F.lit(12))))
     junk = junk.otherwise(F.concat_ws(".", n(9, 10**6, 10**8).cast("string"), n(10, 10**6, 10**8).cast("string"), n(11, 10, 99).cast("string")))
     c = F.coalesce(secret, junk)
-    harm = kind >= 5
-    before = F.when(~harm, F.concat_ws(" ", pick(12, ["erti", "config", "set", "the", "export"]), pick(13, ["token", "secret", "api_key", "password", "TOKEN", "auth"]), pick(14, ["=", ":", "is", "="])))
+    harm = (kind >= 5) & (kind != 10)
+    before = F.when(kind == 11, F.concat_ws(" ", F.lit("the"), pick(13, ["token", "secret", "password", "auth"]), pick(14, ["is", "was"])))
+    before = before.when(kind == 10, F.concat_ws(" ", pick(12, ["erti", "config", "set"]), pick(13, ["token", "secret", "password", "pwd"]), pick(14, ["=", ":"])))
+    before = before.when(~harm, F.concat_ws(" ", pick(12, ["erti", "config", "set", "the", "export"]), pick(13, ["token", "secret", "api_key", "password", "TOKEN", "auth"]), pick(14, ["=", ":", "is", "="])))
     before = before.otherwise(F.concat_ws(" ", pick(15, ["the", "from", "see", "in"]), pick(16, ["commit", "id", "file", "of", "sha256", "version", "ref"]), pick(17, ["and", "is", ":", "was", "="])))
     w = F.when(F.pmod(F.xxhash64(F.lit(18), "id"), F.lit(2)) == 0, F.concat(F.lit('"'), c, F.lit('"'))).otherwise(c)
     path = F.when(harm, pick(19, ["docs/a.md", "test/x.py", "src1", "src2", "notes.txt"])).otherwise(pick(20, ["app/config.yml", ".env", "src1", "src2", "notes.txt"]))
