@@ -71,6 +71,17 @@ def test_shortest_path(spark):
     assert got == {("a", "c"): (2, ["a", "b", "c"]), ("b", "d"): (2, ["b", "a", "d"])}
 
 
+def test_components_of_a_long_path(spark):
+    import random
+
+    names = [f"n{i:04}" for i in range(400)]
+    random.Random(3).shuffle(names)
+    edges = spark.createDataFrame([(a, "r", b) for a, b in zip(names, names[1:], strict=False)], "head string, relation string, tail string")
+    nodes = spark.createDataFrame([(n,) for n in [*names, "alone"]], "name string")
+    got = {r["name"]: r["component"] for r in G.connected_components(nodes, edges).collect()}
+    assert got == dict.fromkeys(names, "n0000") | {"alone": "alone"}
+
+
 def test_components_and_communities(spark):
     rels = spark.createDataFrame([("fund", "related_to", "duration risk"), ("x", "owns", "y"), ("y", "owns", "z")], "head string, relation string, tail string")
     nodes = spark.createDataFrame([(n,) for n in ("fund", "duration risk", "x", "y", "z", "alone")], "name string")

@@ -158,24 +158,37 @@ def shortest_paths(edges: DataFrame, pairs: DataFrame, most: int = 5) -> DataFra
 # ---------------------------------------------------------------- components and communities
 
 
-def connected_components(nodes: DataFrame, edges: DataFrame, max_rounds: int = 50) -> DataFrame:
+def _stars(links: DataFrame, large: bool) -> DataFrame:
+    """One half step of large and small stars. Every link (u, v) has u > v on entry and on return."""
+    both = links if not large else links.select("u", "v").unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
+    low = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
+    met = both.join(low, "u")
+    if large:
+        out = met.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    else:
+        out = met.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v")))
+    return out.where("u > v").distinct()
+
+
+def connected_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(name, component): the smallest name that each node reaches.
 
-    Labels spread to neighbours and then jump along their own label, so the rounds grow
-    with the logarithm of the diameter.
+    Large and small stars alternate until a round changes no link; the number of rounds is
+    logarithmic in practice and not limited.
     """
-    und = durable(undirected(edges).where("source <> target").select("source", "target").distinct())
-    labels = durable(nodes.select("name", F.col("name").alias("component")).distinct())
-    for _ in range(max_rounds):
-        near = und.join(labels, und["target"] == labels["name"]).groupBy("source").agg(F.min("component").alias("near"))
-        nxt = labels.join(near, labels["name"] == near["source"], "left").select("name", F.least("component", F.coalesce("near", "component")).alias("component"))
-        up = nxt.select(F.col("name").alias("component"), F.col("component").alias("up"))
-        nxt = durable(nxt.join(up, "component", "left").select("name", F.least("component", F.coalesce("up", "component")).alias("component")))
-        changed = nxt.join(labels, ["name", "component"], "left_anti").limit(1).count()
-        labels = nxt
-        if not changed:
+    names = nodes.select("name").distinct()
+    und = undirected(edges).where("source <> target").select(F.greatest("source", "target").alias("u"), F.least("source", "target").alias("v")).distinct()
+    links = durable(und.join(names.select(F.col("name").alias("u")), "u", "left_semi").join(names.select(F.col("name").alias("v")), "v", "left_semi").select("u", "v"))
+    n = links.count()
+    while n:
+        nxt = durable(_stars(_stars(links, True), False))
+        m = nxt.count()
+        same = m == n and not nxt.join(links, ["u", "v"], "left_anti").limit(1).count()
+        links, n = nxt, m
+        if same:
             break
-    return labels
+    out = names.join(links, names["name"] == links["u"], "left")
+    return out.select("name", F.coalesce("v", "name").alias("component"))
 
 
 def communities(labels: DataFrame, edges: DataFrame) -> DataFrame:

@@ -126,6 +126,13 @@ def connected_components(spark, d):
     return G.connected_components(*_groups(spark, d))
 
 
+@Q.add()
+def corporate_components(spark, d):
+    edges = relations(spark, d, *CORPORATE)
+    nodes = edges.select(F.col("head").alias("name")).unionByName(edges.select(F.col("tail").alias("name"))).distinct()
+    return G.connected_components(nodes, edges)
+
+
 _MEMBERS = f"""WITH e AS ({SQL['works_at']}), m AS (SELECT head AS c, list_sort(list_distinct(list_concat(list(DISTINCT head), list(tail)))) AS members, list_sort(list(head || ' -[WORKS_AT]-> ' || tail)) AS rels FROM e GROUP BY head)"""
 
 
