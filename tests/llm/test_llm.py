@@ -276,6 +276,16 @@ def test_slots_must_agree(spark):
     assert got == {1: True, 2: False}
 
 
+def test_quotations_that_go_on_or_shout(spark):
+    quote = "A train leaves the old station and travels far into the hills before Anna counts the remaining empty seats near the door"
+    item = quote + " while everybody there waits quietly for news about Boris and then goes home after a very long day together with Clara in the rain of the evening"
+    bench = spark.createDataFrame([(1, item), (2, ITEM)], "item_id long, text string")
+    own = " whereas nobody here talks loudly of facts about Anna or even runs off before this rather short night alone"
+    rows = [(1, quote + own), (2, ITEM.upper()), (3, ("well, " + quote.upper()).replace("HILLS BEFORE", "HILLS, BEFORE").replace("STATION AND", "STATION, AND"))]
+    got = {r["doc_id"]: r for r in template_decontam.decontaminate(docs(spark, rows), bench).collect()}
+    assert {i: r["item_ids"] for i, r in got.items()} == {1: [1], 2: [2], 3: [1]}
+
+
 # ---------------------------------------------------------------- trained scorers
 
 

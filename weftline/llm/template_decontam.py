@@ -7,7 +7,9 @@ hashed and joined to those of the documents. Windows that match at one offset ar
 alignment; it counts if it covers ``coverage`` of the item's windows or ``enough`` of
 them, and if the slots agree: equal values of the item meet equal values of the document
 and different ones different ones, so a re-parameterised question is caught and a chance
-meeting of placeholders is not. A window needs ``literals`` words that are no placeholders.
+meeting of placeholders is not; slots are compared where windows matched. Windows of the
+case-folded words match too, placeholders or not, and an alignment with enough of those is
+a verbatim quotation whose slots need no agreement. A window needs ``literals`` words that are no placeholders.
 
 Scale: the windows of the benchmark are broadcast while they are at most ``SMALL_SIDE``
 rows (32 MB); a larger benchmark is joined by a shuffle of only those document windows
@@ -54,6 +56,14 @@ def canonical(raw: Column) -> Column:
     return t
 
 
+def folded(raw: Column) -> Column:
+    """The words without case and punctuation, in the places of the canonical ones."""
+    t = F.lower(raw)
+    for x in _STRIPPED:
+        t = F.replace(t, F.lit(x), F.lit(""))
+    return t
+
+
 def _measures(t: Column) -> Column:
     """Numbers and the units after them as placeholders."""
     number = F.regexp_replace(t, r"[+-]?[0-9][0-9.,:/]*(?:[a-zA-Z%°€$£]{1,3}(?= |$))?", "\u0002")
@@ -70,8 +80,8 @@ def words_of(text: Column) -> Column:
     return F.filter(F.split(text, " "), lambda w: w != "")
 
 
-def _windows(raw: Column, width: int) -> Column:
-    """The hashes of all windows of canonical words, by position.
+def _windows(text: Column, width: int) -> Column:
+    """The hashes of all windows of the words, by position.
 
     Hashes of 1, 2, 4, ... words are joined in pairs, so a window costs a few steps
     whatever its width; a width that is no power of two joins two that overlap.
@@ -83,7 +93,7 @@ def _windows(raw: Column, width: int) -> Column:
         shift = min(have, width - have)
         return bind(F.zip_with(hs, F.slice(hs, F.lit(1 + shift), F.greatest(F.lit(0), F.size(hs) - shift)), lambda x, y: F.xxhash64(x, y)), lambda h: join(h, have + shift))
 
-    return bind(words_of(canonical(raw)), lambda ws: bind(F.transform(ws, lambda w: F.xxhash64(w)), lambda hs: join(hs, 1)))
+    return bind(words_of(text), lambda ws: bind(F.transform(ws, lambda w: F.xxhash64(w)), lambda hs: join(hs, 1)))
 
 
 def _literal_counts(canon: Column, width: int) -> Column:
@@ -107,11 +117,13 @@ def decontaminate(
     hits = None
     for w in [width, *short]:
         part = b.where(F.col("words") >= width if w == width else F.col("words") == w)
-        cells = F.arrays_zip(_windows(F.col("raw"), w).alias("h"), _literal_counts(F.col("canon"), w).alias("n"))
+        cells = F.arrays_zip(_windows(canonical(F.col("raw")), w).alias("h"), _windows(folded(F.col("raw")), w).alias("g"), _literal_counts(F.col("canon"), w).alias("n"))
         items = part.select("item", F.posexplode(cells).alias("item_pos", "c")).where(F.col("c.n") >= min(literals, w))
-        items = cut(items.select("item", "item_pos", "c.h"))
+        items = cut(items.select("item", "item_pos", F.explode(F.array_distinct(F.array("c.h", "c.g"))).alias("h")))
         n = items.count()
-        own = d.select("id", F.posexplode(_windows(F.col("raw"), w)).alias("pos", "h"))
+        own = d.select("id", _windows(canonical(F.col("raw")), w).alias("hs"), _windows(folded(F.col("raw")), w).alias("gs"))
+        own = own.select("id", F.size("hs").alias("m"), F.posexplode(F.concat("hs", "gs")).alias("at", "h"))
+        own = own.select("id", (F.col("at") % F.col("m")).alias("pos"), (F.col("at") >= F.col("m")).alias("exact"), "h")
         if n <= SMALL_SIDE:
             # the same window of many items is one key on the broadcast side
             met = own.join(F.broadcast(items.groupBy("h").agg(F.collect_list(F.struct("item", "item_pos")).alias("at"))), "h")
@@ -119,10 +131,12 @@ def decontaminate(
             bits = bloom.bits_for(n)
             passed = bloom.with_maybe(own, F.col("h"), bits, bloom.of_keys(items, F.col("h"), bits)).where("_maybe")
             met = passed.join(items.groupBy("h").agg(F.collect_list(F.struct("item", "item_pos")).alias("at")), "h")
-        met = met.select("id", "pos", F.explode("at").alias("at")).select("id", "at.item", (F.col("pos") - F.col("at.item_pos")).alias("shift"))
-        runs = met.groupBy("id", "item", "shift").agg(F.count(F.lit(1)).alias("n"))
-        sizes = items.groupBy("item").agg(F.count(F.lit(1)).alias("total"))
-        good = runs.join(sizes, "item").where((F.col("n") >= enough) | (F.col("n") >= F.ceil(F.col("total") * coverage)))
+        met = met.select("id", "pos", "exact", F.explode("at").alias("at")).select("id", "exact", "at.item", "at.item_pos", (F.col("pos") - F.col("at.item_pos")).alias("shift"))
+        runs = met.groupBy("id", "item", "shift").agg(F.collect_set("item_pos").alias("at"), F.size(F.collect_set(F.when(F.col("exact"), F.col("item_pos")))).alias("n_exact"))
+        sizes = items.groupBy("item").agg(F.count_distinct("item_pos").alias("total"))
+        need = F.least(F.lit(enough), F.ceil(F.col("total") * coverage))
+        good = runs.withColumn("n", F.size("at").cast("long")).join(sizes, "item").where(F.col("n") >= need)
+        good = good.select("id", "item", "shift", "n", "at", F.lit(w).alias("width"), (F.col("n_exact") >= need).alias("quoted"))
         hits = good if hits is None else hits.unionByName(good)
     hits = cut(hits)
     ids = hits.select("id").distinct()
@@ -145,13 +159,13 @@ def _slots(docs: DataFrame, bench: DataFrame, hits: DataFrame) -> DataFrame:
     item = item.select("item", F.col("both.w").alias("iw"), F.col("both.c").alias("ic"))
     met = hits.join(docs, "id").join(item, "item").dropDuplicates(["id", "item", "shift"])
     met = met.withColumn("both", F.filter(F.arrays_zip(F.split("raw", " ").alias("w"), F.split(canonical(F.col("raw")), " ").alias("c")), lambda x: x["c"] != ""))
-    met = met.select("id", "item", "shift", "n", "iw", "ic", F.col("both.w").alias("dw"), F.col("both.c").alias("dc"))
+    met = met.select("id", "item", "shift", "n", "at", "width", "quoted", "iw", "ic", F.col("both.w").alias("dw"), F.col("both.c").alias("dc"))
     bare = lambda w: F.regexp_replace(F.lower(w), r"^[^\p{L}0-9]+|[^\p{L}0-9%]+$", "")
-    places = bind(F.struct("iw", "ic", "dw", "dc", "shift"), lambda m: F.transform(
-        F.filter(F.sequence(F.lit(0), F.size(m["iw"]) - 1), lambda i: F.get(m["ic"], i).rlike("^[\u0001-\u0003]$") & F.get(m["dc"], (i + m["shift"]).cast("int")).eqNullSafe(F.get(m["ic"], i))),
+    places = bind(F.struct("iw", "ic", "dw", "dc", "shift", "at", "width"), lambda m: F.transform(
+        F.filter(F.sequence(F.lit(0), F.size(m["iw"]) - 1), lambda i: F.get(m["ic"], i).rlike("^[\u0001-\u0003]$") & F.get(m["dc"], (i + m["shift"]).cast("int")).eqNullSafe(F.get(m["ic"], i)) & F.exists(m["at"], lambda a: (a <= i) & (i < a + m["width"]))),
         lambda i: F.struct(F.get(m["iw"], i).alias("a"), F.get(m["dw"], (i + m["shift"]).cast("int")).alias("b")),
     ))
     met = met.withColumn("pairs", F.array_distinct(F.transform(places, lambda p: F.struct(bare(p["a"]).alias("a"), bare(p["b"]).alias("b")))))
     n = F.size("pairs")
     same = (F.size(F.array_distinct(F.transform("pairs", lambda p: p["a"]))) == n) & (F.size(F.array_distinct(F.transform("pairs", lambda p: p["b"]))) == n)
-    return met.where(same).select("id", "item", "n", F.forall("pairs", lambda p: p["a"] == p["b"]).alias("verbatim"))
+    return met.where(same | F.col("quoted")).select("id", "item", "n", F.forall("pairs", lambda p: p["a"] == p["b"]).alias("verbatim"))
