@@ -71,6 +71,29 @@ def test_shortest_path(spark):
     assert got == {("a", "c"): (2, ["a", "b", "c"]), ("b", "d"): (2, ["b", "a", "d"])}
 
 
+def test_resolve_meets_every_similar_name(spark):
+    import difflib
+    import random
+
+    from weftline.operators import routing
+
+    r = random.Random(8)
+    names = ["".join(r.choice("abcde") for _ in range(r.randint(2, 9))) for _ in range(60)] + ["microsoft", "north river timber mills trading company of the old eastern coast"]
+    names = list(dict.fromkeys(names))
+    typo = lambda n: "x" + n[1:] if r.random() < 0.5 else "y" + n
+    turned = "trading company of the old eastern coast north river timber mills"
+    mentions = sorted({typo(n) for n in names} | {"xicrosoft", turned})
+    ents = spark.createDataFrame([(n, i) for i, n in enumerate(names)], "name string, seq long")
+    got = {x["mention"]: x for x in routing.resolve(spark.createDataFrame([(m,) for m in mentions], "mention string"), ents).collect()}
+    ratio = lambda a, b: difflib.SequenceMatcher(None, a, b).ratio()
+    assert got["xicrosoft"]["name"] == "microsoft" and (got[turned]["name"], got[turned]["how"]) == (names[-1], "embedding")
+    for m in mentions:
+        best = max(ratio(m, n) for n in names)
+        if m not in got or got[m]["how"] in ("similar", "embedding"):
+            assert (m in got and got[m]["how"] == "similar") == (best >= 0.82), m
+            assert best < 0.82 or ratio(m, got[m]["name"]) == best, m
+
+
 def test_components_of_a_long_path(spark):
     import random
 

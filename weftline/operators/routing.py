@@ -81,11 +81,11 @@ def infer(selected: DataFrame, paths: DataFrame, per_query: int | None = 10) ->
     return out.select("query_id", "rule", "start", "end", "conclusion", "evidence", "confidence")
 
 
-def resolve(mentions: DataFrame, entities: DataFrame, alias_table: DataFrame | None = None, fuzzy: float = 0.82) -> DataFrame:
-    """(mention, name, how): given alias, exact, alias, normalised, contained, then similar name; first hit wins.
+def resolve(mentions: DataFrame, entities: DataFrame, alias_table: DataFrame | None = None, fuzzy: float = 0.82, least: float = 0.8) -> DataFrame:
+    """(mention, name, how): given alias, exact, alias, normalised, contained, similar name, then embedding; first hit wins.
 
-    ``entities`` has (name, seq). Each stage runs only on what the ones before left; the
-    similar-name stage meets only names that share a first letter and about the length.
+    ``entities`` has (name, seq). Each stage runs only on what the ones before left. The
+    similar-name stage meets every name that can reach ``fuzzy``, see ``_shared_keys``.
     """
     ents = entities.select("name", "seq").withColumn("_norm", T.normalize_name(F.col("name")))
     todo = mentions.select("mention").distinct().where(~F.lower("mention").isin(*vocab.ENTITY_STOPWORDS)).withColumn("norm", T.normalize_name(F.col("mention")))
@@ -105,7 +105,27 @@ def resolve(mentions: DataFrame, entities: DataFrame, alias_table: DataFrame | N
     rest = rest.join(contained, "mention", "left_anti")
     from weftline.functions.similarity import name_ratio
 
-    block = (F.substring("norm", 1, 1) == F.substring("_norm", 1, 1)) & (F.abs(F.length("norm") - F.length("_norm")) <= F.ceil(F.length("norm") * 0.44))
-    near = rest.join(ents, block).withColumn("r", name_ratio(F.col("norm"), F.col("_norm"))).where(F.col("r") >= fuzzy)
+    keyed = rest.select("mention", "norm", F.explode(_shared_keys(F.col("norm"), fuzzy)).alias("_key"))
+    named = ents.select("name", "seq", "_norm", F.explode(_shared_keys(F.col("_norm"), fuzzy)).alias("_key"))
+    # the ratio is at most 2 * the shorter length over both; a little slack for the rounding of that bound
+    lengths = 2 * F.least(F.length("norm"), F.length("_norm")) >= (F.length("norm") + F.length("_norm")) * (fuzzy - 1e-9)
+    near = keyed.join(named, "_key").where(lengths).select("mention", "norm", "name", "seq", "_norm").distinct().withColumn("r", name_ratio(F.col("norm"), F.col("_norm"))).where(F.col("r") >= fuzzy)
     similar = near.groupBy("mention").agg(F.max_by("name", F.struct("r", -F.col("seq"))).alias("name")).withColumn("how", F.lit("similar"))
-    return exact.unionByName(by_alias).unionByName(contained).unionByName(similar)
+    rest = rest.join(similar, "mention", "left_anti")
+    from weftline.operators.retrieval import name_matches
+
+    embedded = name_matches(rest.select("mention"), ents.select("name"), least=least, k=1).select("mention", "name", F.lit("embedding").alias("how"))
+    return exact.unionByName(by_alias).unionByName(contained).unionByName(similar).unionByName(embedded)
+
+
+def _shared_keys(name: Column, fuzzy: float) -> Column:
+    """Bigrams, for short names characters too: names with a ratio of ``fuzzy`` share one.
+
+    Of two names of s characters in all, fuzzy * s / 2 match; without a common bigram each
+    match is a block of its own, and at most (1 - fuzzy) * s characters lie between
+    blocks, so s <= 1 / (1.5 * fuzzy - 1).
+    """
+    short = F.length(name) <= int(1 / (1.5 * fuzzy - 1)) if 1.5 * fuzzy > 1 else F.lit(True)
+    at = lambda n: F.filter(F.transform(F.sequence(F.lit(1), F.greatest(F.length(name), F.lit(1))), lambda i: F.substr(name, i, F.lit(n))), lambda x: F.length(x) == n)
+    keys = F.when(short, F.concat(at(2), at(1))).otherwise(at(2))
+    return F.when(F.length(name) == 0, F.array(F.lit(""))).otherwise(F.array_distinct(keys))

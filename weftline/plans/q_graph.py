@@ -221,6 +221,15 @@ def entity_resolution(spark, d):
     return routing.resolve(mentions, s).select("name", "how")
 
 
+@Q.add()
+def entity_resolution_typos(spark, d):
+    from weftline.operators.ingest import number
+
+    types = table(spark, d, "part").select(F.col("p_type").alias("name")).distinct()
+    mentions = types.select(F.concat(F.lit("x"), F.substring("name", 2, 1000)).alias("mention"))
+    return routing.resolve(mentions, number(types, ["name"], "seq").select("name", "seq"))
+
+
 @Q.add(f"WITH gone AS (SELECT s_name FROM supplier WHERE s_nationkey = 3) SELECT head, relation, tail FROM ({_CORP}) WHERE head NOT IN (SELECT * FROM gone) AND tail NOT IN (SELECT * FROM gone)")
 def delete_by_source(spark, d):
     ent = table(spark, d, "supplier").select(F.col("s_name").alias("name"), F.concat(F.lit("nation"), F.col("s_nationkey").cast("string"), F.lit("#chunk-0")).alias("source"))

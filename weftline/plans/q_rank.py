@@ -272,6 +272,12 @@ def name_matches(spark, d):
     return R.name_matches(names.select(F.col("name").alias("mention")), names, least=0.999).select("mention", "name")
 
 
+@Q.add()
+def name_matches_near(spark, d):
+    names = table(spark, d, "part").select(F.col("p_type").alias("name"))
+    return R.name_matches(names.select(F.col("name").alias("mention")), names)
+
+
 @Q.add(f"""WITH {_CTX}, c AS (SELECT query_id, pos, score, md5(lower(event_type || ' ' || (event_id % 9))) AS key, CASE WHEN {_KIND} = 'vector' THEN 0 ELSE 1 END AS branch_ord FROM ctx WHERE {_KIND} <> 'multimodal'),
     f AS (SELECT *, row_number() OVER (PARTITION BY query_id, key ORDER BY branch_ord, pos) AS rn FROM c), r AS (SELECT *, row_number() OVER (PARTITION BY query_id, branch_ord ORDER BY score DESC, pos) AS rank FROM f WHERE rn = 1)
     SELECT query_id, key, branch_ord, rank FROM r""")
