@@ -202,6 +202,31 @@ def test_warc_round_trip(spark):
     assert warc.archive_round_trip(pages.limit(0)).count() == 0
 
 
+def test_warc_ids_that_repeat(spark):
+    a, b, c = ("<p>" + x * 200 for x in "abc")
+    rows = [(1, a), (2, a), (2, b), (2, c), (0, c), (None, c), (7, b), (7, b), (9, "s"), (9, "s"), (None, None)]
+    pages = spark.createDataFrame([(i, f"http://h/{i}", h, "x") for i, h in rows], "page_id long, url string, html string, payload_digest string")
+    got = warc.archive_round_trip(pages).collect()
+    sha = lambda x: hashlib.sha256((x or "").encode()).hexdigest()
+    assert all(r["ok"] for r in got)
+    key = lambda r: tuple(-1 if x is None else x for x in r)
+    first = {a: 1, b: 2, c: 0}
+    want = [(i, len(h or ""), sha(h), "revisit" if h in first and first[h] != i else "response", first[h] if h in first and first[h] != i else None) for i, h in rows]
+    assert sorted([(r["page_id"], r["payload_bytes"], r["payload_digest"], r["record_type"], r["refers_to"]) for r in got], key=key) == sorted(want, key=key)
+
+
+def test_warc_reader_holds_no_more_than_a_block(tmp_path):
+    import io
+
+    big = b"z" * (64 << 20)
+    stream = io.BytesIO(warc.record("response", {"Content-Type": "application/http"}, warc._HTTP + big) + warc.record("resource", {}, b""))
+    sizes = [len(x) for x in warc.inflate(stream) if not isinstance(x, bool)]
+    assert max(sizes) <= warc.BLOCK
+    stream.seek(0)
+    got = list(warc.records(stream, keep=False))
+    assert [(b.size, b.sha.hexdigest(), ok) for _, b, ok in got] == [(len(big), hashlib.sha256(big).hexdigest(), True), (0, hashlib.sha256(b"").hexdigest(), True)]
+
+
 def test_warc_reader_notices_damage(tmp_path, spark):
     good = warc.record("resource", {"Content-Type": "text/plain"}, b"hello")
     bad = zlib.decompress(good, 31).replace(b"hello", b"jello")

@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from weftline.llm.common import fresh
+
 SEGMENT = 32768
 MAX_BITS = 1 << 28
 
@@ -42,24 +44,26 @@ def of_keys(df: DataFrame, key: Column, bits: int) -> DataFrame:
 def of_repeats(df: DataFrame, key: Column, bits: int) -> DataFrame:
     """The filter of the positions that at least two rows hit: it holds every key that occurs twice.
 
-    Equal positions are counted where they lie before 8-byte positions and counts move.
+    One position a key: a row moves a number of 8 bytes, and equal ones are counted
+    where they lie before they move. ``split`` with ``one=True`` reads it.
     """
-    hit = df.select(F.explode(F.array(*probes(key, bits))).alias("pos"))
+    hit = df.select(probes(key, bits)[0].alias("pos"))
     return segments(hit.groupBy("pos").count().where("count > 1").select("pos"))
 
 
-def with_maybe(df: DataFrame, key: Column, bits: int, segs: DataFrame, name: str = "_maybe") -> DataFrame:
-    """Adds ``name``: whether the filter may hold the key. Rows stay where they are."""
-    out = df
-    tests = []
-    for i, pos in enumerate(probes(key, bits)):
-        b = F.broadcast(segs.select(F.col("bucket").alias(f"_bk{i}"), F.col("bitmap").alias(f"_bm{i}")))
-        out = out.withColumn(f"_p{i}", pos).withColumn(f"_b{i}", F.floor(F.col(f"_p{i}") / SEGMENT).cast("long"))
-        out = out.join(b, F.col(f"_b{i}") == F.col(f"_bk{i}"), "left")
-        tests.append(
-            f"coalesce(getbit(cast(conv(hex(substring(_bm{i}, cast((_p{i} % {SEGMENT}) div 8 + 1 as int), 1)), 16, 10) as bigint), cast(_p{i} % 8 as int)) = 1, false)"
-        )
-    return out.withColumn(name, F.expr(" and ".join(tests))).drop(*[f"{c}{i}" for i in range(2) for c in ("_p", "_b", "_bk", "_bm")])
+def split(df: DataFrame, key: Column, bits: int, segs: DataFrame, one: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(rows whose key the filter may hold, all other rows). Rows and columns stay as they are."""
+    taken = df.columns
+    out, tests, names = df, [], []
+    for i, pos in enumerate(probes(key, bits)[: 1 if one else 2]):
+        at, bucket, bitmap = (fresh(taken, f"_weft_{c}{i}") for c in ("at", "bucket", "bitmap"))
+        b = F.broadcast(segs.select(F.col("bucket").alias(bucket), F.col("bitmap").alias(bitmap)))
+        out = out.withColumn(at, pos).join(b, F.floor(F.col(at) / SEGMENT).cast("long") == F.col(bucket), "left")
+        byte = f"cast(conv(hex(substring({bitmap}, cast(({at} % {SEGMENT}) div 8 + 1 as int), 1)), 16, 10) as bigint)"
+        tests.append(f"coalesce(getbit({byte}, cast({at} % 8 as int)) = 1, false)")
+        names += [at, bucket, bitmap]
+    maybe = F.expr(" and ".join(tests))
+    return out.where(maybe).drop(*names), out.where(~maybe).drop(*names)
 
 
 def anti_by_id(df: DataFrame, drop: DataFrame, drop_rows: int, id_col: str = "doc_id") -> DataFrame:
@@ -69,13 +73,11 @@ def anti_by_id(df: DataFrame, drop: DataFrame, drop_rows: int, id_col: str = "do
     exact anti join. Rows with a null id stay.
     """
     bits = bits_for(drop_rows)
-    flagged = with_maybe(df, F.col(id_col), bits, of_keys(drop, F.col(id_col), bits))
-    sure = flagged.where(~F.col("_maybe")).drop("_maybe")
-    rest = flagged.where("_maybe").drop("_maybe").join(drop.select(id_col).distinct(), id_col, "left_anti")
-    return sure.unionByName(rest.select(*sure.columns))
+    maybe, sure = split(df, F.col(id_col), bits, of_keys(drop, F.col(id_col), bits))
+    return sure.unionByName(maybe.join(drop.select(id_col).distinct(), id_col, "left_anti").select(*sure.columns))
 
 
 def semi_by_id(df: DataFrame, want: DataFrame, want_rows: int, id_col: str = "doc_id") -> DataFrame:
     """Rows of ``df`` that ``want`` may hold: a superset, for an exact join to follow."""
     bits = bits_for(want_rows)
-    return with_maybe(df, F.col(id_col), bits, of_keys(want, F.col(id_col), bits)).where("_maybe").drop("_maybe")
+    return split(df, F.col(id_col), bits, of_keys(want, F.col(id_col), bits))[0]

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftline.llm.common import cut
+from weftline.llm.common import cut, discard
 
 
 def _stars(edges: DataFrame, large: bool) -> DataFrame:
@@ -20,22 +20,26 @@ def _stars(edges: DataFrame, large: bool) -> DataFrame:
     return out.where("u > v").distinct()
 
 
-def components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(id, component): every id on an edge with the smallest id that it reaches.
 
-    The number of rounds is logarithmic in practice. Each round is written to the shared
-    folder, so lineage stays short and a lost executor costs one round.
+    Rounds go on until no edge changes; their number is logarithmic in practice. Each
+    round is written to the shared folder, so lineage stays short and a lost executor
+    costs one round, and the round before is deleted.
     """
     cur = cut(
         edges.where(F.col(a) != F.col(b)).select(F.greatest(a, b).cast("long").alias("u"), F.least(a, b).cast("long").alias("v")).distinct()
     )
     mark = None
-    for _ in range(max_rounds):
+    while True:
         seen = cur.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if seen == mark or not seen[0]:
             break
-        mark = seen
+        mark, last = seen, cur
         cur = cut(_stars(_stars(cur, True), False))
-    return cur.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(
+        discard(last)
+    out = cur.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(
         cur.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct()
     )
+    out._weftline_path = cur._weftline_path
+    return out

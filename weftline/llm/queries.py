@@ -66,6 +66,12 @@ QUERIES = {
 }
 
 ORACLE_SQL = {
+    "op4_warc": """
+        SELECT page_id, strlen(body) AS payload_bytes, sha256(body) AS payload_digest, CASE WHEN again THEN 'revisit' ELSE 'response' END AS record_type,
+               CASE WHEN again THEN first END AS refers_to, true AS ok
+        FROM (SELECT page_id, body, first, strlen(body) >= 100 AND page_id <> first AS again
+              FROM (SELECT page_id, body, min(page_id) OVER (PARTITION BY body) AS first
+                    FROM (SELECT page_id, coalesce(html, '') AS body FROM pages)))""",
     "op7_exact_dedup": """
         SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, doc_id = max(doc_id) OVER w AS kept,
                sha256(coalesce(text, '')) AS text_sha256

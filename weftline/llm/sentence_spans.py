@@ -170,16 +170,15 @@ def dedup_spans(docs: DataFrame, span: int = 3, min_words: int = 12, id_col: str
     firsts = cut(firsts.where("n > 1").select("h1", "h2", "first"))
     n = firsts.count()
     bits = bloom.bits_for(n)
-    again = bloom.with_maybe(found, F.col("h1"), bits, bloom.of_keys(firsts, F.col("h1"), bits)).where("_maybe").drop("_maybe")
+    again = bloom.split(found, F.col("h1"), bits, bloom.of_keys(firsts, F.col("h1"), bits))[0]
     hit = again.join(firsts, ["h1", "h2"]).where("not (doc_id = first.doc_id and at = first.at)").select("doc_id", "at", "len")
     # covered sentences of a document, each once: a key holds no more than one document's sentences
     drop = hit.select("doc_id", F.explode(F.sequence("at", F.col("at") + F.col("len") - 1)).alias("at")).distinct()
     drop = cut(drop.groupBy("doc_id").agg(F.collect_list("at").alias("drop")))
     m = drop.count()
     bits = bloom.bits_for(m)
-    flagged = bloom.with_maybe(docs, F.col("doc_id"), bits, bloom.of_keys(drop, F.col("doc_id"), bits))
-    straight = flagged.where(~F.col("_maybe")).drop("_maybe")
-    maybe = flagged.where("_maybe").drop("_maybe").join(drop, "doc_id", "left")
+    maybe, straight = bloom.split(docs, F.col("doc_id"), bits, bloom.of_keys(drop, F.col("doc_id"), bits))
+    maybe = maybe.join(drop, "doc_id", "left")
     lost = maybe.where(F.col("drop").isNotNull() & F.col("text").isNotNull()).mapInArrow(_cut_text, OUT)
     clear = maybe.where(F.col("drop").isNull() | F.col("text").isNull()).drop("drop")
     return straight.unionByName(clear).mapInArrow(_whole, OUT).unionByName(lost)

@@ -129,7 +129,7 @@ def decontaminate(
             met = own.join(F.broadcast(items.groupBy("h").agg(F.collect_list(F.struct("item", "item_pos")).alias("at"))), "h")
         else:
             bits = bloom.bits_for(n)
-            passed = bloom.with_maybe(own, F.col("h"), bits, bloom.of_keys(items, F.col("h"), bits)).where("_maybe")
+            passed = bloom.split(own, F.col("h"), bits, bloom.of_keys(items, F.col("h"), bits))[0]
             met = passed.join(items.groupBy("h").agg(F.collect_list(F.struct("item", "item_pos")).alias("at")), "h")
         met = met.select("id", "pos", "exact", F.explode("at").alias("at")).select("id", "exact", "at.item", "at.item_pos", (F.col("pos") - F.col("at.item_pos")).alias("shift"))
         runs = met.groupBy("id", "item", "shift").agg(F.collect_set("item_pos").alias("at"), F.size(F.collect_set(F.when(F.col("exact"), F.col("item_pos")))).alias("n_exact"))
