@@ -94,6 +94,23 @@ def test_near_duplicates_against_brute_force(spark):
     assert all(r["kept"] == (r["doc_id"] == r["component_id"]) for r in got)
 
 
+def test_near_duplicates_in_large_nodes(spark, monkeypatch):
+    """Nodes count as large from nine documents on, so stars, deeper branches and blocks of all kinds are met."""
+    for name, value in {"SMALL": 8, "BLOCK": 4}.items():
+        monkeypatch.setattr(minhash_join, name, value)
+    rows = copies()
+    words = prose(900, 90).split()
+    for j in range(80):  # each is near the one before, the last is far from the first
+        words[j] = f"drift{j}"
+        rows.append((700 + j, " ".join(words)))
+    want, _ = brute_components(rows, 3, 85)
+    assert want[779] == 700 and len({want[100 + j] for j in range(160)}) > 1
+    for copies_of_a_row, lost in ((4, 0), (0, 5)):  # as set, and always down to the last depth, where the bound of a pair alone is lower
+        monkeypatch.setattr(minhash_join, "COPIES", copies_of_a_row)
+        got = {r["doc_id"]: r["component_id"] for r in minhash_join.near_duplicates(docs(spark, rows), 3, 85).collect()}
+        assert sum(got[i] != want[i] for i in want) <= lost
+
+
 def test_near_duplicates_of_odd_rows(spark):
     assert minhash_join.near_duplicates(docs(spark, [])).count() == 0
     got = minhash_join.near_duplicates(docs(spark, [(None, "a b c"), (1, "a b c"), (1, "a b c"), (2, None)])).collect()

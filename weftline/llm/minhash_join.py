@@ -3,36 +3,41 @@
 Each document is a set of word shingles and has ``COORDS`` minwise tokens (one per hash
 function). A tree branches the documents: a node picks one coordinate by a hash of its
 path, and every document goes to the child named by its own token there. A node of at
-most ``SMALL`` documents at the first of ``DEPTHS`` is a leaf; larger ones branch on to the
-next. Leaf members are compared exhaustively: by their minwise tokens first, and where
-those agree well enough, on their full shingle sets. ``TREES`` independent trees
-give the recall: a pair at similarity s shares a leaf of depth d with probability s^d, so
-at 0.85 sixteen trees miss it with probability (1 - 0.85^2)^16 = 1e-9 in leaves of depth
-two and (1 - 0.85^4)^16 = 8e-6 in the deepest.
+most ``SMALL`` documents at one of ``DEPTHS`` is a leaf; only larger ones branch on. Leaf
+members are compared exhaustively: by their minwise tokens first, and where those agree
+well enough, on their full shingle sets. ``TREES`` independent trees give the recall: a
+pair at similarity s shares a node of depth d with probability s^d, so at 0.85 sixteen
+trees miss it with probability (1 - 0.85^2)^16 = 1e-9 in leaves of depth two, 8e-6 in those
+of depth four and 6e-3 in those of depth eight. Deep leaves arise only inside large groups
+of documents that agree, where other members give further paths to the same component.
 
 Scale:
 - documents with equal sets are one class before any tree is built (membership is joined
   back at the end), so exact copies cost one row;
-- trees carry (node, id) rows of 16 bytes; leaves are compared on 128 bytes a document,
-  and what may be linked there is one cluster. Texts move only for members of clusters,
-  found through a bounded Bloom filter, once per distinct cluster: documents that share
-  no more than a passage or a line do not move;
-- the trees run in two waves. The second only compares leaves that still hold documents
-  of different components;
-- a leaf that stays large at the last depth is dealt in blocks
-  of ``BLOCK`` documents, and every two blocks meet in one task. Inside a task, documents
-  that are already connected are never compared, so a task gives at most one link per
-  document and a group of near copies does not cost all its pairs.
+- trees carry (node, id, component) rows of 24 bytes, computed once and written; leaves are
+  compared on 128 bytes a document, and what may be linked there is one cluster. Texts move
+  only for members of clusters, found through a bounded Bloom filter, once per distinct
+  cluster: documents that share no more than a passage or a line do not move;
+- large nodes are first collapsed by stars: each member is compared with ``PIVOTS`` members
+  of its node, typical ones for the most part, and linked to the most similar one, so a
+  group of near copies of any size becomes few components at a cost linear in its rows;
+- the trees run in two waves. A node whose members are one component is done. In a large
+  node the largest component (its main one) is not compared within itself: it and the rest
+  are dealt in blocks of ``BLOCK`` documents, and blocks of the rest meet all others. A node
+  is dealt as soon as that copies a row ``COPIES`` times at most on average, and in any case
+  at the last depth; no task gets more than two blocks or ``SMALL`` documents at once.
 
 Exactness: links are confirmed on the full sets (64-bit shingle hashes) by
 ``100 * |A & B| >= percent * |A | B|`` in integers. Pairs whose tokens agree in a share of
-more than 0.2 under the bound are not compared: six standard deviations, 1e-7 of the links
-at the bound. No bucket, partner or candidate is capped.
+more than ``MARGIN`` under the bound are not compared: five standard deviations, 1e-6 of the
+links at the bound. No bucket, partner or candidate is capped.
 
 Defined results: a null or blank text has the empty set, is linked with nothing and is its
-own component; equal sets are linked; rows that repeat an id are one document per id in
-``component_id`` and come out once per row; a null id comes out with a null component and
-is not kept; an empty table gives an empty result; other columns are ignored.
+own component; equal sets are linked; texts are read whole; rows that repeat an id are one
+document per id in ``component_id`` and come out once per row, and ``keep_first`` keeps or
+drops them together; a null id comes out with a null component and is not kept, but
+``keep_first`` leaves its row; an empty table gives an empty result; other columns are
+ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -46,15 +51,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weftline.llm import bloom
-from weftline.llm.common import cut
+from weftline.llm.common import cut, discard
 from weftline.llm.components import components
 
 COORDS = 128
 TREES = 16
 FIRST_WAVE = 4
-SMALL = 64
-DEPTHS = (2, 4)
-BLOCK = 1024
+SMALL = 512
+DEPTHS = (2, 4, 8, 16)
+STARS = 3  # depths at which large nodes are collapsed
+PIVOTS = 5
+SAMPLE = 12
+BLOCK = 256
+COPIES = 4
+MARGIN = 0.16
 _RNG = np.random.Generator(np.random.PCG64(20240611))
 _MUL = _RNG.integers(1, 2**63, COORDS, dtype=np.uint64) | np.uint64(1)
 _ADD = _RNG.integers(0, 2**63, COORDS, dtype=np.uint64)
@@ -91,92 +101,228 @@ def shingle_set(text: str | None, k: int, words: WordHashes) -> np.ndarray:
 
 
 def minwise(s: np.ndarray) -> np.ndarray:
-    """The minwise token of each coordinate, as 32 bits."""
+    """The minwise token of each coordinate, as 16 bits."""
     out = np.full(COORDS, np.iinfo(np.uint64).max, np.uint64)
     for at in range(0, len(s), 4096):
         part = s[at : at + 4096, None] * _MUL[None, :] + _ADD[None, :]
         np.minimum(out, part.min(axis=0), out=out)
-    return (_mix(out) >> np.uint64(32)).astype(np.uint32)
+    return (_mix(out) >> np.uint64(48)).astype(np.uint16)
+
+
+def pack(tokens: np.ndarray) -> bytes:
+    """All low bytes, then all high bytes: the first ``COORDS`` bytes do for a first comparison."""
+    return tokens.astype("<u2").view(np.uint8).reshape(COORDS, 2).T.tobytes()
+
+
+def unpack(column: pa.Array) -> np.ndarray:
+    """(rows, COORDS) tokens."""
+    raw = np.frombuffer(b"".join(x.as_py() for x in column), np.uint8).reshape(-1, 2, COORDS)
+    return raw[:, 0].astype(np.uint16) | raw[:, 1].astype(np.uint16) << 8
 
 
 def _signatures(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = WordHashes()
         for b in batches:
-            sizes, keys, sigs, short = [], [], [], []
+            sizes, keys, sigs = [], [], []
             for text in b.column("text"):
                 s = shingle_set(text.as_py(), k, words)
                 sizes.append(len(s))
                 keys.append(xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None)
-                m = minwise(s) if len(s) else None
-                sigs.append(None if m is None else m.tobytes())
-                short.append(None if m is None else m.astype(np.uint8).tobytes())
-            yield pa.RecordBatch.from_arrays(
-                [b.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), pa.array(sigs, pa.binary()), pa.array(short, pa.binary())],
-                ["doc_id", "n_shingles", "set_key", "sig", "short"],
-            )
+                sigs.append(pack(minwise(s)) if len(s) else None)
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), pa.array(sigs, pa.binary())], ["doc_id", "n_shingles", "set_key", "sig"])
 
     return run
 
 
-def paths(sig: np.ndarray, trees: range, depth: int) -> np.ndarray:
-    """Node keys (rows, trees) at ``depth``: each node picks its next coordinate by its own path."""
+def branch(node: np.ndarray, sig: np.ndarray, steps: int) -> np.ndarray:
+    """Node keys ``steps`` further down: each node picks its next coordinate by its own path."""
     rows = np.arange(len(sig))
-    out = np.empty((len(sig), len(trees)), np.uint64)
-    for c, t in enumerate(trees):
-        node = np.full(len(sig), _mix(np.full(1, t + 1, np.uint64) * np.uint64(0x9E3779B97F4A7C15))[0], np.uint64)
-        for _ in range(depth):
-            coord = (_mix(node + np.uint64(0x632BE59BD9B4E019)) % np.uint64(COORDS)).astype(np.int64)
-            node = _mix(node * np.uint64(0xD6E8FEB86659FD93) ^ (sig[rows, coord].astype(np.uint64) + (coord.astype(np.uint64) << np.uint64(32))))
-        out[:, c] = node
-    return out
+    for _ in range(steps):
+        coord = (_mix(node + np.uint64(0x632BE59BD9B4E019)) % np.uint64(COORDS)).astype(np.int64)
+        node = _mix(node * np.uint64(0xD6E8FEB86659FD93) ^ (sig[rows, coord].astype(np.uint64) + (coord.astype(np.uint64) << np.uint64(32))))
+    return node
+
+
+NODES = "node long, doc_id long, comp long"
 
 
-def _nodes(first: int, last: int, depth: int):
-    trees = range(first, last)
+def _roots(first: int, last: int, steps: int):
+    """The nodes of every document in the trees ``first`` to ``last``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        roots = _mix(np.arange(first + 1, last + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
         for b in batches:
-            if not b.num_rows:
-                continue
-            sig = np.frombuffer(b"".join(x.as_py() for x in b.column("sig")), np.uint32).reshape(-1, COORDS)
-            node = paths(sig, trees, depth)
-            ids = np.repeat(b.column("doc_id").to_numpy(zero_copy_only=False), len(trees))
-            tree = np.tile(np.arange(first, last, dtype=np.int32), len(sig))
-            yield pa.RecordBatch.from_arrays([pa.array(tree), pa.array(node.reshape(-1).view(np.int64)), pa.array(ids)], ["tree", "node", "doc_id"])
+            if b.num_rows:
+                sig = np.repeat(unpack(b.column("sig")), len(roots), axis=0)
+                node = branch(np.tile(roots, b.num_rows), sig, steps)
+                ids, comp = (np.repeat(b.column(c).to_numpy(zero_copy_only=False), len(roots)) for c in ("doc_id", "comp"))
+                yield pa.RecordBatch.from_arrays([pa.array(node.view(np.int64)), pa.array(ids), pa.array(comp)], ["node", "doc_id", "comp"])
 
     return run
 
 
-def _branch(reps: DataFrame, first: int, last: int) -> DataFrame:
-    """(leaf, doc_id) of all leaves with two documents or more, each member set once.
+def _deeper(steps: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                node = branch(b.column("node").to_numpy(zero_copy_only=False).view(np.uint64), unpack(b.column("sig")), steps)
+                yield pa.RecordBatch.from_arrays([pa.array(node.view(np.int64)), b.column("doc_id"), b.column("comp")], ["node", "doc_id", "comp"])
 
-    Depth goes on only for the nodes that are still large.
-    """
-    leaves = large = None
-    todo = reps
-    for depth in DEPTHS:
-        rows = todo.select("doc_id", "sig").mapInArrow(_nodes(first, last, depth), "tree int, node long, doc_id long")
-        if large is not None:
-            rows = rows.join(large, ["tree", "doc_id"], "left_semi")
-        sizes = rows.groupBy("node").agg(
-            F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("doc_id").cast("decimal(20,0)")).alias("members")
-        ).where("n > 1")
-        end = depth == DEPTHS[-1]
-        leaf_sizes = sizes if end else sizes.where(F.col("n") <= SMALL)
+    return run
+
+
+def _sizes(rows: DataFrame) -> DataFrame:
+    """The nodes that hold more than one component."""
+    return rows.groupBy("node").agg(
+        F.count(F.lit(1)).alias("n"), F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.sum(F.xxhash64("doc_id").cast("decimal(20,0)")).alias("members")
+    ).where("lo <> hi").drop("lo", "hi")
+
+
+def _signed(rows: DataFrame, reps: DataFrame, used: list[DataFrame]) -> DataFrame:
+    """The rows with their documents' tokens; only those documents' tokens move."""
+    ids = cut(rows.select("doc_id").distinct())
+    used.append(ids)
+    return rows.join(bloom.semi_by_id(reps, ids, ids.count()).select("doc_id", "sig"), "doc_id")
+
+
+def _typical(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """How many tokens of a member are the commonest ones among a few members of its node."""
+    held: dict[bytes, np.ndarray] = {}
+    for b in batches:
+        score = []
+        for sig, sample in zip(b.column("sig").to_pylist(), b.column("sample").to_pylist(), strict=True):
+            key = b"".join(sample)
+            if key not in held:
+                if len(held) > 256:
+                    held.clear()
+                low = np.frombuffer(key, np.uint8).reshape(len(sample), -1)[:, :COORDS]
+                held[key] = np.array([np.bincount(c).argmax() for c in low.T], np.uint8)
+            score.append(int(np.count_nonzero(held[key] == np.frombuffer(sig, np.uint8)[:COORDS])))
+        yield pa.RecordBatch.from_arrays([b.column("node"), b.column("doc_id"), pa.array(score, pa.int64())], ["node", "doc_id", "score"])
+
+
+def _nearest(least: int):
+    """(a, b) of each row and the pivot of another component that agrees with it most, where that is enough."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = []
+            for i, comp, sig, pivots in zip(*(b.column(c).to_pylist() for c in ("doc_id", "comp", "sig", "pivots")), strict=True):
+                mine = np.frombuffer(sig, np.uint8)
+                met = [(int(np.count_nonzero(np.frombuffer(p["sig"], np.uint8)[:COORDS] == mine[:COORDS])), -p["id"]) for p in pivots if p["comp"] != comp and p["id"] != i]
+                best = max(met, default=(0, 0))
+                if best[0] >= least:
+                    out.append((max(i, -best[1]), min(i, -best[1])))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], ["a", "b"])
+
+    return run
+
+
+def _stars(docs: DataFrame, reps: DataFrame, trees: int, k: int, percent: int) -> DataFrame | None:
+    """Confirmed links of the members of large nodes to pivots of their nodes; null without large nodes."""
+    pairs, least = None, int(np.ceil((percent / 100 - MARGIN) * COORDS))
+    rows = reps.mapInArrow(_roots(0, trees, DEPTHS[0]), NODES)
+    used = []
+    for at in range(STARS):
+        rows = cut(rows)
+        large = cut(_sizes(rows).where(F.col("n") > SMALL).select("node"))
+        used += [rows, large]
+        if not large.count():
+            break
+        signed = cut(_signed(rows.join(large, "node"), reps, used))
+        sample = signed.groupBy("node").agg(F.array(*(F.min_by("sig", F.xxhash64(F.lit(i), "doc_id")) for i in range(SAMPLE))).alias("sample"))
+        scored = cut(signed.join(cut(sample), "node").mapInArrow(_typical, "node long, doc_id long, score long"))
+        # some of the most typical members, and some of any kind
+        order = [F.col("score") * 4 + F.pmod(F.xxhash64(F.lit(i), "doc_id"), F.lit(16)) for i in range(PIVOTS - 2)] + [F.xxhash64(F.lit(i), "doc_id") for i in range(2)]
+        picks = scored.groupBy("node").agg(F.array(*(F.max_by("doc_id", x) for x in order)).alias("ids")).select("node", F.explode(F.array_distinct("ids")).alias("doc_id"))
+        chosen = signed.join(picks, ["node", "doc_id"]).groupBy("node").agg(F.collect_list(F.struct(F.col("doc_id").alias("id"), "comp", "sig")).alias("pivots"))
+        used.append(scored)
+        chosen = cut(chosen)
+        used += [signed, chosen]
+        near = signed.join(chosen, "node").mapInArrow(_nearest(least), "a long, b long")
+        pairs = near if pairs is None else pairs.unionByName(near)
+        if at + 1 < STARS:
+            rows = signed.mapInArrow(_deeper(DEPTHS[at + 1] - DEPTHS[at]), NODES)
+    if pairs is None:
+        discard(*used)
+        return None
+    pairs = cut(pairs.distinct())
+    ids = cut(pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select("b").withColumnRenamed("b", "doc_id")).distinct())
+    n = ids.count()
+    texts = cut(bloom.semi_by_id(docs, ids, n).join(ids, "doc_id", "left_semi")) if n else docs.limit(0)
+    mine, other = (texts.select(F.col("doc_id").alias(c), F.col("text").alias(t)) for c, t in (("a", "ta"), ("b", "tb")))
+    met = pairs.join(other, "b").join(mine, "a").select("a", "b", "ta", "tb")
+    links = cut(met.mapInArrow(_confirm(k, percent), "a long, b long"))
+    discard(*used, pairs, ids, texts)
+    return links
+
+
+def _confirm(k: int, percent: int):
+    """The pairs whose full sets are similar enough."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words, held = WordHashes(), {}
+        for batch in batches:
+            out = []
+            for a, b, ta, tb in zip(*(batch.column(c).to_pylist() for c in ("a", "b", "ta", "tb")), strict=True):
+                sets = []
+                for text in (ta, tb):  # pivots come again and again
+                    if text not in held:
+                        if len(held) > 256:
+                            held.clear()
+                        held[text] = shingle_set(text, k, words)
+                    sets.append(held[text])
+                if linked(*sets, percent):
+                    out.append((a, b))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], ["a", "b"])
+
+    return run
+
+
+def _cells_of(reps: DataFrame, first: int, last: int) -> tuple[DataFrame, list[DataFrame]]:
+    """(leaf, c1, c2, doc_id, comp) of all leaves of the trees, each member set once, and the tables it reads."""
+    used = []
+    rows = reps.mapInArrow(_roots(first, last, DEPTHS[0]), NODES)
+    cells = None
+    for at, depth in enumerate(DEPTHS):
+        end = at + 1 == len(DEPTHS)
+        rows = cut(rows)
+        sizes = cut(_sizes(rows))
+        used += [rows, sizes]
         # the same members under several trees are one leaf
-        alone = leaf_sizes.groupBy("members", "n").agg(F.min("node").alias("node"))
-        found = rows.join(alone, "node").select(F.col("node").alias("leaf"), "doc_id", "n")
-        leaves = found if leaves is None else leaves.unionByName(found)
-        if end:
+        alone = sizes.where(F.col("n") <= SMALL).groupBy("members", "n").agg(F.min("node").alias("node"))
+        new = rows.join(alone.select("node"), "node").select(F.col("node").alias("leaf"), F.lit(-1).alias("c1"), F.lit(0).alias("c2"), "doc_id", "comp")
+        cells = new if cells is None else cells.unionByName(new)
+        large = sizes.where(F.col("n") > SMALL)
+        if not large.count():
             break
-        large = cut(rows.join(sizes.where(F.col("n") > SMALL), "node").select("tree", "doc_id"))
-        ids = large.select("doc_id").distinct()
-        n = ids.count()
-        if not n:
+        parts = rows.join(large.select("node"), "node").groupBy("node", "comp").count().groupBy("node").agg(F.sum("count").alias("n"), F.max(F.struct("count", "comp")).alias("top"))
+        parts = parts.select("node", "n", F.col("top.comp").alias("main"), F.ceil(F.col("top.count") / BLOCK).cast("int").alias("mains"), F.ceil((F.col("n") - F.col("top.count")) / BLOCK).cast("int").alias("rests"), (F.col("n") - F.col("top.count")).alias("others"))
+        cost = (F.col("n") - F.col("others")) * F.col("rests") + F.col("others") * (F.col("mains") + F.col("rests"))
+        parts = cut(parts.withColumn("deal", F.lit(end) | (cost <= COPIES * F.col("n"))))
+        used.append(parts)
+        cells = cells.unionByName(_deal(rows.join(parts.where("deal"), "node")))
+        rest = parts.where("not deal").select("node")
+        if end or not rest.count():
             break
-        todo = bloom.semi_by_id(reps, ids, n)
-    return leaves
+        rows = _signed(rows.join(rest, "node"), reps, used).mapInArrow(_deeper(DEPTHS[at + 1] - depth), NODES)
+    return cells, used
+
+
+def _deal(rows: DataFrame) -> DataFrame:
+    """Blocks of the main component meet blocks of the rest, and blocks of the rest each other."""
+    mine = F.pmod(F.xxhash64("doc_id"), F.when(F.col("comp") == F.col("main"), F.col("mains")).otherwise(F.col("rests"))).cast("int")
+    cell = lambda a, b: F.struct(a.cast("int").alias("c1"), b.cast("int").alias("c2"))
+    with_rests = F.transform(F.sequence(F.lit(0), F.col("rests") - 1), lambda j: cell(F.col("mine"), j))
+    met = F.concat(
+        F.transform(F.sequence(F.lit(0), F.col("mains") - 1), lambda i: cell(i, F.col("mine"))),
+        F.transform(F.sequence(F.lit(0), F.col("rests") - 1), lambda j: cell(-1 - F.least(F.col("mine"), j), F.greatest(F.col("mine"), j))),
+    )
+    rows = rows.withColumn("mine", mine).select("node", "doc_id", "comp", F.explode(F.when(F.col("comp") == F.col("main"), with_rests).otherwise(met)).alias("cell"))
+    return rows.select(F.col("node").alias("leaf"), "cell.c1", "cell.c2", "doc_id", "comp")
 
 
 class _Union:
@@ -213,7 +359,7 @@ def leaf_links(ids: list[int], comps: list[int], sets: list[np.ndarray], percent
         uf.up[uf.find(i)] = uf.find(first.setdefault(c, i))
     if n > 8:
         sigs = np.stack([minwise(s) for s in sets])
-        typical = np.array([v[np.argmax(c)] for v, c in (np.unique(col, return_counts=True) for col in sigs.T)], np.uint32)
+        typical = np.array([v[np.argmax(c)] for v, c in (np.unique(col, return_counts=True) for col in sigs.T)], np.uint16)
         order = np.argsort(-(sigs == typical).sum(axis=1), kind="stable")
     else:
         sigs, order = None, np.arange(n)
@@ -231,8 +377,8 @@ def leaf_links(ids: list[int], comps: list[int], sets: list[np.ndarray], percent
                 break
             continue
         near = far[(100 * np.minimum(size[far], size[i]) >= percent * np.maximum(size[far], size[i]))]
-        if sigs is not None:  # 0.2 under the bound is six standard deviations: 1e-7 of the links at the bound
-            near = near[(sigs[near] == sigs[i]).mean(axis=1) >= percent / 100 - 0.2]
+        if sigs is not None:
+            near = near[(sigs[near] == sigs[i]).mean(axis=1) >= percent / 100 - MARGIN]
         for j in near:
             if uf.find(j) != uf.find(i) and linked(sets[i], sets[j], percent):
                 links.append((ids[i], ids[j]))
@@ -260,22 +406,24 @@ def _clusters(percent: int):
 
     A cluster is named by its members, so the same cluster out of several cells is one.
     """
-    least = int(np.ceil((percent / 100 - 0.2) * COORDS))
+    least = int(np.ceil((percent / 100 - MARGIN) * COORDS))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, rows in _cells(("leaf", "c1", "c2", "doc_id", "comp", "short"), batches):
+            rows.sort(key=lambda r: r[1])  # a component's members lie together and are not compared
             sig = np.frombuffer(b"".join(r[2] for r in rows), np.uint8).reshape(-1, COORDS)
-            n = len(rows)
-            uf = _Union(n)
-            for i in range(n - 1):
-                for j in np.flatnonzero((sig[i + 1 :] == sig[i]).sum(axis=1, dtype=np.int32) >= least):
-                    uf.up[uf.find(i + 1 + int(j))] = uf.find(i)
+            comp = np.array([r[1] for r in rows])
+            after = np.searchsorted(comp, comp, side="right")
+            uf = _Union(len(rows))
+            for i, at in enumerate(after):
+                for j in np.flatnonzero((sig[at:] == sig[i]).sum(axis=1, dtype=np.int32) >= least):
+                    uf.up[uf.find(int(at + j))] = uf.find(i)
             groups: dict[int, list[int]] = {}
-            for i in range(n):
+            for i in range(len(rows)):
                 groups.setdefault(uf.find(i), []).append(i)
             out = []
             for g in groups.values():
-                if len({rows[i][1] for i in g}) > 1:
+                if len(g) > 1:
                     ids = sorted(rows[i][0] for i in g)
                     name = xxhash.xxh3_64_intdigest(np.array(ids, np.int64).tobytes()) - 2**63
                     out += [(name, rows[i][0], rows[i][1]) for i in g]
@@ -298,27 +446,20 @@ def _compare(k: int, percent: int):
     return run
 
 
-def _links(docs: DataFrame, reps: DataFrame, leaves: DataFrame, comp: DataFrame | None, k: int, percent: int) -> DataFrame:
-    """Confirmed links of the leaves that hold more than one component."""
-    if comp is None:
-        rows = leaves.withColumn("comp", F.col("doc_id"))
-    else:
-        rows = leaves.join(comp, F.col("doc_id") == F.col("id"), "left").withColumn("comp", F.coalesce("component", "doc_id")).drop("id", "component")
-        mixed = rows.groupBy("leaf").agg(F.min("comp").alias("_lo"), F.max("comp").alias("_hi")).where("_lo <> _hi").select("leaf")
-        rows = rows.join(mixed, "leaf", "left_semi")
-    # leaves of up to BLOCK documents are one cell; larger ones are dealt in blocks that meet in pairs
-    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    mine = F.pmod(F.xxhash64("doc_id"), blocks).cast("int")
-    rows = rows.withColumn("_bl", blocks).withColumn("_me", mine).join(reps.select("doc_id", "short"), "doc_id")
-    rows = rows.withColumn("_other", F.explode(F.when(F.col("_bl") == 1, F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.col("_bl") - 1))))
-    cells = rows.select("leaf", F.least("_me", "_other").alias("c1"), F.greatest("_me", "_other").alias("c2"), "doc_id", "comp", "short")
+def _links(docs: DataFrame, reps: DataFrame, first: int, last: int, k: int, percent: int) -> DataFrame:
+    """Confirmed links of the leaves of the trees ``first`` to ``last``, written."""
+    cells, used = _cells_of(reps, first, last)
+    cells = cells.join(reps.select("doc_id", F.substring("sig", 1, COORDS).alias("short")), "doc_id").select("leaf", "c1", "c2", "doc_id", "comp", "short")
     cells = cells.repartition("leaf", "c1", "c2").sortWithinPartitions("leaf", "c1", "c2", "doc_id")
     near = cut(cells.mapInArrow(_clusters(percent), "leaf long, doc_id long, comp long").distinct())
+    discard(*used)
     ids = near.select("doc_id").distinct()
     n = ids.count()
     texts = bloom.semi_by_id(docs, ids, n) if n else docs.limit(0)
     met = near.join(texts, "doc_id").select("leaf", "doc_id", "comp", "text")
-    return met.repartition("leaf").sortWithinPartitions("leaf", "doc_id").mapInArrow(_compare(k, percent), "a long, b long")
+    links = cut(met.repartition("leaf").sortWithinPartitions("leaf", "doc_id").mapInArrow(_compare(k, percent), "a long, b long"))
+    discard(near)
+    return links
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -328,17 +469,31 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
     similarity; a component's id is its smallest doc_id, and that document is kept.
     """
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    sigs = cut(docs.mapInArrow(_signatures(k), "doc_id long, n_shingles long, set_key binary, sig binary, short binary"))
+    sigs = cut(docs.mapInArrow(_signatures(k), "doc_id long, n_shingles long, set_key binary, sig binary"))
     full = sigs.where(F.col("set_key").isNotNull() & F.col("doc_id").isNotNull())
     classes = cut(full.groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("n")))
     # one row per class; where ids repeat with different texts, each text takes part
-    reps = full.join(classes.where("n > 1"), "set_key", "left").where(F.col("rep").isNull() | (F.col("rep") == F.col("doc_id"))).select("doc_id", "sig", "short")
+    reps = full.join(classes.where("n > 1"), "set_key", "left").where(F.col("rep").isNull() | (F.col("rep") == F.col("doc_id"))).select("doc_id", F.col("doc_id").alias("comp"), "sig")
     reps = cut(reps)
-    links = comp = None
+    comp = None
+
+    def join_up(links: DataFrame | None) -> None:
+        """Take the new links into ``comp`` (id, component) and ``reps``."""
+        nonlocal comp, reps
+        if links is None:
+            return
+        old = comp
+        comp = components(links if old is None else links.unionByName(old.toDF("a", "b")))
+        discard(old, links)
+        last, bits = reps, bloom.bits_for(comp.count())
+        maybe, sure = bloom.split(reps, F.col("doc_id"), bits, bloom.of_keys(comp, F.col("id"), bits))  # most documents are in no link and do not move
+        reps = cut(sure.unionByName(maybe.drop("comp").join(comp, F.col("doc_id") == F.col("id"), "left").select("doc_id", F.coalesce("component", "doc_id").alias("comp"), "sig")))
+        discard(last)
+
+    join_up(_stars(docs, reps, FIRST_WAVE, k, percent))
     for first, last in ((0, FIRST_WAVE), (FIRST_WAVE, TREES)):
-        new = cut(_links(docs, reps, _branch(reps, first, last), comp, k, percent))
-        links = new if links is None else links.unionByName(new)
-        comp = components(links)
+        join_up(_links(docs, reps, first, last, k, percent))
+    discard(reps)
     full = full.select("doc_id", "n_shingles", "set_key").join(classes.where("n > 1").select("set_key", "rep"), "set_key", "left")
     full = full.withColumn("rep", F.coalesce("rep", "doc_id")).join(comp, F.col("rep") == F.col("id"), "left")
     full = full.select("doc_id", "n_shingles", F.coalesce("component", "rep").alias("component_id"))
