@@ -14,18 +14,20 @@ of documents that agree, where other members give further paths to the same comp
 Scale:
 - documents with equal sets are one class before any tree is built (membership is joined
   back at the end), so exact copies cost one row;
-- trees carry (node, id, component) rows of 24 bytes, computed once and written; leaves are
-  compared on 128 bytes a document, and what may be linked there is one cluster. Texts move
-  only for members of clusters, found through a bounded Bloom filter, once per distinct
-  cluster: documents that share no more than a passage or a line do not move;
-- large nodes are first collapsed by stars: each member is compared with ``PIVOTS`` members
-  of its node, typical ones for the most part, and linked to the most similar one, so a
-  group of near copies of any size becomes few components at a cost linear in its rows;
-- the trees run in two waves. A node whose members are one component is done. In a large
-  node the largest component (its main one) is not compared within itself: it and the rest
-  are dealt in blocks of ``BLOCK`` documents, and blocks of the rest meet all others. A node
-  is dealt as soon as that copies a row ``COPIES`` times at most on average, and in any case
-  at the last depth; no task gets more than two blocks or ``SMALL`` documents at once.
+- trees carry (nodes at all depths, id, component) rows of 48 bytes, computed once a wave
+  and written; leaves are compared on 128 bytes a document, and what may be linked there is
+  one cluster. Texts move only for members of clusters, found through a bounded Bloom
+  filter, once per distinct cluster: documents that share no more than a passage or a line
+  do not move;
+- large deep nodes, which hold documents that agree, are first collapsed by stars: each
+  member is compared with ``PIVOTS`` members of its node, typical ones for the most part,
+  and linked to the most similar one, so a group of near copies of any size becomes few
+  components at a cost linear in its rows;
+- the trees run in waves of ``WAVE``. A node whose members are one component is done. In a
+  large node the largest component (its main one) is not compared within itself: it and
+  the rest are dealt in blocks of ``BLOCK`` documents, and blocks of the rest meet all
+  others. A node is dealt as soon as that copies a row ``COPIES`` times at most on average,
+  and in any case at the last depth; no cell has over two blocks or ``SMALL`` documents.
 
 Exactness: links are confirmed on the full sets (64-bit shingle hashes) by
 ``100 * |A & B| >= percent * |A | B|`` in integers. Pairs whose tokens agree in a share of
@@ -56,14 +58,14 @@ from weftline.llm.components import components
 
 COORDS = 128
 TREES = 16
-FIRST_WAVE = 4
-SMALL = 512
+WAVE = 4
+SMALL = 256
 DEPTHS = (2, 4, 8, 16)
-STARS = 3  # depths at which large nodes are collapsed
+STAR_LEVELS, STAR_SIZE = ("n1", "n2"), 128
 PIVOTS = 5
 SAMPLE = 12
-BLOCK = 256
-COPIES = 4
+BLOCK = 128
+COPIES = 6
 MARGIN = 0.16
 _RNG = np.random.Generator(np.random.PCG64(20240611))
 _MUL = _RNG.integers(1, 2**63, COORDS, dtype=np.uint64) | np.uint64(1)
@@ -144,30 +146,24 @@ def branch(node: np.ndarray, sig: np.ndarray, steps: int) -> np.ndarray:
     return node
 
 
-NODES = "node long, doc_id long, comp long"
+LEVELS = [f"n{i}" for i in range(len(DEPTHS))]
+NODES = ", ".join(f"{c} long" for c in [*LEVELS, "doc_id", "comp"])
 
 
-def _roots(first: int, last: int, steps: int):
-    """The nodes of every document in the trees ``first`` to ``last``."""
+def _roots(first: int, last: int):
+    """The nodes of every document at all depths, in the trees ``first`` to ``last``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         roots = _mix(np.arange(first + 1, last + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
         for b in batches:
             if b.num_rows:
                 sig = np.repeat(unpack(b.column("sig")), len(roots), axis=0)
-                node = branch(np.tile(roots, b.num_rows), sig, steps)
-                ids, comp = (np.repeat(b.column(c).to_numpy(zero_copy_only=False), len(roots)) for c in ("doc_id", "comp"))
-                yield pa.RecordBatch.from_arrays([pa.array(node.view(np.int64)), pa.array(ids), pa.array(comp)], ["node", "doc_id", "comp"])
-
-    return run
-
-
-def _deeper(steps: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            if b.num_rows:
-                node = branch(b.column("node").to_numpy(zero_copy_only=False).view(np.uint64), unpack(b.column("sig")), steps)
-                yield pa.RecordBatch.from_arrays([pa.array(node.view(np.int64)), b.column("doc_id"), b.column("comp")], ["node", "doc_id", "comp"])
+                node, nodes = np.tile(roots, b.num_rows), []
+                for depth, above in zip(DEPTHS, (0, *DEPTHS), strict=False):
+                    node = branch(node, sig, depth - above)
+                    nodes.append(pa.array(node.view(np.int64)))
+                ids, comp = (pa.array(np.repeat(b.column(c).to_numpy(zero_copy_only=False), len(roots))) for c in ("doc_id", "comp"))
+                yield pa.RecordBatch.from_arrays([*nodes, ids, comp], [*LEVELS, "doc_id", "comp"])
 
     return run
 
@@ -179,13 +175,6 @@ def _sizes(rows: DataFrame) -> DataFrame:
     ).where("lo <> hi").drop("lo", "hi")
 
 
-def _signed(rows: DataFrame, reps: DataFrame, used: list[DataFrame]) -> DataFrame:
-    """The rows with their documents' tokens; only those documents' tokens move."""
-    ids = cut(rows.select("doc_id").distinct())
-    used.append(ids)
-    return rows.join(bloom.semi_by_id(reps, ids, ids.count()).select("doc_id", "sig"), "doc_id")
-
-
 def _typical(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """How many tokens of a member are the commonest ones among a few members of its node."""
     held: dict[bytes, np.ndarray] = {}
@@ -221,41 +210,33 @@ def _nearest(least: int):
 
 
 def _stars(docs: DataFrame, reps: DataFrame, trees: int, k: int, percent: int) -> DataFrame | None:
-    """Confirmed links of the members of large nodes to pivots of their nodes; null without large nodes."""
-    pairs, least = None, int(np.ceil((percent / 100 - MARGIN) * COORDS))
-    rows = reps.mapInArrow(_roots(0, trees, DEPTHS[0]), NODES)
-    used = []
-    for at in range(STARS):
-        rows = cut(rows)
-        large = cut(_sizes(rows).where(F.col("n") > SMALL).select("node"))
-        used += [rows, large]
-        if not large.count():
-            break
-        signed = cut(_signed(rows.join(large, "node"), reps, used))
-        sample = signed.groupBy("node").agg(F.array(*(F.min_by("sig", F.xxhash64(F.lit(i), "doc_id")) for i in range(SAMPLE))).alias("sample"))
-        scored = cut(signed.join(cut(sample), "node").mapInArrow(_typical, "node long, doc_id long, score long"))
-        # some of the most typical members, and some of any kind
-        order = [F.col("score") * 4 + F.pmod(F.xxhash64(F.lit(i), "doc_id"), F.lit(16)) for i in range(PIVOTS - 2)] + [F.xxhash64(F.lit(i), "doc_id") for i in range(2)]
-        picks = scored.groupBy("node").agg(F.array(*(F.max_by("doc_id", x) for x in order)).alias("ids")).select("node", F.explode(F.array_distinct("ids")).alias("doc_id"))
-        chosen = signed.join(picks, ["node", "doc_id"]).groupBy("node").agg(F.collect_list(F.struct(F.col("doc_id").alias("id"), "comp", "sig")).alias("pivots"))
-        used.append(scored)
-        chosen = cut(chosen)
-        used += [signed, chosen]
-        near = signed.join(chosen, "node").mapInArrow(_nearest(least), "a long, b long")
-        pairs = near if pairs is None else pairs.unionByName(near)
-        if at + 1 < STARS:
-            rows = signed.mapInArrow(_deeper(DEPTHS[at + 1] - DEPTHS[at]), NODES)
-    if pairs is None:
+    """Confirmed links of the members of large deep nodes to pivots of their nodes; null without such nodes."""
+    least = int(np.ceil((percent / 100 - MARGIN) * COORDS))
+    rows = cut(reps.mapInArrow(_roots(0, trees), NODES).select(F.explode(F.array(*STAR_LEVELS)).alias("node"), "doc_id", "comp"))
+    large = cut(_sizes(rows).where(F.col("n") > STAR_SIZE).select("node"))
+    used = [rows, large]
+    if not large.count():
         discard(*used)
         return None
-    pairs = cut(pairs.distinct())
-    ids = cut(pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select("b").withColumnRenamed("b", "doc_id")).distinct())
-    n = ids.count()
-    texts = cut(bloom.semi_by_id(docs, ids, n).join(ids, "doc_id", "left_semi")) if n else docs.limit(0)
+    rows = cut(rows.join(large, "node"))
+    ids = cut(rows.select("doc_id").distinct())
+    signed = cut(rows.join(bloom.semi_by_id(reps, ids, ids.count()).select("doc_id", "sig"), "doc_id"))  # only their tokens move
+    sample = signed.groupBy("node").agg(F.array(*(F.min_by("sig", F.xxhash64(F.lit(i), "doc_id")) for i in range(SAMPLE))).alias("sample"))
+    sample = cut(sample)
+    scored = cut(signed.join(sample, "node").mapInArrow(_typical, "node long, doc_id long, score long"))
+    # some of the most typical members, and some of any kind
+    order = [F.col("score") * 4 + F.pmod(F.xxhash64(F.lit(i), "doc_id"), F.lit(16)) for i in range(PIVOTS - 2)] + [F.xxhash64(F.lit(i), "doc_id") for i in range(2)]
+    picks = scored.groupBy("node").agg(F.array(*(F.max_by("doc_id", x) for x in order)).alias("ids")).select("node", F.explode(F.array_distinct("ids")).alias("doc_id"))
+    chosen = signed.join(picks, ["node", "doc_id"]).groupBy("node").agg(F.collect_list(F.struct(F.col("doc_id").alias("id"), "comp", "sig")).alias("pivots"))
+    chosen = cut(chosen)
+    pairs = cut(signed.join(chosen, "node").mapInArrow(_nearest(least), "a long, b long").distinct())
+    used += [rows, ids, signed, sample, scored, chosen, pairs]
+    met_ids = cut(pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct())
+    n = met_ids.count()
+    texts = cut(bloom.semi_by_id(docs, met_ids, n).join(met_ids, "doc_id", "left_semi")) if n else docs.limit(0)
     mine, other = (texts.select(F.col("doc_id").alias(c), F.col("text").alias(t)) for c, t in (("a", "ta"), ("b", "tb")))
-    met = pairs.join(other, "b").join(mine, "a").select("a", "b", "ta", "tb")
-    links = cut(met.mapInArrow(_confirm(k, percent), "a long, b long"))
-    discard(*used, pairs, ids, texts)
+    links = cut(pairs.join(other, "b").join(mine, "a").select("a", "b", "ta", "tb").mapInArrow(_confirm(k, percent), "a long, b long"))
+    discard(*used, met_ids, texts)
     return links
 
 
@@ -284,31 +265,32 @@ def _confirm(k: int, percent: int):
 
 def _cells_of(reps: DataFrame, first: int, last: int) -> tuple[DataFrame, list[DataFrame]]:
     """(leaf, c1, c2, doc_id, comp) of all leaves of the trees, each member set once, and the tables it reads."""
-    used = []
-    rows = reps.mapInArrow(_roots(first, last, DEPTHS[0]), NODES)
-    cells = None
-    for at, depth in enumerate(DEPTHS):
-        end = at + 1 == len(DEPTHS)
-        rows = cut(rows)
-        sizes = cut(_sizes(rows))
-        used += [rows, sizes]
+    rows = cut(reps.mapInArrow(_roots(first, last), NODES))
+    cells, used = None, [rows]
+    for level in LEVELS:
+        here = rows.withColumn("node", F.col(level))
+        end = level == LEVELS[-1]
+        sizes = cut(_sizes(here))
+        used.append(sizes)
         # the same members under several trees are one leaf
         alone = sizes.where(F.col("n") <= SMALL).groupBy("members", "n").agg(F.min("node").alias("node"))
-        new = rows.join(alone.select("node"), "node").select(F.col("node").alias("leaf"), F.lit(-1).alias("c1"), F.lit(0).alias("c2"), "doc_id", "comp")
+        new = here.join(alone.select("node"), "node").select(F.col("node").alias("leaf"), F.lit(-1).alias("c1"), F.lit(0).alias("c2"), "doc_id", "comp")
         cells = new if cells is None else cells.unionByName(new)
-        large = sizes.where(F.col("n") > SMALL)
+        large = sizes.where(F.col("n") > SMALL).select("node")
         if not large.count():
             break
-        parts = rows.join(large.select("node"), "node").groupBy("node", "comp").count().groupBy("node").agg(F.sum("count").alias("n"), F.max(F.struct("count", "comp")).alias("top"))
-        parts = parts.select("node", "n", F.col("top.comp").alias("main"), F.ceil(F.col("top.count") / BLOCK).cast("int").alias("mains"), F.ceil((F.col("n") - F.col("top.count")) / BLOCK).cast("int").alias("rests"), (F.col("n") - F.col("top.count")).alias("others"))
+        parts = here.select("node", "comp").join(large, "node").groupBy("node", "comp").count().groupBy("node").agg(F.sum("count").alias("n"), F.max(F.struct("count", "comp")).alias("top"))
+        others = F.col("n") - F.col("top.count")
+        parts = parts.select("node", "n", others.alias("others"), F.col("top.comp").alias("main"), F.ceil(F.col("top.count") / BLOCK).cast("int").alias("mains"), F.ceil(others / BLOCK).cast("int").alias("rests"))
         cost = (F.col("n") - F.col("others")) * F.col("rests") + F.col("others") * (F.col("mains") + F.col("rests"))
         parts = cut(parts.withColumn("deal", F.lit(end) | (cost <= COPIES * F.col("n"))))
         used.append(parts)
-        cells = cells.unionByName(_deal(rows.join(parts.where("deal"), "node")))
+        cells = cells.unionByName(_deal(here.join(parts.where("deal"), "node")))
         rest = parts.where("not deal").select("node")
         if end or not rest.count():
             break
-        rows = _signed(rows.join(rest, "node"), reps, used).mapInArrow(_deeper(DEPTHS[at + 1] - depth), NODES)
+        rows = cut(here.join(rest, "node").select(*LEVELS, "doc_id", "comp"))
+        used.append(rows)
     return cells, used
 
 
@@ -490,9 +472,9 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
         reps = cut(sure.unionByName(maybe.drop("comp").join(comp, F.col("doc_id") == F.col("id"), "left").select("doc_id", F.coalesce("component", "doc_id").alias("comp"), "sig")))
         discard(last)
 
-    join_up(_stars(docs, reps, FIRST_WAVE, k, percent))
-    for first, last in ((0, FIRST_WAVE), (FIRST_WAVE, TREES)):
-        join_up(_links(docs, reps, first, last, k, percent))
+    join_up(_stars(docs, reps, WAVE, k, percent))
+    for first in range(0, TREES, WAVE):
+        join_up(_links(docs, reps, first, first + WAVE, k, percent))
     discard(reps)
     full = full.select("doc_id", "n_shingles", "set_key").join(classes.where("n > 1").select("set_key", "rep"), "set_key", "left")
     full = full.withColumn("rep", F.coalesce("rep", "doc_id")).join(comp, F.col("rep") == F.col("id"), "left")
