@@ -1,30 +1,31 @@
 """Substring deduplication by sliding sentence spans.
 
-From every sentence on, and up to every sentence, the run of ``span`` consecutive sentences,
-or of more until it has ``min_words`` words, is hashed (96 bits), and so is the run that
-just reaches ``FEW_WORDS`` words where that takes fewer sentences. The hashes are joined
-over the whole corpus, and sentences covered by a run whose first occurrence lies elsewhere
-are removed. The first occurrence is the one in the smallest (doc_id, position). A sentence
+From every sentence on, and up to every sentence, the run of consecutive sentences that
+just reaches ``min_words`` words is hashed (96 bits). The hashes are joined over the whole
+corpus, and sentences covered by a run whose first occurrence lies elsewhere are removed.
+The first occurrence is the one in the smallest doc_id, and the earliest there. A sentence
 ends at ``.``, ``!`` or ``?`` before white space and at a line end; one of over ``LONG``
 words is cut at its commas, semicolons and colons too, and a clause of over ``LONG`` words
 before the word of least hash (the last of equals) of every ``NEAR`` consecutive words, so
 that a passage pasted into running text has whole sentences of its own.
 
-A passage of 50 words with the same line ends loses 26 or more wherever it is pasted: the
-first cut that its words alone decide comes within 12 words of either end, no piece has
-over 12, and a run that just reaches 15 has at most 26.
-
-Scale: only (hash, doc_id, index) rows of 28 bytes are grouped, counted where they lie
-first; a bounded Bloom filter of the repeated hashes then holds back every run that
-occurs once, and the exact join meets the rest (a hot passage is a hot key of a plain
-equi-join, which adaptive execution splits). Texts move only for documents that lose a
-sentence.
-
-Defined results: null text stays null and has no sentence; a blank text stays as it is; a
-document with fewer than ``span`` sentences is one run if it has ``min_words`` words; runs
-repeated inside one document lose all but the first; of rows that repeat an id, all are
-cut alike by the union of their spans when their texts are equal; null ids are never
-changed and never a first occurrence; an empty table gives an empty result.
+With the defaults a passage of 50 words with the same line ends is caught wherever it is
+pasted: at most ``LONG`` words at either end share a sentence with other text and stay, so
+36 words or more are whole sentences, and a run that just reaches 30 words has at most 36.
+Repeats of fewer than ``min_words`` words are never touched.
+
+Scale: only (hash, doc_id) rows of 28 bytes are grouped, counted where they lie first; a
+bounded Bloom filter of the repeated hashes then holds back every run that occurs once,
+and the exact join meets the rest (a hot passage is a hot key of a plain equi-join, which
+adaptive execution splits). The covered runs of a document are one short list. Texts move
+only for documents that lose a sentence; all others never pass through Python again.
+
+Defined results: null text stays null and a blank text stays as it is; texts are read
+whole; a document of fewer than ``min_words`` words has no run; runs repeated inside one
+document lose all but the first; rows that repeat an id and a text are one document and
+are cut alike, those that repeat an id with another text are cut by their own text, but a
+run they share is first in both; null ids are never changed and never a first occurrence;
+an empty table gives an empty result; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -32,153 +33,188 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weftline.llm import bloom
-from weftline.llm.common import cut
+from weftline.llm.common import cut, discard
 
-LONG = 12
-NEAR = 6
-FEW_WORDS = 15
+LONG = 7
+NEAR = 5
+MIN_WORDS = 30
 _WORD = re.compile(r"\S+")
-_END = re.compile(r"[^\n]*?(?:[.!?](?=\s)|\n|$)\s*")
-_CLAUSE = re.compile(r"[^,;:]*(?:[,;:]+(?=\s)\s*|[,;:]+|$)")
+_GAP = {**dict.fromkeys(".!?", 2), **dict.fromkeys(",;:", 1)}
+
+
+class _Hashes(dict):
+    """word -> 64-bit hash, remembering up to a million words."""
+
+    def __missing__(self, word: str) -> int:
+        h = xxhash.xxh3_64_intdigest(word.encode("utf-8", "surrogatepass"))
+        if len(self) < 1_000_000:
+            self[word] = h
+        return h
+
+
+class _Powers:
+    """Powers of an odd number and of its inverse modulo 2^64, as many as the longest text needs."""
+
+    def __init__(self, base: int) -> None:
+        self.base = base
+        self.up = self.down = np.ones(1, np.uint64)
+
+    def upto(self, n: int) -> tuple[np.ndarray, np.ndarray]:
+        if len(self.up) <= n:
+            up = np.full(2 * n, self.base, np.uint64)
+            down = np.full(2 * n, pow(self.base, -1, 2**64), np.uint64)
+            up[0] = down[0] = 1
+            self.up, self.down = np.cumprod(up), np.cumprod(down)
+        return self.up, self.down
+
+
+_BASES = (_Powers(0x9E3779B97F4A7C15), _Powers(0xD6E8FEB86659FD93))
+
+
+def sentence_starts(text: str, hashes: _Hashes) -> tuple[np.ndarray, np.ndarray]:
+    """(index of the first word of each sentence, hashes of all words)."""
+    words: list[str] = []
+    ends = []
+    for line in text.split("\n"):
+        found = line.split()
+        if found:
+            words += found
+            ends.append(len(words) - 1)
+    n = len(words)
+    if not n:
+        return np.empty(0, np.int64), np.empty(0, np.uint64)
+    h = np.fromiter(map(hashes.__getitem__, words), np.uint64, n)
+    gap = np.fromiter((_GAP.get(w[-1], 0) for w in words), np.int8, n)
+    gap[ends] = 2
+    first = np.zeros(n, bool)
+    first[0] = True
+    first[1:] = gap[:-1] == 2
+    clause = np.flatnonzero(gap[:-1] == 1) + 1
+    first[clause[_in_long(first)[clause]]] = True
+    long = _in_long(first)
+    if n >= NEAR and long.any():
+        part = np.cumsum(first)
+        at = np.flatnonzero(long[: n - NEAR + 1] & (part[: n - NEAR + 1] == part[NEAR - 1 :]))
+        near = np.lib.stride_tricks.sliding_window_view(h, NEAR)[at, ::-1]
+        first[at + NEAR - 1 - near.argmin(axis=1)] = True
+    return np.flatnonzero(first), h
+
+
+def _in_long(first: np.ndarray) -> np.ndarray:
+    """For each word, whether its sentence has over ``LONG`` words."""
+    sizes = np.diff(np.append(np.flatnonzero(first), len(first)))
+    return np.repeat(sizes > LONG, sizes)
+
+
+def runs(text: str, min_words: int, hashes: _Hashes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(hash, hash, first sentence, end) of the runs that just reach ``min_words`` words."""
+    starts, h = sentence_starts(text, hashes)
+    n, k = len(h), len(starts)
+    if n < max(1, min_words):
+        return (np.empty(0, np.int64),) * 4
+    edge = np.append(starts, n)
+    end = np.searchsorted(edge, edge[:-1] + min_words)  # from each sentence on
+    begin = np.searchsorted(edge, edge[1:] - min_words, side="right") - 1  # and up to each, so that the last of a passage are in a run too
+    f, g = np.flatnonzero(end <= k), np.flatnonzero(begin >= 0)
+    pair = np.unique(np.concatenate((f * (k + 1) + end[f], begin[g] * (k + 1) + g + 1)))
+    i, e = pair // (k + 1), pair % (k + 1)
+    out = []
+    for base in _BASES:
+        up, down = base.upto(n)
+        upto = np.concatenate((np.zeros(1, np.uint64), np.cumsum(h * up[:n])))
+        out.append((upto[edge[e]] - upto[edge[i]]) * down[edge[i]])
+    return out[0].view(np.int64), (out[1] >> np.uint64(32)).astype(np.uint32).view(np.int32), i, e
 
 
-def sentences(text: str) -> list[tuple[int, int]]:
-    """(start, end) of the sentences; together they cover the text."""
-    out = []
-    for m in _END.finditer(text):
-        if m.end() == m.start():
-            continue
-        if m.end() - m.start() > 2 * LONG and len(m.group().split()) > LONG:
-            for c in _CLAUSE.finditer(m.group()):
-                if c.end() > c.start():
-                    out += _short_pieces(c.group(), m.start() + c.start())
-        else:
-            out.append(m.span())
-    return out
-
-
-def _short_pieces(clause: str, at: int) -> list[tuple[int, int]]:
-    """(start, end) of the clause, cut at words that its neighbours choose if it is long."""
-    if len(clause) <= 2 * LONG or len(clause.split()) <= LONG:
-        return [(at, at + len(clause))]
-    words = list(_WORD.finditer(clause))
-    hashes = [xxhash.xxh32_intdigest(w.group().encode("utf-8", "surrogatepass")) for w in words]
-    chosen = {min(range(i, i + NEAR), key=lambda j: (hashes[j], -j)) for i in range(len(words) - NEAR + 1)}
-    edges = [at, *(at + words[j].start() for j in sorted(chosen) if j), at + len(clause)]
-    return list(zip(edges, edges[1:], strict=False))
-
-
-def runs(text: str, span: int, min_words: int) -> tuple[int, list[tuple[int, int, int, int]]]:
-    """(number of sentences, [(hash, hash, index, length)]) of the runs that are long enough."""
-    cuts = sentences(text)
-    words = [text[a:b].split() for a, b in cuts]
-    kept = [i for i, w in enumerate(words) if w]  # blank pieces join no run
-    sizes, plain = [len(words[j]) for j in kept], [" ".join(words[j]).encode("utf-8", "surrogatepass") for j in kept]
-    n, found = len(kept), set()
-    for least, words_least in ((span, min_words), (1, max(FEW_WORDS, min_words))):
-        end, held = 0, 0  # held: words of the sentences from i to end
-        for i in range(n):
-            while end < n and (end - i < least or held < words_least):
-                held += sizes[end]
-                end += 1
-            if held >= words_least and (end - i >= least or i == 0):
-                found.add((i, end))
-            held -= sizes[i]
-        start, held = n, 0  # the same from the other side, so that the last sentences of a passage are in a run too
-        for end in range(n, 0, -1):
-            while start > 0 and (end - start < least or held < words_least):
-                start -= 1
-                held += sizes[start]
-            if held >= words_least and end - start >= least:
-                found.add((start, end))
-            held -= sizes[end - 1]
-    out = []
-    for i, end in sorted(found):
-        d = xxhash.xxh3_128_intdigest(b" ".join(plain[i:end]))
-        out.append(((d & (2**64 - 1)) - 2**63, (d >> 64 & (2**32 - 1)) - 2**31, kept[i], kept[end - 1] - kept[i] + 1))
-    return len(cuts), out
+_RUNS = pa.schema([("doc_id", pa.int64()), ("key", pa.int64()), ("h1", pa.int64()), ("h2", pa.int32()), ("at", pa.int32()), ("end", pa.int32()), ("again", pa.bool_())])
 
 
-def _explode(span: int, min_words: int):
+def _explode(min_words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("doc_id", pa.int64()), ("h1", pa.int64()), ("h2", pa.int32()), ("at", pa.int32()), ("len", pa.int32())])
+        hashes = _Hashes()
+        parts: list[tuple] = []
+        held = 0
+
+        def flush() -> pa.RecordBatch:
+            cols = [np.concatenate(c) for c in zip(*parts, strict=True)]
+            return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, _RUNS, strict=True)], schema=_RUNS)
+
         for b in batches:
-            rows: list[tuple] = []
-            for i, t in zip(b.column("doc_id").to_pylist(), b.column("text"), strict=True):
-                if i is not None and t.is_valid:
-                    rows += [(i, *r) for r in runs(t.as_py(), span, min_words)[1]]
-                if len(rows) > 200_000:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
-                    rows = []
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
+            for i, key, t in zip(b.column("doc_id").to_pylist(), b.column("key").to_pylist(), b.column("text"), strict=True):
+                if i is None or not t.is_valid:
+                    continue
+                h1, h2, at, end = runs(t.as_py(), min_words, hashes)
+                n = len(h1)
+                if not n:
+                    continue
+                again = np.ones(n, bool)  # not the first of its kind in this document; runs come by position
+                again[np.unique(h1, return_index=True)[1]] = False
+                parts.append((np.full(n, i, np.int64), np.full(n, key, np.int64), h1, h2, at.astype(np.int32), end.astype(np.int32), again))
+                held += n
+                if held > 100_000:
+                    yield flush()
+                    parts, held = [], 0
+        if parts:
+            yield flush()
 
     return run
 
 
+_SPANS = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
+
+
 def _cut_text(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    spans = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
+    """Texts without the sentences of their covered runs."""
+    hashes = _Hashes()
     for b in batches:
-        texts, total, gone, where = [], [], [], []
-        for t, drop in zip(b.column("text"), b.column("drop").to_pylist(), strict=True):
+        texts, gone, where = [], [], []
+        for t, covered in zip(b.column("text"), b.column("covered").to_pylist(), strict=True):
             text = t.as_py()
-            cuts = sentences(text)
-            out, places = [], []
-            drop = set(drop)
-            for i, (a, z) in enumerate(cuts):
-                if i not in drop:
-                    out.append(text[a:z])
-                elif places and places[-1]["end"] == a:
-                    places[-1]["end"] = z
-                else:
-                    places.append({"start": a, "end": z})
-            texts.append("".join(out))
-            total.append(len(cuts))
-            gone.append(len([i for i in drop if i < len(cuts)]))
+            starts, h = sentence_starts(text, hashes)
+            char = np.fromiter((m.start() for m in _WORD.finditer(text)), np.int64, len(h))
+            edge = np.concatenate(([0], char[starts[1:]], [len(text)]))
+            drop = np.zeros(len(starts) + 1, np.int64)
+            for r in covered:
+                drop[r["at"]] += 1
+                drop[r["end"]] -= 1
+            drop = np.cumsum(drop)[:-1] > 0
+            turn = np.diff(np.concatenate(([False], drop, [False])).astype(np.int8))
+            places = [{"start": int(edge[a]), "end": int(edge[z])} for a, z in zip(np.flatnonzero(turn == 1), np.flatnonzero(turn == -1), strict=True)]
+            keep, at = [], 0
+            for p in places:
+                keep.append(text[at : p["start"]])
+                at = p["end"]
+            texts.append("".join([*keep, text[at:]]))
+            gone.append(int(drop.sum()))
             where.append(places)
-        yield pa.RecordBatch.from_arrays(
-            [b.column("doc_id"), pa.array(texts, pa.string()), pa.array(total, pa.int64()), pa.array(gone, pa.int64()), pa.array(where, spans)],
-            ["doc_id", "text", "n_sentences", "n_removed", "removed"],
-        )
+        yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(texts, pa.string()), pa.array(gone, pa.int64()), pa.array(where, _SPANS)], ["doc_id", "text", "n_removed", "removed"])
 
 
-OUT = "doc_id long, text string, n_sentences long, n_removed long, removed array<struct<start:int,end:int>>"
+OUT = "doc_id long, text string, n_removed long, removed array<struct<start:int,end:int>>"
 
 
-def _whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Documents that lose nothing."""
-    spans = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
-    for b in batches:
-        n = [len(sentences(t.as_py())) if t.is_valid else 0 for t in b.column("text")]
-        yield pa.RecordBatch.from_arrays(
-            [b.column("doc_id"), b.column("text"), pa.array(n, pa.int64()), pa.array([0] * len(n), pa.int64()), pa.array([[]] * len(n), spans)],
-            ["doc_id", "text", "n_sentences", "n_removed", "removed"],
-        )
-
-
-def dedup_spans(docs: DataFrame, span: int = 3, min_words: int = 12, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: doc_id, text without repeated spans, n_sentences, n_removed, removed spans."""
-    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    found = docs.mapInArrow(_explode(span, min_words), "doc_id long, h1 long, h2 int, at int, len int")
-    firsts = found.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc_id", "at")).alias("first"))
-    firsts = cut(firsts.where("n > 1").select("h1", "h2", "first"))
-    n = firsts.count()
-    bits = bloom.bits_for(n)
+def dedup_spans(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per document: doc_id, text without repeated spans, n_removed sentences, removed character spans."""
+    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).withColumn("key", F.xxhash64("doc_id", "text"))
+    found = docs.mapInArrow(_explode(min_words), "doc_id long, key long, h1 long, h2 int, at int, end int, again boolean")
+    firsts = cut(found.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("first")).where("n > 1").drop("n"))
+    bits = bloom.bits_for(firsts.count())
     again = bloom.split(found, F.col("h1"), bits, bloom.of_keys(firsts, F.col("h1"), bits))[0]
-    hit = again.join(firsts, ["h1", "h2"]).where("not (doc_id = first.doc_id and at = first.at)").select("doc_id", "at", "len")
-    # covered sentences of a document, each once: a key holds no more than one document's sentences
-    drop = hit.select("doc_id", F.explode(F.sequence("at", F.col("at") + F.col("len") - 1)).alias("at")).distinct()
-    drop = cut(drop.groupBy("doc_id").agg(F.collect_list("at").alias("drop")))
-    m = drop.count()
-    bits = bloom.bits_for(m)
-    maybe, straight = bloom.split(docs, F.col("doc_id"), bits, bloom.of_keys(drop, F.col("doc_id"), bits))
-    maybe = maybe.join(drop, "doc_id", "left")
-    lost = maybe.where(F.col("drop").isNotNull() & F.col("text").isNotNull()).mapInArrow(_cut_text, OUT)
-    clear = maybe.where(F.col("drop").isNull() | F.col("text").isNull()).drop("drop")
-    return straight.unionByName(clear).mapInArrow(_whole, OUT).unionByName(lost)
+    hit = again.join(firsts, ["h1", "h2"]).where("again or doc_id <> first").select("doc_id", "key", "at", "end").distinct()
+    # a key holds no more than one document's runs
+    covered = cut(hit.groupBy("doc_id", "key").agg(F.collect_list(F.struct("at", "end")).alias("covered")))
+    discard(firsts)
+    bits = bloom.bits_for(covered.count())
+    maybe, straight = bloom.split(docs, F.col("key"), bits, bloom.of_keys(covered, F.col("key"), bits))
+    met = maybe.join(covered, ["doc_id", "key"], "left")
+    lost = met.where("covered is not null").select("doc_id", "text", "covered").mapInArrow(_cut_text, OUT)
+    none = F.array().cast("array<struct<start:int,end:int>>")
+    whole = straight.select("doc_id", "text").unionByName(met.where("covered is null").select("doc_id", "text"))
+    return whole.select("doc_id", "text", F.lit(0).cast("long").alias("n_removed"), none.alias("removed")).unionByName(lost)
