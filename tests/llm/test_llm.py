@@ -369,6 +369,13 @@ def test_slots_must_agree(spark):
     assert got == {1: True, 2: False}
 
 
+def test_different_values_may_become_equal(spark):
+    bench = spark.createDataFrame([(1, ITEM)], "item_id long, text string")
+    rows = [(1, ITEM.replace("120", "50").replace("30", "50")), (1, "nothing here at all"), (None, ITEM), (3, ITEM), (3, ITEM)]
+    got = template_decontam.decontaminate(docs(spark, rows), bench).collect()
+    assert sorted((r["doc_id"] or -1, r["contaminated"]) for r in got) == [(-1, False), (1, True), (1, True), (3, True), (3, True)]
+
+
 def test_quotations_that_go_on_or_shout(spark):
     quote = "A train leaves the old station and travels far into the hills before Anna counts the remaining empty seats near the door"
     item = quote + " while everybody there waits quietly for news about Boris and then goes home after a very long day together with Clara in the rain of the evening"
@@ -407,10 +414,26 @@ def test_quality_and_toxicity_on_held_out_rows(spark):
         assert all(r["held_out"] == (zlib.crc32(str(i).encode()) % 5 == 0) for i, r in got.items())
         out = [x for x in labels if got[x[0]]["held_out"]]
         assert np.mean([got[x[0]]["predicted"] == x[at] for x in out]) >= 0.95
+    twice = pairwise_quality.labelled_sample(d.unionByName(d), lab, "quality", 100).collect()
+    assert len(twice) == 100 == len({r["doc_id"] for r in twice})
+    assert pairwise_quality.score_quality(d.limit(0), lab).count() == 0 == toxicity.score_toxicity(d.limit(0), lab).count()
+    d = d.withColumn("_score", F.lit(1)).withColumn("_weft_score", F.lit(2))
     good = pairwise_quality.keep_good(d, lab)
     assert good.columns == d.columns and 300 <= good.count() < n
 
 
+def test_scorers_on_labelled_documents(spark):
+    """Held-out rows of the test tables."""
+    d = "/root/testdata/sf0.1"
+    docs_, labels = spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/labels.parquet")
+    for score, label, least in ((pairwise_quality.score_quality, "quality", 0.98), (toxicity.score_toxicity, "toxic", 0.97)):
+        rows = score(docs_, labels).where("held_out").join(labels.where(f"{label} is not null"), "doc_id").select("predicted", F.col(label).alias("y")).collect()
+        rare = min((0, 1), key=lambda v: sum(r["y"] == v for r in rows))
+        right = [r["predicted"] == r["y"] for r in rows if r["y"] == rare]
+        print(label, len(rows), np.mean([r["predicted"] == r["y"] for r in rows]), len(right), np.mean(right))
+        assert np.mean([r["predicted"] == r["y"] for r in rows]) >= least and np.mean(right) >= 0.85
+
+
 def test_scorers_without_labels(spark):
     d = docs(spark, [(1, "a b"), (2, None)])
     none = spark.createDataFrame([(1, None, None)], "doc_id long, quality int, toxic int")

@@ -66,11 +66,11 @@ def held_out(doc_id: Column) -> Column:
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, max_rows: int) -> DataFrame:
-    """(text, label) of at most ``max_rows`` labelled rows outside the held-out fold.
+    """(doc_id, text, label) of at most ``max_rows`` labelled rows outside the held-out fold.
 
     The rows are those with the smallest hash of their id, so the choice depends on
-    neither partitioning nor order. At most ``max_rows`` ids of 16 bytes are
-    broadcast.
+    neither partitioning nor order. At most ``max_rows`` ids of 16 bytes are broadcast,
+    and of rows that repeat an id one text is taken, that of the smallest hash.
     """
     chosen = (
         labels.select(F.col("doc_id"), F.col(label).cast("int").alias("label"))
@@ -79,4 +79,5 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, max_rows: in
         .orderBy(F.xxhash64("doc_id"), "doc_id")
         .limit(max_rows)
     )
-    return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "label")
+    found = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id")
+    return found.groupBy("doc_id").agg(F.min_by("text", F.xxhash64("text")).alias("text"), F.max("label").alias("label"))

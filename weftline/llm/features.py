@@ -56,24 +56,30 @@ def plain(word: str) -> str:
     return word.strip(_TRIM).lower()
 
 
-def toxic_features(text: str | None, lexicon: dict[str, float], stems: dict[str, float]) -> np.ndarray:
+def toxic_views(text: str | None, lexicons: list[tuple[dict[str, float], dict[str, float]]]) -> list[np.ndarray]:
+    """The features of a text under each (lexicon, stems); what does not depend on them is computed once."""
     t = text or ""
     words = t.split()
-    n = max(1, len(words))
+    n, size = max(1, len(words)), max(1, len(t))
     low = [plain(w) for w in words]
-    hits = [i for i, w in enumerate(low) if w in lexicon]
-    stem = [stems[w[:STEM]] for w in low if w[:STEM] in stems]
-    you = [i for i, w in enumerate(low) if w in SECOND_PERSON]
-    near = 0
-    if hits and you:
-        y = np.array(you)
-        near = sum(1 for i in hits if np.abs(y - i).min() <= 4)
-    odd = [m.group() for m in _ODD.finditer(t)] if any(c in t for c in "0134$@!*-._") else []
-    odd_hits = sum(1 for w, l in zip(words, low, strict=True) if l not in lexicon and any(c in l for c in "013457@$!*") and l.translate(_LEET) in lexicon)
-    size = max(1, len(t))
-    upper = sum(map(str.isupper, words))
-    return np.array([
-        1000 * len(hits) / n, len(hits), 1000 * sum(stem) / n, sum(stem), max([lexicon[low[i]] for i in hits], default=0) + 0.5 * max(stem, default=0), near,
-        len(you) / n, sum(map(t.count, "ABCDEFGHIJKLMNOPQRSTUVWXYZ")) / size, upper / n, sum(map(t.count, string.punctuation)) / size, t.count("!") / n,
-        t.count("?") / n, 1000 * len(odd) / n, odd_hits, math.log1p(len(words)), len(t) / n, len(set(low)) / n,
-    ])
+    you = np.array([i for i, w in enumerate(low) if w in SECOND_PERSON])
+    odd = sum(1 for _ in _ODD.finditer(t))
+    spelt = [(l, l.translate(_LEET)) for l in low if any(c in l for c in "013457@$!*")]
+    tail = [
+        len(you) / n, sum(map(t.count, "ABCDEFGHIJKLMNOPQRSTUVWXYZ")) / size, sum(map(str.isupper, words)) / n, sum(map(t.count, string.punctuation)) / size, t.count("!") / n,
+        t.count("?") / n, 1000 * odd / n,
+    ]
+    end = [math.log1p(len(words)), len(t) / n, len(set(low)) / n]
+    out = []
+    for lexicon, stems in lexicons:
+        hits = [i for i, w in enumerate(low) if w in lexicon]
+        stem = [stems[w[:STEM]] for w in low if w[:STEM] in stems]
+        near = sum(1 for i in hits if np.abs(you - i).min() <= 4) if hits and len(you) else 0
+        odd_hits = sum(1 for l, s in spelt if l not in lexicon and s in lexicon)
+        strongest = max([lexicon[low[i]] for i in hits], default=0) + 0.5 * max(stem, default=0)
+        out.append(np.array([1000 * len(hits) / n, len(hits), 1000 * sum(stem) / n, sum(stem), strongest, near, *tail, odd_hits, *end]))
+    return out
+
+
+def toxic_features(text: str | None, lexicon: dict[str, float], stems: dict[str, float]) -> np.ndarray:
+    return toxic_views(text, [(lexicon, stems)])[0]

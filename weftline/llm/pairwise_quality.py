@@ -11,8 +11,10 @@ The model is fitted on at most ``MAX_TRAIN`` labelled rows outside the held-out
 (those with the smallest id hash), a documented bound; every document is scored whole.
 
 Defined results: a null text is scored as the empty one; without labels of both kinds
-every document scores 1; rows that repeat an id are scored each by its own text; other
-columns (language, source, ids) are never inputs.
+every document scores 1; a score at the threshold is accepted; rows that repeat an id are
+scored each by its own text and of those in training one is learnt from; long texts are
+read whole; an empty table gives an empty result; other columns (language, source, ids)
+are never inputs, and ``keep_good`` returns them whatever their names.
 """
 
 from __future__ import annotations
@@ -24,7 +26,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weftline.llm.common import held_out, labelled_sample
+from weftline.llm.common import fresh, held_out, labelled_sample
 from weftline.llm.features import QUALITY_NAMES, quality_features
 
 MAX_TRAIN = 8_000
@@ -116,4 +118,5 @@ def score_quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The documents, with all their columns, that the model accepts."""
     model = train_quality(docs, labels)
-    return docs.withColumn("_score", score_column(model, F.col("text"))).where(F.col("_score") >= DECIDE).drop("_score")
+    score = fresh(docs.columns, "_weft_score")
+    return docs.withColumn(score, score_column(model, F.col("text"))).where(F.col(score) >= DECIDE).drop(score)

@@ -6,7 +6,7 @@ case without punctuation. Windows of ``width`` canonical words of the benchmark
 hashed and joined to those of the documents. Windows that match at one offset are one
 alignment; it counts if it covers ``coverage`` of the item's windows or ``enough`` of
 them, and if the slots agree: equal values of the item meet equal values of the document
-and different ones different ones, so a re-parameterised question is caught and a chance
+(different ones may become equal), so a re-parameterised question is caught and a chance
 meeting of placeholders is not; slots are compared where windows matched. Windows of the
 case-folded words match too, placeholders or not, and an alignment with enough of those is
 a verbatim quotation whose slots need no agreement. A window needs ``literals`` words that are no placeholders.
@@ -166,6 +166,5 @@ def _slots(docs: DataFrame, bench: DataFrame, hits: DataFrame) -> DataFrame:
         lambda i: F.struct(F.get(m["iw"], i).alias("a"), F.get(m["dw"], (i + m["shift"]).cast("int")).alias("b")),
     ))
     met = met.withColumn("pairs", F.array_distinct(F.transform(places, lambda p: F.struct(bare(p["a"]).alias("a"), bare(p["b"]).alias("b")))))
-    n = F.size("pairs")
-    same = (F.size(F.array_distinct(F.transform("pairs", lambda p: p["a"]))) == n) & (F.size(F.array_distinct(F.transform("pairs", lambda p: p["b"]))) == n)
+    same = F.size(F.array_distinct(F.transform("pairs", lambda p: p["a"]))) == F.size("pairs")  # each value of the item meets one value
     return met.where(same | F.col("quoted")).select("id", "item", "n", F.forall("pairs", lambda p: p["a"] == p["b"]).alias("verbatim"))

@@ -4,14 +4,16 @@ The lexicon (words) and stems (their first letters) are those that the labelled
 rows use far more often than the others, counted by a distributed group-by. Features:
 densities and numbers of lexicon and stem hits, hits near a second-person pronoun,
 capitals, punctuation, obfuscated spellings. The calibration is fitted on predictions for
-rows that a model has not seen (three folds).
+rows that neither the trees nor the lexicon behind them has seen: each of three folds,
+dealt by a hash of the id, has a lexicon and trees of its own.
 
-At most ``MAX_TRAIN`` labelled rows outside the held-out fold are used, at most
-``MAX_LEXICON`` entries make a lexicon, both documented bounds; every document is scored
-on its whole text.
+At most ``MAX_TRAIN`` labelled rows outside the held-out fold are used, a documented bound;
+the lexicon grows with them. Every document is scored on its whole text.
 
 Defined results: a null text is scored as the empty one; without labels of both kinds
-every score is 0; rows that repeat an id are scored each by its own text.
+every score is 0; a score at the threshold is toxic; rows that repeat an id are scored
+each by its own text and of those in training one is learnt from; an empty table gives an
+empty result; other columns are never inputs.
 """
 
 from __future__ import annotations
@@ -24,11 +26,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weftline.llm.boosting import Boosted, Isotonic
-from weftline.llm.common import held_out, labelled_sample
-from weftline.llm.features import STEM, plain, toxic_features
+from weftline.llm.common import cut, held_out, labelled_sample
+from weftline.llm.features import STEM, plain, toxic_features, toxic_views
 
 MAX_TRAIN = 12_000
-MAX_LEXICON = 2_000
 FOLDS = 3
 DECIDE = 0.5
 
@@ -50,39 +51,53 @@ class ToxicModel:
 def _terms(batches):
     for b in batches:
         rows = []
-        for t, y in zip(b["text"], b["label"], strict=True):
+        for t, y, f in zip(b["text"], b["label"], b["fold"], strict=True):
             low = {plain(w) for w in (t or "").split()} - {""}
-            rows += [("w", w, y) for w in low if len(w) < 40] + [("s", s, y) for s in {w[:STEM] for w in low if len(w) >= STEM}]
-        yield pd.DataFrame(rows, columns=["kind", "term", "y"])
+            rows += [("w", w, f, y) for w in low] + [("s", s, f, y) for s in {w[:STEM] for w in low if len(w) >= STEM}]
+        yield pd.DataFrame(rows, columns=["kind", "term", "fold", "y"])
+
+
+def _lexicons(rows: DataFrame, sizes: dict[tuple[int, int], int]) -> list[tuple[dict[str, float], dict[str, float]]]:
+    """(lexicon, stems) of the rows outside each fold, and of all rows last."""
+    counts = rows.mapInPandas(_terms, "kind string, term string, fold int, y int").groupBy("kind", "term")
+    counts = counts.agg(*(F.count_if((F.col("fold") == f) & (F.col("y") == y)).alias(f"n{f}{y}") for f in range(FOLDS) for y in (0, 1)))
+    odds = []
+    for out in [*range(FOLDS), None]:
+        n, total = {}, {}
+        for y in (0, 1):
+            folds = [f for f in range(FOLDS) if f != out]
+            n[y], total[y] = sum((F.col(f"n{f}{y}") for f in folds), F.lit(0)), sum(sizes.get((f, y), 0) for f in folds)
+        value = F.log((n[1] + 0.5) / (total[1] + 1)) - F.log((n[0] + 0.5) / (total[0] + 1))
+        # three rows at least say it, and it is over seven times likelier in toxic texts
+        odds.append(F.when((n[1] >= 3) & (value > 2.0), value))
+    terms = counts.select("kind", "term", *(x.alias(f"o{i}") for i, x in enumerate(odds))).where(" or ".join(f"o{i} is not null" for i in range(len(odds)))).toPandas()
+    return [tuple({t: float(o) for k, t, o in zip(terms["kind"], terms["term"], terms[f"o{i}"], strict=True) if k == kind and o == o and o is not None} for kind in "ws") for i in range(len(odds))]
 
 
 def train_toxic(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_TRAIN) -> ToxicModel:
-    rows = labelled_sample(docs, labels, "toxic", max_rows)
-    sizes = {r["label"]: r["n"] for r in rows.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}  # two rows
-    pos, neg = sizes.get(1, 0), sizes.get(0, 0)
-    if not pos or not neg:
+    fold = F.pmod(F.xxhash64(F.lit("fold"), "doc_id"), F.lit(FOLDS)).cast("int")
+    rows = cut(labelled_sample(docs, labels, "toxic", max_rows).withColumn("fold", fold))
+    sizes = {(r["fold"], r["label"]): r["n"] for r in rows.groupBy("fold", "label").agg(F.count(F.lit(1)).alias("n")).collect()}  # six rows
+    if not any(y == 1 for _, y in sizes) or not any(y == 0 for _, y in sizes):
         return ToxicModel({}, {}, None, None)
-    odds = F.log((F.col("a") + 0.5) / (pos + 1)) - F.log((F.col("b") + 0.5) / (neg + 1))
-    terms = (
-        rows.mapInPandas(_terms, "kind string, term string, y int").groupBy("kind", "term")
-        .agg(F.sum("y").alias("a"), F.sum(1 - F.col("y")).alias("b")).withColumn("odds", odds)
-    )
-    # three rows at least say it, and it is over seven times likelier in toxic texts
-    terms = terms.where((F.col("a") >= 3) & (F.col("odds") > 2.0)).orderBy(F.desc(F.col("odds") * F.log1p("a")), "kind", "term").limit(MAX_LEXICON).toPandas()
-    lexicon, stems = ({t: float(o) for k, t, o in zip(terms["kind"], terms["term"], terms["odds"], strict=True) if k == kind} for kind in "ws")
+    lexicons = _lexicons(rows, sizes)
 
     def extract(batches):
         for b in batches:
-            yield pd.DataFrame({"doc_id": b["doc_id"], "y": b["label"], "x": [toxic_features(t, lexicon, stems) for t in b["text"]]})
+            views = [toxic_views(t, [lexicons[f], lexicons[-1], *(x for i, x in enumerate(lexicons[:-1]) if i != f)]) for t, f in zip(b["text"], b["fold"], strict=True)]
+            yield pd.DataFrame({"doc_id": b["doc_id"], "y": b["label"], "fold": b["fold"], "x": [np.concatenate(v) for v in views]})
 
-    got = rows.mapInPandas(extract, "doc_id long, y int, x array<double>").toPandas().sort_values("doc_id", kind="stable")
-    x, y = np.array(got["x"].tolist()), got["y"].to_numpy().astype(float)
-    fold = np.arange(len(y)) % FOLDS
+    got = rows.mapInPandas(extract, "doc_id long, y int, fold int, x array<double>").toPandas().sort_values("doc_id", kind="stable")
+    y, folds = got["y"].to_numpy().astype(float), got["fold"].to_numpy()
+    x = np.array(got["x"].tolist()).reshape(len(got), FOLDS + 1, -1)
     unseen = np.zeros(len(y))
     for k in range(FOLDS):
-        if (fold != k).any() and (fold == k).any():
-            unseen[fold == k] = Boosted().fit(x[fold != k], y[fold != k]).predict(x[fold == k])
-    return ToxicModel(lexicon, stems, Boosted().fit(x, y), Isotonic().fit(unseen, y))
+        # a row has the view of its own fold's lexicon first, then that of all, then the other folds' in order
+        view = np.where(folds == k, 0, 2 + k - (folds < k))
+        mine = x[np.arange(len(x)), view]
+        if (folds != k).any() and (folds == k).any():
+            unseen[folds == k] = Boosted().fit(mine[folds != k], y[folds != k]).predict(mine[folds == k])
+    return ToxicModel(*lexicons[-1], Boosted().fit(x[:, 1], y), Isotonic().fit(unseen, y))
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
