@@ -1,8 +1,9 @@
 """Substring deduplication by sliding sentence spans.
 
-From every sentence on, and up to every sentence, the run of consecutive sentences that
-just reaches ``min_words`` words is hashed (96 bits). The hashes are joined over the whole
-corpus, and sentences covered by a run whose first occurrence lies elsewhere are removed.
+From every sentence on, the run of consecutive sentences that just reaches ``min_words``
+words is hashed (96 bits), and so is the last such run that ends with the text. The hashes
+are joined over the whole corpus, and sentences covered by a run whose first occurrence
+lies elsewhere are removed.
 The first occurrence is the one in the smallest doc_id, and the earliest there. A sentence
 ends at ``.``, ``!`` or ``?`` before white space and at a line end; one of over ``LONG``
 words is cut at its commas, semicolons and colons too, and a clause of over ``LONG`` words
@@ -12,7 +13,8 @@ that a passage pasted into running text has whole sentences of its own.
 With the defaults a passage of 50 words with the same line ends is caught wherever it is
 pasted: at most ``LONG`` words at either end share a sentence with other text and stay, so
 36 words or more are whole sentences, and a run that just reaches 30 words has at most 36.
-Repeats of fewer than ``min_words`` words are never touched.
+Behind its last run fewer words than one sentence may stay. Repeats of fewer than
+``min_words`` words are never touched.
 
 Scale: only (hash, doc_id) rows of 28 bytes are grouped, counted where they lie first; a
 bounded Bloom filter of the repeated hashes then holds back every run that occurs once,
@@ -50,10 +52,10 @@ _GAP = {**dict.fromkeys(".!?", 2), **dict.fromkeys(",;:", 1)}
 
 
 class _Hashes(dict):
-    """word -> 64-bit hash, remembering up to a million words."""
+    """word -> 64-bit hash whose last two bits are the gap after it, remembering up to a million words."""
 
     def __missing__(self, word: str) -> int:
-        h = xxhash.xxh3_64_intdigest(word.encode("utf-8", "surrogatepass"))
+        h = xxhash.xxh3_64_intdigest(word.encode("utf-8", "surrogatepass")) & ~3 | _GAP.get(word[-1], 0)
         if len(self) < 1_000_000:
             self[word] = h
         return h
@@ -91,7 +93,7 @@ def sentence_starts(text: str, hashes: _Hashes) -> tuple[np.ndarray, np.ndarray]
     if not n:
         return np.empty(0, np.int64), np.empty(0, np.uint64)
     h = np.fromiter(map(hashes.__getitem__, words), np.uint64, n)
-    gap = np.fromiter((_GAP.get(w[-1], 0) for w in words), np.int8, n)
+    gap = h & np.uint64(3)
     gap[ends] = 2
     first = np.zeros(n, bool)
     first[0] = True
@@ -120,11 +122,11 @@ def runs(text: str, min_words: int, hashes: _Hashes) -> tuple[np.ndarray, np.nda
     if n < max(1, min_words):
         return (np.empty(0, np.int64),) * 4
     edge = np.append(starts, n)
-    end = np.searchsorted(edge, edge[:-1] + min_words)  # from each sentence on
-    begin = np.searchsorted(edge, edge[1:] - min_words, side="right") - 1  # and up to each, so that the last of a passage are in a run too
-    f, g = np.flatnonzero(end <= k), np.flatnonzero(begin >= 0)
-    pair = np.unique(np.concatenate((f * (k + 1) + end[f], begin[g] * (k + 1) + g + 1)))
-    i, e = pair // (k + 1), pair % (k + 1)
+    end = np.searchsorted(edge, edge[:-1] + min_words)
+    i = np.flatnonzero(end <= k)
+    e = end[i]
+    if e[-1] < k:  # the last sentences of a text are in a run too
+        i, e = np.append(i, np.searchsorted(edge, n - min_words, side="right") - 1), np.append(e, k)
     out = []
     for base in _BASES:
         up, down = base.upto(n)
@@ -175,15 +177,15 @@ def _cut_text(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     hashes = _Hashes()
     for b in batches:
         texts, gone, where = [], [], []
-        for t, covered in zip(b.column("text"), b.column("covered").to_pylist(), strict=True):
+        lists = b.column("covered")
+        flat, offset = lists.flatten().to_numpy(), lists.offsets.to_numpy() - lists.offsets[0].as_py()
+        for row, t in enumerate(b.column("text")):
             text = t.as_py()
             starts, h = sentence_starts(text, hashes)
             char = np.fromiter((m.start() for m in _WORD.finditer(text)), np.int64, len(h))
             edge = np.concatenate(([0], char[starts[1:]], [len(text)]))
-            drop = np.zeros(len(starts) + 1, np.int64)
-            for r in covered:
-                drop[r["at"]] += 1
-                drop[r["end"]] -= 1
+            covered = flat[offset[row] : offset[row + 1]]
+            drop = np.bincount(covered >> 32, minlength=len(starts) + 1) - np.bincount(covered & 0xFFFFFFFF, minlength=len(starts) + 1)
             drop = np.cumsum(drop)[:-1] > 0
             turn = np.diff(np.concatenate(([False], drop, [False])).astype(np.int8))
             places = [{"start": int(edge[a]), "end": int(edge[z])} for a, z in zip(np.flatnonzero(turn == 1), np.flatnonzero(turn == -1), strict=True)]
@@ -209,7 +211,7 @@ def dedup_spans(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_
     again = bloom.split(found, F.col("h1"), bits, bloom.of_keys(firsts, F.col("h1"), bits))[0]
     hit = again.join(firsts, ["h1", "h2"]).where("again or doc_id <> first").select("doc_id", "key", "at", "end").distinct()
     # a key holds no more than one document's runs
-    covered = cut(hit.groupBy("doc_id", "key").agg(F.collect_list(F.struct("at", "end")).alias("covered")))
+    covered = cut(hit.groupBy("doc_id", "key").agg(F.collect_list(F.shiftleft(F.col("at").cast("long"), 32) + F.col("end")).alias("covered")))
     discard(firsts)
     bits = bloom.bits_for(covered.count())
     maybe, straight = bloom.split(docs, F.col("key"), bits, bloom.of_keys(covered, F.col("key"), bits))
