@@ -283,3 +283,106 @@ def test_second_try(spark):
     score = F.when(F.col("question").startswith("good"), 0.9).when(F.col("question").contains("poor Focus"), 0.5).otherwise(0.1)
     got = {r["query_id"]: r["outcome"] for r in retrieval.with_second_try(q, lambda df: df.select("query_id", F.col("question").alias("answer"), score.alias("quality"))).collect()}
     assert got == {1: "answered", 2: "retried", 3: "clarify"}
+
+
+def test_numbers_over_a_distinct_and_many_partitions(spark):
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "37")
+    try:
+        df = spark.range(20_000).select(((F.col("id") * 7919) % 5003).alias("x")).distinct()
+        got = sorted((r["x"], r["n"]) for r in ingest.number(df, ["x"]).collect())
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert got == [(x, x + 1) for x in range(5003)]
+
+
+def test_merge_properties_like_a_fold(spark):
+    import random
+
+    r, rows, want = random.Random(3), [], {}
+    for pos in range(300):
+        name, desc, conf, props = r.choice("abcd"), "x" * r.randint(0, 4), r.randint(0, 3) / 4, {r.choice("klmn"): f"{pos}" for _ in range(r.randint(0, 2))}
+        rows.append((name, pos, desc, conf, props))
+        if name not in want:
+            want[name] = (desc, conf, props)
+        elif (len(desc), conf) > (len(want[name][0]), want[name][1]):
+            want[name] = (desc, conf, {**want[name][2], **props})
+        else:
+            want[name] = (*want[name][:2], {**props, **want[name][2]})
+    df = spark.createDataFrame(rows, "name string, pos long, description string, confidence double, properties map<string,string>")
+    got = {x["name"]: (x["description"], x["confidence"], x["properties"]) for x in ingest.merge_properties(df).collect()}
+    assert got == want
+
+
+def test_model_hooks(spark):
+    from weftline.functions import hooks
+
+    def build():
+        calls = []
+
+        def model(texts):
+            calls.append(len(texts))
+            assert len(texts) <= 5
+            return [f"{t}:{len(calls) > 0}" for t in texts]
+
+        return model
+
+    d = spark.createDataFrame([(i, f"t{i}" if i % 7 else None) for i in range(50)], "chunk_id int, content string")
+    got = {r["chunk_id"]: r["reply"] for r in hooks.extract(d, build).collect()}
+    assert got == {i: f"t{i}:True" if i % 7 else ":True" for i in range(50)}
+    v = hooks.embed(d, "chunk_id", F.col("content"), lambda: lambda ts: [[float(len(t))] for t in ts]).collect()
+    assert {r["chunk_id"]: r["embedding"] for r in v} == {i: [float(len(f"t{i}")) if i % 7 else 0.0] for i in range(50)}
+    c = spark.createDataFrame([("c", ["a", "b"], ["a -[X]-> b"], "old")], "community_id string, members array<string>, relations array<string>, summary string")
+    assert hooks.summarise(c, lambda: lambda ts: [t.upper() for t in ts]).first()["summary"] == "MEMBERS: A, B\nRELATIONS: A -[X]-> B"
+    assert hooks.summarise(c).first()["summary"] == "old"
+
+
+def test_change_stream_tries_again_and_drops(spark, tmp_path):
+    src, dead, tries = tmp_path / "in", tmp_path / "dead", []
+    src.mkdir()
+    (src / "a.txt").write_text('{"id": "1", "op": "c"}\n{broken\n{"id": "2", "op": "truncate"}\n')
+
+    def apply(df):
+        tries.append(df.count())
+        if len(tries) < 3:
+            raise RuntimeError("not yet")
+
+    cdc.start_cdc(spark.readStream.text(str(src)), apply, str(tmp_path / "ck"), str(dead), once=True).awaitTermination()
+    assert tries == [1, 1, 1]
+    assert sorted(r["reason"] for r in spark.read.parquet(str(dead)).collect()) == ["unparseable", "unsupported"]
+
+    def never(df):
+        raise RuntimeError("no")
+
+    cdc.start_cdc(spark.readStream.text(str(src)), never, str(tmp_path / "ck2"), str(tmp_path / "dead2"), once=True, retries=1).awaitTermination()
+    assert sorted(r["reason"] for r in spark.read.parquet(str(tmp_path / "dead2")).collect()) == ["dropped", "unparseable", "unsupported"]
+
+
+def test_seed_and_snapshot(spark, tmp_path):
+    from weftline.sources import files
+
+    (tmp_path / "g.json").write_text('{"entities": [{"name": "Acme Corp", "type": "Company"}], "relations": [{"head": "F", "relation": "HOLDS", "tail": "Acme Corp"}], "questions": [{"q": "x"}]}')
+    (tmp_path / "t.csv").write_text("a,b\n1,2\n3,4\n")
+    (tmp_path / "e.csv").write_text("a,b\n")
+    home = str(tmp_path / "store")
+    got = {r["part"]: r["n"] for r in files.seed(spark, str(tmp_path / "g.json"), [str(tmp_path / "t.csv"), str(tmp_path / "e.csv")], home).collect()}
+    assert got == {"entities": 1, "relations": 1, "chunks": 2}
+    chunks = {r["text"] for r in spark.read.parquet(f"{home}/chunks").collect()}
+    assert chunks == {"Headers: a | b\na: 1 | b: 2\na: 3 | b: 4", "[Empty CSV]"}
+    entities, relations, aliases = files.graph_snapshot(spark, home)
+    assert entities.count() == relations.count() == 1 and "acme" in {r["alias"] for r in aliases.collect()}
+
+
+def test_split_records(spark):
+    df = spark.createDataFrame([("a", 1), ("b", 2)], "dataset string, x int")
+    train, held = evaluate.split_records(df, ["a"], ["b"])
+    assert [r["x"] for r in train.collect()] == [1] and [r["x"] for r in held.collect()] == [2]
+    with pytest.raises(ValueError):
+        evaluate.split_records(df, ["a"], ["c"])
+
+
+def test_question_batches_are_dealt_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(retrieval, "QUERY_SIDE", 10)
+    v = spark.createDataFrame([(i, [float(i), 1.0]) for i in range(40)], "vec_id long, embedding array<double>")
+    got = retrieval.vector_search(v.withColumnRenamed("vec_id", "query_id"), v, 1).collect()
+    assert len(got) == 40 and len(retrieval.blocks(v.select(F.col("vec_id").alias("query_id")))) == 8

@@ -87,3 +87,97 @@ def apply_weights(records: DataFrame, weights: dict[str, float]) -> DataFrame:
             m = F.create_map(*[F.lit(x) for kv in pairs for x in kv])
             total = total + F.coalesce(F.try_element_at(m, F.col(col)), F.lit(0.0))
     return records.withColumn("score", total)
+
+
+# ---------------------------------------------------------------- reports
+
+
+def router_report(routed: DataFrame, expected: DataFrame, reached: DataFrame) -> DataFrame:
+    """One row of figures for the router.
+
+    ``routed`` has (query_id, metapath, rank), ``expected`` (query_id, metapath, ends), and
+    ``reached`` (query_id, metapath, end): what the walks of the routed and the expected
+    metapaths reach. Precision is 1 / selected on a hit; recall is over the expected ends.
+    """
+    sel = routed.groupBy("query_id").agg(F.collect_set("metapath").alias("selected"), F.min_by("metapath", "rank").alias("top"))
+    want = expected.select("query_id", F.col("metapath").alias("expected"), "ends")
+    ends = reached.join(want.select("query_id", "expected"), "query_id").join(routed.select("query_id", "metapath", F.lit(True).alias("is_routed")), ["query_id", "metapath"], "left")
+    ends = ends.groupBy("query_id").agg(F.collect_set(F.when(F.col("is_routed"), F.col("end"))).alias("routed_ends"), F.collect_set(F.when(F.col("metapath") == F.col("expected"), F.col("end"))).alias("oracle_ends"))
+    none = F.array().cast("array<string>")
+    rows = want.join(sel, "query_id", "left").join(ends, "query_id", "left").withColumns({c: F.coalesce(c, none) for c in ("selected", "routed_ends", "oracle_ends")})
+    size = F.greatest(F.size("ends"), F.lit(1))
+    recall = lambda c: F.round(F.size(F.array_intersect("ends", c)) / size, 3)
+    hit = F.array_contains("selected", F.col("expected"))
+    rows = rows.select(
+        hit.cast("int").alias("hit"), F.coalesce(F.col("top") == F.col("expected"), F.lit(False)).cast("int").alias("top1"), F.size("selected").alias("n"),
+        F.when(hit, F.round(1 / F.size("selected"), 3)).otherwise(0.0).alias("precision"), recall("routed_ends").alias("routed"), recall("oracle_ends").alias("oracle"),
+    )
+    mean = lambda c: F.round(F.avg(c), 3)
+    return rows.agg(
+        F.count(F.lit(1)).alias("total"), F.sum("hit").alias("router_hits"), mean("hit").alias("router_hit_rate"), mean("top1").alias("router_top1_hit_rate"), mean("precision").alias("average_router_precision"),
+        mean("n").alias("average_selected_metapaths"), F.count_if(F.col("routed") == 1).alias("routed_path_hits"), mean("routed").alias("average_routed_path_recall"),
+        F.count_if(F.col("oracle") == 1).alias("oracle_path_hits"), mean("oracle").alias("average_oracle_path_recall"),
+    )
+
+
+def score_answers(items: DataFrame) -> DataFrame:
+    """id, answer_type and the hit tests of answered items.
+
+    ``items`` has id, answer_type, answer, sources (text) and the expected sources (any),
+    evidence terms (all in the sources) and answer points (all in the answer).
+    """
+    low = lambda c: F.lower(F.coalesce(c, F.lit("")))
+    inside = lambda text: lambda term: F.contains(text, F.lower(term))
+    none = lambda c: F.coalesce(F.size(c), F.lit(0)) <= 0
+    sources, answer = low("sources"), low("answer")
+    unsure = F.coalesce(F.col("answer_type"), F.lit("")) == "insufficient"
+    admits = F.exists(F.array(*map(F.lit, vocab.INSUFFICIENT_TERMS)), inside(answer))
+    rows = items.select(
+        "id", F.coalesce("answer_type", F.lit("unknown")).alias("answer_type"), (none("expected_sources") | F.exists("expected_sources", inside(sources))).alias("source_hit"),
+        (none("expected_terms") | F.forall("expected_terms", inside(sources))).alias("evidence_hit"),
+        F.when(none("expected_points"), ~unsure | admits).otherwise(F.forall("expected_points", inside(answer))).alias("answer_point_hit"), (~unsure | admits).alias("insufficient_hit"),
+    )
+    hits = ("source_hit", "evidence_hit", "answer_point_hit", "insufficient_hit")
+    rows = rows.withColumns({c: F.coalesce(c, F.lit(False)) for c in hits})
+    return rows.withColumn("passed", F.col("source_hit") & F.col("evidence_hit") & F.col("answer_point_hit") & F.col("insufficient_hit"))
+
+
+def answer_report(scored: DataFrame) -> DataFrame:
+    """Rates over all items (answer_type null) and by answer type."""
+    rate = lambda c: F.round(F.avg(F.col(c).cast("int")), 3).alias(f"{c}_rate")
+    return scored.rollup("answer_type").agg(F.count(F.lit(1)).alias("total"), *map(rate, ("passed", "source_hit", "evidence_hit", "answer_point_hit", "insufficient_hit")))
+
+
+def readiness(entities: DataFrame, relations: DataFrame, instances: DataFrame, records: DataFrame, least_instances: int = 1, least_labels: int = 2) -> DataFrame:
+    """One row: counts of the artifacts of a ranker, a gate for each, and the names of those that are shut."""
+    one = lambda df, *c: df.agg(*c)
+    n = F.count(F.lit(1))
+    row = one(entities, n.alias("entities")).join(one(relations, n.alias("relations")), F.lit(True))  # one row each
+    row = row.join(one(instances, n.alias("instances"), F.count_distinct("metapath").alias("metapaths")), F.lit(True))
+    row = row.join(one(records, F.count_distinct("query_id").alias("queries"), F.count_distinct(F.when(F.col("label") == 1, F.col("candidate"))).alias("positive_metapaths")), F.lit(True))
+    gates = {
+        "graph": (F.col("entities") > 0) & (F.col("relations") > 0), "instances": F.col("instances") >= least_instances, "all_metapaths": F.col("metapaths") == len(vocab.METAPATHS),
+        "questions": F.col("queries") > 0, "labels": F.col("positive_metapaths") >= least_labels,
+    }
+    shut = F.array_compact(F.array(*(F.when(~ok, F.lit(k)) for k, ok in gates.items())))
+    return row.withColumns({f"{k}_ready": ok for k, ok in gates.items()} | {"blockers": shut, "ready": F.size(shut) == 0})
+
+
+def split_records(records: DataFrame, train: list[str], test: list[str]) -> tuple[DataFrame, DataFrame]:
+    """(training, evaluation) records by data set; ValueError where one would be empty."""
+    parts = tuple(records.where(F.col("dataset").isin(names)) for names in (train, test))
+    for name, part in zip(("training", "evaluation"), parts, strict=True):
+        if not part.limit(1).count():
+            raise ValueError(f"no {name} records")
+    return parts
+
+
+def top_weights(weights: DataFrame, k: int = 10) -> DataFrame:
+    """The ``k`` (feature, weight) rows of greatest absolute weight, ties by feature."""
+    return weights.orderBy(F.desc(F.abs("weight")), "feature").limit(k)
+
+
+def question_instances(questions: DataFrame, instances: DataFrame) -> DataFrame:
+    """(query_id, metapath, instance_id) of the path instances that begin at one of a question's start ids (array ``start_ids``)."""
+    asked = questions.select("query_id", F.explode(F.array_distinct("start_ids")).alias("start_id"))
+    return asked.join(instances, "start_id").select("query_id", "metapath", "instance_id")

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftline import vocab
@@ -13,11 +13,20 @@ from weftline import vocab
 EDGE = "struct<head:string,relation:string,tail:string>"
 
 
-def durable(df: DataFrame) -> DataFrame:
-    """Written to the shared checkpoint folder, so an iteration does not grow its lineage."""
-    sc = df.sparkSession.sparkContext
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of ``spark.checkpoint.dir``; a fresh local one only where that is unset and the master is local."""
+    sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="weftline-"))
+        path = spark.conf.get("spark.checkpoint.dir", None)
+        if path is None and not sc.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        sc.setCheckpointDir(path or tempfile.mkdtemp(prefix="weftline-"))
+    return sc._jsc.sc().getCheckpointDir().get()
+
+
+def durable(df: DataFrame) -> DataFrame:
+    """Written to the shared folder, so an iteration does not grow its lineage."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 
@@ -58,7 +67,7 @@ def neighbors(edges: DataFrame, starts: DataFrame, hops: int = 2, entities: Data
     ``starts`` has the column ``start``. An edge is met again from its other end, as the
     search goes over frontier nodes; nodes are expanded once per start.
     """
-    und = undirected(edges)
+    und = durable(undirected(edges))  # read once a hop, made once
     seen = starts.select("start", F.col("start").alias("node")).distinct()
     frontier, found = seen, []
     for hop in range(1, hops + 1):
@@ -129,10 +138,32 @@ def traverse(entities: DataFrame, edges: DataFrame, m: vocab.Metapath, starts: D
     return cur
 
 
+def path_instances(entities: DataFrame, edges: DataFrame, m: vocab.Metapath, limit: int | None = 1000) -> DataFrame:
+    """(metapath, instance_id, start_id, nodes, edge_ids) of the walks from every node of the first type.
+
+    Ordered by start and then by nodes; of each metapath the first ``limit`` (none: all).
+    Ids are hashes of what they name, so they need no numbering.
+    """
+    node_id = lambda c: F.substring(F.sha2(c.cast("binary"), 256), 1, 16)
+    walks = traverse(entities, edges, m)
+    nodes = F.concat(F.array("start"), F.transform("path", lambda e: e["tail"]))
+    ids = F.transform("path", lambda e: node_id(F.concat_ws("|", e["head"], e["relation"], e["tail"])))
+    out = walks.select(F.lit(m.name).alias("metapath"), "start", nodes.alias("nodes"), ids.alias("edge_ids"))
+    if limit is not None:
+        out = out.orderBy("start", "nodes").limit(limit)
+    return out.select("metapath", node_id(F.concat_ws("|", F.col("metapath"), F.array_join("edge_ids", "|"))).alias("instance_id"), node_id(F.col("start")).alias("start_id"), "nodes", "edge_ids")
+
+
 def evidence(path: Column) -> Column:
     return F.array_join(F.transform(path, lambda e: F.concat(e["head"], F.lit(" -["), e["relation"], F.lit("]-> "), e["tail"])), "; ")
 
 
+def metapath_text(name: Column, path: Column) -> Column:
+    """A walk as evidence, with what its metapath stands for. The wording is a fixed value."""
+    known = F.create_map(*[F.lit(x) for m in vocab.METAPATHS.values() for x in (m.name, m.description)])
+    return F.concat(F.lit("Metapath "), name, F.lit(": "), evidence(path), F.lit(". This supports "), F.try_element_at(known, name))
+
+
 def intermediates(path: Column) -> Column:
     return F.transform(F.slice(path, 1, F.size(path) - 1), lambda e: e["tail"])
 
@@ -143,7 +174,7 @@ def shortest_paths(edges: DataFrame, pairs: DataFrame, most: int = 5) -> DataFra
     Level by level from the starts; a node keeps its least predecessor path, so ties fall
     alike in every run. Levels end early when every pair is met.
     """
-    und = undirected(edges).select("source", "target").distinct()
+    und = durable(undirected(edges).select("source", "target").distinct())
     starts = pairs.select("start").distinct()
     seen = starts.select("start", F.col("start").alias("node"), F.lit(0).alias("length"), F.array("start").alias("nodes"))
     frontier = seen
@@ -201,7 +232,7 @@ def communities(labels: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def summary(members: Column, relations: Column) -> Column:
-    """The structured summary: first eight members, up to five themes, first eight relations."""
+    """The structured summary: first eight members, up to five themes, first eight relations. The wording is a fixed value."""
     shown = F.array_join(F.slice(members, 1, 8), ", ")
     themes = F.array_sort(F.array_distinct(F.transform(relations, lambda r: F.lower(F.replace(F.regexp_extract(r, r"-\[([A-Z_]+)\]->", 1), F.lit("_"), F.lit(" "))))))
     themes = F.array_join(F.slice(F.filter(themes, lambda x: x != ""), 1, 5), ", ")

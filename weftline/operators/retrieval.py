@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -9,6 +11,7 @@ from pyspark.sql import functions as F
 from weftline import vocab
 from weftline.functions import similarity as S
 from weftline.functions import text as T
+from weftline.operators import graph as G
 
 QUERY_SIDE = 10_000  # questions that a batch may broadcast; a larger batch is dealt out instead
 
@@ -18,17 +21,24 @@ def top_k(df: DataFrame, by: list[str], order: list[Column], k: int, rank: str =
     return df.withColumn(rank, F.row_number().over(W.partitionBy(*by).orderBy(*order))).where(F.col(rank) <= k)
 
 
-def small(queries: DataFrame) -> DataFrame:
-    """A question batch as a broadcast side if it is at most ``QUERY_SIDE`` rows."""
-    return F.broadcast(queries) if queries.limit(QUERY_SIDE + 1).count() <= QUERY_SIDE else queries
+def blocks(queries: DataFrame) -> list[DataFrame]:
+    """A question batch (query_id, ...) as broadcast sides of at most about ``QUERY_SIDE`` rows each."""
+    n = queries.count()
+    if n <= QUERY_SIDE:
+        return [F.broadcast(queries)]
+    parts = -(-2 * n // QUERY_SIDE)  # half full on average, so that chance does not overfill one
+    mine = F.pmod(F.xxhash64("query_id"), F.lit(parts))
+    return [F.broadcast(queries.where(mine == i)) for i in range(parts)]
 
 
 def vector_search(queries: DataFrame, vectors: DataFrame, k: int = 5) -> DataFrame:
     """(query_id, vec_id, score, rank) by cosine, clamped at 0; exact."""
-    q = small(queries.select("query_id", F.col("embedding").alias("_q")))
-    met = vectors.join(q, F.lit(True))  # a stated batch of questions against all rows
-    scored = met.select("query_id", "vec_id", F.greatest(F.lit(0.0), S.cosine(F.col("_q"), F.col("embedding"))).alias("score"))
-    return top_k(scored, ["query_id"], [F.desc("score"), F.asc("vec_id")], k)
+    out = []
+    for q in blocks(queries.select("query_id", F.col("embedding").alias("_q"))):
+        met = vectors.join(q, F.lit(True))  # a stated batch of questions against all rows, a block at a time
+        scored = met.select("query_id", "vec_id", F.greatest(F.lit(0.0), S.cosine(F.col("_q"), F.col("embedding"))).alias("score"))
+        out.append(top_k(scored, ["query_id"], [F.desc("score"), F.asc("vec_id")], k))
+    return reduce(DataFrame.unionByName, out)
 
 
 def lexical_search(queries: DataFrame, docs: DataFrame, k: int = 20) -> DataFrame:
@@ -178,3 +188,65 @@ def name_matches(mentions: DataFrame, names: DataFrame, least: float = 0.8, k: i
     n = S.hash_embedding(names.select("name").distinct(), "name", F.col("name"), dims).withColumnRenamed("value", "v")
     scores = m.join(n, "index").groupBy("mention", "name").agg(F.sum(F.col("value") * F.col("v")).alias("score")).where(F.col("score") >= least)
     return top_k(scores, ["mention"], [F.desc("score"), F.asc("name")], k)
+
+
+# ---------------------------------------------------------------- evidence of the graph, search, enrichment
+
+
+def subgraph_evidence(linked: DataFrame, edges: DataFrame, entities: DataFrame, hops: int = 2) -> DataFrame:
+    """(query_id, entity, hop, content, score): every edge met from a question's linked entities.
+
+    ``linked`` has (query_id, question, entity); ``entities`` has name, type and may have a
+    description. The wording is a fixed value.
+    """
+    met = G.neighbors(edges, linked.select(F.col("entity").alias("start")).distinct(), hops)
+    desc = F.col("description") if "description" in entities.columns else F.lit("")
+    about = entities.select(F.col("name").alias("target"), F.col("type").alias("target_type"), desc.alias("target_desc"))
+    met = met.join(about, "target", "left")
+    blank = lambda c: F.coalesce(F.col(c), F.lit(""))
+    met = met.withColumn("content", F.concat("source", F.lit(" --["), "relation", F.lit("]--> "), "target", F.lit(" ("), blank("target_type"), F.lit("): "), blank("target_desc")))
+    named = linked.groupBy("query_id").agg(F.collect_set(F.lower("entity")).alias("named"))  # a question's entities
+    rows = linked.join(named, "query_id").join(met, F.col("entity") == F.col("start"))
+    score = S.subgraph_score(
+        F.array_contains("named", F.lower("entity")), F.contains(F.lower("question"), F.lower("target")) & (F.col("target") != ""), F.lit(1.0), S.graph_lexical(F.col("question"), F.col("content"))
+    )
+    return rows.select("query_id", "entity", "hop", "content", score.alias("score"))
+
+
+def useful_communities(communities: DataFrame) -> DataFrame:
+    """Communities whose summary says something."""
+    return communities.where((F.coalesce("summary", F.lit("")) != "") & ~F.contains(F.col("summary"), F.lit(vocab.NO_RELATIONS)))
+
+
+def search_entities(entities: DataFrame, keyword: str, limit: int = 20) -> DataFrame:
+    """At most ``limit`` entities whose name or description contains the keyword, case aside, by name."""
+    low = F.lit(keyword.lower())
+    return entities.where(F.contains(F.lower("name"), low) | F.contains(F.lower(F.coalesce("description", F.lit(""))), low)).orderBy("name").limit(limit)
+
+
+def entity_names(entities: DataFrame, limit: int = 1000) -> DataFrame:
+    return entities.select("name").orderBy("name").limit(limit)
+
+
+def enrich(contexts: DataFrame, results: DataFrame) -> DataFrame:
+    """Contexts (query_id, content, source, score, kind) with the multimodal results appended, numbered by falling score.
+
+    Equal scores keep the order of appending.
+    """
+    every = contexts.select("query_id", "content", "source", "score", "kind", F.lit(0).alias("part"), "pos").unionByName(
+        results.select("query_id", "content", "source", "score", F.lit("multimodal").alias("kind"), F.lit(1).alias("part"), "pos")
+    )
+    w = W.partitionBy("query_id").orderBy(F.desc("score"), "part", "pos")
+    return every.withColumn("place", F.row_number().over(w)).drop("part", "pos")
+
+
+def visible_vectors(queries: DataFrame, vectors: DataFrame, registry: DataFrame, k: int = 5) -> DataFrame:
+    """(query_id, vec_id, score, place): the nearest ``k`` of the vectors of committed or unknown documents (column ``source``)."""
+    return vector_search(queries, G.visible(vectors, registry), k).withColumnRenamed("rank", "place")
+
+
+def visible_candidates(queries: DataFrame, vectors: DataFrame, texts: DataFrame, registry: DataFrame, k: int = 5) -> DataFrame:
+    """(query_id, id, score, kind): max(8k, k) visible vectors and, beside them, the lexical candidates of visible texts."""
+    near = visible_vectors(queries, vectors, registry, max(8 * k, k)).select("query_id", F.col("vec_id").alias("id"), "score", F.lit("vector").alias("kind"))
+    lex = lexical_search(queries, G.visible(texts, registry), k)
+    return near.unionByName(lex.select("query_id", F.col("doc_id").alias("id"), (F.col("hits") / F.col("n_tokens")).alias("score"), F.lit("lexical").alias("kind")))

@@ -63,14 +63,15 @@ def rewrite_query(spark, d):
     return r.select("query_id", F.col("r.queries")[0].alias("first"), F.col("r.queries")[1].alias("second"))
 
 
+_DESCRIBED = "(VALUES " + ", ".join(f"('{m.name}', '{m.description}')" for m in vocab.METAPATHS.values()) + ") d(name, description)"
 _ALL_WALKS = " UNION ALL ".join(f"SELECT '{m.name}' AS metapath, start, \"end\", evidence FROM ({_walk_sql(m)})" for m in vocab.METAPATHS.values())
 
 
-@Q.add(f"""WITH {_ROUTE}, w AS ({_ALL_WALKS}) SELECT qs.query_id, w.metapath, "end", 'Metapath ' || w.metapath || ': ' || evidence || '.' AS content FROM qs JOIN routed USING (query_id) JOIN w ON w.metapath = routed.metapath AND w.start = qs.start""")
+@Q.add(f"""WITH {_ROUTE}, w AS ({_ALL_WALKS}) SELECT qs.query_id, w.metapath, "end", 'Metapath ' || w.metapath || ': ' || evidence || '. This supports ' || description AS content FROM qs JOIN routed USING (query_id) JOIN w ON w.metapath = routed.metapath AND w.start = qs.start JOIN {_DESCRIBED} ON d.name = w.metapath""")
 def metapath_evidence(spark, d):
     routed = routing.route(questions(spark))
     p = _paths(spark, d, routed)
-    return p.select("query_id", "metapath", "end", F.concat(F.lit("Metapath "), "metapath", F.lit(": "), G.evidence(F.col("path")), F.lit(".")).alias("content"))
+    return p.select("query_id", "metapath", "end", G.metapath_text(F.col("metapath"), F.col("path")).alias("content"))
 
 
 _TEMPLATES = "(VALUES " + ", ".join("('" + r.name + "', '" + r.description + "', '" + r.conclusion + "')" for r in vocab.RULES) + ") t(rule, description, template)"
@@ -129,7 +130,7 @@ def qa_end_to_end(spark, d):
     # both branches walk the same paths: found once, kept in the shared folder
     walks = G.durable(_paths(spark, d, routed.select("query_id", "metapath").unionByName(chosen.select("query_id", "metapath")).distinct()))
     p = routed.select("query_id", "metapath").join(walks, ["query_id", "metapath"]).join(q.select("query_id", "question"), "query_id")
-    text = F.concat(F.lit("Metapath "), "metapath", F.lit(": "), G.evidence(F.col("path")))
+    text = G.metapath_text(F.col("metapath"), F.col("path"))
     paths = p.select("query_id", F.lit(4).alias("branch_ord"), F.xxhash64("metapath", "end").alias("pos"), text.alias("content"), F.col("metapath").alias("source"), S.metapath_score(F.lit(1.0), S.graph_lexical(F.col("question"), text)).alias("score"))
     facts = routing.infer(chosen, walks)
     inf = facts.select("query_id", F.lit(5).alias("branch_ord"), F.xxhash64("rule", "end").alias("pos"), F.col("evidence").alias("content"), F.col("rule").alias("source"), F.col("confidence").alias("score"))

@@ -123,14 +123,13 @@ def rate_limit(spark, d):
 
 @Q.add()
 def line_diff(spark, d):
-    docs = table(spark, d, "documents").where("text is not null")
-    after = F.concat_ws("\n", F.lit("First line."), F.array_join(F.slice(F.split("text", "\n"), 2, 1_000_000), "\n"))
+    docs = table(spark, d, "documents").withColumn("text", F.coalesce("text", F.lit("")))
+    lines = F.split("text", "\n")
+    after = F.concat_ws("\n", F.lit("First line."), F.array_join(F.slice(lines, F.lit(2), F.greatest(F.size(lines) - 1, F.lit(0))), "\n"))
     e = docs.select("doc_id", F.lit("UPDATE").alias("operation"), F.create_map(F.lit("content"), "text").alias("before"), F.create_map(F.lit("content"), after).alias("after"))
     return cdc.with_diff(e).select("doc_id", "diff.added_count", "diff.removed_count", "diff.change_ratio", "diff.major")
 
 
-
-
 @Q.add("SELECT chunk_id, name FROM (SELECT event_id // 10 AS chunk_id, 'u' || user_id AS name, value / 100 AS confidence FROM events) WHERE confidence >= 0.7")
 def extraction_gate(spark, d):
     ents, rels = _extracted(spark, d)
@@ -173,7 +172,7 @@ def _stream(spark, d):
 
 @Q.add("SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS n FROM events GROUP BY ALL")
 def stream_tumbling(spark, d):
-    out = cdc.stream_to_table(spark, cdc.tumbling(_stream(spark, d)), "weft_tumbling", "complete")
+    out = cdc.stream_to_table(spark, cdc.tumbling(_stream(spark, d)), "complete")
     return out.select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n")
 
 
@@ -185,13 +184,13 @@ def batch_tumbling(spark, d):
 @Q.add("""WITH g AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER w >= INTERVAL 30 MINUTE OR lag(ts) OVER w IS NULL THEN 1 ELSE 0 END AS fresh FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
     s AS (SELECT user_id, ts, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM g) SELECT user_id, min(ts) AS start, max(ts) + INTERVAL 30 MINUTE AS "end", count(*) AS n FROM s GROUP BY user_id, k""")
 def stream_session(spark, d):
-    out = cdc.sessions(table(spark, d, "events"))
+    out = cdc.stream_to_table(spark, cdc.sessions(_stream(spark, d)), "complete")
     return out.select("user_id", F.col("start").cast("timestamp_ntz").alias("start"), F.col("end").cast("timestamp_ntz").alias("end"), "n")
 
 
 @Q.add("SELECT DISTINCT user_id, event_type FROM events")
 def stream_dedup(spark, d):
     s = _stream(spark, d).withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", "60 days").select("user_id", "event_type", "ts").dropDuplicatesWithinWatermark(["user_id", "event_type"])
-    return cdc.stream_to_table(spark, s.select("user_id", "event_type"), "weft_dedup")
+    return cdc.stream_to_table(spark, s.select("user_id", "event_type"))
 
 

@@ -70,9 +70,9 @@ def _people(spark, d):
 
 
 @Q.add(
-    f"""WITH e AS ({_CORP}), {_UND}, {_PEOPLE}, n AS ({ENTITIES_SQL}),
-        h1 AS (SELECT start, 1 AS hop, source, relation, target FROM p JOIN und ON start = source),
-        f AS (SELECT DISTINCT start, target AS node FROM h1 WHERE target <> start),
+    f"""WITH e AS MATERIALIZED ({_CORP}), {_UND.replace("und AS (", "und AS MATERIALIZED (")}, {_PEOPLE}, n AS MATERIALIZED ({ENTITIES_SQL}),
+        h1 AS MATERIALIZED (SELECT start, 1 AS hop, source, relation, target FROM p JOIN und ON start = source),
+        f AS MATERIALIZED (SELECT DISTINCT start, target AS node FROM h1 WHERE target <> start),
         h2 AS (SELECT start, 2 AS hop, source, relation, target FROM f JOIN und ON node = source)
         SELECT start, hop, source, relation, target, type AS target_type FROM (SELECT * FROM h1 UNION ALL SELECT * FROM h2) JOIN n ON target = name"""
 )

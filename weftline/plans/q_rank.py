@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weftline import vocab
@@ -34,7 +37,7 @@ def vector_topk(spark, d):
 @Q.add(f"SELECT q.vec_id AS query_id, e.vec_id, CAST(floor({_SIM} * 1000 + 0.5) AS BIGINT) AS milli FROM embeddings q, embeddings e WHERE q.vec_id % 50 = 0")
 def cosine_all(spark, d):
     q, e = _vectors(spark, d)
-    met = e.join(R.small(q.select("query_id", F.col("embedding").alias("q"))), F.lit(True))
+    met = reduce(DataFrame.unionByName, (e.join(b, F.lit(True)) for b in R.blocks(q.select("query_id", F.col("embedding").alias("q")))))
     return met.select("query_id", "vec_id", F.floor(S.cosine(F.col("q"), F.col("embedding")) * 1000 + 0.5).cast("long").alias("milli"))
 
 

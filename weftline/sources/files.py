@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import posixpath
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftline.functions import text as T
 from weftline.operators import ingest
+from weftline.operators.graph import durable
 
 
 def documents(spark: SparkSession, path: str) -> DataFrame:
@@ -38,10 +40,15 @@ def within(root: str, name: str) -> str:
 
 
 def table_texts(spark: SparkSession, path: str, batch: int = 20) -> DataFrame:
-    """(batch, text) of a CSV file with a header, serialised for retrieval."""
+    """(batch, text) of a CSV file with a header, serialised for retrieval; one text says so if it has no rows.
+
+    The numbered rows are written once, so that their order is the same wherever it is read.
+    """
     df = spark.read.csv(path, header=True)
-    rows = df.withColumn("_order", F.monotonically_increasing_id())
-    return ingest.serialize_table(rows, df.columns, ["_order"], batch)
+    order = "_weft_order"
+    rows = durable(df.withColumn(order, F.monotonically_increasing_id()))
+    empty = spark.range(1).select(F.lit(0).cast("long").alias("batch"), F.lit("[Empty CSV]").alias("text")).join(rows.limit(1), F.lit(True), "left_anti")
+    return ingest.serialize_table(rows, df.columns, [order], batch).unionByName(empty)
 
 
 def graph_json(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -59,9 +66,42 @@ def holdings_graph(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     return entities, relations
 
 
-def write_chunks(chunks: DataFrame, path: str) -> None:
-    """Chunks with their document's id as the partition key of later deletes."""
-    chunks.write.mode("append").parquet(path)
+def write_chunks(chunks: DataFrame, path: str, parts: int = 64) -> None:
+    """Chunks dealt to folders by a hash of their document's id, so a later delete rewrites its documents' folders only."""
+    bucket = F.pmod(F.xxhash64("doc_id"), F.lit(parts)).cast("int")
+    chunks.withColumn("bucket", bucket).repartition("bucket").write.mode("append").partitionBy("bucket").parquet(path)
+
+
+def graph_snapshot(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(entities, relations, alias index) of a stored graph; the index has a row for each alias of a name."""
+    entities, relations = spark.read.parquet(f"{path}/entities"), spark.read.parquet(f"{path}/relations")
+    return entities, relations, alias_index(entities)
+
+
+def alias_index(entities: DataFrame) -> DataFrame:
+    """(alias, name)."""
+    return entities.select(F.explode(T.aliases(F.col("name"))).alias("alias"), "name").where("alias <> ''").distinct()
+
+
+def write_graph_snapshot(entities: DataFrame, relations: DataFrame, path: str) -> None:
+    entities.write.mode("overwrite").parquet(f"{path}/entities")
+    relations.write.mode("overwrite").parquet(f"{path}/relations")
+
+
+def seed(spark: SparkSession, graph: str, tables: list[str], path: str) -> DataFrame:
+    """Stores a JSON graph and CSV tables as the first content under ``path``; returns the number of rows of each part."""
+    entities, relations, _ = graph_json(spark, graph)
+    write_graph_snapshot(entities, relations, path)
+    texts = [table_texts(spark, t).select(F.lit(t).alias("doc_id"), "batch", "text") for t in tables]
+    if texts:
+        write_chunks(reduce(DataFrame.unionByName, texts), f"{path}/chunks")
+    counts = [spark.read.parquet(f"{path}/{p}").agg(F.count(F.lit(1)).alias("n")).select(F.lit(p).alias("part"), "n") for p in ("entities", "relations", *(["chunks"] if texts else []))]
+    return reduce(DataFrame.unionByName, counts)
+
+
+def write_artifact(values: DataFrame, path: str) -> None:
+    """A report or model as one small JSON file: ``values`` has a handful of rows."""
+    values.coalesce(1).write.mode("overwrite").json(path)
 
 
 def write_jsonl(df: DataFrame, path: str) -> None:

@@ -3,16 +3,20 @@
 from __future__ import annotations
 
 import difflib
+import time
+import uuid
 from collections import deque
 from collections.abc import Iterator
 
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from weftline import vocab
+from weftline.operators.graph import durable, shared_folder
 
 MESSAGE = "id string, op string, source struct<table:string>, before map<string,string>, after map<string,string>, ts_ms bigint"
 
@@ -123,22 +127,40 @@ def file_events(spark: SparkSession, folder: str, schema: str) -> DataFrame:
     return spark.readStream.schema(schema).json(folder)
 
 
-def start_cdc(messages: DataFrame, apply, checkpoint: str, dead_letters: str, once: bool = False):
-    """Applies each micro-batch of messages; unparseable or unsupported ones go to ``dead_letters``.
+def start_cdc(messages: DataFrame, apply, checkpoint: str, dead_letters: str, once: bool = False, retries: int = 3):
+    """Applies each micro-batch of messages, parsed once; what cannot be applied goes to ``dead_letters``.
 
-    ``apply(events)`` gets the normalised events; offsets are committed after it succeeds.
+    ``apply(events)`` gets the normalised events and is tried ``retries`` times more if it
+    raises, with growing pauses; then the batch's events are dead letters too. Offsets are
+    committed after that. A replayed batch writes the same folder of dead letters again,
+    named by its number, so nothing is there twice.
     """
 
-    def batch(df: DataFrame, _: int) -> None:
-        events = from_messages(df).withColumn("change", change_type(F.col("operation")))
+    def batch(df: DataFrame, number: int) -> None:
+        events = durable(from_messages(df).withColumn("change", change_type(F.col("operation"))))
         good = F.col("parsed") & F.col("change").isNotNull()
-        apply(events.where(good))
-        events.where(~good).select("event_id", "operation", "resource", "ts").write.mode("append").parquet(dead_letters)
+        reason = F.when(~F.col("parsed"), "unparseable").otherwise("unsupported")
+        dead = events.where(~good).withColumn("reason", reason)
+        for attempt in range(1, retries + 2):
+            try:
+                apply(events.where(good))
+                break
+            except Exception:
+                if attempt > retries:
+                    dead = dead.unionByName(events.where(good).withColumn("reason", F.lit("dropped")))
+                else:
+                    time.sleep(min(0.5 * attempt, 2.0))
+        dead.select("event_id", "operation", "resource", "ts", "reason").write.mode("overwrite").parquet(f"{dead_letters}/batch={number}")
 
     w = messages.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)
     return (w.trigger(availableNow=True) if once else w).start()
 
 
+def request_metrics(requests: DataFrame) -> DataFrame:
+    """(path, count, total, last): upserted sums of a stream in update mode, or of a table."""
+    return requests.groupBy("path").agg(F.count(F.lit(1)).alias("count"), F.sum("duration").alias("total"), F.max_by("duration", "seq").alias("last"))
+
+
 def tumbling(events: DataFrame, every: str = "1 hour", late: str = "10 minutes") -> DataFrame:
     """Counts and sums by window and type; the same expression over a table and over a stream."""
     e = events.withColumn("ts", F.col("ts").cast("timestamp"))
@@ -154,9 +176,27 @@ def sessions(events: DataFrame, gap: str = "30 minutes", late: str = "10 minutes
     return e.groupBy(F.session_window("ts", gap), "user_id").agg(F.count(F.lit(1)).alias("n")).select(F.col("session_window.start").alias("start"), F.col("session_window.end").alias("end"), "user_id", "n")
 
 
-def stream_to_table(spark: SparkSession, stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
-    """Runs a bounded stream to its end into a memory table."""
-    spark.sql(f"drop view if exists {name}")
-    q = stream.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start()
-    q.awaitTermination()
-    return spark.table(name)
+def stream_to_table(spark: SparkSession, stream: DataFrame, mode: str = "append", keys: list[str] | None = None) -> DataFrame:
+    """Runs a bounded stream to its end into files of the shared folder and returns what they hold.
+
+    Every batch writes the folder of its number, so a replay leaves nothing twice. In
+    append mode the result is all batches; in complete mode the last one; in update mode
+    the last row of each of ``keys``.
+    """
+    home = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
+
+    def write(df: DataFrame, number: int) -> None:
+        df.write.mode("overwrite").parquet(f"{home}/rows/batch={number}")
+
+    stream.writeStream.foreachBatch(write).outputMode(mode).option("checkpointLocation", f"{home}/state").trigger(availableNow=True).start().awaitTermination()
+    schema = T.StructType([*stream.schema.fields, T.StructField("batch", T.IntegerType())])
+    try:
+        rows = spark.read.schema(schema).parquet(f"{home}/rows")
+    except AnalysisException:  # no batch was written
+        return spark.createDataFrame([], stream.schema)
+    if mode == "complete":
+        rows = rows.join(F.broadcast(rows.agg(F.max("batch").alias("batch"))), "batch", "left_semi")
+    elif mode == "update":
+        rest = [c for c in rows.columns if c not in [*keys, "batch"]]
+        return rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), "batch").alias("r")).select(*keys, *(F.col(f"r.{c}").alias(c) for c in rest))
+    return rows.drop("batch")
