@@ -36,9 +36,9 @@ def segments(positions: DataFrame) -> DataFrame:
     )
 
 
-def of_keys(df: DataFrame, key: Column, bits: int) -> DataFrame:
-    """The filter that holds every key of ``df``."""
-    return segments(df.select(F.explode(F.array(*probes(key, bits))).alias("pos")))
+def of_keys(df: DataFrame, key: Column, bits: int, one: bool = False) -> DataFrame:
+    """The filter that holds every key of ``df``; with ``one`` at one position each, which is quicker to read."""
+    return segments(df.select(F.explode(F.array(*probes(key, bits)[: 1 if one else 2])).alias("pos")))
 
 
 def of_repeats(df: DataFrame, key: Column, bits: int) -> DataFrame:

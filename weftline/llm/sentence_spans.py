@@ -3,8 +3,8 @@
 From every sentence on, the run of consecutive sentences that just reaches ``min_words``
 words is hashed (96 bits), and so is the last such run that ends with the text. The hashes
 are joined over the whole corpus, and sentences covered by a run whose first occurrence
-lies elsewhere are removed.
-The first occurrence is the one in the smallest doc_id, and the earliest there. A sentence
+lies elsewhere are removed. The first occurrence is the one in the smallest doc_id, and the
+earliest there. Words are what ASCII white space divides. A sentence
 ends at ``.``, ``!`` or ``?`` before white space and at a line end; one of over ``LONG``
 words is cut at its commas, semicolons and colons too, and a clause of over ``LONG`` words
 before the word of least hash (the last of equals) of every ``NEAR`` consecutive words, so
@@ -32,12 +32,10 @@ an empty table gives an empty result; other columns are ignored, whatever their
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -47,18 +45,11 @@ from weftline.llm.common import cut, discard
 LONG = 7
 NEAR = 5
 MIN_WORDS = 30
-_WORD = re.compile(r"\S+")
-_GAP = {**dict.fromkeys(".!?", 2), **dict.fromkeys(",;:", 1)}
-
-
-class _Hashes(dict):
-    """word -> 64-bit hash whose last two bits are the gap after it, remembering up to a million words."""
-
-    def __missing__(self, word: str) -> int:
-        h = xxhash.xxh3_64_intdigest(word.encode("utf-8", "surrogatepass")) & ~3 | _GAP.get(word[-1], 0)
-        if len(self) < 1_000_000:
-            self[word] = h
-        return h
+PART = 1 << 20
+_BLANK = np.isin(np.arange(256), [32, *range(9, 14)])
+_GAP = np.zeros(256, np.int8)
+_GAP[list(b",;:")] = 1
+_GAP[list(b".!?")] = 2
 
 
 class _Powers:
@@ -76,25 +67,48 @@ class _Powers:
             self.up, self.down = np.cumprod(up), np.cumprod(down)
         return self.up, self.down
 
+    def of(self, values: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """The hashes of the slices of ``values``: polynomials, as differences of prefix sums."""
+        up, down = self.upto(len(values))
+        upto = np.zeros(len(values) + 1, np.uint64)
+        np.cumsum(values * up[: len(values)], out=upto[1:])
+        return (upto[end] - upto[start]) * down[start]
+
+
+_BYTES, *_RUNS_OF = (_Powers(x) for x in (0xA0761D6478BD642F, 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93))
 
-_BASES = (_Powers(0x9E3779B97F4A7C15), _Powers(0xD6E8FEB86659FD93))
 
+def _mix(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    return x ^ (x >> np.uint64(29))
 
-def sentence_starts(text: str, hashes: _Hashes) -> tuple[np.ndarray, np.ndarray]:
-    """(index of the first word of each sentence, hashes of all words)."""
-    words: list[str] = []
-    ends = []
-    for line in text.split("\n"):
-        found = line.split()
-        if found:
-            words += found
-            ends.append(len(words) - 1)
-    n = len(words)
+
+def _word_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """A part of the text at a time, so that a very long text needs no more memory."""
+    out, i = [np.empty(0, np.uint64)], 0
+    while i < len(start):
+        j = max(i + 1, int(np.searchsorted(end, start[i] + PART)))
+        out.append(_BYTES.of(data[start[i] : end[j - 1]].astype(np.uint64), start[i:j] - start[i], end[i:j] - start[i]))
+        i = j
+    return _mix(np.concatenate(out))
+
+
+def sentence_starts(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(index of the first word of each sentence, hashes of all words, first byte of all words) of a text's bytes."""
+    blank = np.ones(len(data) + 2, bool)
+    blank[1:-1] = _BLANK[data]
+    edge = np.flatnonzero(blank[1:] != blank[:-1])
+    start, end = edge[::2], edge[1::2]
+    n = len(start)
     if not n:
-        return np.empty(0, np.int64), np.empty(0, np.uint64)
-    h = np.fromiter(map(hashes.__getitem__, words), np.uint64, n)
-    gap = h & np.uint64(3)
-    gap[ends] = 2
+        return start, np.empty(0, np.uint64), start
+    h = _word_hashes(data, start, end)
+    gap = _GAP[data[end - 1]]
+    lines = np.flatnonzero(data == 10)
+    at = np.searchsorted(lines, end[:-1])
+    ended = at < len(lines)
+    ended[ended] = lines[at[ended]] < start[1:][ended]
+    gap[:-1][ended] = 2
     first = np.zeros(n, bool)
     first[0] = True
     first[1:] = gap[:-1] == 2
@@ -104,9 +118,13 @@ def sentence_starts(text: str, hashes: _Hashes) -> tuple[np.ndarray, np.ndarray]
     if n >= NEAR and long.any():
         part = np.cumsum(first)
         at = np.flatnonzero(long[: n - NEAR + 1] & (part[: n - NEAR + 1] == part[NEAR - 1 :]))
-        near = np.lib.stride_tricks.sliding_window_view(h, NEAR)[at, ::-1]
-        first[at + NEAR - 1 - near.argmin(axis=1)] = True
-    return np.flatnonzero(first), h
+        near = [h[at + j] for j in range(NEAR)]
+        least = np.minimum.reduce(near)
+        best = np.zeros(len(at), np.int64)
+        for j, x in enumerate(near):  # the last of equals
+            best[x == least] = j
+        first[at + best] = True
+    return np.flatnonzero(first), h, start
 
 
 def _in_long(first: np.ndarray) -> np.ndarray:
@@ -115,9 +133,9 @@ def _in_long(first: np.ndarray) -> np.ndarray:
     return np.repeat(sizes > LONG, sizes)
 
 
-def runs(text: str, min_words: int, hashes: _Hashes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def runs(data: np.ndarray, min_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(hash, hash, first sentence, end) of the runs that just reach ``min_words`` words."""
-    starts, h = sentence_starts(text, hashes)
+    starts, h, _ = sentence_starts(data)
     n, k = len(h), len(starts)
     if n < max(1, min_words):
         return (np.empty(0, np.int64),) * 4
@@ -127,12 +145,12 @@ def runs(text: str, min_words: int, hashes: _Hashes) -> tuple[np.ndarray, np.nda
     e = end[i]
     if e[-1] < k:  # the last sentences of a text are in a run too
         i, e = np.append(i, np.searchsorted(edge, n - min_words, side="right") - 1), np.append(e, k)
-    out = []
-    for base in _BASES:
-        up, down = base.upto(n)
-        upto = np.concatenate((np.zeros(1, np.uint64), np.cumsum(h * up[:n])))
-        out.append((upto[edge[e]] - upto[edge[i]]) * down[edge[i]])
-    return out[0].view(np.int64), (out[1] >> np.uint64(32)).astype(np.uint32).view(np.int32), i, e
+    one, two = (p.of(h, edge[i], edge[e]) for p in _RUNS_OF)
+    return one.view(np.int64), (two >> np.uint64(32)).astype(np.uint32).view(np.int32), i, e
+
+
+def _data(text: pa.Scalar) -> np.ndarray:
+    return np.frombuffer(text.as_buffer(), np.uint8) if len(text.as_buffer()) else np.empty(0, np.uint8)
 
 
 _RUNS = pa.schema([("doc_id", pa.int64()), ("key", pa.int64()), ("h1", pa.int64()), ("h2", pa.int32()), ("at", pa.int32()), ("end", pa.int32()), ("again", pa.bool_())])
@@ -140,7 +158,6 @@ _RUNS = pa.schema([("doc_id", pa.int64()), ("key", pa.int64()), ("h1", pa.int64(
 
 def _explode(min_words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = _Hashes()
         parts: list[tuple] = []
         held = 0
 
@@ -152,7 +169,7 @@ def _explode(min_words: int):
             for i, key, t in zip(b.column("doc_id").to_pylist(), b.column("key").to_pylist(), b.column("text"), strict=True):
                 if i is None or not t.is_valid:
                     continue
-                h1, h2, at, end = runs(t.as_py(), min_words, hashes)
+                h1, h2, at, end = runs(_data(t), min_words)
                 n = len(h1)
                 if not n:
                     continue
@@ -174,26 +191,25 @@ _SPANS = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
 
 def _cut_text(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Texts without the sentences of their covered runs."""
-    hashes = _Hashes()
     for b in batches:
         texts, gone, where = [], [], []
         lists = b.column("covered")
         flat, offset = lists.flatten().to_numpy(), lists.offsets.to_numpy() - lists.offsets[0].as_py()
         for row, t in enumerate(b.column("text")):
-            text = t.as_py()
-            starts, h = sentence_starts(text, hashes)
-            char = np.fromiter((m.start() for m in _WORD.finditer(text)), np.int64, len(h))
-            edge = np.concatenate(([0], char[starts[1:]], [len(text)]))
+            data = _data(t)
+            starts, _, byte = sentence_starts(data)
+            edge = np.concatenate(([0], byte[starts[1:]], [len(data)]))
             covered = flat[offset[row] : offset[row + 1]]
             drop = np.bincount(covered >> 32, minlength=len(starts) + 1) - np.bincount(covered & 0xFFFFFFFF, minlength=len(starts) + 1)
             drop = np.cumsum(drop)[:-1] > 0
             turn = np.diff(np.concatenate(([False], drop, [False])).astype(np.int8))
-            places = [{"start": int(edge[a]), "end": int(edge[z])} for a, z in zip(np.flatnonzero(turn == 1), np.flatnonzero(turn == -1), strict=True)]
-            keep, at = [], 0
-            for p in places:
-                keep.append(text[at : p["start"]])
-                at = p["end"]
-            texts.append("".join([*keep, text[at:]]))
+            raw, keep, places, at, char = data.tobytes(), [], [], 0, 0
+            for a, z in zip(edge[np.flatnonzero(turn == 1)].tolist(), edge[np.flatnonzero(turn == -1)].tolist(), strict=True):
+                keep.append(raw[at:a].decode())
+                char += len(keep[-1])
+                places.append({"start": char, "end": char + len(raw[a:z].decode())})
+                at, char = z, places[-1]["end"]
+            texts.append("".join([*keep, raw[at:].decode()]))
             gone.append(int(drop.sum()))
             where.append(places)
         yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(texts, pa.string()), pa.array(gone, pa.int64()), pa.array(where, _SPANS)], ["doc_id", "text", "n_removed", "removed"])
@@ -208,7 +224,7 @@ def dedup_spans(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_
     found = docs.mapInArrow(_explode(min_words), "doc_id long, key long, h1 long, h2 int, at int, end int, again boolean")
     firsts = cut(found.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("first")).where("n > 1").drop("n"))
     bits = bloom.bits_for(firsts.count())
-    again = bloom.split(found, F.col("h1"), bits, bloom.of_keys(firsts, F.col("h1"), bits))[0]
+    again = bloom.split(found, F.col("h1"), bits, bloom.of_keys(firsts, F.col("h1"), bits, one=True), one=True)[0]
     hit = again.join(firsts, ["h1", "h2"]).where("again or doc_id <> first").select("doc_id", "key", "at", "end").distinct()
     # a key holds no more than one document's runs
     covered = cut(hit.groupBy("doc_id", "key").agg(F.collect_list(F.shiftleft(F.col("at").cast("long"), 32) + F.col("end")).alias("covered")))
