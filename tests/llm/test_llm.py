@@ -659,6 +659,32 @@ def test_pipeline(spark, tmp_path):
     assert {r["doc_id"] for r in p.run(spark, str(tmp_path)).select("doc_id").collect()} == kept["bpe"]
 
 
+def test_pipeline_stages_on_odd_rows(spark, tmp_path):
+    """Nulls, empty and long texts, ids and rows that repeat, columns named like those used inside, empty tables."""
+    import corpus_pipeline as p
+
+    names = "doc_id long, text string, lang string, _maybe int, _score int, _weft_go int, id int, n int, sig int, rep string, h1 int"
+    a, b = prose(1, 60), prose(2, 60)
+    rows = [(None, None), (None, a), (1, None), (2, ""), (3, " \n"), (5, a), (5, b), (7, b), (8, a), (8, a), (9, prose(3, 9000)), (10, "two words"), (11, "Two  WORDS")]
+    full = [(i, t, "en", 1, 2, 3, 4, 5, 6, "x", 7) for i, t in rows]
+    d = str(tmp_path)
+    spark.createDataFrame([(i, 1, 0) for i in range(20)] + [(i + 100, i % 2, i % 2) for i in range(20)], "doc_id long, quality int, toxic int").write.parquet(f"{d}/labels.parquet")
+    spark.createDataFrame([(1, ITEM), (None, a), (2, None)], "item_id long, text string").write.parquet(f"{d}/benchmark.parquet")
+    docs_ = spark.createDataFrame(full, names)
+    keep = lambda df: sorted(((r["doc_id"], r["text"]) for r in df.collect()), key=str)
+    assert keep(p.exact(spark, docs_, d)) == sorted([(3, " \n"), (2, ""), (7, b), (8, a), (9, rows[10][1]), (10, "two words"), (11, "Two  WORDS")], key=str)
+    assert keep(p.near(spark, docs_, d)) == sorted([r for r in rows if r[0] not in (7, 8, 11)], key=str)
+    assert keep(p.decontaminate(spark, docs_, d)) == sorted(rows, key=str)
+    for name, stage in p.STAGES[:-1]:
+        out = stage(spark, docs_, d)
+        assert out.columns == docs_.columns and {tuple(r)[2:] for r in out.collect()} <= {full[0][2:]}, name
+        assert stage(spark, docs_.limit(0), d).count() == 0
+    assert p.tokens(spark, docs_, d).count() == len(rows)
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.mode("overwrite").parquet(f"{d}/labels.parquet")
+    spark.createDataFrame([], "item_id long, text string").write.mode("overwrite").parquet(f"{d}/benchmark.parquet")
+    assert p.quality(spark, docs_, d).count() == len(rows) == p.decontaminate(spark, docs_, d).count()
+
+
 def test_oracle_sql(spark):
     from tests.oracle import connection, rows
     from weftline.llm import queries

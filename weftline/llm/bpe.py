@@ -17,7 +17,9 @@ Decoding turns ids into bytes and follows UTF-8 incrementally, holding back the
 an unfinished character.
 
 Defined results: null text is empty and has no tokens; surrogates that are no characters
-are replaced as tiktoken replaces them.
+are replaced as tiktoken replaces them; a text of any length is read whole, in time that
+grows with its length; rows that repeat come out once each; a null id comes out null; an
+empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -26,6 +28,7 @@ import base64
 import hashlib
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -292,9 +295,15 @@ def stream_text(codec: Codec, ids: bytes, step: int = 65536) -> Iterator[str]:
     yield utf8.feed(b"", last=True)
 
 
+@lru_cache(maxsize=2)
+def codec_for(path: str, pattern: str) -> Codec:
+    """The codec of a worker process; its states and memory, both bounded, serve the tasks that follow."""
+    return Codec(load_ranks(path), pattern)
+
+
 def _codec_batches(path: str, pattern: str, with_ids: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = Codec(load_ranks(path), pattern)
+        codec = codec_for(path, pattern)
         for b in batches:
             n, ids_sha, text_sha, ids_out = [], [], [], []
             for t in b.column("text"):
