@@ -138,6 +138,26 @@ def traverse(entities: DataFrame, edges: DataFrame, m: vocab.Metapath, starts: D
     return cur
 
 
+def walk_counts(entities: DataFrame, edges: DataFrame, m: vocab.Metapath) -> DataFrame:
+    """(start, end, walks): how many walks along a metapath join two nodes, without building a path.
+
+    From the last step to the first, and summed at each, so a hub of the middle steps
+    meets one row for each end and not one for each walk.
+    """
+    check_metapath(m)
+    typed = lambda t, c: entities.where(F.col("type") == t).select(F.col("name").alias(c)).distinct()
+    out = None
+    for a, relation, way, b in reversed(m.steps):
+        ends = ("head", "tail") if way == "out" else ("tail", "head")
+        step = edges.where(F.lower("relation") == relation).select(F.col(ends[0]).alias("start"), F.col(ends[1]).alias("mid"))
+        step = step.join(typed(a, "start"), "start", "left_semi")
+        if out is None:
+            out = step.join(typed(b, "mid"), "mid", "left_semi").groupBy("start", F.col("mid").alias("end")).agg(F.count(F.lit(1)).alias("walks"))
+        else:
+            out = step.join(out.withColumnRenamed("start", "mid"), "mid").groupBy("start", "end").agg(F.sum("walks").alias("walks"))
+    return out
+
+
 def path_instances(entities: DataFrame, edges: DataFrame, m: vocab.Metapath, limit: int | None = 1000) -> DataFrame:
     """(metapath, instance_id, start_id, nodes, edge_ids) of the walks from every node of the first type.
 

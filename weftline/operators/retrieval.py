@@ -41,8 +41,8 @@ def vector_search(queries: DataFrame, vectors: DataFrame, k: int = 5) -> DataFra
     return reduce(DataFrame.unionByName, out)
 
 
-def lexical_search(queries: DataFrame, docs: DataFrame, k: int = 20) -> DataFrame:
-    """(query_id, doc_id, hits, n_tokens, rank): documents by the share of the question's tokens they have.
+def lexical_scores(queries: DataFrame, docs: DataFrame) -> DataFrame:
+    """(query_id, doc_id, n_tokens, hits): how many of a question's tokens each document has, unranked.
 
     Tokens meet by an equi-join, so only documents that share a token are scored.
     """
@@ -50,8 +50,12 @@ def lexical_search(queries: DataFrame, docs: DataFrame, k: int = 20) -> DataFram
     wanted = q.select("query_id", F.size("tokens").alias("n_tokens"), F.explode("tokens").alias("token"))
     vocabulary = wanted.select("token").distinct()
     have = docs.select("doc_id", F.explode(F.array_distinct(T.ascii_tokens(F.col("text")))).alias("token")).join(vocabulary, "token", "left_semi")
-    hits = have.join(wanted, "token").groupBy("query_id", "doc_id", "n_tokens").agg(F.count(F.lit(1)).alias("hits"))
-    return top_k(hits, ["query_id"], [F.desc("hits"), F.asc("doc_id")], k)
+    return have.join(wanted, "token").groupBy("query_id", "doc_id", "n_tokens").agg(F.count(F.lit(1)).alias("hits"))
+
+
+def lexical_search(queries: DataFrame, docs: DataFrame, k: int = 20) -> DataFrame:
+    """(query_id, doc_id, hits, n_tokens, rank): documents by the share of the question's tokens they have."""
+    return top_k(lexical_scores(queries, docs), ["query_id"], [F.desc("hits"), F.asc("doc_id")], k)
 
 
 def merge_candidates(rows: DataFrame, k: int) -> DataFrame:

@@ -25,6 +25,11 @@ def _walks(spark, d, m: vocab.Metapath, unique: bool = False):
     return G.traverse(entities(spark, d), relations(spark, d, *names), m, unique_edges=unique)
 
 
+def _counts(spark, d, m: vocab.Metapath):
+    names = dict.fromkeys(s[1] for s in m.steps)
+    return G.walk_counts(entities(spark, d), relations(spark, d, *names), m)
+
+
 def _metapath(m: vocab.Metapath) -> None:
     def run(spark, d):
         w = _walks(spark, d, m)
@@ -48,16 +53,16 @@ def metapath_unique_edges(spark, d):
 
 @Q.add(f"""SELECT start, "end" AS sector, count(*) AS holdings FROM ({_walk_sql(vocab.METAPATHS['sector_exposure'])}) GROUP BY ALL""")
 def sector_exposure(spark, d):
-    return _walks(spark, d, vocab.METAPATHS["sector_exposure"]).groupBy("start", F.col("end").alias("sector")).agg(F.count(F.lit(1)).alias("holdings"))
+    return _counts(spark, d, vocab.METAPATHS["sector_exposure"]).select("start", F.col("end").alias("sector"), F.col("walks").alias("holdings"))
 
 
 @Q.add(f"""SELECT metapath, count(*) AS instances, count(DISTINCT "end") AS ends, count(DISTINCT start) AS starts FROM ({" UNION ALL ".join(f"SELECT '{m.name}' AS metapath, start, \"end\" FROM ({_walk_sql(m)})" for m in vocab.METAPATHS.values())}) GROUP BY metapath""")
 def path_instances(spark, d):
     out = None
     for m in vocab.METAPATHS.values():
-        w = _walks(spark, d, m).select(F.lit(m.name).alias("metapath"), "start", "end")
+        w = _counts(spark, d, m).select(F.lit(m.name).alias("metapath"), "start", "end", "walks")
         out = w if out is None else out.unionByName(w)
-    return out.groupBy("metapath").agg(F.count(F.lit(1)).alias("instances"), F.count_distinct("end").alias("ends"), F.count_distinct("start").alias("starts"))
+    return out.groupBy("metapath").agg(F.sum("walks").alias("instances"), F.count_distinct("end").alias("ends"), F.count_distinct("start").alias("starts"))
 
 
 _CORP = edges_sql(*CORPORATE)

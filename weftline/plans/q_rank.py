@@ -67,7 +67,7 @@ _MIX = f"WITH {_LEX}, s AS (SELECT query_id, doc_id, hits * 1.0 / n AS l, (doc_i
 
 
 def _mixed(spark, d):
-    h = R.lexical_search(_bench(spark, d), table(spark, d, "documents"), 2**31 - 1)
+    h = R.lexical_scores(_bench(spark, d), table(spark, d, "documents"))
     l, v, m = F.col("hits") / F.col("n_tokens"), (F.col("doc_id") % 97) / 97.0, (F.col("doc_id") % 5) / 5.0
     return h.select("query_id", "doc_id", S.hybrid_score(v, l, m).alias("score"))
 
