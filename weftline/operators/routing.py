@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from weftline import vocab
 from weftline.functions import text as T
+from weftline.operators.graph import durable
 from weftline.operators import graph as G
 
 
@@ -87,10 +88,10 @@ def resolve(mentions: DataFrame, entities: DataFrame, alias_table: DataFrame | N
     ``entities`` has (name, seq). Each stage runs only on what the ones before left. The
     similar-name stage meets every name that can reach ``fuzzy``, see ``_shared_keys``.
     """
-    ents = entities.select("name", "seq").withColumn("_norm", T.normalize_name(F.col("name")))
+    ents = durable(entities.select("name", "seq").withColumn("_norm", T.normalize_name(F.col("name"))))  # every stage reads it
     todo = mentions.select("mention").distinct().where(~F.lower("mention").isin(*vocab.ENTITY_STOPWORDS)).withColumn("norm", T.normalize_name(F.col("mention")))
     if alias_table is not None:
-        todo = todo.join(F.broadcast(alias_table.select(F.lower("alias").alias("_a"), "target")), F.lower("mention") == F.col("_a"), "left").withColumn("key", F.coalesce("target", "mention")).drop("_a", "target")
+        todo = todo.join(alias_table.select(F.lower("alias").alias("_a"), "target"), F.lower("mention") == F.col("_a"), "left").withColumn("key", F.coalesce("target", "mention")).drop("_a", "target")
     else:
         todo = todo.withColumn("key", F.col("mention"))
     todo = todo.withColumn("norm", T.normalize_name(F.col("key")))
@@ -100,9 +101,9 @@ def resolve(mentions: DataFrame, entities: DataFrame, alias_table: DataFrame | N
     rest = todo.join(exact, "mention", "left_anti")
     by_alias = rest.join(al, F.col("norm") == F.col("alias")).groupBy("mention").agg(F.max_by("name", "seq").alias("name")).withColumn("how", F.lit("alias"))
     rest = rest.join(by_alias, "mention", "left_anti")
-    inside = rest.join(ents.drop("_norm"), F.contains(F.lower("name"), F.lower("key")) & (F.length("key") >= 3))
-    contained = pick(inside.select("mention", "name", "seq")).withColumn("how", F.lit("contains"))
-    rest = rest.join(contained, "mention", "left_anti")
+    inside = _containing(rest.where(F.length("key") >= 3), ents.drop("_norm"))
+    contained = durable(pick(inside.select("mention", "name", "seq")).withColumn("how", F.lit("contains")))
+    rest = durable(rest.join(contained, "mention", "left_anti"))
     from weftline.functions.similarity import name_ratio
 
     keyed = rest.select("mention", "norm", F.explode(_shared_keys(F.col("norm"), fuzzy)).alias("_key"))
@@ -118,6 +119,20 @@ def resolve(mentions: DataFrame, entities: DataFrame, alias_table: DataFrame | N
     return exact.unionByName(by_alias).unionByName(contained).unionByName(similar).unionByName(embedded)
 
 
+def _containing(mentions: DataFrame, names: DataFrame) -> DataFrame:
+    """(mention, name, seq) of the names that contain a mention's ``key``, case aside.
+
+    A name with the key has all its runs of three characters; they meet by the one of the
+    key that the fewest names have, so a run that most names share brings no pair.
+    """
+    threes = lambda c: F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - 2, F.lit(1))), lambda i: F.substr(F.lower(c), i, F.lit(3))))
+    have = names.select("name", "seq", F.explode(threes(F.col("name"))).alias("three"))
+    held = have.groupBy("three").agg(F.count(F.lit(1)).alias("n"))
+    own = mentions.select("mention", "key", F.explode(threes(F.col("key"))).alias("three")).join(held, "three", "left")
+    rarest = own.groupBy("mention", "key").agg(F.min_by("three", F.struct(F.coalesce("n", F.lit(0)).alias("n"), "three")).alias("three"))
+    return rarest.join(have, "three").where(F.contains(F.lower("name"), F.lower("key"))).select("mention", "name", "seq")
+
+
 def _shared_keys(name: Column, fuzzy: float) -> Column:
     """Bigrams, for short names characters too: names with a ratio of ``fuzzy`` share one.
 
