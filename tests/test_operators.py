@@ -164,6 +164,48 @@ def test_chunker_words_and_blank(spark):
     assert [(r["doc_id"], r["content"]) for r in chunk.chunk_documents(d).collect()] == [(3, "One. Two.")]
 
 
+def test_chunks_run_on_over_pages(spark):
+    rows = [(1, 2, "Three."), (1, 0, "One.\n\n" + " ".join(["w"] * 12)), (1, 1, None), (2, 0, " "), (2, 5, "Two."), (None, 0, "No id.")]
+    d = spark.createDataFrame(rows, "doc_id long, page long, text string")
+    got = [(r["doc_id"], r["page"], r["chunk_index"]) for r in chunk.chunk_pages(d, 10, 0).collect()]
+    ones = sorted(x for x in got if x[0] == 1)
+    assert [x[2] for x in ones] == list(range(len(ones))) and ones[0][1] == 0 and ones[-1][1] == 2 and len(ones) >= 3
+    assert (2, 5, 0) in got and (None, 0, 0) in got and len(got) == len(ones) + 2
+
+
+def test_intent_decides_what_is_asked_and_chosen(spark):
+    rows = [(1, "Compare Alpha and Beta"), (2, "How do I file a claim"), (3, "Name the fund"), (4, "difference of both")]
+    q = spark.createDataFrame(rows, "query_id int, question string")
+    got = {(r["query_id"], r["ask"]): (r["question"], r["k"], r["most"]) for r in routing.asks(q).collect()}
+    assert {k for k in got if k[0] != 1} == {(2, 0), (3, 0), (4, 0)} and got[3, 0] == ("Name the fund", 6, 5) and got[4, 0][1] == 12
+    assert len([k for k in got if k[0] == 1]) >= 2 and all(v[1] == 3 for k, v in got.items() if k[0] == 1)
+
+    def search(asked):
+        texts = spark.createDataFrame([(i, f"text {i}" + (" policy" if i == 5 else "")) for i in range(9)], "pos int, content string")
+        return asked.where("question not like 'Alpha%'").join(texts, F.col("pos") >= 0).select("query_id", "content", F.lit("s").alias("source"), (1 - F.col("pos") / 10).alias("score"), F.lit("vector").alias("kind"), "pos")
+
+    out = {}
+    for r in retrieval.retrieve_for_intent(q, search).orderBy("query_id", "place").collect():
+        out.setdefault(r["query_id"], []).append(r["content"])
+    assert out[1] == ["text 0", "text 1", "text 2"]  # found for each name, each text once
+    assert "text 5 policy" in out[2] and len(out[2]) == 8
+    assert len(out[3]) == 5 and len(out[4]) == 9
+
+
+def test_comparison_without_a_hit_asks_again(spark):
+    q = spark.createDataFrame([(1, "Compare Alpha and Beta")], "query_id int, question string")
+    search = lambda a: a.where("k = 12").select("query_id", F.lit("x").alias("content"), F.lit("s").alias("source"), F.lit(0.5).alias("score"), F.lit("graph").alias("kind"), F.lit(0).alias("pos"))
+    assert [r["content"] for r in retrieval.retrieve_for_intent(q, search).collect()] == ["x"]
+
+
+def test_plain_search_answers_when_the_other_fails(spark):
+    q = spark.createDataFrame([(1, "a")], "query_id int, question string")
+    broken = lambda a: a.select("query_id", F.raise_error(F.lit("no graph")).cast("string").alias("content"))
+    plain = lambda a: a.select("query_id", F.lit("plain").alias("content"))
+    assert retrieval.with_fallback(broken, plain)(q).first()["content"] == "plain"
+    assert retrieval.with_fallback(plain, broken)(q).first()["content"] == "plain"
+
+
 def test_fusion_interleaves(spark):
     rows = [(1, 0, 1, "a", 0.1), (1, 1, 2, "b", 0.99), (1, 1, 3, "c", 0.98), (1, 1, 4, "a", 0.5)]
     c = spark.createDataFrame(rows, "query_id int, branch_ord int, pos int, key string, score double")

@@ -12,11 +12,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weftline.functions import text as T
+from weftline.operators.ingest import number
 
 _TOKEN = re.compile(r"\w+|[^\w\s]")
 _PARAGRAPH = re.compile(r"\S.*?(?=\n\s*\n|$)", re.DOTALL)
 _SENTENCE = re.compile(r"\S.*?(?:[.!?](?=\s+|$)|\n{2,}|$)", re.DOTALL)
-SCHEMA = "doc_id long, chunk_index int, char_start int, char_end int, content string"
+_CHUNK = "chunk_index int, char_start int, char_end int, content string"
+SCHEMA = f"doc_id long, {_CHUNK}"
+PAGE_SCHEMA = f"doc_id long, page long, {_CHUNK}"
 
 
 @dataclass(frozen=True)
@@ -92,3 +95,23 @@ def chunk_documents(docs: DataFrame, budget: int = 256, overlap: int = 1) -> Dat
             yield pd.DataFrame(rows, columns=["doc_id", "chunk_index", "char_start", "char_end", "content"])
 
     return docs.select("doc_id", T.clean_text(F.col("text")).alias("text")).mapInPandas(run, SCHEMA)
+
+
+def chunk_pages(pages: DataFrame, budget: int = 256, overlap: int = 1) -> DataFrame:
+    """(doc_id, page, chunk_index, char_start, char_end, content) of (doc_id, page, text).
+
+    The index runs on over the pages of a document, blank ones have no chunk, and offsets
+    are those of the page. Chunks are numbered over the whole table, less the first number
+    of their document, so a document of very many pages needs no task of its own.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            rows = [(i, p, k, c.start, c.end, c.text.strip()) for i, p, t in zip(b["doc_id"], b["page"], b["text"], strict=True) for k, c in enumerate(chunk_text(t or "", budget, overlap))]
+            yield pd.DataFrame(rows, columns=["doc_id", "page", "chunk_index", "char_start", "char_end", "content"])
+
+    made = pages.select("doc_id", "page", T.clean_text(F.col("text")).alias("text")).mapInPandas(run, PAGE_SCHEMA)
+    rows = number(made, ["doc_id", "page", "chunk_index"])
+    first = rows.groupBy(F.col("doc_id").alias("_doc")).agg(F.min("n").alias("_first"))
+    index = (F.col("n") - F.col("_first")).cast("int").alias("chunk_index")
+    return rows.join(first, F.col("doc_id").eqNullSafe(F.col("_doc"))).select("doc_id", "page", index, "char_start", "char_end", "content")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import logging
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -12,11 +14,14 @@ from weftline import vocab
 from weftline.functions import similarity as S
 from weftline.functions import text as T
 from weftline.operators import graph as G
+from weftline.operators import routing
+
+log = logging.getLogger(__name__)
 
 QUERY_SIDE = 10_000  # questions that a batch may broadcast; a larger batch is dealt out instead
 
 
-def top_k(df: DataFrame, by: list[str], order: list[Column], k: int, rank: str = "rank") -> DataFrame:
+def top_k(df: DataFrame, by: list[str], order: list[Column], k: Column | int, rank: str = "rank") -> DataFrame:
     """The first k rows of each group; the plan cuts each partition to k before it shuffles."""
     return df.withColumn(rank, F.row_number().over(W.partitionBy(*by).orderBy(*order))).where(F.col(rank) <= k)
 
@@ -168,6 +173,52 @@ def two_branch(contexts: DataFrame) -> DataFrame:
     return fuse(rows.select("query_id", "branch_ord", "pos", "key", "score"))
 
 
+def with_fallback(search: Callable[[DataFrame], DataFrame], plain: Callable[[DataFrame], DataFrame]) -> Callable[[DataFrame], DataFrame]:
+    """A search that lets ``plain`` answer a batch on which ``search`` fails; its rows are written once to know."""
+
+    def run(asked: DataFrame) -> DataFrame:
+        try:
+            return G.durable(search(asked))
+        except Exception:  # whatever a search of the user's raises
+            log.warning("the search failed; the plain one answers", exc_info=True)
+            return plain(asked)
+
+    return run
+
+
+def retrieve_for_intent(questions: DataFrame, search: Callable[[DataFrame], DataFrame], per_entity: int = 3) -> DataFrame:
+    """(query_id, content, source, score, kind, place): contexts found and chosen as each question's intent asks.
+
+    ``search`` takes (query_id, question, k) and gives (query_id, content, source, score,
+    kind, pos). What a comparison finds for each of its entities is fused by reciprocal
+    rank; one that finds nothing asks again as a whole. Procedures prefer policies.
+    """
+
+    def run(asked: DataFrame) -> DataFrame:
+        asked = asked.withColumn("query_id", F.struct("query_id", "ask"))
+        got = search(asked.select("query_id", "question", "k")).select("query_id", "content", "source", "score", "kind", "pos")
+        got = top_k(got.join(asked.select("query_id", "intent", "most", "k"), "query_id"), ["query_id"], [F.desc("score"), F.asc("pos")], F.col("k"))
+        return got.select("query_id.query_id", "query_id.ask", "intent", "most", "content", "source", "score", "kind", F.col("rank").alias("pos"))
+
+    found = G.durable(run(routing.asks(questions, per_entity)))
+    bare = questions.where(routing.intent(F.col("question")) == "comparative").join(found.select("query_id").distinct(), "query_id", "left_anti")
+    found = found.unionByName(run(routing.asks(bare, None)))
+    out = ["query_id", "intent", "most", "content", "source", "score", "kind", "pos"]
+
+    both = found.where((F.col("intent") == "comparative") & F.col("kind").isin("vector", "graph")).withColumn("key", T.text_key(F.col("content")))
+    both = both.withColumns({"branch_ord": F.when(F.col("kind") == "vector", 0).otherwise(1), "pos": F.struct("ask", "pos")})
+    rest = ["intent", "most", "content", "source", "score", "kind", "branch_ord", "pos"]
+    first = both.groupBy("query_id", "key").agg(F.min_by(F.struct(*rest), "pos").alias("r")).select("query_id", "key", "r.*")
+    fused = fuse(first.select("query_id", "branch_ord", "pos", "key", "score"), dedup_first=False).select("query_id", "key", "rrf", "place")
+    fused = fused.withColumn("score", F.round(F.col("rrf") / F.max("rrf").over(W.partitionBy("query_id")), 4))
+    compared = first.drop("score", "pos").join(fused.withColumnRenamed("place", "pos"), ["query_id", "key"])
+
+    steps = policy_first(found.where("intent = 'procedural'")).withColumn("pos", F.col("place"))
+    other = found.where(~F.col("intent").isin("comparative", "procedural"))
+    rows = reduce(DataFrame.unionByName, (x.select(*out) for x in (compared, steps, other)))
+    return balanced(rows, F.col("most")).select("query_id", "content", "source", "score", "kind", "place")
+
+
 def with_second_try(questions: DataFrame, run, least: float = 0.25, suffix: str = " Focus on evidence.") -> DataFrame:
     """(query_id, answer, quality, outcome): questions of low quality are asked once more, then clarified.
 

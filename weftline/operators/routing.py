@@ -30,6 +30,22 @@ def rewrite(question: Column) -> Column:
     return F.struct(F.array(question, F.when(focus == "", question).otherwise(focus)).alias("queries"), ents.alias("entities"), keys.alias("keywords"))
 
 
+def asks(questions: DataFrame, per_entity: int | None = 3) -> DataFrame:
+    """(query_id, ask, intent, question, k, most): what each question asks of a search, by its intent.
+
+    A comparison asks once for each of its entities, led by the entity's name, for
+    ``per_entity`` contexts (None: it is not split); any other question asks as it is for
+    ``k``. ``most`` contexts are chosen in the end.
+    """
+    size = F.create_map(*[x for name, (k, most) in vocab.INTENT_SIZES.items() for x in (F.lit(name), F.struct(F.lit(k).alias("k"), F.lit(most).alias("most")))])
+    q = questions.select("query_id", "question", intent(F.col("question")).alias("intent"), rewrite(F.col("question"))["entities"].alias("entities"))
+    split = F.lit(per_entity is not None) & (F.col("intent") == "comparative") & (F.size("entities") > 0)
+    q = q.withColumns({"split": split, "size": size[F.col("intent")]})
+    out = q.select("query_id", "intent", "question", "split", "size", F.posexplode(F.when(F.col("split"), F.col("entities")).otherwise(F.array(F.lit("")))).alias("ask", "entity"))
+    asked = F.when(F.col("split"), F.concat("entity", F.lit(" "), "question")).otherwise(F.col("question"))
+    return out.select("query_id", "ask", "intent", asked.alias("question"), F.when(F.col("split"), F.lit(per_entity)).otherwise(F.col("size.k")).alias("k"), F.col("size.most").alias("most"))
+
+
 def _keyword_pattern(keyword: str) -> str:
     return rf"(?U)(?<!\w){re.escape(keyword)}{'' if ' ' in keyword else 's?'}(?!\w)"
 

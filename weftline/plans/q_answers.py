@@ -53,6 +53,34 @@ def capital_spans(spark, d):
     return table(spark, d, "conversations").select("conv_id", "turn", T.entity_spans(F.col("text")).alias("entities"))
 
 
+_SIZES = "(VALUES " + ", ".join(f"('{name}', {k}, {most})" for name, (k, most) in vocab.INTENT_SIZES.items()) + ") z(intent, k, most)"
+
+
+@Q.add(
+    f"""WITH q AS (SELECT conv_id * 1000 + turn AS query_id, (['Explain ', 'Compare ', 'How do ', 'How much ', 'Name '])[turn % 5 + 1] || text AS question FROM conversations),
+        r AS (SELECT *, lower(question) AS low, {_SPANS.format(t='question')} AS e FROM q),
+        x AS (SELECT *, CASE WHEN regexp_matches(low, 'compare|versus|difference') THEN 'comparative' WHEN regexp_matches(low, 'why|impact|analyze|explain') THEN 'analytical' WHEN NOT contains(low, 'how much') AND regexp_matches(low, 'how|steps|process') THEN 'procedural' ELSE 'factoid' END AS intent FROM r),
+        y AS (SELECT query_id, question, e, k, most, intent = 'comparative' AND len(e) > 0 AS split FROM x JOIN {_SIZES} USING (intent))
+        SELECT query_id, 0 AS ask, question, k, most FROM y WHERE NOT split UNION ALL SELECT query_id, CAST(i - 1 AS INTEGER), e[i] || ' ' || question, 3, most FROM (SELECT *, unnest(range(1, len(e) + 1)) AS i FROM y WHERE split)"""
+)
+def question_asks(spark, d):
+    head = F.element_at(F.array(*map(F.lit, ["Explain ", "Compare ", "How do ", "How much ", "Name "])), (F.col("turn") % 5 + 1).cast("int"))
+    q = table(spark, d, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("query_id"), F.concat(head, "text").alias("question"))
+    return routing.asks(q).drop("intent")
+
+
+@Q.add()
+def intent_retrieval(spark, d):
+    """Contexts of every question by its intent, from the documents that share its tokens."""
+    docs = table(spark, d, "documents")
+
+    def search(asked):
+        hits = R.top_k(R.lexical_scores(asked, docs).join(asked.select("query_id", "k"), "query_id"), ["query_id"], [F.desc("hits"), F.asc("doc_id")], F.col("k"))
+        return hits.join(docs.select("doc_id", F.col("text").alias("content"), "source"), "doc_id").select("query_id", "content", "source", (F.col("hits") / F.col("n_tokens")).alias("score"), F.lit("vector").alias("kind"), F.col("rank").alias("pos"))
+
+    return R.retrieve_for_intent(questions(spark), search).select("query_id", "place", "source", "score", "kind")
+
+
 @Q.add(
     rf"""WITH q AS ({QUESTIONS_SQL}), r AS (SELECT query_id, question, {_SPANS.replace("[.,:;!?()]+", "[.,:;!?()]+").format(t='question')} AS e,
         list_transform(list_filter(list_transform(string_split(question, ' '), lambda w: regexp_replace(w, '^[.,:;!?()]+|[.,:;!?()]+$', '', 'g')), lambda w: regexp_matches(w, '^\p{{L}}{{4,}}$')), lambda w: lower(w))[1:8] AS k FROM q)

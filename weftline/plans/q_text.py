@@ -170,6 +170,13 @@ def chunk_documents(spark, d):
     return chunk.chunk_documents(table(spark, d, "documents"))
 
 
+@Q.add("SELECT conv_id AS doc_id, turn AS page, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS INTEGER) AS chunk_index FROM conversations WHERE turn % 5 <> 1 AND trim(text) <> ''")
+def chunk_pages(spark, d):
+    """Turns as pages of a conversation, some of them blank; at this budget a page is one chunk."""
+    c = table(spark, d, "conversations").select(F.col("conv_id").alias("doc_id"), F.col("turn").alias("page"), F.when(F.col("turn") % 5 == 1, " ").otherwise(F.col("text")).alias("text"))
+    return chunk.chunk_pages(c, budget=1 << 20).select("doc_id", "page", "chunk_index")
+
+
 @Q.add(
     r"""SELECT conv_id, turn, list_filter(list_transform(string_split(trim(regexp_replace(text, '\s+', ' ', 'g')), ' '), lambda w: lower(regexp_replace(w, '^[.,:;!?()]+|[.,:;!?()]+$', '', 'g'))),
         lambda w: regexp_matches(w, '^\p{L}{4,}$'))[1:8] AS keywords FROM conversations"""
