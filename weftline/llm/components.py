@@ -1,12 +1,19 @@
-"""Connected components of an edge table by alternating large and small stars."""
+"""Connected components of an edge table by alternating large and small stars, or in one task where edges are few."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weftline.llm.common import cut, discard
 
+#: At most so many edges (2 MB) are solved in one task; a round over more is some eight shuffles.
+FEW = 1 << 17
+
 
 def _stars(edges: DataFrame, large: bool) -> DataFrame:
     """One half step. Every edge (u, v) has u > v on entry and on return."""
@@ -20,16 +27,37 @@ def _stars(edges: DataFrame, large: bool) -> DataFrame:
     return out.where("u > v").distinct()
 
 
+def _in_one_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(id, component) of all ids on the edges, which lie in this task alone."""
+    parts = [np.stack([b.column(c).to_numpy(zero_copy_only=False) for c in ("u", "v")]) for b in batches if b.num_rows]
+    if not parts:
+        return
+    ids, at = np.unique(np.concatenate(parts, axis=1), return_inverse=True)
+    u, v = at.reshape(2, -1)
+    root = np.arange(len(ids))
+    while not (root[u] == root[v]).all():
+        least = np.minimum(root[u], root[v])
+        up = root.copy()
+        for end in (u, v):
+            np.minimum.at(up, root[end], least)
+        while not (up[up] == up).all():
+            up = up[up]
+        root = up[root]
+    yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(ids[root])], ["id", "component"])
+
+
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(id, component): every id on an edge with the smallest id that it reaches.
 
-    Rounds go on until no edge changes; their number is logarithmic in practice. Each
-    round is written to the shared folder, so lineage stays short and a lost executor
+    At most ``FEW`` edges go through one task. Of more, rounds go on until no edge
+    changes; their number is logarithmic in practice. Each round is written to the shared folder, so lineage stays short and a lost executor
     costs one round, and the round before is deleted.
     """
-    cur = cut(
-        edges.where(F.col(a) != F.col(b)).select(F.greatest(a, b).cast("long").alias("u"), F.least(a, b).cast("long").alias("v")).distinct()
-    )
+    cur = cut(edges.where(F.col(a) != F.col(b)).select(F.greatest(a, b).cast("long").alias("u"), F.least(a, b).cast("long").alias("v")))
+    if cur.count() <= FEW:
+        out = cut(cur.coalesce(1).mapInArrow(_in_one_task, "id long, component long"))
+        discard(cur)
+        return out
     mark = None
     while True:
         seen = cur.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()

@@ -23,7 +23,8 @@ Scale:
   member is compared with ``PIVOTS`` members of its node, typical ones for the most part,
   and linked to the most similar one, so a group of near copies of any size becomes few
   components at a cost linear in its rows;
-- the trees run in waves of ``WAVE``. A node whose members are one component is done. In a
+- the trees run in waves of ``WAVE``, so that later ones do not compare what is linked; after
+  a wave with at most one new link to ``NEW_LINKS`` documents the rest run as one. A node whose members are one component is done. In a
   large node the largest component (its main one) is not compared within itself: it and
   the rest are dealt in blocks of ``BLOCK`` documents, and blocks of the rest meet all
   others. A node is dealt as soon as that copies a row ``COPIES`` times at most on average,
@@ -45,6 +46,7 @@ ignored, whatever their names.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -66,6 +68,8 @@ PIVOTS = 5
 SAMPLE = 12
 BLOCK = 128
 COPIES = 6
+NEW_LINKS = 100
+FEW = 1 << 17
 MARGIN = 0.16
 _RNG = np.random.Generator(np.random.PCG64(20240611))
 _MUL = _RNG.integers(1, 2**63, COORDS, dtype=np.uint64) | np.uint64(1)
@@ -266,16 +270,15 @@ def _confirm(k: int, percent: int):
 def _cells_of(reps: DataFrame, first: int, last: int) -> tuple[DataFrame, list[DataFrame]]:
     """(leaf, c1, c2, doc_id, comp) of all leaves of the trees, each member set once, and the tables it reads."""
     rows = cut(reps.mapInArrow(_roots(first, last), NODES))
-    cells, used = None, [rows]
-    for level in LEVELS:
+    dealt, alone, held, used = [], None, [], [rows]
+    for i, level in enumerate(LEVELS):
         here = rows.withColumn("node", F.col(level))
         end = level == LEVELS[-1]
         sizes = cut(_sizes(here))
         used.append(sizes)
-        # the same members under several trees are one leaf
-        alone = sizes.where(F.col("n") <= SMALL).groupBy("members", "n").agg(F.min("node").alias("node"))
-        new = here.join(alone.select("node"), "node").select(F.col("node").alias("leaf"), F.lit(-1).alias("c1"), F.lit(0).alias("c2"), "doc_id", "comp")
-        cells = new if cells is None else cells.unionByName(new)
+        held.append(here)
+        small = sizes.where(F.col("n") <= SMALL).select(F.lit(i).alias("level"), "node", "members", "n")
+        alone = small if alone is None else alone.unionByName(small)
         large = sizes.where(F.col("n") > SMALL).select("node")
         if not large.count():
             break
@@ -285,13 +288,21 @@ def _cells_of(reps: DataFrame, first: int, last: int) -> tuple[DataFrame, list[D
         cost = (F.col("n") - F.col("others")) * F.col("rests") + F.col("others") * (F.col("mains") + F.col("rests"))
         parts = cut(parts.withColumn("deal", F.lit(end) | (cost <= COPIES * F.col("n"))))
         used.append(parts)
-        cells = cells.unionByName(_deal(here.join(parts.where("deal"), "node")))
+        dealt.append(_deal(here.join(parts.where("deal"), "node")))
         rest = parts.where("not deal").select("node")
         if end or not rest.count():
             break
         rows = cut(here.join(rest, "node").select(*LEVELS, "doc_id", "comp"))
         used.append(rows)
-    return cells, used
+    # the same members under several trees are one leaf
+    alone = cut(alone.groupBy("members", "n").agg(F.min(F.struct("level", "node")).alias("leaf")).select("leaf.level", "leaf.node"))
+    used.append(alone)
+    few = alone.count() <= FEW
+    leaves = []
+    for i, here in enumerate(held):
+        own = alone.where(F.col("level") == i).select("node")
+        leaves.append(here.join(F.broadcast(own) if few else own, "node").select(F.col("node").alias("leaf"), F.lit(-1).alias("c1"), F.lit(0).alias("c2"), "doc_id", "comp"))
+    return reduce(DataFrame.unionByName, [*leaves, *dealt]), used
 
 
 def _deal(rows: DataFrame) -> DataFrame:
@@ -435,9 +446,8 @@ def _links(docs: DataFrame, reps: DataFrame, first: int, last: int, k: int, perc
     cells = cells.repartition("leaf", "c1", "c2").sortWithinPartitions("leaf", "c1", "c2", "doc_id")
     near = cut(cells.mapInArrow(_clusters(percent), "leaf long, doc_id long, comp long").distinct())
     discard(*used)
-    ids = near.select("doc_id").distinct()
-    n = ids.count()
-    texts = bloom.semi_by_id(docs, ids, n) if n else docs.limit(0)
+    n = near.count()
+    texts = bloom.semi_by_id(docs, near, n) if n else docs.limit(0)
     met = near.join(texts, "doc_id").select("leaf", "doc_id", "comp", "text")
     links = cut(met.repartition("leaf").sortWithinPartitions("leaf", "doc_id").mapInArrow(_compare(k, percent), "a long, b long"))
     discard(near)
@@ -467,14 +477,23 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
         old = comp
         comp = components(links if old is None else links.unionByName(old.toDF("a", "b")))
         discard(old, links)
-        last, bits = reps, bloom.bits_for(comp.count())
-        maybe, sure = bloom.split(reps, F.col("doc_id"), bits, bloom.of_keys(comp, F.col("id"), bits))  # most documents are in no link and do not move
-        reps = cut(sure.unionByName(maybe.drop("comp").join(comp, F.col("doc_id") == F.col("id"), "left").select("doc_id", F.coalesce("component", "doc_id").alias("comp"), "sig")))
+        last, n = reps, comp.count()
+        renamed = lambda rows, comp: rows.drop("comp").join(comp, F.col("doc_id") == F.col("id"), "left").select("doc_id", F.coalesce("component", "doc_id").alias("comp"), "sig")
+        if n <= FEW:
+            reps = cut(renamed(reps, F.broadcast(comp)))
+        else:
+            bits = bloom.bits_for(n)
+            maybe, sure = bloom.split(reps, F.col("doc_id"), bits, bloom.of_keys(comp, F.col("id"), bits))  # most documents are in no link and do not move
+            reps = cut(sure.unionByName(renamed(maybe, comp)))
         discard(last)
 
     join_up(_stars(docs, reps, WAVE, k, percent))
-    for first in range(0, TREES, WAVE):
-        join_up(_links(docs, reps, first, first + WAVE, k, percent))
+    rows, first, wave = reps.count(), 0, WAVE
+    while first < TREES:
+        last = min(TREES, first + wave)
+        links = _links(docs, reps, first, last, k, percent)
+        first, wave = last, WAVE if links.count() * NEW_LINKS > rows else TREES
+        join_up(links)
     discard(reps)
     full = full.select("doc_id", "n_shingles", "set_key").join(classes.where("n > 1").select("set_key", "rep"), "set_key", "left")
     full = full.withColumn("rep", F.coalesce("rep", "doc_id")).join(comp, F.col("rep") == F.col("id"), "left")
