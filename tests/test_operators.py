@@ -428,3 +428,60 @@ def test_question_batches_are_dealt_in_blocks(spark, monkeypatch):
     v = spark.createDataFrame([(i, [float(i), 1.0]) for i in range(40)], "vec_id long, embedding array<double>")
     got = retrieval.vector_search(v.withColumnRenamed("vec_id", "query_id"), v, 1).collect()
     assert len(got) == 40 and len(retrieval.blocks(v.select(F.col("vec_id").alias("query_id")))) == 8
+
+
+# ---------------------------------------------------------------- components
+
+
+def brute_roots(links):
+    up = {}
+
+    def find(x):
+        up.setdefault(x, x)
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for a, b in links:
+        if a is not None and b is not None and a != b:
+            x, y = find(a), find(b)
+            up[max(x, y)] = min(x, y)
+    return {x: find(x) for x in up}
+
+
+def path_hub_cycle():
+    import random
+
+    r = random.Random(3)
+    names = r.sample(range(10_000), 900)
+    links = [*zip(names[:400], names[1:400], strict=False), *((names[500], x) for x in names[501:700]), *((names[700 + i], names[700 + (i + 1) % 50]) for i in range(50))]
+    return [*links, (5, 5), (None, 7), (20_000, 20_001), (20_001, 20_000)]
+
+
+def test_components(spark):
+    """A shuffled path, a hub, a cycle and loose links, over many partitions and with names as ids."""
+    from weftline.operators.components import components
+
+    links = path_hub_cycle()
+    df = spark.createDataFrame(links, "a long, b long")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # the partitions are contracted one by one
+    try:
+        assert {x["id"]: x["component"] for x in components(df.repartition(7)).collect()} == brute_roots(links)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    text = df.select(F.concat(F.lit("n"), "a").alias("x"), F.concat(F.lit("n"), "b").alias("y"))
+    assert {x["id"]: x["component"] for x in components(text, "x", "y").collect()} == brute_roots([(a and f"n{a}", b and f"n{b}") for a, b in links])
+    assert components(df.where("a < 0")).count() == 0
+
+
+@pytest.mark.parametrize("block", [4, 64, 1 << 20])
+def test_contraction_in_blocks(monkeypatch, block):
+    import pyarrow as pa
+
+    from weftline.operators import components as C
+
+    monkeypatch.setattr(C, "BLOCK", block)
+    links = [(max(e), min(e)) for e in path_hub_cycle() if None not in e and e[0] != e[1]]
+    batches = [pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*links[i : i + 16], strict=True)], ["u", "v"]) for i in range(0, len(links), 16)]
+    out = [(u, v) for b in C._forest(iter(batches)) for u, v in zip(*(b.column(c).to_pylist() for c in ("u", "v")), strict=True)]
+    assert all(u > v for u, v in out) and len(out) <= len(links) and brute_roots(out) == brute_roots(links)

@@ -2,28 +2,18 @@
 
 from __future__ import annotations
 
-import tempfile
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weftline import vocab
+from weftline.operators.components import components
+from weftline.shared import shared_folder
 
 EDGE = "struct<head:string,relation:string,tail:string>"
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; a fresh local one only where that is unset and the master is local."""
-    sc = spark.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        path = spark.conf.get("spark.checkpoint.dir", None)
-        if path is None and not sc.master.startswith("local"):
-            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        sc.setCheckpointDir(path or tempfile.mkdtemp(prefix="weftline-"))
-    return sc._jsc.sc().getCheckpointDir().get()
-
-
 def durable(df: DataFrame) -> DataFrame:
     """Written to the shared folder, so an iteration does not grow its lineage."""
     shared_folder(df.sparkSession)
@@ -209,37 +199,12 @@ def shortest_paths(edges: DataFrame, pairs: DataFrame, most: int = 5) -> DataFra
 # ---------------------------------------------------------------- components and communities
 
 
-def _stars(links: DataFrame, large: bool) -> DataFrame:
-    """One half step of large and small stars. Every link (u, v) has u > v on entry and on return."""
-    both = links if not large else links.select("u", "v").unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    low = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
-    met = both.join(low, "u")
-    if large:
-        out = met.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-    else:
-        out = met.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v")))
-    return out.where("u > v").distinct()
-
-
 def connected_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """(name, component): the smallest name that each node reaches.
-
-    Large and small stars alternate until a round changes no link; the number of rounds is
-    logarithmic in practice and not limited.
-    """
+    """(name, component): the smallest name that each node reaches, over edges between nodes of the table."""
     names = nodes.select("name").distinct()
-    und = undirected(edges).where("source <> target").select(F.greatest("source", "target").alias("u"), F.least("source", "target").alias("v")).distinct()
-    links = durable(und.join(names.select(F.col("name").alias("u")), "u", "left_semi").join(names.select(F.col("name").alias("v")), "v", "left_semi").select("u", "v"))
-    n = links.count()
-    while n:
-        nxt = durable(_stars(_stars(links, True), False))
-        m = nxt.count()
-        same = m == n and not nxt.join(links, ["u", "v"], "left_anti").limit(1).count()
-        links, n = nxt, m
-        if same:
-            break
-    out = names.join(links, names["name"] == links["u"], "left")
-    return out.select("name", F.coalesce("v", "name").alias("component"))
+    inside = edges.join(names.select(F.col("name").alias("head")), "head", "left_semi").join(names.select(F.col("name").alias("tail")), "tail", "left_semi")
+    found = components(inside, "head", "tail")
+    return names.join(found, names["name"] == found["id"], "left").select("name", F.coalesce("component", "name").alias("component"))
 
 
 def communities(labels: DataFrame, edges: DataFrame) -> DataFrame:

@@ -17,6 +17,7 @@ from weftline.plans.fixtures import CORPORATE, ENTITIES_SQL, QUESTIONS_SQL, SQL,
 from weftline.plans.q_answers import _ALL_WALKS, _paths
 from weftline.plans.q_graph import _walk_sql, _walks
 from weftline.plans.q_rank import _ROUTE, _SIM, _vectors
+from weftline.shared import shared_folder
 from weftline.streaming import cdc
 
 Q = Book()
@@ -160,7 +161,7 @@ def next_versions(spark, d):
 @Q.add("SELECT doc_id, CASE WHEN doc_id % 4 = 2 THEN 'failed' ELSE 'committed' END AS status, doc_id % 4 <> 2 AS shown FROM documents")
 def ingest_step(spark, d):
     """Four batches are stored; the graph writer of one breaks after its vectors were written."""
-    home = f"{G.shared_folder(spark)}/store-{uuid.uuid4().hex}"
+    home = f"{shared_folder(spark)}/store-{uuid.uuid4().hex}"
     docs = table(spark, d, "documents").select("doc_id", F.concat(F.col("doc_id").cast("string"), F.lit("#chunk-0")).alias("source"))
     for k in range(4):
         vectors = f"{home}/vectors/batch={k}"

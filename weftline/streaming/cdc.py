@@ -16,7 +16,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from weftline import vocab
-from weftline.operators.graph import durable, shared_folder
+from weftline.operators.graph import durable
+from weftline.shared import shared_folder
 
 MESSAGE = "id string, op string, source struct<table:string>, before map<string,string>, after map<string,string>, ts_ms bigint"
 
