@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from weftline.llm import boosting, bpe, components, exact_dedup, minhash_join, pairwise_quality, secret_scan, sentence_spans, template_decontam, toxicity, url_filter, warc
+from weftline.llm import boosting, bpe, exact_dedup, minhash_join, pairwise_quality, secret_scan, sentence_spans, template_decontam, toxicity, url_filter, warc
 from weftline.llm.queries import tokenizer
 
 DOC = "doc_id long, text string, lang string, source string, n_chars long, rep string, n long, b string"  # with names that operators use inside
@@ -141,12 +141,6 @@ def test_leaf_links_connects_like_all_pairs():
     assert part(up) == part(full) and len(links) < 90
 
 
-def test_components(spark):
-    e = [(i, i + 1) for i in range(1, 40)] + [(100, 105), (105, 103), (7, 7)]
-    got = {r["id"]: r["component"] for r in components.components(spark.createDataFrame(e, "a long, b long")).distinct().collect()}
-    assert got == {i: 1 for i in range(1, 41)} | {100: 100, 103: 100, 105: 100}
-
-
 def jobs_of(spark, name, f):
     """The result of ``f`` and the number of Spark jobs that it ran."""
     sc = spark.sparkContext
@@ -157,32 +151,16 @@ def jobs_of(spark, name, f):
         sc.setLocalProperty("spark.jobGroup.id", None)
 
 
-def test_components_of_few_edges_take_one_task(spark, monkeypatch):
-    """Few edges run no rounds of shuffles, and give what the rounds give."""
-    r = random.Random(8)
-    e = [(i + 1, i) for i in range(300)] + [(1000 - i, 1001 - i) for i in range(300)] + [(r.randrange(2000, 3000), r.randrange(2000, 3000)) for _ in range(450)] + [(-5, 4000), (4001, -5), (-5, 4000), (6, 6), (None, 3)]
-    edges = spark.createDataFrame(e, "a long, b long").repartition(3)
-    run = lambda: sorted(tuple(x) for x in components.components(edges).collect())
-    few, jobs = jobs_of(spark, "components of few edges", run)
-    assert jobs <= 8
-    assert len({i for i, _ in few}) == len(few) and dict(few)[300] == 0 and dict(few)[1001] == 701 and dict(few)[4001] == -5
-    monkeypatch.setattr(components, "FEW", 0)
-    assert run() == few
-    assert components.components(edges.limit(0)).count() == 0
-
-
 def test_near_duplicates_of_few_links_take_few_jobs(spark):
-    """On many partitions the jobs cost more than the rows; few links make no rounds and no waves of their own."""
+    """On many partitions the jobs cost more than the rows; few links make no waves of their own."""
     rows = docs(spark, copies())
     got, jobs = jobs_of(spark, "near duplicates of few links", lambda: minhash_join.near_duplicates(rows, 3, 85).collect())
     assert len(got) == rows.count() and jobs <= 150
 
 
 def test_near_duplicates_of_many_links(spark, monkeypatch):
-    """The same components by rounds, shuffled joins and waves of four trees as by the ways for few links."""
+    """The same components by waves of four trees to the end as by one wave of the rest."""
     want, _ = brute_components(copies(), 3, 85)
-    monkeypatch.setattr(components, "FEW", 0)
-    monkeypatch.setattr(minhash_join, "FEW", 0)
     monkeypatch.setattr(minhash_join, "NEW_LINKS", 10**9)
     got = {r["doc_id"]: r["component_id"] for r in minhash_join.near_duplicates(docs(spark, copies()), 3, 85).collect()}
     assert got == want

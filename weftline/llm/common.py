@@ -1,51 +1,14 @@
-"""Helpers shared by the operators: tables in the shared folder, table access, labels."""
+"""Helpers shared by the operators: table access, free column names, labels."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from weftline.shared import cut, delete, discard
+from weftline.shared import shared_folder as checkpoint_dir
 
-def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder for intermediate data.
-
-    ``spark.checkpoint.dir`` of the session wins; only where it is unset and the master
-    is local (tests, notebooks) is a fresh local folder made.
-    """
-    sc = spark.sparkContext
-    held = sc._jsc.sc().getCheckpointDir()
-    if held.isDefined():
-        return held.get()
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if path is None and not sc.master.startswith("local"):
-        raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-    sc.setCheckpointDir(path or tempfile.mkdtemp(prefix="weftline-"))
-    return sc._jsc.sc().getCheckpointDir().get()
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """Write ``df`` to a table of its own in the shared folder and go on from the files."""
-    path = f"{checkpoint_dir(df.sparkSession)}/table-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    out = df.sparkSession.read.schema(df.schema).parquet(path)
-    out._weftline_path = path
-    return out
-
-
-def discard(*tables: DataFrame | None) -> None:
-    """Delete tables that ``cut`` wrote and that nothing reads any more."""
-    for df in tables:
-        path = None if df is None else getattr(df, "_weftline_path", None)
-        if path:
-            delete(df.sparkSession, path)
-
-
-def delete(spark: SparkSession, path: str) -> None:
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+__all__ = ["checkpoint_dir", "cut", "delete", "discard", "fresh", "held_out", "labelled_sample", "table"]
 
 
 def fresh(taken: list[str], name: str) -> str:

@@ -56,7 +56,7 @@ from pyspark.sql import functions as F
 
 from weftline.llm import bloom
 from weftline.llm.common import cut, discard
-from weftline.llm.components import components
+from weftline.operators.components import components
 
 COORDS = 128
 TREES = 16
@@ -69,7 +69,6 @@ SAMPLE = 12
 BLOCK = 128
 COPIES = 6
 NEW_LINKS = 100
-FEW = 1 << 17
 MARGIN = 0.16
 _RNG = np.random.Generator(np.random.PCG64(20240611))
 _MUL = _RNG.integers(1, 2**63, COORDS, dtype=np.uint64) | np.uint64(1)
@@ -297,11 +296,10 @@ def _cells_of(reps: DataFrame, first: int, last: int) -> tuple[DataFrame, list[D
     # the same members under several trees are one leaf
     alone = cut(alone.groupBy("members", "n").agg(F.min(F.struct("level", "node")).alias("leaf")).select("leaf.level", "leaf.node"))
     used.append(alone)
-    few = alone.count() <= FEW
     leaves = []
     for i, here in enumerate(held):
         own = alone.where(F.col("level") == i).select("node")
-        leaves.append(here.join(F.broadcast(own) if few else own, "node").select(F.col("node").alias("leaf"), F.lit(-1).alias("c1"), F.lit(0).alias("c2"), "doc_id", "comp"))
+        leaves.append(here.join(own, "node").select(F.col("node").alias("leaf"), F.lit(-1).alias("c1"), F.lit(0).alias("c2"), "doc_id", "comp"))
     return reduce(DataFrame.unionByName, [*leaves, *dealt]), used
 
 
@@ -477,14 +475,10 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
         old = comp
         comp = components(links if old is None else links.unionByName(old.toDF("a", "b")))
         discard(old, links)
-        last, n = reps, comp.count()
-        renamed = lambda rows, comp: rows.drop("comp").join(comp, F.col("doc_id") == F.col("id"), "left").select("doc_id", F.coalesce("component", "doc_id").alias("comp"), "sig")
-        if n <= FEW:
-            reps = cut(renamed(reps, F.broadcast(comp)))
-        else:
-            bits = bloom.bits_for(n)
-            maybe, sure = bloom.split(reps, F.col("doc_id"), bits, bloom.of_keys(comp, F.col("id"), bits))  # most documents are in no link and do not move
-            reps = cut(sure.unionByName(renamed(maybe, comp)))
+        last, bits = reps, bloom.bits_for(comp.count())
+        maybe, sure = bloom.split(reps, F.col("doc_id"), bits, bloom.of_keys(comp, F.col("id"), bits))  # most documents are in no link and do not move
+        maybe = maybe.drop("comp").join(comp, F.col("doc_id") == F.col("id"), "left").select("doc_id", F.coalesce("component", "doc_id").alias("comp"), "sig")
+        reps = cut(sure.unionByName(maybe))
         discard(last)
 
     join_up(_stars(docs, reps, WAVE, k, percent))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from weftline.llm import bpe, exact_dedup, minhash_join, pairwise_quality, secret_scan, sentence_spans, template_decontam, toxicity, url_filter, warc
+from weftline.llm import bpe, exact_dedup, minhash_join, pairwise_quality, secret_scan, sentence_spans, simhash_join, template_decontam, toxicity, url_filter, vector_codes, warc, whitening
 from weftline.llm.common import table
 
 TOKENIZER = "byte_bpe_multi_50k.tiktoken"
@@ -58,13 +58,54 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
+def op12_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash_join.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.compress(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_secret_scan, op2_minhash_near_dedup, op3_substring_dedup, op4_warc, op5_bpe, op6_decontamination, op7_exact_dedup, op8_quality, op9_url_filter, op10_toxicity,
+        op11_whitening, op12_simhash_near_dedup, op13_vector_codes,
     )
 }
 
+
+def _lloyd_sql(parts: int = 16, entries: int = 64, rounds: int = 2) -> str:
+    """The codes by full rounds over all parts, each round from nothing."""
+    # the lowest of the nearest entries: distance * 256 + index is least there
+    nearest = """SELECT p.vec_id, p.p, min(list_sum(list_transform(list_zip(p.x, b.x), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) * 256 + b.k) AS best
+                FROM part p JOIN book{r} b ON p.p = b.p GROUP BY p.vec_id, p.p"""
+    steps = []
+    for r in range(rounds):
+        steps.append(f"near{r} AS ({nearest.format(r=r)})")
+        means = ", ".join(f"CAST(floor(sum(p.x[{i}]) / count(*)) AS BIGINT)" for i in range(1, 5))
+        steps.append(
+            f"mean{r} AS (SELECT p.p, n.best % 256 AS k, [{means}] AS x FROM near{r} n JOIN part p USING (vec_id, p) GROUP BY p.p, n.best % 256), "
+            f"book{r + 1} AS (SELECT b.p, b.k, coalesce(m.x, b.x) AS x FROM book{r} b LEFT JOIN mean{r} m USING (p, k))"
+        )
+    return f"""
+        WITH good AS (SELECT vec_id, label, list_transform(embedding, lambda c: CAST(floor(256 * CAST(c AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+                      WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0),
+             part AS (SELECT vec_id, label, p, v[4 * p + 1 : 4 * p + 4] AS x FROM good, range({parts}) r(p)),
+             first AS (SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS k FROM good ORDER BY vec_id LIMIT {entries}),
+             book0 AS (SELECT p.p, f.k, p.x FROM part p JOIN first f USING (vec_id)),
+             {", ".join(steps)},
+             last AS ({nearest.format(r=rounds)}),
+             coded AS (SELECT n.vec_id, string_agg(format('{{:02x}}', n.best % 256), '' ORDER BY n.p) AS code, CAST(sum(n.best // 256) AS BIGINT) AS error FROM last n GROUP BY n.vec_id),
+             entry AS (SELECT string_agg(array_to_string(x, ','), ',' ORDER BY p, k) AS text FROM book{rounds})
+        SELECT c.vec_id, c.code, c.error, CAST(sum(c.error) OVER (PARTITION BY g.label) AS BIGINT) AS label_error, sha256(e.text) AS codebooks_sha256
+        FROM coded c JOIN good g USING (vec_id), entry e"""
+
+
 ORACLE_SQL = {
     "op4_warc": """
         SELECT page_id, strlen(body) AS payload_bytes, sha256(body) AS payload_digest, CASE WHEN again THEN 'revisit' ELSE 'response' END AS record_type,
@@ -76,5 +117,5 @@ ORACLE_SQL = {
         SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, doc_id = max(doc_id) OVER w AS kept,
                sha256(coalesce(text, '')) AS text_sha256
         FROM documents WINDOW w AS (PARTITION BY sha256(coalesce(text, '')))""",
+    "op13_vector_codes": _lloyd_sql(),
 }
-
