@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import logging
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -9,8 +11,11 @@ from pyspark.sql import functions as F
 
 from weftline import vocab
 from weftline.operators.components import components
+from weftline.operators.louvain import louvain
 from weftline.shared import shared_folder
 
+log = logging.getLogger(__name__)
+
 EDGE = "struct<head:string,relation:string,tail:string>"
 
 
@@ -226,15 +231,13 @@ def summary(members: Column, relations: Column) -> Column:
     )
 
 
-def label_propagation(nodes: DataFrame, edges: DataFrame, rounds: int = 5) -> DataFrame:
-    """(name, community): majority labels of neighbours, ties to the smallest; the option beside components."""
-    und = undirected(edges).select("source", "target").distinct()
-    labels = nodes.select("name", F.col("name").alias("community")).distinct()
-    for _ in range(rounds):
-        votes = und.join(labels, und["target"] == labels["name"]).groupBy("source", "community").count()
-        best = votes.groupBy("source").agg(F.min(F.struct((-F.col("count")).alias("n"), "community")).alias("b"))
-        labels = durable(labels.join(best, labels["name"] == best["source"], "left").select("name", F.coalesce("b.community", labels["community"]).alias("community")))
-    return labels
+def detect_communities(nodes: DataFrame, edges: DataFrame, detect: Callable[[DataFrame, DataFrame], DataFrame] = louvain) -> tuple[DataFrame, str]:
+    """((name, community), algorithm): Louvain communities, or connected components where that fails."""
+    try:
+        return detect(nodes, edges), "louvain"
+    except Exception:
+        log.warning("community detection failed, using connected components", exc_info=True)
+        return connected_components(nodes, edges).withColumnRenamed("component", "community"), "connected_components"
 
 
 # ---------------------------------------------------------------- maintenance

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from weftline import vocab
 from weftline.operators import graph as G
 from weftline.operators import routing
+from weftline.operators.louvain import louvain, modularity
 from weftline.plans.book import Book
 from weftline.plans.fixtures import CORPORATE, ENTITIES_SQL, QUESTIONS_SQL, SQL, edges_sql, entities, questions, relations, table
 
@@ -131,13 +132,6 @@ def connected_components(spark, d):
     return G.connected_components(*_groups(spark, d))
 
 
-@Q.add()
-def corporate_components(spark, d):
-    edges = relations(spark, d, *CORPORATE)
-    nodes = edges.select(F.col("head").alias("name")).unionByName(edges.select(F.col("tail").alias("name"))).distinct()
-    return G.connected_components(nodes, edges)
-
-
 _MEMBERS = f"""WITH e AS ({SQL['works_at']}), m AS (SELECT head AS c, list_sort(list_distinct(list_concat(list(DISTINCT head), list(tail)))) AS members, list_sort(list(head || ' -[WORKS_AT]-> ' || tail)) AS rels FROM e GROUP BY head)"""
 
 
@@ -158,11 +152,59 @@ def community_lookup(spark, d):
     return questions(spark).join(c, "start").select("query_id", "community_id").distinct()
 
 
-@Q.add()
+_CLIENTS = "SELECT c_name AS head, 'Rule ' || r_name AS tail FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey"
+_RULE_RING = f"""r AS (SELECT 'Rule ' || r_name AS name, row_number() OVER (ORDER BY r_regionkey) - 1 AS i, count(*) OVER () AS n FROM region),
+    ring AS (SELECT a.name AS head, b.name AS tail FROM r a JOIN r b ON b.i = (a.i + 1) % a.n), e AS (SELECT head, tail FROM ({_CLIENTS}) UNION ALL SELECT head, tail FROM ring)"""
+
+
+def _ruled(spark, d):
+    """Customers with the rule of their region, and the rules in a ring: each rule with its customers is the best community."""
+    n = table(spark, d, "region").count()
+    rules = lambda c: table(spark, d, "region").select(F.concat(F.lit("Rule "), "r_name").alias(c), F.col("r_regionkey").alias(f"_{c}"))
+    ring = rules("head").join(rules("tail"), F.col("_tail") == (F.col("_head") + 1) % n)
+    t = lambda name: table(spark, d, name)
+    clients = t("customer").join(t("nation"), F.col("c_nationkey") == F.col("n_nationkey")).join(t("region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    edges = clients.select(F.col("c_name").alias("head"), F.concat(F.lit("Rule "), "r_name").alias("tail")).unionByName(ring.select("head", "tail"))
+    return edges.select(F.explode(F.array("head", "tail")).alias("name")).distinct(), edges
+
+
+@Q.add(
+    f"""WITH {_RULE_RING}, c AS (SELECT head AS name, tail AS rule FROM ({_CLIENTS}) UNION ALL SELECT name, name FROM r)
+        SELECT name, min(name) OVER (PARTITION BY rule) AS community FROM c"""
+)
 def label_communities(spark, d):
-    edges = relations(spark, d, "owns")
-    nodes = edges.select(F.col("head").alias("name")).unionByName(edges.select(F.col("tail").alias("name"))).distinct()
-    return G.label_propagation(nodes, edges)
+    return louvain(*_ruled(spark, d))
+
+
+def _corporate(spark, d):
+    edges = relations(spark, d, *CORPORATE)
+    return edges.select(F.explode(F.array("head", "tail")).alias("name")).distinct(), edges
+
+
+_REACH = f"""e AS (SELECT DISTINCT head, tail FROM ({_CORP})), u AS (SELECT head AS a, tail AS b FROM e UNION SELECT tail, head FROM e),
+    n AS (SELECT DISTINCT a AS name FROM u), reach(name, other) AS (SELECT name, name FROM n UNION SELECT reach.name, u.b FROM reach JOIN u ON u.a = reach.other),
+    comp AS (SELECT name, min(other) AS component FROM reach GROUP BY name)"""
+
+
+@Q.add(f"WITH RECURSIVE {_REACH} SELECT name, component FROM comp")
+def corporate_components(spark, d):
+    return G.connected_components(*_corporate(spark, d))
+
+
+@Q.add(f"""WITH RECURSIVE {_REACH}, p AS (SELECT DISTINCT greatest(a, b) AS x, least(a, b) AS y FROM u), d AS (SELECT unnest([x, y]) AS name FROM p)
+        SELECT (SELECT count(*) FROM n) AS nodes, (SELECT count(*) FROM p) AS links, 0 AS split, true AS connected, true AS not_below_components""")
+def louvain_corporate(spark, d):
+    """Louvain over all corporate relations: every node once, no community across components, modularity of components or more."""
+    nodes, edges = _corporate(spark, d)
+    labels = louvain(nodes, edges)
+    comps = G.connected_components(nodes, edges)
+    spread = labels.join(comps, "name").groupBy("community").agg(F.count_distinct("component").alias("n"))
+    inside = edges.join(labels.select(F.col("name").alias("head"), "community"), "head").join(labels.select(F.col("name").alias("tail"), F.col("community").alias("c2")), "tail").where("community = c2")
+    within = G.connected_components(nodes, inside).join(labels, "name").groupBy("community").agg(F.count_distinct("component").alias("n"))
+    q, base = modularity(labels, edges), modularity(comps.withColumnRenamed("component", "community"), edges)
+    one = labels.agg(F.count(F.lit(1)).alias("nodes")).join(q.select("links", F.col("modularity").alias("q")), F.lit(True)).join(base.select(F.col("modularity").alias("base")), F.lit(True))
+    one = one.join(spread.agg(F.count_if(F.col("n") > 1).alias("split")), F.lit(True)).join(within.agg(F.bool_and(F.col("n") == 1).alias("connected")), F.lit(True))  # sums of one row each
+    return one.select("nodes", "links", "split", "connected", (F.col("q") >= F.col("base") - 1e-9).alias("not_below_components"))
 
 
 # Documents behind the edges: suppliers' documents are pending or failed by key.

@@ -6,7 +6,8 @@ import difflib
 import time
 import uuid
 from collections import deque
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import reduce
 
 import pandas as pd
 from pyspark.errors import AnalysisException
@@ -16,8 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from weftline import vocab
-from weftline.operators.graph import durable
-from weftline.shared import shared_folder
+from weftline.shared import cut, discard, shared_folder
 
 MESSAGE = "id string, op string, source struct<table:string>, before map<string,string>, after map<string,string>, ts_ms bigint"
 
@@ -33,12 +33,15 @@ def from_file_event(kind: Column) -> Column:
 
 
 def from_messages(df: DataFrame, value: str = "value") -> DataFrame:
-    """event_id, operation, resource, ts, before, after, parsed of JSON messages; unparseable ones have parsed false."""
+    """event_id, operation, resource, ts, before, after, parsed, empty of JSON messages.
+
+    Unparseable ones have parsed false, those without a value are empty and not parsed.
+    """
     text = F.col(value).cast("string")
-    m = df.withColumn("_m", F.from_json(text, MESSAGE, {"mode": "PERMISSIVE"})).withColumn("parsed", F.try_parse_json(text).isNotNull())
+    m = df.withColumn("_m", F.from_json(text, MESSAGE, {"mode": "PERMISSIVE"})).withColumn("parsed", F.coalesce(F.try_parse_json(text).isNotNull(), F.lit(False)))
     return m.select(
         F.coalesce("_m.id", F.substring(F.sha2(text.cast("binary"), 256), 1, 16)).alias("event_id"), F.upper(F.coalesce("_m.op", F.lit("UPDATE"))).alias("operation"),
-        F.coalesce("_m.source.table", F.lit("unknown")).alias("resource"), F.timestamp_millis("_m.ts_ms").alias("ts"), F.col("_m.before").alias("before"), F.col("_m.after").alias("after"), "parsed",
+        F.coalesce("_m.source.table", F.lit("unknown")).alias("resource"), F.timestamp_millis("_m.ts_ms").alias("ts"), F.col("_m.before").alias("before"), F.col("_m.after").alias("after"), "parsed", text.isNull().alias("empty"),
     )
 
 
@@ -76,11 +79,16 @@ def versions(events: DataFrame) -> DataFrame:
 
 
 def dispositions(attempts: DataFrame, retries: int = 3) -> DataFrame:
-    """(message_id, outcome, attempts): committed at the first success, dropped after ``retries`` more failures, else open."""
-    rows = attempts.groupBy("message_id").agg(F.min(F.when(F.col("ok"), F.col("attempt"))).alias("first_ok"), F.count(F.lit(1)).alias("n"), F.bool_and("parsed").alias("parsed"))
+    """(message_id, outcome, attempts): committed at the first success, dropped after ``retries`` more failures, else open.
+
+    A message without a value (column ``empty``, if there is one) is empty, whatever else is said of it.
+    """
+    empty = F.bool_or("empty") if "empty" in attempts.columns else F.lit(False)
+    rows = attempts.groupBy("message_id").agg(F.min(F.when(F.col("ok"), F.col("attempt"))).alias("first_ok"), F.count(F.lit(1)).alias("n"), F.bool_and("parsed").alias("parsed"), empty.alias("empty"))
+    rows = rows.withColumn("parsed", F.col("parsed") & ~F.col("empty"))
     return rows.select(
         "message_id",
-        F.when(~F.col("parsed"), "unparseable").when(F.col("first_ok") <= retries + 1, "committed").when(F.col("n") > retries, "dropped").otherwise("retrying").alias("outcome"),
+        F.when(F.col("empty"), "empty").when(~F.col("parsed"), "unparseable").when(F.col("first_ok") <= retries + 1, "committed").when(F.col("n") > retries, "dropped").otherwise("retrying").alias("outcome"),
         F.when(~F.col("parsed"), F.lit(1).cast("long")).otherwise(F.least(F.coalesce(F.col("first_ok").cast("long"), F.col("n")), F.lit(retries + 1).cast("long"))).alias("attempts"),
     )
 
@@ -128,30 +136,62 @@ def file_events(spark: SparkSession, folder: str, schema: str) -> DataFrame:
     return spark.readStream.schema(schema).json(folder)
 
 
-def start_cdc(messages: DataFrame, apply, checkpoint: str, dead_letters: str, once: bool = False, retries: int = 3):
-    """Applies each micro-batch of messages, parsed once; what cannot be applied goes to ``dead_letters``.
+def settle(events: DataFrame, apply: Callable[[DataFrame], None], retries: int = 3, pause: Callable[[float], None] = time.sleep) -> DataFrame | None:
+    """Applies a written table of events (column ``row``, a number of its own); returns those that cannot be applied, None if all were.
 
-    ``apply(events)`` gets the normalised events and is tried ``retries`` times more if it
-    raises, with growing pauses; then the batch's events are dead letters too. Offsets are
-    committed after that. A replayed batch writes the same folder of dead letters again,
-    named by its number, so nothing is there twice.
+    The whole is tried ``retries`` times more, with growing pauses, as an outage needs time.
+    What still fails is halved by a hash of its row until the rows that fail are alone: one
+    bad event among n costs some 2 log n calls, and every event that can be applied is.
+    ``apply`` must leave nothing behind when it raises. A single row has then failed
+    ``retries`` + 1 times at least, if only with others or alone.
+    """
+    for attempt in range(1, retries + 2):
+        try:
+            apply(events)
+            return None
+        except Exception:
+            if attempt <= retries:
+                pause(min(0.5 * attempt, 2.0))
+    dropped, todo = [], [(events, 0)]
+    while todo:
+        part, depth = todo.pop()
+        if part.limit(2).count() < 2:
+            dropped.append(part)
+            continue
+        side = F.pmod(F.xxhash64(F.lit(depth), "row"), F.lit(2))
+        for i in (0, 1):
+            half = part.where(side == i)
+            if half.limit(1).count():
+                try:
+                    apply(half)
+                except Exception:
+                    todo.append((half, depth + 1))
+    return reduce(DataFrame.unionByName, dropped)
+
+
+def start_cdc(messages: DataFrame, apply: Callable[[DataFrame], None], checkpoint: str, dead_letters: str, once: bool = False, retries: int = 3):
+    """Applies each micro-batch of messages, parsed once; what cannot be applied goes to ``dead_letters`` with its reason.
+
+    ``apply(events)`` gets the normalised events. If it raises, the batch is tried again and
+    then halved until only events that fail alone are left (see ``settle``): these are
+    dropped, all others are applied. A message without a value is empty, other reasons are
+    unparseable and unsupported. Offsets are committed after that. A replayed batch writes
+    the same folder of dead letters again, named by its number, so nothing is there twice.
     """
 
     def batch(df: DataFrame, number: int) -> None:
-        events = durable(from_messages(df).withColumn("change", change_type(F.col("operation"))))
-        good = F.col("parsed") & F.col("change").isNotNull()
-        reason = F.when(~F.col("parsed"), "unparseable").otherwise("unsupported")
-        dead = events.where(~good).withColumn("reason", reason)
-        for attempt in range(1, retries + 2):
-            try:
-                apply(events.where(good))
-                break
-            except Exception:
-                if attempt > retries:
-                    dead = dead.unionByName(events.where(good).withColumn("reason", F.lit("dropped")))
-                else:
-                    time.sleep(min(0.5 * attempt, 2.0))
-        dead.select("event_id", "operation", "resource", "ts", "reason").write.mode("overwrite").parquet(f"{dead_letters}/batch={number}")
+        parsed = from_messages(df).withColumn("change", change_type(F.col("operation"))).withColumn("row", F.monotonically_increasing_id())
+        events = cut(parsed)
+        try:
+            good = F.col("parsed") & F.col("change").isNotNull()
+            reason = F.when(F.col("empty"), "empty").when(~F.col("parsed"), "unparseable").otherwise("unsupported")
+            dead = events.where(~good).withColumn("reason", reason)
+            dropped = settle(events.where(good), apply, retries)
+            if dropped is not None:
+                dead = dead.unionByName(dropped.withColumn("reason", F.lit("dropped")))
+            dead.select("event_id", "operation", "resource", "ts", "reason").write.mode("overwrite").parquet(f"{dead_letters}/batch={number}")
+        finally:
+            discard(events)
 
     w = messages.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)
     return (w.trigger(availableNow=True) if once else w).start()
