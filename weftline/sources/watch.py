@@ -58,8 +58,9 @@ def poll(spark: SparkSession, folder: str, home: str) -> DataFrame:
     opened. Events and state of a look are folders of its number; the state's success mark
     publishes both, so a look that broke off is made anew and its events are written over.
     The state before the last one is deleted. Defined results: an empty or missing folder
-    says that all known files were deleted; empty files have the hash of nothing; a file
-    renamed is one deleted and one created.
+    says that all known files were deleted; an empty file is not there, as Spark's readers do
+    not see it, so a file that loses its content is deleted; a file renamed is one deleted
+    and one created.
     """
     version = last_version(spark, home)
     old = _state(spark, home, version)
