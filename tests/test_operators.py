@@ -484,20 +484,19 @@ def path_hub_cycle():
     return [*links, (5, 5), (None, 7), (20_000, 20_001), (20_001, 20_000)]
 
 
-def test_components(spark):
-    """A shuffled path, a hub, a cycle and loose links, over many partitions and with names as ids."""
-    from weftline.operators.components import components
+@pytest.mark.parametrize("block", [100, 1 << 17])
+def test_components(spark, monkeypatch, block):
+    """A shuffled path, a hub, a cycle and loose links, in one task and in many, and with names as ids."""
+    from weftline.operators import components as C
 
+    monkeypatch.setattr(C, "BLOCK", block)  # how many tasks there are; each contracts what it gets
     links = path_hub_cycle()
     df = spark.createDataFrame(links, "a long, b long")
-    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # the partitions are contracted one by one
-    try:
-        assert {x["id"]: x["component"] for x in components(df.repartition(7)).collect()} == brute_roots(links)
-    finally:
-        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert {x["id"]: x["component"] for x in C.components(df).collect()} == brute_roots(links)
     text = df.select(F.concat(F.lit("n"), "a").alias("x"), F.concat(F.lit("n"), "b").alias("y"))
-    assert {x["id"]: x["component"] for x in components(text, "x", "y").collect()} == brute_roots([(a and f"n{a}", b and f"n{b}") for a, b in links])
-    assert components(df.where("a < 0")).count() == 0
+    out = C.components(text, "x", "y").collect()
+    assert {x["id"]: x["component"] for x in out} == brute_roots([(a and f"n{a}", b and f"n{b}") for a, b in links]) and len(out) == len({x["id"] for x in out})
+    assert C.components(df.where("a < 0")).count() == 0
 
 
 @pytest.mark.parametrize("block", [4, 64, 1 << 20])

@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 
 from weftline.shared import cut, discard
 
-#: Links that a task holds at once; more are contracted block by block.
-BLOCK = 1 << 20
+#: Links (2 MB) that a task contracts; the number of tasks follows from it.
+BLOCK = 1 << 17
 
 
 def _contract(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -58,20 +58,20 @@ def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch(*stars())
 
 
-def _stars(links: DataFrame, large: bool) -> DataFrame:
-    """One half step. Every link (u, v) has u > v on entry and on return.
+def _round(links: DataFrame) -> DataFrame:
+    """A large and a small star. Every link (u, v) has u > v on entry and on return.
 
-    The least neighbours are dealt anew before the join, so the join has an exchange on
-    both sides and adaptive execution can split a hub.
+    Large: a link to a node that has a smaller neighbour goes to the least of those instead.
+    Links to a node without one, as to the root of a large component, stay as they are; the
+    least neighbours are dealt anew, so that the join has an exchange on both sides and
+    adaptive execution can split such a hub. Small: all smaller neighbours of a node, and
+    the node, are linked to the least of them.
     """
-    both = links if not large else links.select("u", "v").unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    low = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m")).hint("rebalance")
-    met = both.join(low, "u")
-    if large:
-        out = met.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-    else:
-        out = met.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v")))
-    return out.where("u > v").distinct()
+    least = links.groupBy(F.col("u").alias("x")).agg(F.min("v").alias("m"))
+    large = links.join(least.hint("rebalance"), F.col("v") == F.col("x"), "left").select("u", F.coalesce("m", "v").alias("v"))
+    low = large.groupBy("u").agg(F.min("v").alias("m"))
+    met = large.join(low, "u")
+    return met.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v"))).distinct()
 
 
 def _counted(links: DataFrame) -> tuple[DataFrame, tuple]:
@@ -84,20 +84,22 @@ def _counted(links: DataFrame) -> tuple[DataFrame, tuple]:
 def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(id, component): every id on a link with the smallest id that it reaches.
 
-    Ids are of any one ordered type. Each task first contracts the links of its partition
-    to stars, in bounded memory; then rounds of a large and a small star go on until no
-    link changes. Their number is logarithmic in practice and not limited. A round is one
-    job: it is written to the shared folder, which keeps the lineage short, and counted
-    while it is written. The same path serves every size.
+    Ids are of any one ordered type. The links are dealt to tasks of ``BLOCK`` links, which
+    contract them to stars. That is all where one task holds them; else rounds of a large and
+    a small star go on until no link changes. Their number is logarithmic in practice and not
+    limited. A round is one job: it is written to the shared folder, which keeps the lineage
+    short, and counted while it is written.
 
     Defined results: a link with a null end or with equal ends links nothing; repeated
     links count once; no links give an empty table.
     """
-    ends = links.where(F.col(a) != F.col(b)).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v"))
-    cur, mark = _counted(ends.hint("rebalance").mapInArrow(_forest, ends.schema).distinct())
-    while mark[0]:
+    ends, (n, _) = _counted(links.where(F.col(a) != F.col(b)).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")))
+    tasks = max(1, -(-n // BLOCK))
+    cur, mark = _counted(ends.repartition(tasks).mapInArrow(_forest, ends.schema))
+    discard(ends)
+    while tasks > 1:
         last, seen = cur, mark
-        cur, mark = _counted(_stars(_stars(cur, True), False))
+        cur, mark = _counted(_round(cur))
         discard(last)
         if mark == seen:
             break

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from weftline import vocab
 from weftline.operators.components import components
 from weftline.operators.louvain import louvain
-from weftline.shared import shared_folder
+from weftline.shared import cut, discard, shared_folder
 
 log = logging.getLogger(__name__)
 
@@ -184,21 +184,46 @@ def intermediates(path: Column) -> Column:
 
 
 def shortest_paths(edges: DataFrame, pairs: DataFrame, most: int = 5) -> DataFrame:
-    """(start, goal, length, nodes): one shortest undirected path for each pair within ``most`` hops.
+    """(start, goal, length, nodes, relations): one shortest undirected path for each pair within ``most`` hops.
 
-    Level by level from the starts; a node keeps its least predecessor path, so ties fall
-    alike in every run. Levels end early when every pair is met.
+    Two searches meet in the middle: level by level, by turns from the starts and from the
+    goals, and after each level the pairs whose fronts touch are answered and dropped, with
+    the fronts that no open pair needs. Of equal paths the one with the least nodes in order
+    is taken, and of relations between two nodes the least, in capitals, so ties fall alike
+    in every run.
     """
-    und = durable(undirected(edges).select("source", "target").distinct())
-    starts = pairs.select("start").distinct()
-    seen = starts.select("start", F.col("start").alias("node"), F.lit(0).alias("length"), F.array("start").alias("nodes"))
-    frontier = seen
-    for k in range(1, most + 1):
-        met = frontier.join(und, frontier["node"] == und["source"]).select("start", F.col("target").alias("node"), F.concat("nodes", F.array("target")).alias("nodes"))
-        met = met.groupBy("start", "node").agg(F.min("nodes").alias("nodes"))
-        frontier = durable(met.join(seen, ["start", "node"], "left_anti").select("start", "node", F.lit(k).alias("length"), "nodes"))
-        seen = seen.unionByName(frontier)
-    return pairs.join(seen.withColumnRenamed("node", "goal"), ["start", "goal"])
+    und = cut(undirected(edges).where("source is not null and target is not null").groupBy("source", "target").agg(F.min(F.upper("relation")).alias("relation")))
+    open_ = cut(pairs.select("start", "goal").where("start is not null and goal is not null").distinct())
+    side = lambda c: open_.select(F.col(c).alias("root")).distinct().select("root", F.col("root").alias("node"), F.array("root").alias("nodes"), F.array().cast("array<string>").alias("rels"))
+    fronts, seen, answered = {c: cut(side(c)) for c in ("start", "goal")}, {}, []
+    seen = {c: [fronts[c].select("root", "node")] for c in fronts}
+    for k in range(most + 1):
+        if k:
+            c = "start" if k % 2 else "goal"
+            need = open_.select(F.col(c).alias("root")).distinct()
+            met = fronts[c].join(need, "root", "left_semi").join(und, F.col("node") == F.col("source"))
+            grown = (F.concat("nodes", F.array("target")), F.concat("rels", F.array("relation"))) if c == "start" else (F.concat(F.array("target"), "nodes"), F.concat(F.array("relation"), "rels"))
+            best = met.select("root", F.col("target").alias("node"), F.struct(grown[0].alias("nodes"), grown[1].alias("rels")).alias("p")).groupBy("root", "node").agg(F.min("p").alias("p"))
+            known = reduce(DataFrame.unionByName, seen[c])
+            fronts[c] = cut(best.join(known, ["root", "node"], "left_anti").select("root", "node", "p.nodes", "p.rels"))
+            seen[c].append(fronts[c].select("root", "node"))
+        mine = fronts["start"].select(F.col("root").alias("start"), "node", "nodes", "rels").join(open_, "start")
+        theirs = fronts["goal"].select(F.col("root").alias("goal"), "node", F.col("nodes").alias("onward"), F.col("rels").alias("rest"))
+        joined = mine.join(theirs, ["goal", "node"]).groupBy("start", "goal").agg(F.min(F.struct(F.concat("nodes", F.slice("onward", F.lit(2), F.size("onward"))).alias("nodes"), F.concat("rels", "rest").alias("relations"))).alias("p"))
+        found = cut(joined.select("start", "goal", F.lit(k).alias("length"), "p.nodes", "p.relations"))
+        answered.append(found)
+        last, open_ = open_, cut(open_.join(found, ["start", "goal"], "left_anti"))
+        discard(last)
+        if not open_.limit(1).count():
+            break
+    discard(und, open_)
+    return pairs.join(reduce(DataFrame.unionByName, answered), ["start", "goal"])
+
+
+def reasoning_path(nodes: Column, relations: Column) -> Column:
+    """A path as evidence. The wording is a fixed value."""
+    steps = F.transform(relations, lambda r, i: F.concat(F.lit(" --["), r, F.lit("]--> "), F.get(nodes, i + 1)))
+    return F.concat(F.lit("Reasoning path: "), nodes[0], F.array_join(steps, ""))
 
 
 # ---------------------------------------------------------------- components and communities
@@ -212,6 +237,28 @@ def connected_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return names.join(found, names["name"] == found["id"], "left").select("name", F.coalesce("component", "name").alias("component"))
 
 
+def refresh_components(old: DataFrame, edges: DataFrame, added: DataFrame, removed: DataFrame, new_nodes: DataFrame | None = None) -> DataFrame:
+    """(name, component) after a change, from the labels before it; equal to labels made anew.
+
+    ``edges`` has the edges after the change, ``added`` and ``removed`` (head, tail) what
+    changed. Only components that lost an edge are searched again, over their own edges;
+    added edges then join labels, each component being one node. Rows of other components
+    keep their labels without a search. A node that lost all edges stays, as its own
+    component; nodes that come (``new_nodes``: name, or the ends of added edges) are new.
+    """
+    ends = lambda df: df.select(F.explode(F.array("head", "tail")).alias("name")).where("name is not null").distinct()
+    hit = old.join(ends(removed), "name", "left_semi").select("component").distinct()
+    again = cut(old.join(hit, "component", "left_semi").select("name"))
+    inside = edges.join(again.select(F.col("name").alias("head")), "head", "left_semi").join(again.select(F.col("name").alias("tail")), "tail", "left_semi")
+    fresh = ends(added) if new_nodes is None else ends(added).unionByName(new_nodes.select("name")).distinct()
+    fresh = fresh.join(old.select("name"), "name", "left_anti").select("name", F.col("name").alias("component"))
+    kept = old.join(hit, "component", "left_anti").select("name", "component")
+    labels = cut(kept.unionByName(connected_components(again, inside)).unionByName(fresh))
+    label = lambda c: labels.select(F.col("name").alias(c), F.col("component").alias(f"{c}_label"))
+    joins = components(added.select("head", "tail").join(label("head"), "head").join(label("tail"), "tail"), "head_label", "tail_label")
+    return labels.join(joins, labels["component"] == joins["id"], "left").select("name", F.coalesce(joins["component"], labels["component"]).alias("component"))
+
+
 def communities(labels: DataFrame, edges: DataFrame) -> DataFrame:
     """(community_id, members, relations, summary) of components with two members or more."""
     groups = labels.groupBy("component").agg(F.array_sort(F.collect_set("name")).alias("members")).where(F.size("members") > 1)

@@ -233,15 +233,43 @@ def with_second_try(questions: DataFrame, run, least: float = 0.25, suffix: str
     return first.where(good).select("query_id", "answer", "quality", F.lit("answered").alias("outcome")).unionByName(again)
 
 
+def name_vectors(df: DataFrame, key: str, dims: int = 768) -> DataFrame:
+    """(key, index, value, square): hash embeddings in whole quarters, and the squared length of each."""
+    v = S.hash_embedding(df.select(key).distinct(), key, F.col(key), dims, unit=False).withColumn("value", (F.col("value") * 4).cast("long"))
+    return v.join(v.groupBy(key).agg(F.sum(F.col("value") * F.col("value")).alias("square")), key)
+
+
+def name_candidates(m: DataFrame, n: DataFrame, least: float) -> DataFrame:
+    """The distinct (mention, name) that a cosine of ``least`` is possible for, of two tables of ``name_vectors``.
+
+    Places are put in one order, rare ones first. What a vector has behind the first places
+    that hold more than 1 - least^2 of its square is shorter than ``least`` of its length, so
+    two vectors that share none of their first places cannot reach it: only first places
+    are joined, and common places seldom are among them.
+    """
+    order = n.groupBy("index").agg(F.count(F.lit(1)).alias("n"))  # a row a place at most
+    rank = F.struct(F.coalesce("n", F.lit(0)).alias("n"), "index")
+
+    def first(v: DataFrame, key: str) -> DataFrame:
+        w = W.partitionBy(key).orderBy(rank).rowsBetween(W.unboundedPreceding, -1)
+        held = v.join(order, "index", "left").withColumn("before", F.coalesce(F.sum(F.col("value") * F.col("value")).over(w), F.lit(0)))
+        # a little more than needed, so that rounding loses nothing
+        return held.where(F.col("before") <= F.col("square") * (1 - least * least + 1e-9)).select(key, "index")
+
+    return first(m, "mention").join(first(n, "name"), "index").select("mention", "name").distinct()
+
+
 def name_matches(mentions: DataFrame, names: DataFrame, least: float = 0.8, k: int = 3, dims: int = 768) -> DataFrame:
-    """(mention, name, score, rank): hash-embedding neighbours of each mention.
+    """(mention, name, score, rank): hash-embedding neighbours of each mention by cosine.
 
-    The dot product is a join on the places where both vectors are not zero, so no
-    mention meets a name that it shares nothing with.
+    Exact: candidates come from a bound (see ``name_candidates``), their score is a quotient of
+    integers and a root, so equal scores are equal in every run and ties go to the name.
     """
-    m = S.hash_embedding(mentions.select("mention").distinct(), "mention", F.col("mention"), dims)
-    n = S.hash_embedding(names.select("name").distinct(), "name", F.col("name"), dims).withColumnRenamed("value", "v")
-    scores = m.join(n, "index").groupBy("mention", "name").agg(F.sum(F.col("value") * F.col("v")).alias("score")).where(F.col("score") >= least)
+    m, n = name_vectors(mentions, "mention", dims), name_vectors(names, "name", dims)
+    met = name_candidates(m, n, least)
+    theirs = n.select("name", "index", F.col("value").alias("v"), F.col("square").alias("s"))
+    dots = met.join(m, "mention").join(theirs, ["name", "index"]).groupBy("mention", "name", "square", "s").agg(F.sum(F.col("value") * F.col("v")).alias("dot"))
+    scores = dots.select("mention", "name", (F.col("dot") / F.sqrt((F.col("square") * F.col("s")).cast("double"))).alias("score")).where(F.col("score") >= least)
     return top_k(scores, ["mention"], [F.desc("score"), F.asc("name")], k)
 
 

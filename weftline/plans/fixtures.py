@@ -121,3 +121,33 @@ def _literal(x) -> str:
 
 
 QUESTIONS_SQL = "SELECT CAST(query_id AS INTEGER) AS query_id, question, start, start_type, expected FROM (VALUES " + ", ".join("(" + ", ".join(map(_literal, q)) + ")" for q in QUESTIONS) + ") v(query_id, question, start, start_type, expected)"
+
+#: Questions of whole tables: every customer and supplier asks one of these of itself. (of, form, question, expected metapath)
+FORMS = (
+    ("Fund", 0, "Which sectors is {} exposed to?", "sector_exposure"),
+    ("Fund", 1, "Infer sector exposure for {}", "sector_exposure"),
+    ("Fund", 2, "Which regions and countries are represented by the holdings of {}?", "geographic_risk"),
+    ("Fund", 3, "What supplier dependencies does {} have through its vendors?", "supply_chain_risk"),
+    ("Fund", 4, "Explain the cloud and software infrastructure risk of {}", "technology_risk"),
+    ("Fund", 5, "What regulation and compliance rules is {} subject to?", "compliance_chain"),
+    ("Fund", 6, "Tell me about {}", "sector_exposure"),
+    ("Fund", 7, "How much technology exposure does {} have?", "technology_risk"),
+    ("Company", 0, "Compare peers in the same sector as {}", "shared_sector"),
+    ("Company", 1, "Which companies share board directors with {}?", "management_overlap"),
+    ("Company", 2, "Who owns the parent of {}, and which subsidiary follows?", "subsidiary_chain"),
+)
+
+
+def asked(spark: SparkSession, d: str) -> DataFrame:
+    """(query_id, question, start, start_type, expected, has_entities, n_starts): a question of every customer and supplier."""
+    forms = spark.createDataFrame(list(FORMS), "start_type string, form int, text string, expected string")
+    own = lambda name, key, start, kind, even, n: table(spark, d, name).select((F.col(key) * 2 + even).alias("query_id"), F.col(start).alias("start"), F.lit(kind).alias("start_type"), (F.col(key) % n).cast("int").alias("form"))
+    rows = own("customer", "c_custkey", "c_name", "Fund", 0, 8).unionByName(own("supplier", "s_suppkey", "s_name", "Company", 1, 3))
+    met = rows.join(F.broadcast(forms), ["start_type", "form"])  # eleven forms
+    return met.select("query_id", F.replace("text", F.lit("{}"), "start").alias("question"), "start", "start_type", "expected", F.lit(True).alias("has_entities"), F.lit(1).alias("n_starts"))
+
+
+ASKED_SQL = (
+    "SELECT query_id, replace(text, '{}', start) AS question, start, start_type, expected FROM (SELECT c_custkey * 2 AS query_id, c_name AS start, 'Fund' AS start_type, c_custkey % 8 AS form FROM customer "
+    "UNION ALL SELECT s_suppkey * 2 + 1, s_name, 'Company', s_suppkey % 3 FROM supplier) JOIN (VALUES " + ", ".join("(" + ", ".join(map(_literal, f)) + ")" for f in FORMS) + ") f(start_type, form, text, expected) USING (start_type, form)"
+)

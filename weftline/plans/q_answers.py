@@ -11,7 +11,7 @@ from weftline.operators import graph as G
 from weftline.operators import retrieval as R
 from weftline.operators import routing
 from weftline.plans.book import Book
-from weftline.plans.fixtures import QUESTIONS_SQL, entities, questions, relations, table
+from weftline.plans.fixtures import ASKED_SQL, QUESTIONS_SQL, asked, entities, questions, relations, table
 from weftline.plans.q_graph import _walk_sql
 from weftline.plans.q_rank import _RULES, _ROUTE
 
@@ -82,12 +82,12 @@ def intent_retrieval(spark, d):
 
 
 @Q.add(
-    rf"""WITH q AS ({QUESTIONS_SQL}), r AS (SELECT query_id, question, {_SPANS.replace("[.,:;!?()]+", "[.,:;!?()]+").format(t='question')} AS e,
+    rf"""WITH q AS ({ASKED_SQL}), r AS (SELECT query_id, question, {_SPANS.replace("[.,:;!?()]+", "[.,:;!?()]+").format(t='question')} AS e,
         list_transform(list_filter(list_transform(string_split(question, ' '), lambda w: regexp_replace(w, '^[.,:;!?()]+|[.,:;!?()]+$', '', 'g')), lambda w: regexp_matches(w, '^\p{{L}}{{4,}}$')), lambda w: lower(w))[1:8] AS k FROM q)
         SELECT query_id, question AS first, array_to_string(list_concat(e, k), ' ') AS second FROM r"""
 )
 def rewrite_query(spark, d):
-    r = questions(spark).select("query_id", routing.rewrite(F.col("question")).alias("r"))
+    r = asked(spark, d).select("query_id", routing.rewrite(F.col("question")).alias("r"))
     return r.select("query_id", F.col("r.queries")[0].alias("first"), F.col("r.queries")[1].alias("second"))
 
 

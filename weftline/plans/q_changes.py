@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from weftline.operators import ingest
 from weftline.plans.book import Book
 from weftline.plans.fixtures import table
-from weftline.streaming import cdc
+from weftline.streaming import cdc, stateful
 
 Q = Book()
 
@@ -115,12 +115,38 @@ def cdc_stats(spark, d):
     return table(spark, d, "events").groupBy(F.col("user_id").alias("resource")).agg(F.count(F.lit(1)).alias("events"), F.count_if(F.col("event_type") != "error").alias("succeeded"))
 
 
-@Q.add()
+_LIMITED = """WITH RECURSIVE x AS (SELECT user_id, event_id AS seq, CAST(floor(epoch(ts)) AS DOUBLE) AS t, row_number() OVER (PARTITION BY user_id ORDER BY floor(epoch(ts)), event_id) AS rn FROM events),
+    r(user_id, seq, t, rn, held, allowed) AS (SELECT user_id, seq, t, rn, [t], true FROM x WHERE rn = 1
+        UNION ALL SELECT user_id, seq, t, rn, CASE WHEN len(k) < 5 THEN list_append(k, t) ELSE k END, len(k) < 5
+        FROM (SELECT x.user_id, x.seq, x.t, x.rn, list_filter(r.held, lambda z: z >= x.t - 21600) AS k FROM r JOIN x ON x.user_id = r.user_id AND x.rn = r.rn + 1))"""
+
+
+@Q.add(f"{_LIMITED} SELECT CAST(user_id AS VARCHAR) AS client, seq, t AS ts, allowed FROM r")
 def rate_limit(spark, d):
     e = table(spark, d, "events").select(F.col("user_id").cast("string").alias("client"), F.col("event_id").alias("seq"), F.unix_seconds(F.col("ts").cast("timestamp")).alias("ts"))
     return cdc.rate_limit(e, 5, 6 * 3600)
 
 
+@Q.add(f"{_LIMITED} SELECT CAST(user_id AS VARCHAR) AS client, seq, allowed FROM r")
+def stream_rate_limit(spark, d):
+    """The same limit as a stream with state and timers."""
+    s = _stream(spark, d).select(F.col("user_id").alias("client"), F.col("event_id").alias("seq"), F.date_trunc("second", F.col("ts").cast("timestamp")).alias("ts"))
+    return cdc.stream_to_table(spark, stateful.limited(s, 5, 6 * 3600)).select("client", "seq", "allowed")
+
+
+@Q.add("""SELECT event_id, user_id, CASE WHEN event_type <> 'error' THEN CAST(sum(CAST(event_type <> 'error' AS INTEGER)) OVER (PARTITION BY user_id ORDER BY event_id) AS BIGINT) END AS version,
+        CASE WHEN event_type = 'view' THEN event_id % 2 END AS added, CASE WHEN event_type = 'view' THEN CASE WHEN event_id % 2 = 1 THEN 0.5 ELSE 0.0 END END AS change_ratio FROM events""")
+def stream_versions(spark, d):
+    """Event steps as a stream: a version counter for each resource, and the diff of updates."""
+    image = lambda x: F.create_map(F.lit("content"), F.concat(F.lit("same\n"), x))
+    e = _stream(spark, d).select(
+        F.col("event_id").cast("string").alias("event_id"), F.when(F.col("event_type") == "view", "UPDATE").otherwise("INSERT").alias("operation"), F.col("user_id").cast("string").alias("resource"),
+        F.col("event_id").alias("seq"), (F.col("event_type") != "error").alias("success"), image(F.lit("0")).alias("before"), image((F.col("event_id") % 2).cast("string")).alias("after"),
+    )
+    out = cdc.stream_to_table(spark, stateful.versioned(e))
+    return out.select(F.col("event_id").cast("long").alias("event_id"), F.col("resource").cast("long").alias("user_id"), "version", F.col("diff.added_count").cast("long").alias("added"), "diff.change_ratio")
+
+
 @Q.add()
 def line_diff(spark, d):
     docs = table(spark, d, "documents").withColumn("text", F.coalesce("text", F.lit("")))

@@ -75,15 +75,17 @@ def _people(spark, d):
     return table(spark, d, "supplier").select(F.concat(F.lit("Person#"), F.col("s_suppkey") % 20).alias("start")).distinct()
 
 
+_ASKED = "p AS (SELECT s_name AS start FROM supplier WHERE s_suppkey % 50 = 0)"
+
+
 @Q.add(
-    f"""WITH e AS MATERIALIZED ({_CORP}), {_UND.replace("und AS (", "und AS MATERIALIZED (")}, {_PEOPLE}, n AS MATERIALIZED ({ENTITIES_SQL}),
-        h1 AS MATERIALIZED (SELECT start, 1 AS hop, source, relation, target FROM p JOIN und ON start = source),
-        f AS MATERIALIZED (SELECT DISTINCT start, target AS node FROM h1 WHERE target <> start),
-        h2 AS (SELECT start, 2 AS hop, source, relation, target FROM f JOIN und ON node = source)
+    f"""WITH e AS ({_CORP}), {_UND}, {_ASKED}, n AS ({ENTITIES_SQL}), h1 AS (SELECT start, 1 AS hop, source, relation, target FROM p JOIN und ON start = source),
+        f AS (SELECT DISTINCT start, target AS node FROM h1 WHERE target <> start), h2 AS (SELECT start, 2 AS hop, source, relation, target FROM f JOIN und ON node = source)
         SELECT start, hop, source, relation, target, type AS target_type FROM (SELECT * FROM h1 UNION ALL SELECT * FROM h2) JOIN n ON target = name"""
 )
 def khop_neighbors(spark, d):
-    return G.neighbors(relations(spark, d, *CORPORATE), _people(spark, d), 2, entities(spark, d))
+    asked = table(spark, d, "supplier").where("s_suppkey % 50 = 0").select(F.col("s_name").alias("start"))
+    return G.neighbors(relations(spark, d, *CORPORATE), asked, 2, entities(spark, d))
 
 
 @Q.add(
@@ -106,12 +108,28 @@ def shortest_path_len(spark, d):
     return G.shortest_paths(relations(spark, d, *CORPORATE), pairs).select("start", "goal", "length")
 
 
-@Q.add()
+def _levels_sql(most: int = 5) -> str:
+    """Breadth-first levels, the least path to each node of a level, one after the other."""
+    out = ["l0 AS (SELECT start, start AS node, [start] AS nodes, CAST([] AS VARCHAR[]) AS rels FROM p)"]
+    for k in range(1, most + 1):
+        seen = " UNION ALL ".join(f"SELECT start, node FROM l{i}" for i in range(k))
+        out.append(
+            f"l{k} AS MATERIALIZED (SELECT start, node, min(nodes) AS nodes, arg_min(rels, nodes) AS rels FROM (SELECT l.start, u.target AS node, list_append(l.nodes, u.target) AS nodes, list_append(l.rels, u.relation) AS rels "
+            f"FROM l{k - 1} l JOIN u ON u.source = l.node) s WHERE NOT EXISTS (SELECT 1 FROM ({seen}) x WHERE x.start = s.start AND x.node = s.node) GROUP BY start, node)"
+        )
+    return ", ".join(out) + ", found AS (" + " UNION ALL ".join(f"SELECT *, {k} AS length FROM l{k}" for k in range(most + 1)) + ")"
+
+
+@Q.add(
+    f"""WITH e AS MATERIALIZED ({_CORP}), {_UND}, u AS MATERIALIZED (SELECT source, target, min(upper(relation)) AS relation FROM und GROUP BY ALL), {_PEOPLE}, {_levels_sql()}
+        SELECT start, node AS goal, length, 'Reasoning path: ' || start || array_to_string(list_transform(list_zip(rels, nodes[2:]), lambda z: ' --[' || z[1] || ']--> ' || z[2]), '') AS content
+        FROM found WHERE node LIKE 'Rule %'"""
+)
 def shortest_path_text(spark, d):
     ends = table(spark, d, "region").select(F.concat(F.lit("Rule "), "r_name").alias("goal"))
     pairs = _people(spark, d).join(F.broadcast(ends), F.lit(True))  # 20 people and the rules
     p = G.shortest_paths(relations(spark, d, *CORPORATE), pairs)
-    return p.select("start", "goal", "length", F.array_join("nodes", " - ").alias("nodes"))
+    return p.select("start", "goal", "length", G.reasoning_path(F.col("nodes"), F.col("relations")).alias("content"))
 
 
 _OWN = f"({SQL['owns']}) UNION ALL ({SQL['works_at']})"

@@ -10,11 +10,13 @@ from pyspark.sql import functions as F
 from weftline import vocab
 from weftline.functions import similarity as S
 from weftline.functions import text as T
+from weftline.operators import attention
 from weftline.operators import evaluate as E
 from weftline.operators import retrieval as R
 from weftline.operators import routing
+from weftline.operators.graph import durable
 from weftline.plans.book import Book
-from weftline.plans.fixtures import QUESTIONS_SQL, questions, table
+from weftline.plans.fixtures import ASKED_SQL, QUESTIONS_SQL, asked, entities, relations, table
 from weftline.plans.q_text import _QTOK, _TOKENS
 
 Q = Book()
@@ -44,7 +46,7 @@ def cosine_all(spark, d):
 @Q.add(f"SELECT count(*) AS queries, CAST(sum(hit) AS BIGINT) AS hits FROM (SELECT q.vec_id, max(CAST(q.label = e.label AS INTEGER)) AS hit FROM embeddings q, (SELECT q.vec_id AS qid, e.vec_id, row_number() OVER (PARTITION BY q.vec_id ORDER BY greatest(0, {_SIM}) DESC, e.vec_id) AS rank FROM embeddings q, embeddings e WHERE q.vec_id % 50 = 0) r, embeddings e WHERE q.vec_id = r.qid AND e.vec_id = r.vec_id AND rank BETWEEN 2 AND 6 GROUP BY q.vec_id)")
 def vector_hit_rate(spark, d):
     q, e = _vectors(spark, d)
-    top = R.vector_search(q, e, 6).where("rank > 1").join(e.select("vec_id", "label"), "vec_id").join(F.broadcast(q.select("query_id", "query_label")), "query_id")
+    top = R.vector_search(q, e, 6).where("rank > 1").join(e.select("vec_id", "label"), "vec_id").join(q.select("query_id", "query_label"), "query_id")
     per = top.groupBy("query_id").agg(F.max((F.col("label") == F.col("query_label")).cast("int")).alias("hit"))
     return per.agg(F.count(F.lit(1)).alias("queries"), F.sum("hit").alias("hits"))
 
@@ -170,9 +172,12 @@ _ROUTE = (
 )
 
 
-@Q.add(f"WITH {_ROUTE} SELECT query_id, metapath, CAST(score AS BIGINT) AS score, fallback, rank FROM routed")
+_ROUTE_ALL = _ROUTE.replace(QUESTIONS_SQL, ASKED_SQL)
+
+
+@Q.add(f"WITH {_ROUTE_ALL} SELECT query_id, metapath, CAST(score AS BIGINT) AS score, fallback, rank FROM routed")
 def route_metapaths(spark, d):
-    return routing.route(questions(spark)).select("query_id", "metapath", F.col("score").cast("long").alias("score"), "fallback", "rank")
+    return routing.route(asked(spark, d)).select("query_id", "metapath", F.col("score").cast("long").alias("score"), "fallback", "rank")
 
 
 _RULES = (
@@ -183,42 +188,68 @@ _RULES = (
 )
 
 
-@Q.add(f"WITH {_RULES} SELECT query_id, rule, metapath, CAST(score AS BIGINT) AS score, rank FROM chosen")
+@Q.add(f"WITH {_RULES.replace(QUESTIONS_SQL, ASKED_SQL)} SELECT query_id, rule, metapath, CAST(score AS BIGINT) AS score, rank FROM chosen")
 def select_rules(spark, d):
-    return routing.select_rules(questions(spark)).select("query_id", "rule", "metapath", F.col("score").cast("long").alias("score"), "rank")
+    return routing.select_rules(asked(spark, d)).select("query_id", "rule", "metapath", F.col("score").cast("long").alias("score"), "rank")
 
 
-@Q.add(f"WITH {_ROUTE} SELECT count(*) AS queries, CAST(sum(CAST(rank IS NOT NULL AS INTEGER)) AS BIGINT) AS hits, CAST(sum(CAST(rank = 1 AS INTEGER)) AS BIGINT) AS top1 FROM qs LEFT JOIN routed ON qs.query_id = routed.query_id AND expected = metapath")
+@Q.add(f"WITH {_ROUTE_ALL} SELECT count(*) AS queries, CAST(sum(CAST(rank IS NOT NULL AS INTEGER)) AS BIGINT) AS hits, CAST(sum(CAST(rank = 1 AS INTEGER)) AS BIGINT) AS top1 FROM qs LEFT JOIN routed ON qs.query_id = routed.query_id AND expected = metapath")
 def router_metrics(spark, d):
-    q = questions(spark)
+    q = asked(spark, d)
     r = routing.route(q).select("query_id", F.col("metapath").alias("expected"), "rank")
     return q.join(r, ["query_id", "expected"], "left").agg(F.count(F.lit(1)).alias("queries"), F.count("rank").alias("hits"), F.coalesce(F.sum((F.col("rank") == 1).cast("long")), F.lit(0)).alias("top1"))
 
 
-_TRAIN = f"WITH {_ROUTE}, m AS (SELECT * FROM (VALUES {', '.join(repr((m.name, m.steps[0][0], m.steps[-1][3], len(m.keywords))) for m in vocab.METAPATHS.values())}) v(candidate, first_type, last_type, n_keywords)), t AS (SELECT qs.query_id, candidate, CAST(candidate = expected AS INTEGER) AS label, rank, score, first_type = start_type AS type_matches, len(regexp_extract_all(lower(question), '[a-z0-9]+')) AS n_tokens FROM qs CROSS JOIN m LEFT JOIN routed r ON r.query_id = qs.query_id AND r.metapath = candidate)"
+_TRAIN = f"WITH {_ROUTE_ALL}, m AS (SELECT * FROM (VALUES {', '.join(repr((m.name, m.steps[0][0], m.steps[-1][3], len(m.keywords))) for m in vocab.METAPATHS.values())}) v(candidate, first_type, last_type, n_keywords)), t AS (SELECT qs.query_id, candidate, CAST(candidate = expected AS INTEGER) AS label, rank, score, first_type = start_type AS type_matches, len(regexp_extract_all(lower(question), '[a-z0-9]+')) AS n_tokens FROM qs CROSS JOIN m LEFT JOIN routed r ON r.query_id = qs.query_id AND r.metapath = candidate)"
 
 
 @Q.add(f"{_TRAIN} SELECT query_id, candidate, label, CAST(coalesce(rank, 0) AS BIGINT) AS router_rank, CAST(coalesce(score, 0) AS BIGINT) AS router_score, type_matches, CAST(n_tokens AS BIGINT) AS n_tokens FROM t")
 def training_records(spark, d):
-    r = E.training_records(questions(spark))
+    r = E.training_records(asked(spark, d))
     return r.select("query_id", "candidate", "label", F.col("router_rank").cast("long").alias("router_rank"), F.col("router_score").cast("long").alias("router_score"), "type_matches", F.col("n_tokens").cast("long").alias("n_tokens"))
 
 
 @Q.add(f"{_TRAIN} SELECT count(*) AS records, count(DISTINCT query_id) AS queries, CAST(sum(label) AS BIGINT) AS positives, count(rank) AS selected, CAST(sum(CAST(label = 1 AND rank = 1 AS INTEGER)) AS BIGINT) AS top1, CAST(sum(CAST(label = 1 AND type_matches AS INTEGER)) AS BIGINT) AS compatible FROM t")
 def training_summary(spark, d):
-    r = E.training_records(questions(spark))
+    r = E.training_records(asked(spark, d))
     return r.agg(
         F.count(F.lit(1)).alias("records"), F.count_distinct("query_id").alias("queries"), F.sum("label").alias("positives"), F.count_if("selected").alias("selected"),
         F.count_if((F.col("label") == 1) & (F.col("router_rank") == 1)).alias("top1"), F.count_if((F.col("label") == 1) & F.col("type_matches")).alias("compatible"),
     )
 
 
-@Q.add()
+def _split(spark, d):
+    """Records of the questions whose id 5 does not divide, to learn from, and of the others."""
+    r = E.training_records(asked(spark, d))
+    return r.where("query_id % 5 <> 0"), r.where("query_id % 5 = 0")
+
+
+def _not_below_rule(ranked, held):
+    """Held-out questions, and whether a ranker puts the right metapath first as often as the router's own score does, and as high on average."""
+    mine, rule = E.rank_metrics(ranked), E.rank_metrics(held.withColumn("score", F.col("router_score").cast("double")))
+    both = mine.join(rule.select(F.col("top1").alias("t"), F.col("mrr").alias("m")), F.lit(True))  # one row each
+    return both.select("queries", (F.col("top1") >= F.col("t")).alias("top1_not_below_rule"), (F.col("mrr") >= F.col("m") - 1e-12).alias("mrr_not_below_rule"))
+
+
+_HELD = f"SELECT count(*) AS queries, true AS top1_not_below_rule, true AS mrr_not_below_rule FROM ({ASKED_SQL}) WHERE query_id % 5 = 0"
+
+
+@Q.add(_HELD)
 def learned_ranker(spark, d):
-    r = E.training_records(questions(spark))
-    # the question set is a fixed list of 12, its records 96
-    w = E.train_pairwise([x.asDict() for x in r.orderBy("query_id", "candidate").collect()])
-    return E.rank_metrics(E.apply_weights(r, w))
+    """The linear ranker, fitted on the records of at most ``attention.SAMPLE`` questions, on the held-out ones."""
+    learn, held = _split(spark, d)
+    w = E.train_pairwise(attention.sampled(learn).to_dict("records"))
+    return _not_below_rule(E.apply_weights(held, w), held)
+
+
+@Q.add(_HELD)
+def attention_ranker(spark, d):
+    """The ranker with attention over path instances, fitted on the same sample."""
+    names = dict.fromkeys(s[1] for m in vocab.METAPATHS.values() for s in m.steps)
+    walks = durable(attention.walk_table(entities(spark, d), durable(relations(spark, d, *names)), vocab.METAPATHS.values()))
+    starts = asked(spark, d)
+    learn, held = (attention.with_path_instances(r, starts, walks) for r in _split(spark, d))
+    return _not_below_rule(attention.apply(held, attention.train(attention.sampled(learn))), held)
 
 
 @Q.add("SELECT CAST(count(*) AS BIGINT) AS queries, CAST(sum(CAST(r = 1 AS INTEGER)) AS BIGINT) AS top1, CAST(floor(avg(1.0 / r) * 100000 + 0.25) AS BIGINT) AS mrr5 FROM (SELECT user_id, min(r) AS r FROM (SELECT user_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY value DESC, event_id DESC) AS r FROM events) WHERE event_type = 'purchase' GROUP BY user_id)")
@@ -275,10 +306,22 @@ def name_matches(spark, d):
     return R.name_matches(names.select(F.col("name").alias("mention")), names, least=0.999).select("mention", "name")
 
 
-@Q.add()
+_NAMES = "SELECT p_type AS name FROM part UNION SELECT p_name FROM part UNION SELECT c_name FROM customer"
+_VEC = f"""names AS ({_NAMES}), t AS (SELECT name, {_TOKENS.format(t='name')} AS toks FROM names),
+    f AS (SELECT name, unnest(list_concat(toks, list_transform(range(1, greatest(len(array_to_string(toks, '')) - 1, 1)), lambda i: substr(array_to_string(toks, ''), i, 3)))) AS feature FROM t),
+    p AS (SELECT name, unnest(list_transform([0, 4, 8, 12], lambda o: [CAST(('0x' || substr(sha256(feature), 2 * o + 1, 8)) AS BIGINT) % 768, CASE WHEN CAST(('0x' || substr(sha256(feature), 2 * (o + 16) + 1, 2)) AS BIGINT) % 2 = 0 THEN 1 ELSE -1 END])) AS p FROM f),
+    v AS (SELECT name, p[1] AS i, CAST(sum(p[2]) AS BIGINT) AS x FROM p GROUP BY ALL), len AS (SELECT name, sum(x * x) AS s FROM v GROUP BY name)"""
+
+
+@Q.add(f"""WITH {_VEC}, dots AS (SELECT a.name AS mention, b.name, sum(a.x * b.x) AS dot FROM v a JOIN v b ON a.i = b.i WHERE a.name IN (SELECT p_type FROM part UNION SELECT p_name FROM part) GROUP BY ALL),
+    s AS (SELECT mention, d.name, CAST(dot AS DOUBLE) / sqrt(CAST(m.s * n.s AS DOUBLE)) AS score FROM dots d JOIN len m ON m.name = mention JOIN len n ON n.name = d.name)
+    SELECT mention, name, rank FROM (SELECT *, row_number() OVER (PARTITION BY mention ORDER BY score DESC, name) AS rank FROM s WHERE score >= 0.8) WHERE rank <= 3""")
 def name_matches_near(spark, d):
-    names = table(spark, d, "part").select(F.col("p_type").alias("name"))
-    return R.name_matches(names.select(F.col("name").alias("mention")), names)
+    """The names and types of all parts against all names of parts, types and customers."""
+    part, customer = table(spark, d, "part"), table(spark, d, "customer")
+    asked = part.select(F.col("p_type").alias("name")).unionByName(part.select(F.col("p_name").alias("name"))).distinct()
+    names = asked.unionByName(customer.select(F.col("c_name").alias("name"))).distinct()
+    return R.name_matches(asked.select(F.col("name").alias("mention")), names).select("mention", "name", "rank")
 
 
 @Q.add(f"""WITH {_CTX}, c AS (SELECT query_id, pos, score, md5(lower(event_type || ' ' || (event_id % 9))) AS key, CASE WHEN {_KIND} = 'vector' THEN 0 ELSE 1 END AS branch_ord FROM ctx WHERE {_KIND} <> 'multimodal'),
