@@ -70,6 +70,8 @@ BLOCK = 128
 COPIES = 6
 NEW_LINKS = 100
 MARGIN = 0.16
+#: Rows of 16 bytes that may be broadcast; larger tables of leaves are met by a shuffle, larger ones of components by a shuffle of the rows that a Bloom filter lets through.
+BROADCAST = 1 << 17
 _RNG = np.random.Generator(np.random.PCG64(20240611))
 _MUL = _RNG.integers(1, 2**63, COORDS, dtype=np.uint64) | np.uint64(1)
 _ADD = _RNG.integers(0, 2**63, COORDS, dtype=np.uint64)
@@ -296,10 +298,10 @@ def _cells_of(reps: DataFrame, first: int, last: int) -> tuple[DataFrame, list[D
     # the same members under several trees are one leaf
     alone = cut(alone.groupBy("members", "n").agg(F.min(F.struct("level", "node")).alias("leaf")).select("leaf.level", "leaf.node"))
     used.append(alone)
-    leaves = []
+    leaves, few = [], alone.count() <= BROADCAST
     for i, here in enumerate(held):
         own = alone.where(F.col("level") == i).select("node")
-        leaves.append(here.join(own, "node").select(F.col("node").alias("leaf"), F.lit(-1).alias("c1"), F.lit(0).alias("c2"), "doc_id", "comp"))
+        leaves.append(here.join(F.broadcast(own) if few else own, "node").select(F.col("node").alias("leaf"), F.lit(-1).alias("c1"), F.lit(0).alias("c2"), "doc_id", "comp"))
     return reduce(DataFrame.unionByName, [*leaves, *dealt]), used
 
 
@@ -475,10 +477,14 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
         old = comp
         comp = components(links if old is None else links.unionByName(old.toDF("a", "b")))
         discard(old, links)
-        last, bits = reps, bloom.bits_for(comp.count())
-        maybe, sure = bloom.split(reps, F.col("doc_id"), bits, bloom.of_keys(comp, F.col("id"), bits))  # most documents are in no link and do not move
-        maybe = maybe.drop("comp").join(comp, F.col("doc_id") == F.col("id"), "left").select("doc_id", F.coalesce("component", "doc_id").alias("comp"), "sig")
-        reps = cut(sure.unionByName(maybe))
+        last, n = reps, comp.count()
+        renamed = lambda rows, comp: rows.drop("comp").join(comp, F.col("doc_id") == F.col("id"), "left").select("doc_id", F.coalesce("component", "doc_id").alias("comp"), "sig")
+        if n <= BROADCAST:
+            reps = cut(renamed(reps, F.broadcast(comp)))
+        else:
+            bits = bloom.bits_for(n)
+            maybe, sure = bloom.split(reps, F.col("doc_id"), bits, bloom.of_keys(comp, F.col("id"), bits))  # most documents are in no link and do not move
+            reps = cut(sure.unionByName(renamed(maybe, comp)))
         discard(last)
 
     join_up(_stars(docs, reps, WAVE, k, percent))
@@ -486,8 +492,12 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
     while first < TREES:
         last = min(TREES, first + wave)
         links = _links(docs, reps, first, last, k, percent)
-        first, wave = last, WAVE if links.count() * NEW_LINKS > rows else TREES
-        join_up(links)
+        n = links.count()
+        first, wave = last, WAVE if n * NEW_LINKS > rows else TREES
+        if n or comp is None:
+            join_up(links)
+        else:
+            discard(links)
     discard(reps)
     full = full.select("doc_id", "n_shingles", "set_key").join(classes.where("n > 1").select("set_key", "rep"), "set_key", "left")
     full = full.withColumn("rep", F.coalesce("rep", "doc_id")).join(comp, F.col("rep") == F.col("id"), "left")
