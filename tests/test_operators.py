@@ -346,6 +346,33 @@ def test_a_string_is_no_statement(spark):
     assert read_only_sql(spark, "select 'drop table x' as a").first()["a"] == "drop table x"
 
 
+def test_a_failed_branch_is_left_out(spark):
+    rows = spark.createDataFrame([(1, f"c{i}", "s", i / 10, i) for i in range(5)], "query_id int, content string, source string, score double, pos long")
+
+    def broken():
+        return rows.withColumn("score", F.raise_error(F.lit("no such store")).cast("double"))
+
+    def missing():
+        raise OSError("not there")
+
+    got, failed = retrieval.gather({"a": lambda: rows, "b": broken, "c": missing, "d": lambda: rows.limit(0)}, most=2)
+    assert failed == ["b", "c"] and sorted((r["branch"], r["content"]) for r in got.collect()) == [("a", "c3"), ("a", "c4")]
+    with pytest.raises(OSError, match="not there"):
+        retrieval.gather({"c": missing})
+
+
+def test_paths_and_communities_of_a_question(spark, small):
+    _, rels = small
+    linked = spark.createDataFrame([(1, "Global Income Fund", 5), (1, "Technology", 9), (2, "Apple Inc.", 0)], "query_id int, entity string, ord int")
+    (p,) = retrieval.reasoning_branch(linked.withColumn("ord", F.when(F.col("ord") == 5, 0).when(F.col("ord") == 9, 1).otherwise(0)), rels).collect()
+    assert p["content"] == "Reasoning path: Global Income Fund --[HOLDS]--> Microsoft --[BELONGS_TO]--> Technology" and p["query_id"] == 1
+    nodes = rels.select(F.explode(F.array("head", "tail")).alias("name")).distinct()
+    c = G.communities(G.connected_components(nodes, rels), rels)
+    q = spark.createDataFrame([(1, "technology of the fund"), (2, "x")], "query_id int, question string")
+    got = retrieval.community_branch(linked, q, c).collect()
+    assert {r["query_id"] for r in got} == {1, 2} and all(r["score"] >= 0.7 for r in got)
+
+
 def test_second_try(spark):
     q = spark.createDataFrame([(1, "good"), (2, "poor"), (3, "hopeless")], "query_id int, question string")
     score = F.when(F.col("question").startswith("good"), 0.9).when(F.col("question").contains("poor Focus"), 0.5).otherwise(0.1)

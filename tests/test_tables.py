@@ -32,7 +32,7 @@ def test_workbooks(spark, tmp_path):
     first = [got.pop(("a.xlsx", 0, k)) for k in range(3)][0].split("\n")
     assert first[:2] == ["Worksheet: Funds & <more>", "Headers: Fund | Share"]
     assert first[2] == "Fund: F0 | Share: 0 | True | past the header" and first[3] == "Fund: F1 | Share: 0.25 | False | past the header" and first[8] == "Fund: F6 | Share: None | True"
-    assert got.pop(("a.xlsx", 3, 0)) == "Worksheet: Gap\nHeaders: h\nh: v"
+    assert got.pop(("a.xlsx", 3, 0)) == "Worksheet: Gap\nHeaders: h\nh: None\nh: v"
     assert {k[0]: v.split("]")[0] for k, v in got.items()} == {"b.xlsx": "[Empty Excel", "c.xlsx": "[Excel parsing failed", "d.xls": "[Excel parsing failed"}
     assert workbooks.workbook_texts(spark, str(tmp_path / "none")).count() == 0
 
@@ -57,6 +57,37 @@ def test_column_names():
     assert [workbooks._column(c) for c in ("A1", "Z9", "AA1", "XFD1")] == [0, 25, 26, 16383]
 
 
+# ---------------------------------------------------------------- dispatch by type
+
+
+def test_files_are_parsed_by_type(spark, tmp_path):
+    from weftline.sources import parse
+
+    (tmp_path / "sub").mkdir()
+    (tmp_path / "t.csv").write_text("a,b\n" + "\n".join(f"{i},x{i}" for i in range(25)) + '\n"quoted, value"\n', encoding="utf-8")
+    (tmp_path / "e.csv").write_text("a,b\n")
+    (tmp_path / "sub" / "w.xlsx").write_bytes(workbooks.workbook({"S": [["h"], ["v", 2]]}))
+    (tmp_path / "n.txt").write_text("First sentence here. Second one follows.", encoding="utf-8")
+    (tmp_path / "p.pdf").write_bytes(b"%PDF-1.4 page one\x0cpage two")
+    (tmp_path / "i.png").write_bytes(b"no image")
+    (tmp_path / "broken.csv").write_bytes(b"a,b\n\xff\xfe,1\n")
+    (tmp_path / "big.md").write_text("x" * 5000)
+    reader = {"pdf": lambda data: [p.decode() for p in data.split(b" ", 1)[1].split(b"\x0c")]}
+    rows = parse.parse_files(spark, str(tmp_path), reader, most=4000).collect()
+    got = {}
+    for r in rows:
+        got.setdefault(r["path"].rsplit("/", 1)[1], {})[r["part"]] = (r["text"], r["error"] and r["error"].split(":")[0])
+    assert got["t.csv"][0][0].startswith("Headers: a | b\na: 0 | b: x0\n") and got["t.csv"][1][0].split("\n")[-1] == "a: quoted, value | b: None" and len(got["t.csv"]) == 2
+    assert got["e.csv"] == {0: ("[Empty CSV]", None)} and got["w.xlsx"] == {0: ("Worksheet: S\nHeaders: h\nh: v | 2", None)}
+    assert got["p.pdf"] == {0: ("page one", None), 1: ("page two", None)} and got["n.txt"][0][1] is None
+    failed = {k: v[0][1] for k, v in got.items() if v[0][1]}
+    assert failed == {"i.png": "LookupError", "broken.csv": "UnicodeDecodeError", "big.md": "too large"} and got["i.png"][0][0].startswith("[Image parsing failed] ")
+    chunks, failures = parse.parse_documents(spark, str(tmp_path), reader, budget=6)
+    mine = [(r["chunk_index"], r["content"]) for r in chunks.where("path like '%n.txt'").orderBy("chunk_index").collect()]
+    assert mine[0] == (0, "First sentence here.") and {r["path"].rsplit("/", 1)[1] for r in failures.collect()} == {"i.png", "broken.csv"}
+    assert [r["chunk_index"] for r in chunks.where("path like '%p.pdf'").orderBy("chunk_index").collect()] == [0, 1]
+
+
 # ---------------------------------------------------------------- attention
 
 

@@ -103,8 +103,7 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         discard(last)
         if mark == seen:
             break
-    out = cur.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(
-        cur.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct()
-    )
-    out._weftline_path = cur._weftline_path
+    roots = cur.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct()
+    out = cut(cur.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(roots))
+    discard(cur)
     return out

@@ -186,6 +186,51 @@ def with_fallback(search: Callable[[DataFrame], DataFrame], plain: Callable[[Dat
     return run
 
 
+BRANCH = ("query_id", "content", "source", "score", "pos")
+
+
+def gather(branches: dict[str, Callable[[], DataFrame]], most: int | None = None) -> tuple[DataFrame, list[str]]:
+    """(query_id, branch, branch_ord, pos, content, source, score) of all branches that work, and the names of those that failed.
+
+    A branch gives (query_id, content, source, score, pos) and is cut to its ``most`` best of
+    each question. Its rows are written once, so a failure shows here: it is logged and the
+    other branches answer. If all fail, the last error is raised.
+    """
+    found, failed, error = [], [], None
+    for i, (name, make) in enumerate(branches.items()):
+        try:
+            rows = make().select(*BRANCH)
+            rows = rows if most is None else top_k(rows, ["query_id"], [F.desc("score"), F.asc("pos")], most).select(*BRANCH)
+            found.append(G.durable(rows.select("query_id", F.lit(name).alias("branch"), F.lit(i).alias("branch_ord"), F.col("pos").cast("long").alias("pos"), "content", "source", F.col("score").cast("double").alias("score"))))
+        except Exception as e:  # whatever a branch of the user's raises
+            log.warning("the branch %s failed and is left out", name, exc_info=True)
+            failed.append(name)
+            error = e
+    if not found:
+        raise error or ValueError("no branch was given")
+    return reduce(DataFrame.unionByName, found), failed
+
+
+def reasoning_branch(linked: DataFrame, edges: DataFrame) -> DataFrame:
+    """Reasoning paths between the linked entities of a question, each with the two after it: (query_id, entity, ord)."""
+    a, b = linked.select("query_id", F.col("entity").alias("start"), F.col("ord").alias("i")), linked.select("query_id", F.col("entity").alias("goal"), F.col("ord").alias("j"))
+    pairs = a.join(b, "query_id").where("j > i and j <= i + 2 and start <> goal")
+    p = G.shortest_paths(edges, pairs.select("start", "goal").distinct())
+    text = G.reasoning_path(F.col("nodes"), F.col("relations"))
+    return pairs.join(p, ["start", "goal"]).select("query_id", text.alias("content"), F.lit("path").alias("source"), S.path_score(F.lit(1.0), F.col("length")).alias("score"), (F.col("i") * 1000 + F.col("j")).alias("pos"))
+
+
+def community_branch(linked: DataFrame, questions: DataFrame, communities: DataFrame, limit: int = 3) -> DataFrame:
+    """The summaries of up to ``limit`` communities that hold a question's entities, those that say something."""
+    n = linked.groupBy("query_id").agg(F.count_distinct("entity").alias("n"))
+    member = useful_communities(communities).select("community_id", "summary", F.explode("members").alias("entity"))
+    met = linked.select("query_id", "entity").distinct().join(member, "entity").groupBy("query_id", "community_id", "summary").agg(F.count(F.lit(1)).alias("hits"))
+    met = met.join(n, "query_id").join(questions.select("query_id", "question"), "query_id")
+    score = S.community_score(F.col("hits") / F.col("n"), S.graph_lexical(F.col("question"), F.col("summary")))
+    rows = met.select("query_id", F.col("summary").alias("content"), F.concat(F.lit("community:"), "community_id").alias("source"), score.alias("score"), F.xxhash64("community_id").alias("pos"))
+    return top_k(rows, ["query_id"], [F.desc("score"), F.asc("source")], limit).drop("rank")
+
+
 def retrieve_for_intent(questions: DataFrame, search: Callable[[DataFrame], DataFrame], per_entity: int = 3) -> DataFrame:
     """(query_id, content, source, score, kind, place): contexts found and chosen as each question's intent asks.
 

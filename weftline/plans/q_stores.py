@@ -16,7 +16,7 @@ from weftline.plans.fixtures import CORPORATE, SQL, edges_sql, relations, table
 from weftline.plans.q_rank import _LEX, _SIM, _bench, _vectors
 from weftline.plans.q_text import _QTOK, _TOKENS
 from weftline.shared import shared_folder
-from weftline.sources import keyed, watch
+from weftline.sources import keyed, parse, watch
 
 Q = Book()
 
@@ -80,6 +80,30 @@ def watched_documents(spark, d):
     return found.select(F.regexp_extract("path", r"(-?\d+)\.txt$", 1).cast("long").alias("doc_id"), "change")
 
 
+# ---------------------------------------------------------------- files of all kinds
+
+_LINES = "SELECT s_nationkey, 'Name: ' || s_name || ' | Key: ' || s_suppkey AS line, (row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) - 1) // 20 AS part, s_suppkey FROM supplier"
+
+
+@Q.add(f"""SELECT 'n' || s_nationkey || '.csv' AS name, 'table' AS doc_type, CAST(part AS INTEGER) AS part, 'Headers: Name | Key' || chr(10) || string_agg(line, chr(10) ORDER BY s_suppkey) AS text, false AS failed FROM ({_LINES}) GROUP BY s_nationkey, part
+    UNION ALL SELECT 'd' || item_id || '.md', 'markdown', 0, text, false FROM benchmark WHERE text <> ''
+    UNION ALL SELECT 'r' || r_regionkey || '.pdf', 'pdf', 0, '[PDF parsing failed]', true FROM region
+    UNION ALL SELECT 'x' || r_regionkey || '.xlsx', 'table', 0, '[Table parsing failed]', true FROM region""")
+def parsed_files(spark, d):
+    """Tables of suppliers, benchmark texts and files that no reader can read, parsed by type."""
+    t = lambda n: table(spark, d, n)
+    folder = _home(spark, "files")
+    name = lambda mark, key, ext: F.concat(F.lit(mark), F.col(key).cast("string"), F.lit(ext)).alias("name")
+    lines = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("s_suppkey", "s_name"))), lambda x: F.concat(x["s_name"], F.lit(","), x["s_suppkey"].cast("string"))), "\n")
+    rows = t("supplier").groupBy("s_nationkey").agg(F.concat(F.lit("Name,Key\n"), lines).alias("content")).select(name("n", "s_nationkey", ".csv"), "content")
+    rows = rows.unionByName(t("benchmark").select(name("d", "item_id", ".md"), F.col("text").alias("content")))
+    for mark, ext in (("r", ".pdf"), ("x", ".xlsx")):
+        rows = rows.unionByName(t("region").select(name(mark, "r_regionkey", ext), F.col("r_name").alias("content")))
+    watch.write_files(rows, folder)
+    got = parse.parse_files(spark, folder)
+    return got.select(F.regexp_extract("path", "([^/]+)$", 1).alias("name"), "doc_type", "part", F.regexp_replace("text", r"(?s)^(\[\w+ parsing failed\]).*", "$1").alias("text"), F.col("error").isNotNull().alias("failed"))
+
+
 # ---------------------------------------------------------------- vectors and candidates
 
 

@@ -128,7 +128,8 @@ def write_files(rows: DataFrame, folder: str) -> int:
     def run(batches):
         from pyarrow import fs
 
-        home, root = fs.FileSystem.from_uri(folder if "://" in folder else f"file://{folder}")
+        path = folder.removeprefix("file:") if folder.startswith("file:/") else folder
+        home, root = fs.FileSystem.from_uri(path if "://" in path else "file:///" + path.lstrip("/"))
         for b in batches:
             for name, content in zip(b.column("name").to_pylist(), b.column("content").to_pylist(), strict=True):
                 path = f"{root}/{name}"

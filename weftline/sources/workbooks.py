@@ -57,10 +57,11 @@ def _number(text: str, dated: bool, base: datetime) -> str:
 
 
 def sheets(content: bytes) -> Iterator[tuple[int, str, int, list[str | None]]]:
-    """(sheet number, title, row number, cells) of every row that has a cell, read part by part.
+    """(sheet number, title, row number, cells) of every row that a sheet lists, read part by part.
 
-    Empty cells are null; a row has as many cells as its last one says. Rows keep their
-    place, so rows without a cell are left out but counted. Formulas give their stored value.
+    Empty cells are null; a row has as many cells as its last one says, a listed row may have
+    none. Rows keep their place, those that are not listed are left out. Formulas give their
+    stored value.
     """
     with zipfile.ZipFile(io.BytesIO(content)) as archive:
         names = set(archive.namelist())
@@ -154,7 +155,7 @@ def workbook_texts(spark: SparkSession, path: str, batch: int = 20) -> DataFrame
     width = F.greatest(F.size("cells"), F.size("headers"))
     cell = lambda i: F.coalesce(F.get("cells", i), F.lit("None"))
     line = F.array_join(F.transform(F.sequence(F.lit(0), width - 1), lambda i: F.when(i < F.size("headers"), F.concat(F.get("headers", i), F.lit(": "), cell(i))).otherwise(cell(i))), " | ")
-    # a sheet's rows have their numbers already; those without a cell do not fill a text
+    # a sheet's rows have their numbers already; those that are not listed do not fill a text
     from pyspark.sql import Window as W
 
     numbered = data.withColumn("line", F.when(width > 0, line).otherwise("")).withColumn("n", F.row_number().over(W.partitionBy("path", "sheet_no").orderBy("row")))
