@@ -8,7 +8,8 @@ of the training rows, the one of best balanced accuracy; scores are carried to 0
 logistic curve that passes the threshold at ``DECIDE``.
 
 The model is fitted on at most ``MAX_TRAIN`` labelled rows outside the held-out fold
-(those with the smallest id hash), a documented bound; every document is scored whole.
+(those with the smallest id hash), a documented bound, and on ``MAX_PAIRS`` pairs of them
+drawn with replacement, or as many as there are; every document is scored whole.
 
 Defined results: a null text is scored as the empty one; without labels of both kinds
 every document scores 1; a score at the threshold is accepted; rows that repeat an id are
