@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from weftline.functions import text as T
 from weftline.operators.ingest import number
 
+# What counts as a token, a paragraph and a sentence.
 _TOKEN = re.compile(r"\w+|[^\w\s]")
 _PARAGRAPH = re.compile(r"\S.*?(?=\n\s*\n|$)", re.DOTALL)
 _SENTENCE = re.compile(r"\S.*?(?:[.!?](?=\s+|$)|\n{2,}|$)", re.DOTALL)
