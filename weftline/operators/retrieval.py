@@ -15,6 +15,7 @@ from weftline.functions import similarity as S
 from weftline.functions import text as T
 from weftline.operators import graph as G
 from weftline.operators import routing
+from weftline.operators.cross import cosine_candidates
 
 log = logging.getLogger(__name__)
 
@@ -38,12 +39,7 @@ def blocks(queries: DataFrame) -> list[DataFrame]:
 
 def vector_search(queries: DataFrame, vectors: DataFrame, k: int = 5) -> DataFrame:
     """(query_id, vec_id, score, rank) by cosine, clamped at 0; exact."""
-    out = []
-    for q in blocks(queries.select("query_id", F.col("embedding").alias("_q"))):
-        met = vectors.join(q, F.lit(True))  # a stated batch of questions against all rows, a block at a time
-        scored = met.select("query_id", "vec_id", F.greatest(F.lit(0.0), S.cosine(F.col("_q"), F.col("embedding"))).alias("score"))
-        out.append(top_k(scored, ["query_id"], [F.desc("score"), F.asc("vec_id")], k))
-    return reduce(DataFrame.unionByName, out)
+    return top_k(cosine_candidates(queries, vectors, k), ["query_id"], [F.desc("score"), F.asc("vec_id")], k)
 
 
 def lexical_scores(queries: DataFrame, docs: DataFrame) -> DataFrame:
