@@ -45,3 +45,16 @@ def test_no_pair_of_ordinary_vectors_is_a_row_of_a_join(spark):
     q = v.where("vec_id < 20").withColumnRenamed("vec_id", "query_id")
     for df in (R.vector_search(q, v, 3), cross.cosine_milli(q, v)):
         assert "NestedLoopJoin" not in plan(df) and "CartesianProduct" not in plan(df)
+
+
+def test_lexical_search_in_blocks_is_the_plain_one(spark):
+    r = random.Random(3)
+    words = [f"w{i}" for i in range(12)]
+    text = lambda n: " ".join(["every", *r.choices(words, k=n)])
+    docs = spark.createDataFrame([*((i, text(i % 9)) for i in range(90)), (90, None), (91, ""), (92, "und")], "doc_id long, text string")
+    asked = spark.createDataFrame([*((i, text(5)) for i in range(30)), (30, None), (31, "the"), (32, "nowhere")], "query_id long, question string")
+    want = R.top_k(R.lexical_scores(asked, docs), ["query_id"], [F.desc("hits"), F.asc("doc_id")], 6)
+    got = R.lexical_search(asked, docs, 6)
+    columns = ["query_id", "doc_id", "n_tokens", "hits", "rank"]
+    assert sorted(map(str, got.select(columns).collect())) == sorted(map(str, want.select(columns).collect())) and got.count() > 150
+    assert "Generate explode(tokens" not in plan(got)

@@ -15,7 +15,7 @@ from weftline.functions import similarity as S
 from weftline.functions import text as T
 from weftline.operators import graph as G
 from weftline.operators import routing
-from weftline.operators.cross import cosine_candidates
+from weftline.operators.cross import cosine_candidates, lexical_candidates
 
 log = logging.getLogger(__name__)
 
@@ -55,8 +55,14 @@ def lexical_scores(queries: DataFrame, docs: DataFrame) -> DataFrame:
 
 
 def lexical_search(queries: DataFrame, docs: DataFrame, k: int = 20) -> DataFrame:
-    """(query_id, doc_id, hits, n_tokens, rank): documents by the share of the question's tokens they have."""
-    return top_k(lexical_scores(queries, docs), ["query_id"], [F.desc("hits"), F.asc("doc_id")], k)
+    """(query_id, doc_id, hits, n_tokens, rank): documents by the share of the question's tokens they have.
+
+    Counted block by block from postings, so a token that all have is no row a pair.
+    """
+    none = F.array().cast("array<string>")
+    q = queries.select("query_id", F.coalesce(T.query_tokens(F.col("question")), none).alias("tokens"))
+    d = docs.select("doc_id", F.coalesce(F.array_distinct(T.ascii_tokens(F.col("text"))), none).alias("tokens"))
+    return top_k(lexical_candidates(q, d, k), ["query_id"], [F.desc("hits"), F.asc("doc_id")], k)
 
 
 def merge_candidates(rows: DataFrame, k: int) -> DataFrame:
