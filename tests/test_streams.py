@@ -148,3 +148,16 @@ def test_watch_as_a_stream(spark, tmp_path):
     finally:
         q.stop()
     assert seen[:2] == ["created", "modified"]
+
+
+def test_a_look_lists_files_in_tasks(spark, tmp_path):
+    from weftline.sources import watch
+
+    names = [f"{i % 3}/deep {i % 2}/f%20 {i}.txt" for i in range(40)]
+    watch.write_files(spark.createDataFrame([*((n, n) for n in names), (".hidden", "x"), ("_temporary/x", "x"), ("empty", "")], "name string, content string"), str(tmp_path / "in"))
+    got = watch.listed(spark, str(tmp_path / "in"))
+    want = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(str(tmp_path / "in"))
+    want = want.select("path", F.col("modificationTime").alias("modified"), "length")
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())) and got.count() == 40
+    found = watch.poll(spark, str(tmp_path / "in"), str(tmp_path / "home"))
+    assert {r["path"].split("/in/")[1]: r["change"] for r in found.collect()} == dict.fromkeys(names, "created")
