@@ -23,6 +23,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
+from weftline.operators.components import components
 from weftline.shared import cut, discard
 
 BIG = "decimal(38,0)"
@@ -141,6 +142,18 @@ def _local_moves(level: _Level, least: float) -> tuple[DataFrame, bool]:
     return now.where, moved
 
 
+def connected_parts(labels: DataFrame, edges: DataFrame) -> DataFrame:
+    """(name, community) of labels (name, comm): each connected part of a community with its smallest name.
+
+    A node that held its community together may have left it. Parts without a link between
+    them have more modularity apart than as one.
+    """
+    end = lambda c, k: labels.select(F.col("name").alias(c), F.col("comm").alias(k))
+    inside = edges.select("head", "tail").join(end("head", "c1"), "head").join(end("tail", "c2"), "tail").where("c1 = c2 and head <> tail")
+    found = components(inside.select("head", "tail"), "head", "tail").select(F.col("id").alias("name"), "component")
+    return labels.join(found, "name", "left").select("name", F.coalesce("component", "name").alias("community"))
+
+
 def louvain(nodes: DataFrame, edges: DataFrame, least: float = 1e-3) -> DataFrame:
     """(name, community): every node with the smallest name of its community.
 
@@ -163,8 +176,7 @@ def louvain(nodes: DataFrame, edges: DataFrame, least: float = 1e-3) -> DataFram
         if not moved:
             break
     discard(level.nodes, level.links)
-    first = names.groupBy("comm").agg(F.min("name").alias("community"))
-    out = cut(names.join(first.hint("rebalance"), "comm").select("name", "community"))
+    out = cut(connected_parts(names, edges))
     discard(names)
     return out
 
