@@ -15,10 +15,13 @@ from weftline.functions import similarity as S
 from weftline.functions import text as T
 from weftline.operators import graph as G
 from weftline.operators import routing
-from weftline.operators.cross import cosine_candidates, lexical_candidates
+from weftline.operators.cross import cosine_candidates, lexical_candidates, name_scores
+from weftline.shared import cut
 
 log = logging.getLogger(__name__)
 
+#: Names that a task makes vectors of.
+NAMES = 4096
 QUERY_SIDE = 10_000  # questions that a batch may broadcast; a larger batch is dealt out instead
 
 
@@ -286,6 +289,19 @@ def name_vectors(df: DataFrame, key: str, dims: int = 768) -> DataFrame:
     return v.join(v.groupBy(key).agg(F.sum(F.col("value") * F.col("value")).alias("square")), key)
 
 
+def name_arrays(df: DataFrame, key: str, dims: int = 768) -> DataFrame:
+    """(key, places, values, square) of ``name_vectors``, a row for each name that has a place.
+
+    A name is some seventy rows on the way, so tasks are as many as the names need: left to
+    sizes in bytes, all names would be expanded in one.
+    """
+    names = cut(df.select(key).where(F.col(key).isNotNull()).distinct())
+    names = names.repartition(max(1, -(-names.count() // NAMES)), key)
+    v = S.hash_embedding(names, key, F.col(key), dims, unit=False).select(key, F.struct("index", (F.col("value") * 4).cast("int").alias("value")).alias("v"))
+    v = v.groupBy(key).agg(F.collect_list("v").alias("v"), F.sum(F.col("v.value").cast("long") * F.col("v.value")).alias("square"))
+    return v.select(key, F.col("v.index").alias("places"), F.col("v.value").alias("values"), "square")
+
+
 def name_candidates(m: DataFrame, n: DataFrame, least: float) -> DataFrame:
     """The distinct (mention, name) that a cosine of ``least`` is possible for, of two tables of ``name_vectors``.
 
@@ -309,15 +325,11 @@ def name_candidates(m: DataFrame, n: DataFrame, least: float) -> DataFrame:
 def name_matches(mentions: DataFrame, names: DataFrame, least: float = 0.8, k: int = 3, dims: int = 768) -> DataFrame:
     """(mention, name, score, rank): hash-embedding neighbours of each mention by cosine.
 
-    Exact: candidates come from a bound (see ``name_candidates``), their score is a quotient of
-    integers and a root, so equal scores are equal in every run and ties go to the name.
+    Exact: every mention meets every name in blocks, as products of whole numbers; a score is a
+    quotient of integers and a root, so equal scores are equal in every run and ties go to the name.
     """
-    m, n = name_vectors(mentions, "mention", dims), name_vectors(names, "name", dims)
-    met = name_candidates(m, n, least)
-    theirs = n.select("name", "index", F.col("value").alias("v"), F.col("square").alias("s"))
-    dots = met.join(m, "mention").join(theirs, ["name", "index"]).groupBy("mention", "name", "square", "s").agg(F.sum(F.col("value") * F.col("v")).alias("dot"))
-    scores = dots.select("mention", "name", (F.col("dot") / F.sqrt((F.col("square") * F.col("s")).cast("double"))).alias("score")).where(F.col("score") >= least)
-    return top_k(scores, ["mention"], [F.desc("score"), F.asc("name")], k)
+    m, n = name_arrays(mentions, "mention", dims), name_arrays(names, "name", dims)
+    return top_k(name_scores(m, n, least, k, dims), ["mention"], [F.desc("score"), F.asc("name")], k)
 
 
 # ---------------------------------------------------------------- evidence of the graph, search, enrichment
