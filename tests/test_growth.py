@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from weftline.operators import cross
+from weftline.operators import cross, evaluate, routing
 from weftline.operators import retrieval as R
 
 
@@ -24,3 +24,12 @@ def test_like_names_are_no_row_a_pair(spark):
 def test_names_are_expanded_in_tasks_of_so_many(spark, monkeypatch):
     monkeypatch.setattr(R, "NAMES", 16)
     assert R.name_arrays(names(spark, 120), "name").rdd.getNumPartitions() == 8
+
+
+def test_questions_are_routed_in_several_tasks(spark):
+    q = spark.createDataFrame([(i, "Which sectors and regions?", True, 1, "Fund", "sector_exposure") for i in range(40)], "query_id int, question string, has_entities boolean, n_starts int, start_type string, expected string").coalesce(1)
+    tasks = 4 * spark.sparkContext.defaultParallelism
+    assert routing.dealt(q).rdd.getNumPartitions() == tasks
+    assert f", {tasks}), REPARTITION_BY_NUM" in plan(routing.route(q))
+    r = evaluate.training_records(q)
+    assert r.count() == 40 * 8 and r.where("selected").groupBy("query_id").count().where("count > 3").count() == 0
