@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from weftline.operators import cross, evaluate, routing
+from weftline.operators import cross, evaluate, postings, routing
 from weftline.operators import retrieval as R
 
 
@@ -33,3 +33,14 @@ def test_questions_are_routed_in_several_tasks(spark):
     assert f", {tasks}), REPARTITION_BY_NUM" in plan(routing.route(q))
     r = evaluate.training_records(q)
     assert r.count() == 40 * 8 and r.where("selected").groupBy("query_id").count().where("count > 3").count() == 0
+
+
+def test_postings_meet_questions_in_blocks(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(postings, "DOCUMENTS", 10)
+    index = postings.PostingIndex(spark, str(tmp_path / "p"), 2)
+    index.add(spark.createDataFrame([(i % 40, f"common words text{i}") for i in range(60)], "doc_id long, text string"))
+    asked = spark.createDataFrame([(1, "common words")], "query_id int, question string")
+    found = index.search(asked, 5)
+    assert "FlatMapCoGroups" in plan(found) and [x["doc_id"] for x in found.orderBy("rank").collect()] == [0, 1, 2, 3, 4]
+    assert index._read().count() == 40 * 2 + 60
+    assert len(list((tmp_path / "p" / "postings").rglob("*.parquet"))) > 2

@@ -8,11 +8,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftline.functions import text as T
+from weftline.operators.cross import lexical_candidates
 from weftline.operators.retrieval import top_k
-from weftline.shared import delete
+from weftline.shared import cut, delete, discard
 from weftline.sources.keyed import KeyedTable
 
 
+#: Documents whose postings of a bucket are one file.
+DOCUMENTS = 1 << 14
+
+
 class PostingIndex:
     """Postings (token, doc_id, gen) in folders by a hash of the token, and the live documents as a keyed table.
 
@@ -34,9 +39,12 @@ class PostingIndex:
     def _bucket(self, token: str = "token"):
         return F.pmod(F.xxhash64(token), F.lit(self.buckets)).cast("int")
 
-    def _write(self, rows: DataFrame, folder: str) -> None:
-        # frequent tokens' folders are many files: partitions are split by size
-        rows.withColumn("bucket", self._bucket()).hint("rebalance", "bucket").write.mode("append").partitionBy("bucket").parquet(folder)
+    def _write(self, rows: DataFrame, folder: str, documents: int | None = None) -> None:
+        # a part of a bucket is a file: a row is small in bytes and large when sorted, so parts are made by numbers
+        parts = max(1, -(-self.documents.read().count() // DOCUMENTS)) if self.documents.version() else 1
+        parts = parts if documents is None else max(1, -(-documents // DOCUMENTS))
+        dealt = rows.withColumn("bucket", self._bucket()).repartition(parts * self.buckets, "bucket", F.pmod(F.xxhash64("doc_id"), F.lit(parts)))
+        dealt.write.mode("append").partitionBy("bucket").parquet(folder)
 
     def _read(self) -> DataFrame:
         kind = self.documents.read().schema["doc_id"].dataType.simpleString()
@@ -46,8 +54,16 @@ class PostingIndex:
         """Indexes (doc_id, text); documents that are there get the words of the new text instead."""
         gen = uuid.uuid4().hex
         rows = texts.where("doc_id is not null").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-        self._write(rows.select(F.explode(F.array_distinct(T.ascii_tokens(F.col("text")))).alias("token"), "doc_id", F.lit(gen).alias("gen")).distinct(), f"{self.path}/postings")
-        self.documents.upsert(rows.select("doc_id").distinct().withColumn("gen", F.lit(gen)))
+        ids = cut(rows.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")))
+        found = lambda df: df.select(F.explode(F.array_distinct(T.ascii_tokens(F.col("text")))).alias("token"), "doc_id")
+        again = ids.where("n > 1").select("doc_id")
+        if again.isEmpty():
+            postings = found(rows)
+        else:  # only repeated ids can repeat a token
+            postings = found(rows.join(again, "doc_id", "left_anti")).unionByName(found(rows.join(again, "doc_id", "left_semi")).distinct())
+        self._write(postings.withColumn("gen", F.lit(gen)), f"{self.path}/postings", ids.count())
+        self.documents.upsert(ids.select("doc_id", F.lit(gen).alias("gen")))
+        discard(ids)
 
     def remove(self, ids: DataFrame) -> None:
         """Documents of ``ids`` (doc_id) are no longer found."""
@@ -62,17 +78,29 @@ class PostingIndex:
     def _live(self, postings: DataFrame) -> DataFrame:
         return postings.join(self.documents.read(), ["doc_id", "gen"], "left_semi")
 
+    def _wanted(self, wanted: DataFrame) -> DataFrame:
+        """The postings (token, doc_id, gen) of the tokens of ``wanted``."""
+        buckets = [r[0] for r in wanted.select(self._bucket()).distinct().collect()]
+        return self._read().where(F.col("bucket").isin(buckets)).select("token", "doc_id", "gen").join(wanted.select("token").distinct(), "token", "left_semi")
+
     def scores(self, queries: DataFrame) -> DataFrame:
         """(query_id, doc_id, n_tokens, hits) as ``retrieval.lexical_scores`` gives them."""
         q = queries.select("query_id", T.query_tokens(F.col("question")).alias("tokens"))
         wanted = q.select("query_id", F.size("tokens").alias("n_tokens"), F.explode("tokens").alias("token"))
-        buckets = [r[0] for r in wanted.select(self._bucket()).distinct().collect()]
-        found = self._read().where(F.col("bucket").isin(buckets)).select("token", "doc_id", "gen").join(wanted.select("token").distinct(), "token", "left_semi")
-        return self._live(found).join(wanted, "token").groupBy("query_id", "doc_id", "n_tokens").agg(F.count(F.lit(1)).alias("hits"))
+        return self._live(self._wanted(wanted)).join(wanted, "token").groupBy("query_id", "doc_id", "n_tokens").agg(F.count(F.lit(1)).alias("hits"))
 
     def search(self, queries: DataFrame, k: int = 20) -> DataFrame:
-        """(query_id, doc_id, hits, n_tokens, rank): documents by the share of the question's tokens they have."""
-        return top_k(self.scores(queries), ["query_id"], [F.desc("hits"), F.asc("doc_id")], k)
+        """(query_id, doc_id, hits, n_tokens, rank): documents by the share of the question's tokens they have.
+
+        Live documents with their tokens meet the questions in blocks, as in
+        ``retrieval.lexical_search``, so a token that all have is no row a pair.
+        """
+        none = F.array().cast("array<string>")
+        q = queries.select("query_id", F.coalesce(T.query_tokens(F.col("question")), none).alias("tokens"))
+        wanted = q.select(F.explode("tokens").alias("token")).distinct()
+        held = self._wanted(wanted).groupBy("doc_id", "gen").agg(F.collect_list("token").alias("tokens"))
+        held = cut(held.join(self.documents.read(), ["doc_id", "gen"], "left_semi").select("doc_id", "tokens"))
+        return top_k(lexical_candidates(q, held, k), ["query_id"], [F.desc("hits"), F.asc("doc_id")], k)
 
     def frequencies(self) -> DataFrame:
         """(token, documents): in how many live documents each token is."""
