@@ -1,8 +1,9 @@
 """What moves, and what a task holds, as tables grow."""
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
-from weftline.operators import cross, evaluate, postings, routing
+from weftline.operators import chunk, cross, evaluate, postings, routing
 from weftline.operators import retrieval as R
 
 
@@ -44,3 +45,14 @@ def test_postings_meet_questions_in_blocks(spark, tmp_path, monkeypatch):
     assert "FlatMapCoGroups" in plan(found) and [x["doc_id"] for x in found.orderBy("rank").collect()] == [0, 1, 2, 3, 4]
     assert index._read().count() == 40 * 2 + 60
     assert len(list((tmp_path / "p" / "postings").rglob("*.parquet"))) > 2
+
+
+def test_chunks_are_given_out_as_they_come(monkeypatch):
+    monkeypatch.setattr(chunk, "CHARS", 1000)
+    texts = [f"Sentence {i} of a text. " * 30 for i in range(50)]
+    batch = pa.RecordBatch.from_pydict({"doc_id": list(range(50)), "text": texts})
+    out = list(chunk._chunked(["doc_id"], 64, 1)(iter([batch])))
+    assert len(out) > 20 and max(sum(map(len, b["content"].to_pylist())) for b in out) < 2000
+    want = [(i, k, c.start, c.end, c.text.strip()) for i, t in enumerate(texts) for k, c in enumerate(chunk.chunk_text(t, 64, 1))]
+    assert [tuple(r.values()) for b in out for r in b.to_pylist()] == want
+    assert list(chunk._chunked(["doc_id"], 64, 1)(iter([]))) == []

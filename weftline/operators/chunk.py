@@ -7,7 +7,7 @@ from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import cached_property
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -21,6 +21,8 @@ _SENTENCE = re.compile(r"\S.*?(?:[.!?](?=\s+|$)|\n{2,}|$)", re.DOTALL)
 _CHUNK = "chunk_index int, char_start int, char_end int, content string"
 SCHEMA = f"doc_id long, {_CHUNK}"
 PAGE_SCHEMA = f"doc_id long, page long, {_CHUNK}"
+#: Characters of chunks that a task holds before it gives them out.
+CHARS = 1 << 20
 
 
 @dataclass(frozen=True)
@@ -87,15 +89,32 @@ def chunk_text(text: str, budget: int = 256, overlap: int = 1) -> list[Span]:
     return [c for c in pack(spans(_PARAGRAPH, text), budget, tail, sliced, paragraph) if c.text.strip()]
 
 
-def chunk_documents(docs: DataFrame, budget: int = 256, overlap: int = 1) -> DataFrame:
-    """(doc_id, chunk_index, char_start, char_end, content) of (doc_id, text); no shuffle."""
+def _chunked(keys: list[str], budget: int, overlap: int):
+    """Chunks of batches of (keys, text), a text at a time, given out as soon as they are ``CHARS`` characters."""
+    schema = pa.schema([*((k, pa.int64()) for k in keys), ("chunk_index", pa.int32()), ("char_start", pa.int32()), ("char_end", pa.int32()), ("content", pa.string())])
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows, held = [], 0
         for b in batches:
-            rows = [(i, k, c.start, c.end, c.text.strip()) for i, t in zip(b["doc_id"], b["text"], strict=True) for k, c in enumerate(chunk_text(t or "", budget, overlap))]
-            yield pd.DataFrame(rows, columns=["doc_id", "chunk_index", "char_start", "char_end", "content"])
+            own, texts = [b.column(k) for k in keys], b.column("text")
+            for at in range(b.num_rows):
+                key = [c[at].as_py() for c in own]
+                for k, c in enumerate(chunk_text(texts[at].as_py() or "", budget, overlap)):
+                    rows.append((*key, k, c.start, c.end, c.text.strip()))
+                    held += len(rows[-1][-1])
+                    if held > CHARS:
+                        yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
+                        rows, held = [], 0
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
+
+    return run
 
-    return docs.select("doc_id", T.clean_text(F.col("text")).alias("text")).mapInPandas(run, SCHEMA)
+
+def chunk_documents(docs: DataFrame, budget: int = 256, overlap: int = 1) -> DataFrame:
+    """(doc_id, chunk_index, char_start, char_end, content) of (doc_id, text); no shuffle."""
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), T.clean_text(F.col("text")).alias("text")).mapInArrow(_chunked(["doc_id"], budget, overlap), SCHEMA)
 
 
 def chunk_pages(pages: DataFrame, budget: int = 256, overlap: int = 1) -> DataFrame:
@@ -106,12 +125,7 @@ def chunk_pages(pages: DataFrame, budget: int = 256, overlap: int = 1) -> DataFr
     of their document, so a document of very many pages needs no task of its own.
     """
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            rows = [(i, p, k, c.start, c.end, c.text.strip()) for i, p, t in zip(b["doc_id"], b["page"], b["text"], strict=True) for k, c in enumerate(chunk_text(t or "", budget, overlap))]
-            yield pd.DataFrame(rows, columns=["doc_id", "page", "chunk_index", "char_start", "char_end", "content"])
-
-    made = pages.select("doc_id", "page", T.clean_text(F.col("text")).alias("text")).mapInPandas(run, PAGE_SCHEMA)
+    made = pages.select(*(F.col(c).cast("long").alias(c) for c in ("doc_id", "page")), T.clean_text(F.col("text")).alias("text")).mapInArrow(_chunked(["doc_id", "page"], budget, overlap), PAGE_SCHEMA)
     rows = number(made, ["doc_id", "page", "chunk_index"])
     first = rows.groupBy(F.col("doc_id").alias("_doc")).agg(F.min("n").alias("_first"))
     index = (F.col("n") - F.col("_first")).cast("int").alias("chunk_index")
