@@ -3,7 +3,7 @@
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from weftline.operators import chunk, cross, evaluate, postings, routing
+from weftline.operators import chunk, cross, evaluate, louvain, postings, routing
 from weftline.operators import retrieval as R
 
 
@@ -56,3 +56,10 @@ def test_chunks_are_given_out_as_they_come(monkeypatch):
     want = [(i, k, c.start, c.end, c.text.strip()) for i, t in enumerate(texts) for k, c in enumerate(chunk.chunk_text(t, 64, 1))]
     assert [tuple(r.values()) for b in out for r in b.to_pylist()] == want
     assert list(chunk._chunked(["doc_id"], 64, 1)(iter([]))) == []
+
+
+def test_rounds_of_communities_broadcast_nothing(spark):
+    level = louvain._Level(spark.createDataFrame([("a", 1, 0), ("b", 1, 0)], "node string, k long, inner long"), spark.createDataFrame([("a", "b", 1), ("b", "a", 1)], "u string, v string, w long"), 2)
+    where = level.nodes.select("node", F.col("node").alias("comm"))
+    met = level.links.join(louvain._far(where.select(F.col("node").alias("v"), F.col("comm").alias("to"))), "v")
+    assert "Broadcast" not in plan(met)

@@ -31,6 +31,11 @@ BIG = "decimal(38,0)"
 TRIES = ((True, 0), (False, 0), (True, 1), (False, 1), None)
 
 
+def _far(df: DataFrame) -> DataFrame:
+    """A side that is not to be broadcast: each round would send its tables through the driver once more."""
+    return df.hint("merge")
+
+
 @dataclass
 class _Level:
     """nodes (node, k, inner): weighted degree and twice the weight inside; links (u, v, w) both ways between different nodes; twice all weight."""
@@ -44,7 +49,7 @@ def _first_level(nodes: DataFrame, edges: DataFrame) -> _Level:
     names = nodes.select(F.col("name").alias("node")).where("node is not null").distinct()
     pairs = edges.where("head is not null and tail is not null").select(F.greatest("head", "tail").alias("u"), F.least("head", "tail").alias("v")).distinct()
     known = lambda c: names.select(F.col("node").alias(c))
-    pairs = cut(pairs.join(known("u"), "u", "left_semi").join(known("v"), "v", "left_semi").select("u", "v"))
+    pairs = cut(pairs.join(_far(known("u")), "u", "left_semi").join(_far(known("v")), "v", "left_semi").select("u", "v"))
     apart = pairs.where("u <> v")
     links = cut(apart.select("u", "v", F.lit(1).cast("long").alias("w")).unionByName(apart.select(F.col("v").alias("u"), F.col("u").alias("v"), F.lit(1).cast("long").alias("w"))))
     weight = links.select(F.col("u").alias("node"), "w", F.lit(0).cast("long").alias("inner")).unionByName(pairs.where("u = v").select(F.col("u").alias("node"), F.lit(2).cast("long").alias("w"), F.lit(2).cast("long").alias("inner")))
@@ -57,10 +62,10 @@ def _first_level(nodes: DataFrame, edges: DataFrame) -> _Level:
 def _contracted(level: _Level, where: DataFrame) -> _Level:
     """Communities (``where``: node, comm) as nodes."""
     a, b = where.select(F.col("node").alias("u"), F.col("comm").alias("cu")), where.select(F.col("node").alias("v"), F.col("comm").alias("cv"))
-    met = cut(level.links.join(a, "u").join(b, "v").groupBy("cu", "cv").agg(F.sum("w").alias("w")))
+    met = cut(level.links.join(_far(a), "u").join(_far(b), "v").groupBy("cu", "cv").agg(F.sum("w").alias("w")))
     links = cut(met.where("cu <> cv").select(F.col("cu").alias("u"), F.col("cv").alias("v"), "w"))
     inside = met.where("cu = cv").select(F.col("cu").alias("node"), F.lit(0).cast("long").alias("k"), F.col("w").alias("inner"))
-    held = level.nodes.join(where, "node").select(F.col("comm").alias("node"), "k", "inner")
+    held = level.nodes.join(_far(where), "node").select(F.col("comm").alias("node"), "k", "inner")
     nodes = cut(held.unionByName(inside).groupBy("node").agg(F.sum("k").alias("k"), F.sum("inner").alias("inner")))
     discard(met)
     return _Level(nodes, links, level.twice)
@@ -81,17 +86,17 @@ class _State:
 
 def _scored(level: _Level, where: DataFrame) -> _State:
     squares, inner = Observation(), Observation()
-    sized = where.join(level.nodes.select("node", "k", "inner"), "node")
+    sized = where.join(_far(level.nodes.select("node", "k", "inner")), "node")
     total = cut(sized.groupBy("comm").agg(F.sum("k").alias("total")).observe(squares, F.sum(F.col("total").cast("decimal(19,0)") * F.col("total")).alias("x")))
-    met = level.links.join(where.select(F.col("node").alias("v"), F.col("comm").alias("to")), "v").select(F.col("u").alias("node"), "to", "w", *(F.lit(0).cast("long").alias(c) for c in ("k", "inner", "own")))
+    met = level.links.join(_far(where.select(F.col("node").alias("v"), F.col("comm").alias("to"))), "v").select(F.col("u").alias("node"), "to", "w", *(F.lit(0).cast("long").alias(c) for c in ("k", "inner", "own")))
     own = sized.select("node", F.col("comm").alias("to"), F.lit(0).cast("long").alias("w"), "k", "inner", F.lit(1).cast("long").alias("own"))
     per = met.unionByName(own).groupBy("node", "to").agg(*(F.sum(c).alias(c) for c in ("w", "k", "inner", "own")))
-    per = per.join(total.withColumnRenamed("comm", "to"), "to")
+    per = per.join(_far(total.withColumnRenamed("comm", "to")), "to")
     row = F.struct("to", "w", "total", "k", "inner")
     # a community's worth to a node needs the node's degree, which its own community's row has
     own = per.where("own > 0").select("node", row.alias("mine"))
     others = per.where("own = 0").select("node", "to", "w", "total")
-    both = own.join(others, "node", "left")
+    both = own.join(_far(others), "node", "left")
     worth = F.col("w").cast(BIG) * F.lit(level.twice) - F.col("mine.k").cast(BIG) * F.col("total")
     stay = F.col("mine.w").cast(BIG) * F.lit(level.twice) - F.col("mine.k").cast(BIG) * (F.col("mine.total") - F.col("mine.k"))
     # of equal gains the smallest community: max_by over the negated order is not to be had for text, so min over (-gain, to)
@@ -113,7 +118,7 @@ def _moves(rows: DataFrame, attempt: tuple[bool, int] | None, salt: int) -> Data
     moves = rows.where(wanted).select("node", "comm", "to", F.struct((-F.col("gain")).alias("loss"), "node").alias("key"))
     first = moves.select("key", F.explode(F.array("comm", "to")).alias("c")).groupBy("c").agg(F.min("key").alias("key"))
     won = moves.join(first.toDF("comm", "k1").hint("rebalance"), "comm").where("key = k1").join(first.toDF("to", "k2").hint("rebalance"), "to").where("key = k2").select("node", F.col("to").alias("new"))
-    return rows.select("node", F.col("comm").alias("was")).join(won, "node", "left").select("node", "was", F.coalesce("new", "was").alias("comm"))
+    return rows.select("node", F.col("comm").alias("was")).join(_far(won), "node", "left").select("node", "was", F.coalesce("new", "was").alias("comm"))
 
 
 def _local_moves(level: _Level, least: float) -> tuple[DataFrame, bool]:
@@ -149,9 +154,9 @@ def connected_parts(labels: DataFrame, edges: DataFrame) -> DataFrame:
     them have more modularity apart than as one.
     """
     end = lambda c, k: labels.select(F.col("name").alias(c), F.col("comm").alias(k))
-    inside = edges.select("head", "tail").join(end("head", "c1"), "head").join(end("tail", "c2"), "tail").where("c1 = c2 and head <> tail")
+    inside = edges.select("head", "tail").join(_far(end("head", "c1")), "head").join(_far(end("tail", "c2")), "tail").where("c1 = c2 and head <> tail")
     found = components(inside.select("head", "tail"), "head", "tail").select(F.col("id").alias("name"), "component")
-    return labels.join(found, "name", "left").select("name", F.coalesce("component", "name").alias("community"))
+    return labels.join(_far(found), "name", "left").select("name", F.coalesce("component", "name").alias("community"))
 
 
 def louvain(nodes: DataFrame, edges: DataFrame, least: float = 1e-3) -> DataFrame:
@@ -168,7 +173,7 @@ def louvain(nodes: DataFrame, edges: DataFrame, least: float = 1e-3) -> DataFram
     while level.twice:
         where, moved = _local_moves(level, least)
         if moved:
-            joined = cut(names.join(where.select(F.col("node").alias("comm"), F.col("comm").alias("next")), "comm").select("name", F.col("next").alias("comm")))
+            joined = cut(names.join(_far(where.select(F.col("node").alias("comm"), F.col("comm").alias("next"))), "comm").select("name", F.col("next").alias("comm")))
             below = _contracted(level, where)
             discard(names, level.nodes, level.links)
             names, level = joined, below
