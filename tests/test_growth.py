@@ -4,6 +4,7 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 from weftline.operators import chunk, cross, evaluate, louvain, postings, routing
+from weftline.operators import graph as G
 from weftline.operators import retrieval as R
 
 
@@ -36,6 +37,15 @@ def test_questions_are_routed_in_several_tasks(spark):
     assert r.count() == 40 * 8 and r.where("selected").groupBy("query_id").count().where("count > 3").count() == 0
 
 
+def test_neighbours_have_their_types_before_the_search(spark):
+    edges = spark.createDataFrame([("a", "r", "hub"), ("b", "r", "hub"), ("hub", "s", "c")], "head string, relation string, tail string")
+    kinds = spark.createDataFrame([("a", "A"), ("hub", "H"), ("hub", "I"), ("c", "C")], "name string, type string")
+    found = G.neighbors(edges, spark.createDataFrame([("a",)], "start string"), 2, kinds)
+    rows = sorted(tuple(x) for x in found.select("hop", "target", "target_type").collect())
+    assert rows == [(1, "hub", "H"), (1, "hub", "I"), (2, "a", "A"), (2, "b", ""), (2, "c", "C")]
+    assert "target_type" in found.columns and "LeftOuter" not in plan(found)
+
+
 def test_postings_meet_questions_in_blocks(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(postings, "DOCUMENTS", 10)
     index = postings.PostingIndex(spark, str(tmp_path / "p"), 2)
