@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -15,22 +18,26 @@ from weftline.plans.book import Book
 from weftline.plans.fixtures import ASKED_SQL, QUESTIONS_SQL, asked, entities, questions, relations, table
 from weftline.plans.q_graph import _walk_sql
 from weftline.plans.q_rank import _RULES, _ROUTE
+from weftline.shared import cut
 
 Q = Book()
 
 
-def _paths(spark, d, selected):
+def _paths(spark, d, selected, known=None, ents=None):
     """(query_id, metapath, start, end, path): each routed question's walks, a metapath at a time.
 
     Only metapaths that a question of the batch is routed to are built, and each starts
-    from its questions' entities alone.
+    from its questions' entities alone. ``known`` has relations that are stored already, by name.
     """
     q = questions(spark)
+    known, ents = {} if known is None else known, cut(entities(spark, d)) if ents is None else ents
     out = None
     for name in sorted(r["metapath"] for r in selected.select("metapath").distinct().collect()):  # at most the eight metapaths
         m = vocab.METAPATHS[name]
         mine = selected.where(F.col("metapath") == name).select("query_id", "metapath").join(q.select("query_id", "start"), "query_id")
-        walks = G.traverse(entities(spark, d), relations(spark, d, *dict.fromkeys(s[1] for s in m.steps)), m, starts=mine.select("start"))
+        names = dict.fromkeys(s[1] for s in m.steps)
+        known.update({n: cut(relations(spark, d, n)) for n in names if n not in known})  # metapaths share relations
+        walks = G.traverse(ents, reduce(DataFrame.unionByName, (known[n] for n in names)), m, starts=mine.select("start"))
         part = mine.join(walks, "start").select("query_id", "metapath", "start", "end", "path")
         out = part if out is None else out.unionByName(part)
     return out
@@ -174,21 +181,22 @@ def answer_contexts(spark, d):
     q = questions(spark)
     docs = table(spark, d, "documents")
     linked = G.durable(_linked(spark, d, q))
-    edges = G.durable(relations(spark, d, "holds", "located_in", "subject_to", "belongs_to", "works_at"))
+    known, ents = {n: cut(relations(spark, d, n)) for n in ("holds", "located_in", "subject_to", "belongs_to", "works_at")}, cut(entities(spark, d))
+    edges = reduce(DataFrame.unionByName, known.values())
     routed, chosen = routing.route(q), routing.select_rules(q)
     # two branches walk the same paths: found once, kept in the shared folder
-    walks = G.durable(_paths(spark, d, routed.select("query_id", "metapath").unionByName(chosen.select("query_id", "metapath")).distinct()))
+    walks = G.durable(_paths(spark, d, routed.select("query_id", "metapath").unionByName(chosen.select("query_id", "metapath")).distinct(), known, ents))
 
     def text():
         hits = R.lexical_search(q, docs, 14)
         return hits.join(docs.select("doc_id", "text", "source"), "doc_id").select("query_id", F.col("text").alias("content"), "source", (F.col("hits") / F.col("n_tokens")).alias("score"), F.col("rank").alias("pos"))
 
     def subgraph():
-        e = R.subgraph_evidence(linked.join(q.select("query_id", "question"), "query_id").select("query_id", "question", "entity"), edges, entities(spark, d), 1)
+        e = R.subgraph_evidence(linked.join(q.select("query_id", "question"), "query_id").select("query_id", "question", "entity"), edges, ents, 1)
         return e.select("query_id", "content", F.col("entity").alias("source"), "score", F.xxhash64("content").alias("pos"))
 
     def community():
-        staff = edges.where("relation = 'works_at'")
+        staff = known["works_at"]
         nodes = staff.select(F.explode(F.array("head", "tail")).alias("name")).distinct()
         return R.community_branch(linked, q, G.communities(G.connected_components(nodes, staff), staff))
 
