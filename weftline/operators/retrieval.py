@@ -194,12 +194,14 @@ def with_fallback(search: Callable[[DataFrame], DataFrame], plain: Callable[[Dat
 BRANCH = ("query_id", "content", "source", "score", "pos")
 
 
-def gather(branches: dict[str, Callable[[], DataFrame]], most: int | None = None) -> tuple[DataFrame, list[str]]:
+def gather(branches: dict[str, Callable[[], DataFrame]], most: int | None = None, strict: bool = False) -> tuple[DataFrame, list[str]]:
     """(query_id, branch, branch_ord, pos, content, source, score) of all branches that work, and the names of those that failed.
 
     A branch gives (query_id, content, source, score, pos) and is cut to its ``most`` best of
     each question. Its rows are written once, so a failure shows here: it is logged and the
-    other branches answer. If all fail, the last error is raised.
+    other branches answer. If all fail, the last error is raised. With ``strict`` the first
+    failure is raised: for callers that do not hand on the names of the failed branches, as
+    what the others found would pass for the whole.
     """
     found, failed, error = [], [], None
     for i, (name, make) in enumerate(branches.items()):
@@ -208,6 +210,8 @@ def gather(branches: dict[str, Callable[[], DataFrame]], most: int | None = None
             rows = rows if most is None else top_k(rows, ["query_id"], [F.desc("score"), F.asc("pos")], most).select(*BRANCH)
             found.append(G.durable(rows.select("query_id", F.lit(name).alias("branch"), F.lit(i).alias("branch_ord"), F.col("pos").cast("long").alias("pos"), "content", "source", F.col("score").cast("double").alias("score"))))
         except Exception as e:  # whatever a branch of the user's raises
+            if strict:
+                raise RuntimeError(f"the branch {name} failed") from e
             log.warning("the branch %s failed and is left out", name, exc_info=True)
             failed.append(name)
             error = e

@@ -177,7 +177,10 @@ def qa_end_to_end(spark, d):
 
 
 def answer_contexts(spark, d):
-    """query_id, intent, answer, quality, contexts (content, source, branch, score in order)."""
+    """query_id, intent, answer, quality, contexts (content, source, branch, score in order).
+
+    A branch that fails is an error, as its rows would be missing without a trace.
+    """
     q = questions(spark)
     docs = table(spark, d, "documents")
     linked = G.durable(_linked(spark, d, q))
@@ -208,7 +211,7 @@ def answer_contexts(spark, d):
     def inference():
         return routing.infer(chosen, walks).select("query_id", F.col("evidence").alias("content"), F.col("rule").alias("source"), F.col("confidence").alias("score"), F.xxhash64("rule", "end").alias("pos"))
 
-    ctx, _ = R.gather({"text": text, "subgraph": subgraph, "path": lambda: R.reasoning_branch(linked, edges), "community": community, "metapath": metapath, "inference": inference}, most=50)
+    ctx, _ = R.gather({"text": text, "subgraph": subgraph, "path": lambda: R.reasoning_branch(linked, edges), "community": community, "metapath": metapath, "inference": inference}, most=50, strict=True)
     ctx = G.durable(ctx.withColumn("key", T.term_key(F.col("content"))))
     first = R.first_of_each(ctx)
     fused = R.fuse(ctx.drop("branch")).select("query_id", "key", "rrf", "place")
