@@ -4,7 +4,7 @@ from collections import Counter, defaultdict
 
 from weftline import vocab
 from weftline.operators import graph as G
-from weftline.operators.louvain import connected_parts
+from weftline.operators.louvain import connected_parts, modularity
 
 HOLDING = [m for m in vocab.METAPATHS.values() if m.steps[0][1] == "holds"]
 PEERS = vocab.METAPATHS["shared_sector"]
@@ -75,3 +75,10 @@ def test_totals_of_walks_without_their_pairs(spark):
     for m in asked:
         walks = G.traverse(ent, edges, m).select("start", "end").collect()
         assert got[m.name] == (len(walks), len({w["end"] for w in walks}), len({w["start"] for w in walks}))
+
+
+def test_modularity_broadcasts_nothing(spark):
+    edges = spark.createDataFrame([("a", "b"), ("b", "c"), ("d", "e")], "head string, tail string")
+    labels = spark.createDataFrame([("a", "a"), ("b", "a"), ("c", "a"), ("d", "d"), ("e", "d")], "name string, community string")
+    got = modularity(labels, edges)
+    assert "Broadcast" not in got._jdf.queryExecution().executedPlan().toString() and got.first()["links"] == 3

@@ -190,7 +190,7 @@ def modularity(labels: DataFrame, edges: DataFrame) -> DataFrame:
     """One row: links, modularity of the labels (name, community), edges read as ``louvain`` reads them."""
     pairs = edges.where("head is not null and tail is not null").select(F.greatest("head", "tail").alias("u"), F.least("head", "tail").alias("v")).distinct()
     a, b = labels.select(F.col("name").alias("u"), F.col("community").alias("cu")), labels.select(F.col("name").alias("v"), F.col("community").alias("cv"))
-    met = pairs.join(a, "u").join(b, "v")
+    met = pairs.join(_far(a), "u").join(_far(b), "v")
     ends = met.select(F.explode(F.array("cu", "cv")).alias("c"), (F.col("cu") == F.col("cv")).cast("long").alias("half"))
     per = ends.groupBy("c").agg(F.count(F.lit(1)).alias("degree"), F.sum("half").alias("inside"))
     sums = per.agg(F.sum("degree").alias("twice"), F.sum("inside").alias("inside"), F.sum(F.col("degree").cast("decimal(19,0)") * F.col("degree")).alias("squares"))
